@@ -13,7 +13,7 @@ from __future__ import annotations
 from feedmatch.functions.regex import DUCKDB, SPARK, render as _render
 
 # Python's Unicode whitespace, spelled out so Java and RE2 agree with it.
-WS = (r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
       r"\x{202F}\x{205F}\x{3000}]")
 
 _GAP60 = {
@@ -48,32 +48,32 @@ US_ONLY_PREFIX_CHARS = 800
 
 # --- fixed values: sponsorship refused or presupposed (hard restriction) -----
 _SP = r"(?:visa\s+|work\s+)?sponsor(?:ship|ing|s)?"
-HARD_RESTRICTION = "|".join((
-    r"{B0}no\s+" + _SP + r"{B1}",
-    r"{B0}(?:do(?:es)?\s+not|don'?t|will\s+not|won'?t)\s+(?:be\s+able\s+to\s+)?"
+HARD_RESTRICTION = "{B0}(?:" + "|".join((
+    r"no\s+" + _SP + r"{B1}",
+    r"(?:do(?:es)?\s+not|don'?t|will\s+not|won'?t)\s+(?:be\s+able\s+to\s+)?"
     r"(?:provide|offer|support|consider)?\s*" + _SP,
-    r"{B0}(?:un(?:able)?|not\s+able)\s+to\s+(?:provide|offer|support)?\s*" + _SP,
-    r"{B0}can(?:no|'?)t\s+(?:provide|offer|support)?\s*" + _SP,
-    r"{B0}" + _SP + r"\s+is\s+not\s+(?:available|offered|provided|possible){B1}",
-    r"{B0}without\s+(?:the\s+need\s+for\s+)?" + _SP + r"{B1}",
-    r"{B0}not\s+(?:currently\s+)?(?:be\s+)?(?:able\s+to\s+)?" + _SP,
-    r"{B0}must\s+(?:already\s+)?(?:have|hold|possess){GAP60}"
+    r"(?:un(?:able)?|not\s+able)\s+to\s+(?:provide|offer|support)?\s*" + _SP,
+    r"can(?:no|'?)t\s+(?:provide|offer|support)?\s*" + _SP,
+    r"" + _SP + r"\s+is\s+not\s+(?:available|offered|provided|possible){B1}",
+    r"without\s+(?:the\s+need\s+for\s+)?" + _SP + r"{B1}",
+    r"not\s+(?:currently\s+)?(?:be\s+)?(?:able\s+to\s+)?" + _SP,
+    r"must\s+(?:already\s+)?(?:have|hold|possess){GAP60}"
     r"(?:right\s+to\s+work|work\s+authori[sz]ation|work\s+permit){B1}",
-    r"{B0}(?:existing|current|valid)\s+(?:right\s+to\s+work|work\s+authori[sz]ation){B1}",
-    r"{B0}(?:eu|eea)(?:/eea)?\s+(?:citizens?|nationals?|passport\s+holders?)\s+only{B1}",
-    r"{B0}must\s+be\s+(?:legally\s+)?(?:authori[sz]ed|eligible|entitled)\s+to\s+work{GAP60}without{B1}",
-))
+    r"(?:existing|current|valid)\s+(?:right\s+to\s+work|work\s+authori[sz]ation){B1}",
+    r"(?:eu|eea)(?:/eea)?\s+(?:citizens?|nationals?|passport\s+holders?)\s+only{B1}",
+    r"must\s+be\s+(?:legally\s+)?(?:authori[sz]ed|eligible|entitled)\s+to\s+work{GAP60}without{B1}",
+)) + ")"
 
 # --- fixed values: a move offered in so many words, and its negation ---------
-MOVE_OFFER = "|".join((
-    r"{B0}(?:sponsor|sponsors|sponsoring|support|supports)\s+(?:your\s+|work\s+)?visas?{B1}",
-    r"{B0}visa\s+(?:sponsorship|support|assistance|help){B1}",
-    r"{B0}relocation\s+(?:package|support|assistance|bonus|allowance|budget|help){B1}",
-    r"{B0}(?:help|support|assist)\s+(?:you\s+)?(?:with\s+)?(?:your\s+)?relocat{W}*",
-    r"{B0}(?:eu\s+)?blue\s+card{B1}",
-    r"{B0}kennismigrant{B1}",
-    r"{B0}highly\s+skilled\s+migrant{B1}",
-))
+MOVE_OFFER = "{B0}(?:" + "|".join((
+    r"(?:sponsor|sponsors|sponsoring|support|supports)\s+(?:your\s+|work\s+)?visas?{B1}",
+    r"visa\s+(?:sponsorship|support|assistance|help){B1}",
+    r"relocation\s+(?:package|support|assistance|bonus|allowance|budget|help){B1}",
+    r"(?:help|support|assist)\s+(?:you\s+)?(?:with\s+)?(?:your\s+)?relocat{W}*",
+    r"(?:eu\s+)?blue\s+card{B1}",
+    r"kennismigrant{B1}",
+    r"highly\s+skilled\s+migrant{B1}",
+)) + ")"
 NEGATION = r"{B0}(?:no|not|never|cannot|unable|without){B1}|n't{B1}|n’t{B1}"
 NEGATION_LOOKBACK = 30
 
@@ -86,35 +86,35 @@ SOFT_WORDS = (r"{B0}(?:plus|nice to have|nice-to-have|advantage|advantageous|bon
               r"preferred|preferably|ideally|not required|not necessary|no need|not needed|optional|"
               r"learn|learning|lessons|courses?|help you|support you|asset|helpful|welcome){B1}")
 WORD = r"[a-zà-ÿäöüß]+"
-CLEARANCE = "|".join((
-    r"{B0}(?:security|sc|dv|nato|government|top secret|secret)\s+clearance{B1}",
-    r"{B0}clearance\s+(?:is\s+)?required{B1}",
-    r"{B0}citizenship\s+(?:is\s+)?required{B1}",
-    r"{B0}must\s+(?:be|hold)\s+(?:an?\s+)?(?:[a-z]+\s+){0,2}(?:citizen|citizenship|national){B1}",
-    r"{B0}(?:citizens?|nationals?)\s+only{B1}",
-))
-LOCAL_ONLY = "|".join((
-    r"{B0}no\s+relocation{B1}",
-    r"{B0}relocation\s+(?:is\s+)?(?:not|cannot\s+be)\s+(?:offered|provided|available|supported|"
+CLEARANCE = "{B0}(?:" + "|".join((
+    r"(?:security|sc|dv|nato|government|top secret|secret)\s+clearance{B1}",
+    r"clearance\s+(?:is\s+)?required{B1}",
+    r"citizenship\s+(?:is\s+)?required{B1}",
+    r"must\s+(?:be|hold)\s+(?:an?\s+)?(?:[a-z]+\s+){0,2}(?:citizen|citizenship|national){B1}",
+    r"(?:citizens?|nationals?)\s+only{B1}",
+)) + ")"
+LOCAL_ONLY = "{B0}(?:" + "|".join((
+    r"no\s+relocation{B1}",
+    r"relocation\s+(?:is\s+)?(?:not|cannot\s+be)\s+(?:offered|provided|available|supported|"
     r"possible|covered){B1}",
-    r"{B0}(?:unable|not\s+able)\s+to\s+(?:offer|provide|support)\s+relocation{B1}",
-    r"{B0}local\s+(?:candidates|applicants|residents)\s+only{B1}",
-    r"{B0}only\s+(?:consider|accept|considering|accepting)\s+(?:local|eu[- ]based|in[- ]country)\s+"
+    r"(?:unable|not\s+able)\s+to\s+(?:offer|provide|support)\s+relocation{B1}",
+    r"local\s+(?:candidates|applicants|residents)\s+only{B1}",
+    r"only\s+(?:consider|accept|considering|accepting)\s+(?:local|eu[- ]based|in[- ]country)\s+"
     r"(?:candidates|applicants){B1}",
-    r"{B0}must\s+(?:already\s+|currently\s+)?(?:be\s+)?(?:based|located|living|residing|reside|live|"
+    r"must\s+(?:already\s+|currently\s+)?(?:be\s+)?(?:based|located|living|residing|reside|live|"
     r"resident)\s+in{B1}",
-    r"{B0}(?:must|need\s+to|should)\s+(?:already\s+)?(?:live|reside)\s+(?:in|within){B1}",
-))
-RELOCATION_OFFER = r"{B0}relocat|{B0}visa{B1}|{B0}sponsor"
-NO_RELOCATION = r"{B0}no\s+relocation{B1}|{B0}relocation\s+(?:is\s+)?not{B1}"
-RESIDENCY = "|".join((
-    r"{B0}(?:must|need\s+to|needs\s+to|should|required\s+to)\s+(?:already\s+|currently\s+)?(?:be\s+)?"
+    r"(?:must|need\s+to|should)\s+(?:already\s+)?(?:live|reside)\s+(?:in|within){B1}",
+)) + ")"
+RELOCATION_OFFER = r"{B0}(?:relocat|visa{B1}|sponsor)"
+NO_RELOCATION = r"{B0}(?:no\s+relocation|relocation\s+(?:is\s+)?not){B1}"
+RESIDENCY = "{B0}(?:" + "|".join((
+    r"(?:must|need\s+to|needs\s+to|should|required\s+to)\s+(?:already\s+|currently\s+)?(?:be\s+)?"
     r"(?:based|located|living|residing|reside|live|resident)\s+(?:in|within)\s+(?:the\s+)?"
     r"([a-z][a-z .&/-]{1,40})",
-    r"{B0}open\s+(?:only\s+)?to\s+(?:candidates|applicants|residents|people)\s+"
+    r"open\s+(?:only\s+)?to\s+(?:candidates|applicants|residents|people)\s+"
     r"(?:based\s+|located\s+|living\s+)?(?:in|from)\s+(?:the\s+)?([a-z][a-z .&/-]{1,40})",
-    r"{B0}([a-z][a-z ]{1,25})\s+(?:residents|based\s+candidates)\s+only{B1}",
-))
+    r"([a-z][a-z ]{1,25})\s+(?:residents|based\s+candidates)\s+only{B1}",
+)) + ")"
 NOT_A_PLACE = r"^(?:a|an|one|your|their|our){B1}"
 
 # --- fixed values: text clean-up ----------------------------------------------
@@ -132,3 +132,19 @@ HTML_ENTITIES: tuple[tuple[str, str], ...] = (
     ("&rdquo;", "”"), ("&bull;", "•"), ("&euro;", "€"), ("&pound;", "£"), ("&eacute;", "é"),
     ("&amp;", "&"),
 )
+
+# --- fixed values: necessary substrings -------------------------------------
+# Every match of the pattern contains at least one of these (lower case), so a
+# cheap ``contains`` test may veto the regex without changing any result.
+NEEDLES: dict[str, tuple[str, ...]] = {
+    REMOTE_HINT: ("remote", "work from home", "wfh", "distributed team"),
+    HYBRID_HINT: ("hybrid",),
+    HARD_RESTRICTION: ("sponsor", "work", "citizen", "national", "passport"),
+    MOVE_OFFER: ("visa", "relocat", "card", "migrant"),
+    CLEARANCE: ("clearance", "citizen", "national"),
+    LOCAL_ONLY: ("relocation", "local", "only", "based", "locat", "liv", "resid"),
+    RESIDENCY: ("based", "locat", "liv", "resid", "open"),
+    REQUIRED_WORDS: ("fluen", "native", "mother tongue", "require", "must", "mandatory", "essential",
+                     "c1", "c2", "business", "professional working", "proficien", "excellent",
+                     "verhandlungssicher", "fließend", "fliessend", "vloeiend"),
+}

@@ -54,6 +54,34 @@ def phrase(token: str) -> str:
     return "{B0}" + escape(token.lower().strip()) + "{B1}"
 
 
+def trie_alternation(words) -> str:
+    """One regex matching exactly the given literal words, shaped as a prefix trie.
+
+    ``a|an|and`` becomes ``an?(?:d)?``-like nesting, so a backtracking engine
+    dispatches on one character per level instead of trying every word at
+    every position.  The set of strings matched is the same as the flat
+    alternation.
+    """
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        branches = [escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not branches:
+            return ""
+        if len(branches) == 1:
+            return f"(?:{branches[0]})?" if end else branches[0]
+        group = "(?:" + "|".join(branches) + ")"
+        return group + "?" if end else group
+
+    return "(?:" + emit(root) + ")"
+
+
 def any_phrase(tokens) -> str | None:
     """Template matching any of the tokens as a whole phrase; None if no tokens."""
     clean = []
@@ -63,9 +91,7 @@ def any_phrase(tokens) -> str | None:
             clean.append(k)
     if not clean:
         return None
-    # Longest first, so a shorter alternative never shadows a longer one.
-    alts = "|".join(escape(t) for t in sorted(clean, key=lambda s: (-len(s), s)))
-    return "{B0}(?:" + alts + "){B1}"
+    return "{B0}" + trie_alternation(clean) + "{B1}"
 
 
 def sql_literal(text: str) -> str:

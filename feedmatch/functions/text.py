@@ -20,41 +20,62 @@ def rx(template: str) -> str:
     return P.render(template)
 
 
-def matches(col, template: str | None) -> Column:
-    """Boolean search of a rendered template; False when there is no template."""
+def contains_any(col, needles) -> Column:
+    c = _C(col)
+    out = None
+    for n in needles:
+        out = c.contains(n) if out is None else out | c.contains(n)
+    return F.lit(True) if out is None else out
+
+
+def matches(col, template: str | None, needles=None) -> Column:
+    """Boolean search of a rendered template; False when there is no template.
+
+    ``needles`` are substrings one of which every match contains; the cheap
+    ``contains`` test runs first and the regex only where it may match
+    (``And`` short-circuits).  Known templates carry their needles.
+    """
     if template is None:
         return F.lit(False)
-    return _C(col).rlike(rx(template))
+    if needles is None:
+        needles = P.NEEDLES.get(template)
+    regex = _C(col).rlike(rx(template))
+    return regex if not needles else contains_any(col, needles) & regex
+
+
+_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code point, via its UTF-32 bytes (no Python worker)."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _decode_entity(e: Column, named: Column) -> Column:
+    hexa = F.conv(F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10).cast("bigint")
+    deci = F.regexp_extract(e, r"^&#([0-9]+);$", 1).cast("bigint")
+    return (F.when(e.startswith("&#x") | e.startswith("&#X"), _code_point(hexa))
+             .when(e.startswith("&#"), _code_point(deci))
+             .otherwise(F.coalesce(F.try_element_at(named, e), e)))
 
 
 def unescape_html(col) -> Column:
-    """FN-02 on the JVM: named entities of the fixed table, then numeric ones.
+    """FN-02 on the JVM, in one left-to-right pass like ``html.unescape``.
 
-    Decimal and hex character references are decoded through a UTF-32 byte
-    string, so any code point survives without a Python worker.
+    The text is split on entity references; each reference is decoded (named
+    ones from the fixed table, decimal/hex ones to their code point) and the
+    pieces re-joined, so "&amp;lt;" correctly becomes "&lt;".  Rows without
+    "&" skip the work.
     """
     c = F.coalesce(_C(col), F.lit(""))
-    for ent, ch in P.HTML_ENTITIES[:-1]:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-
-    def _decode(code_col: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code_col), 8, "0")), "UTF-32")
-
-    c = F.aggregate(
-        F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7});"), 1),
-        c,
-        lambda acc, d: F.replace(acc, F.concat(F.lit("&#"), d, F.lit(";")),
-                                 _decode(d.cast("bigint"))),
-    )
-    c = F.aggregate(
-        F.regexp_extract_all(c, F.lit(r"&#[xX][0-9a-fA-F]{1,6};"), 0),
-        c,
-        lambda acc, e: F.replace(
-            acc, e,
-            _decode(F.conv(F.regexp_extract(e, r"([0-9a-fA-F]+);$", 1), 16, 10).cast("bigint"))),
-    )
-    amp, amp_ch = P.HTML_ENTITIES[-1]
-    return F.replace(c, F.lit(amp), F.lit(amp_ch))
+    named = F.create_map(*[F.lit(x) for pair in P.HTML_ENTITIES for x in pair])
+    pieces = F.split(c, _ENTITY, -1)
+    refs = F.regexp_extract_all(c, F.lit(_ENTITY), 0)
+    body = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.size(refs) - 1),
+        lambda i: F.concat(_decode_entity(F.get(refs, i), named), F.get(pieces, i + 1))), "")
+    decoded = F.concat(F.get(pieces, 0), body)
+    return F.when(~c.contains("&") | (F.size(refs) == 0), c).otherwise(decoded)
 
 
 def strip_html(col) -> Column:
@@ -119,13 +140,15 @@ def segments(location_l, split_pattern: str = P.LOCATION_SPLIT) -> Column:
 
 def phrase_in(col, token: str) -> Column:
     """FN-06: whole-phrase test of one literal token; blank never matches."""
-    if not token.strip():
+    t = token.lower().strip()
+    if not t:
         return F.lit(False)
-    return _C(col).rlike(rx(phrase(token)))
+    return matches(col, phrase(t), (t,))
 
 
 def any_phrase_in(col, tokens) -> Column:
-    return matches(col, any_phrase(tokens))
+    clean = tuple(dict.fromkeys(t.lower().strip() for t in tokens if t.strip()))
+    return matches(col, any_phrase(clean), clean)
 
 
 def keyword_hits(col, keywords) -> Column:

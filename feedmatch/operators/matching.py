@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from feedmatch import dims
 from feedmatch.functions import patterns as P
-from feedmatch.functions.regex import any_phrase
+from feedmatch.functions.regex import any_phrase, trie_alternation
 from feedmatch.functions.text import (any_phrase_in, fold_company, haystack, initcap_word,
                                       keyword_hits, matches, rx, segments, sentences, strip_ws)
 from feedmatch.operators.joins import skew_safe_join
+from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.prefs import Prefs
 
 
@@ -57,7 +58,7 @@ def seniority_allowed(level: Column, prefs: Prefs) -> Column:
 
 # --- evidence (FLT-08/09) ----------------------------------------------------------
 def hard_restriction(h: Column) -> Column:
-    return F.coalesce(h, F.lit("")).rlike(rx(P.HARD_RESTRICTION))
+    return matches(F.coalesce(h, F.lit("")), P.HARD_RESTRICTION)
 
 
 def offers_move(h: Column) -> Column:
@@ -80,7 +81,7 @@ def offers_move(h: Column) -> Column:
             (acc["ok"] | ~window.rlike(neg)).alias("ok"))
 
     folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), init, step)
-    return F.when(~h.rlike(move), F.lit(False)).otherwise(folded["ok"])
+    return F.when(~matches(h, P.MOVE_OFFER), F.lit(False)).otherwise(folded["ok"])
 
 
 # --- geography (FLT-12..17) -----------------------------------------------------
@@ -113,7 +114,8 @@ def remote_location_allowed(location_l: Column, segs: Column, h: Column, prefs:
     ok = F.lit(True)
     if not prefs.us_targeted():
         blob = F.substring(F.concat(location_l, F.lit(" "), h), 1, P.US_ONLY_PREFIX_CHARS)
-        ok = ok & ~location_l.rlike(rx(P.US_ONLY)) & ~blob.rlike(rx(P.US_ONLY))
+        ok = ok & ~matches(location_l, P.US_ONLY, ("only", "must", "authorized")) \
+            & ~matches(blob, P.US_ONLY, ("only", "must", "authorized"))
     for p in prefs.active_reject_locations():
         ok = ok & ~location_l.contains(p)
     accept = prefs.accept_locations()
@@ -127,30 +129,57 @@ def remote_location_allowed(location_l: Column, segs: Column, h: Column, prefs:
 
 
 # --- relocation (FLT-18..25) ------------------------------------------------------
-def posting_language(h: Column) -> Column:
-    words = F.regexp_extract_all(F.substring(h, 1, dims.LANGUAGE_WINDOW_CHARS), F.lit(P.WORD), 0)
+_LETTERS = P.WORD[:-1]
+_STOP_RX = (f"(?<!{_LETTERS})"
+            f"{trie_alternation(sorted({w for ws in dims.STOPWORDS.values() for w in ws}))}"
+            f"(?!{_LETTERS})")
+
+
+def stopwords_found(h: Column) -> Column:
+    """The function words of all languages in the first 6000 characters, in order.
+
+    A word is a maximal run of the WORD class, so guarding the trie of all
+    stopwords with that same class extracts exactly the words Python's
+    tokenizer would count, in one pass.
+    """
+    return F.regexp_extract_all(F.substring(h, 1, dims.LANGUAGE_WINDOW_CHARS), F.lit(_STOP_RX), 0)
+
+
+def language_counts(found: Column) -> Column:
+    """Per-language counts (declaration order) from ``stopwords_found``."""
     def count_of(ws):
         vocab = _arr(ws)
-        return F.size(F.filter(words, lambda w: F.array_contains(vocab, w)))
+        return F.size(F.filter(found, lambda w: F.array_contains(vocab, w)))
+    return F.array(*[count_of(ws) for ws in dims.STOPWORDS.values()])
 
-    counts = {lang: count_of(ws) for lang, ws in dims.STOPWORDS.items()}
+
+def language_of(counts: Column) -> Column:
+    """FLT-18 decision over ``language_counts``: ties go to the earlier language."""
     langs = list(dims.STOPWORDS)
-    en = counts["english"]
-    best = F.greatest(*counts.values())
-    expr = F.when(en == best, F.lit("english"))
-    for lang in langs[1:]:
-        c = counts[lang]
-        expr = expr.when(c == best, F.when((c >= dims.LANGUAGE_MIN_WORDS) & (c > en * dims.LANGUAGE_RATIO),
-                                            F.lit(lang)).otherwise(F.lit("english")))
+    c = [F.get(counts, i) for i in range(len(langs))]
+    best = F.array_max(counts)
+    expr = F.when(c[0] == best, F.lit(langs[0]))
+    for i, lang in enumerate(langs[1:], start=1):
+        expr = expr.when(c[i] == best, F.when((c[i] >= dims.LANGUAGE_MIN_WORDS)
+                                              & (c[i] > c[0] * dims.LANGUAGE_RATIO),
+                                              F.lit(lang)).otherwise(F.lit(langs[0])))
     return expr
 
 
+def posting_language(h: Column) -> Column:
+    """FLT-18 in one expression (materialise ``stopwords_found`` first when reused)."""
+    return language_of(language_counts(stopwords_found(h)))
+
+
 def required_language(h: Column, spoken) -> Column:
     candidates = [(lang, names) for lang, names in dims.LANGUAGE_NAMES.items() if lang not in spoken]
     if not candidates:
         return F.lit(None).cast("string")
     req, soft = rx(P.REQUIRED_WORDS), rx(P.SOFT_WORDS)
+    names = [n for _, ns in candidates for n in ns]
     strict = F.filter(sentences(h), lambda s: s.rlike(req) & ~s.rlike(soft))
+    # A sentence-level hit implies a hit on the whole text: gate the split.
+    gate = matches(h, P.REQUIRED_WORDS) & any_phrase_in(h, names)
 
     def lang_of(s):
         expr = None
@@ -159,7 +188,8 @@ def required_language(h: Column, spoken) -> Column:
             expr = F.when(cond, F.lit(lang)) if expr is None else expr.when(cond, F.lit(lang))
         return expr
 
-    return F.get(F.filter(F.transform(strict, lang_of), lambda x: x.isNotNull()), 0)
+    found = F.get(F.filter(F.transform(strict, lang_of), lambda x: x.isNotNull()), 0)
+    return F.when(gate, found)
 
 
 def eligible_places(regions: Column, location_l: Column) -> Column:
@@ -179,7 +209,7 @@ def residency_elsewhere(h: Column, prefs: Prefs) -> Column:
     places = F.zip_with(F.zip_with(g1, g2, lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)),
                         g3, lambda a, b: strip_ws(F.coalesce(F.nullif(a, F.lit("")), b)))
     not_place = rx(P.NOT_A_PLACE)
-    return F.exists(places, lambda p: (p != "") & ~place_includes_home(p, prefs)
+    return matches(h, P.RESIDENCY) & F.exists(places, lambda p: (p != "") & ~place_includes_home(p, prefs)
                     & ~(p.rlike(not_place) | p.contains("time")))
 
 
@@ -187,7 +217,8 @@ def local_only(h: Column) -> Column:
     sents = sentences(h)
     offer, no_reloc, local = rx(P.RELOCATION_OFFER), rx(P.NO_RELOCATION), rx(P.LOCAL_ONLY)
     offers = F.exists(sents, lambda s: s.rlike(offer) & ~s.rlike(no_reloc))
-    return ~offers & F.exists(sents, lambda s: s.rlike(local))
+    # A sentence-level hit implies a hit on the whole text: gate the split.
+    return matches(h, P.LOCAL_ONLY) & ~offers & F.exists(sents, lambda s: s.rlike(local))
 
 
 def evidence_highlight(on_register: Column, flagged: Column, visa_hits: Column) -> Column:
@@ -214,8 +245,8 @@ def assess(df_cols: dict, prefs: Prefs) -> Column:
     places = df_cols["places"]
     evidence = evidence_highlight(df_cols["on_register"], df_cols["flagged"], df_cols["visa_hits"])
     spoken = prefs.spoken()
-    written = posting_language(h)
-    needed = required_language(h, spoken)
+    written = df_cols["written_in"]
+    needed = df_cols["needed_lang"]
     open_to_home = (F.size(places) == 0) | F.exists(places, lambda p: place_includes_home(p, prefs))
     worldwide = (F.size(places) == 0) | F.forall(places, lambda p: _in_list(p, dims.OPEN_EVERYWHERE))
     remote_hl = F.when(worldwide, F.lit(dims.HL_WORLDWIDE)).otherwise(F.lit("Open to " + home.title()))
@@ -224,7 +255,7 @@ def assess(df_cols: dict, prefs: Prefs) -> Column:
     expr = F.when(~_in_list(written, spoken),
                   out(F.concat(F.lit("posting written in "), initcap_word(written)), ""))
     expr = expr.when(needed.isNotNull(), out(F.concat(F.lit("requires "), initcap_word(needed)), ""))
-    expr = expr.when(h.rlike(rx(P.CLEARANCE)), out("citizenship or security clearance required", ""))
+    expr = expr.when(matches(h, P.CLEARANCE), out("citizenship or security clearance required", ""))
     expr = expr.when(r_ok & open_to_home & ~residency_elsewhere(h, prefs), out(None, remote_hl))
     if not prefs.candidate_needs_visa:
         return expr.otherwise(out(None, evidence))
@@ -267,83 +298,98 @@ def match(postings: DataFrame, prefs: Prefs, now: datetime,
     Output = input columns + haystack-derived flags, ``seniority``,
     ``reject_reason``, ``reloc_reason``, ``highlight``, ``score``, ``reasons``,
     ``sponsorship``, ``sponsorship_reason``, ``company_norm``, ``on_register``.
+    Columns are added in a few staged projections: each stage only reads
+    columns materialised by an earlier one, so no text rule is evaluated twice.
     """
-    df = postings.withColumn("company_norm", fold_company(F.col("company")))
+    key = ["ord"] if "ord" in postings.columns else []
+    df = ensure_parallelism(postings, *key).withColumn("company_norm", fold_company(F.col("company")))
     if register is not None:
         flagged = register.select("company_norm").withColumn("on_register", F.lit(True))
         df = skew_safe_join(df, flagged, ["company_norm"], "left", salt_by=F.col("ord"))
-        df = df.withColumn("on_register", F.coalesce(F.col("on_register"), F.lit(False)) &
-                           (F.col("company_norm") != ""))
+        on_register = F.coalesce(F.col("on_register"), F.lit(False)) & (F.col("company_norm") != "")
     else:
-        df = df.withColumn("on_register", F.lit(False))
+        on_register = F.lit(False)
 
     # Stage 1: text built once and reused by every rule below.
-    df = (df.withColumn("haystack", haystack())
-            .withColumn("title_l", F.lower(F.coalesce(F.col("title"), F.lit(""))))
-            .withColumn("location_l", F.lower(F.coalesce(F.col("location"), F.lit(""))))
-            .withColumn("segments", segments(F.col("location_l"))))
-    h, title_l, loc_l, segs = F.col("haystack"), F.col("title_l"), F.col("location_l"), F.col("segments")
+    df = df.withColumns({
+        "on_register": on_register,
+        "haystack": haystack(),
+        "title_l": F.lower(F.coalesce(F.col("title"), F.lit(""))),
+        "location_l": F.lower(F.coalesce(F.col("location"), F.lit(""))),
+    })
+    h, title_l, loc_l = F.col("haystack"), F.col("title_l"), F.col("location_l")
+    flagged_src = F.coalesce(F.col("visa_sponsorship"), F.lit(False))
 
-    # Stage 2: funnel flags (cheap first).
+    # Stage 2: evidence and mode flags.
+    df = df.withColumns({
+        "segments": segments(loc_l),
+        "seniority": seniority(F.col("title")),
+        "include_hits": keyword_hits(h, prefs.include_keywords),
+        "restricted": hard_restriction(h),
+        "is_remote": (F.coalesce(F.col("remote"), F.lit(False)) | matches(loc_l, P.REMOTE_HINT)
+                      | matches(h, P.REMOTE_HINT)),
+        "is_hybrid": matches(h, P.HYBRID_HINT),
+    })
+    segs, restricted, is_remote = F.col("segments"), F.col("restricted"), F.col("is_remote")
+    df = df.withColumns({
+        "visa_hits": F.when(restricted, F.array().cast("array<string>"))
+                      .otherwise(keyword_hits(h, prefs.visa_keywords)),
+        "geo_ok": geo_matches(loc_l, segs, prefs),
+        "remote_ok": (is_remote & remote_location_allowed(loc_l, segs, h, prefs))
+                     if prefs.accept_remote else F.lit(False),
+    })
+    geo, r_ok = F.col("geo_ok"), F.col("remote_ok")
+    h_ok = F.col("is_hybrid") & F.lit(prefs.accept_hybrid) & geo
+    onsite_geo = F.lit(prefs.accept_onsite) & geo
+    df = df.withColumns({
+        "offers_move": offers_move(h),
+        "hybrid_ok": h_ok,
+        "onsite_ok": onsite_geo & ~h_ok & (~is_remote | ~r_ok),
+    })
+    df = df.withColumn("sponsorship_likely", ~restricted & (
+        flagged_src | F.col("on_register") | (F.size("visa_hits") > 0) | F.col("offers_move")))
+
+    # Stage 3: the funnel up to work mode (cheap first, first failure wins).
     if prefs.max_age_days > 0:
         cutoff = ts_lit(now - timedelta(days=prefs.max_age_days))
         too_old = F.col("posted_at").isNotNull() & (F.col("posted_at") < cutoff)
     else:
         too_old = F.lit(False)
-    excluded = any_phrase_in(h, prefs.exclude_keywords)
     title_bad = any_phrase_in(title_l, prefs.title_exclude)
     if prefs.title_include:
         title_bad = title_bad | ~any_phrase_in(title_l, prefs.title_include)
-    df = (df.withColumn("seniority", seniority(F.col("title")))
-            .withColumn("include_hits", keyword_hits(h, prefs.include_keywords))
-            .withColumn("restricted", hard_restriction(h)))
-    restricted = F.col("restricted")
-    df = df.withColumn("visa_hits", F.when(restricted, F.array().cast("array<string>"))
-                       .otherwise(keyword_hits(h, prefs.visa_keywords)))
-    flagged_src = F.coalesce(F.col("visa_sponsorship"), F.lit(False))
-    likely = ~restricted & (flagged_src | F.col("on_register") | (F.size("visa_hits") > 0)
-                            | offers_move(h))
-    df = df.withColumn("sponsorship_likely", likely)
-    remote = (F.coalesce(F.col("remote"), F.lit(False)) | loc_l.rlike(rx(P.REMOTE_HINT))
-              | h.rlike(rx(P.REMOTE_HINT)))
-    df = (df.withColumn("is_remote", remote)
-            .withColumn("is_hybrid", h.rlike(rx(P.HYBRID_HINT)))
-            .withColumn("geo_ok", geo_matches(loc_l, segs, prefs)))
-    is_remote, geo = F.col("is_remote"), F.col("geo_ok")
-    if prefs.accept_remote:
-        r_ok = is_remote & remote_location_allowed(loc_l, segs, h, prefs)
-    else:
-        r_ok = F.lit(False)
-    df = df.withColumn("remote_ok", r_ok)
-    r_ok = F.col("remote_ok")
-    h_ok = F.col("is_hybrid") & F.lit(prefs.accept_hybrid) & geo
-    onsite_geo = F.lit(prefs.accept_onsite) & geo
-    df = (df.withColumn("hybrid_ok", h_ok)
-            .withColumn("onsite_ok", onsite_geo & ~h_ok & (~is_remote | ~r_ok)))
-    mode_ok = r_ok | F.col("hybrid_ok") | onsite_geo
-    location_bad = ~mode_ok
+    location_bad = ~(r_ok | F.col("hybrid_ok") | onsite_geo)
     if prefs.remote_only:
         location_bad = ~is_remote | location_bad
-
     pre = (F.when(too_old, F.lit("too_old"))
-           .when(excluded, F.lit("excluded_keyword"))
+           .when(any_phrase_in(h, prefs.exclude_keywords), F.lit("excluded_keyword"))
            .when(title_bad, F.lit("rejected_title"))
            .when(~seniority_allowed(F.col("seniority"), prefs), F.lit("rejected_seniority"))
            .when(F.lit(bool(prefs.include_keywords)) & (F.size("include_hits") == 0), F.lit("no_keyword"))
            .when(F.lit(prefs.visa_require) & ~F.col("sponsorship_likely"), F.lit("rejected_visa"))
            .when(location_bad, F.lit("rejected_location")))
-    df = df.withColumn("pre_reason", pre)
-
-    # Stage 3: relocation only for rows that passed everything else.
-    df = df.withColumn("places", eligible_places(F.col("extra.eligible_regions"), loc_l))
+    df = df.withColumns({"pre_reason": pre,
+                         "places": eligible_places(F.col("extra.eligible_regions"), loc_l)})
+
+    # Stage 4: relocation, only for rows that passed everything else.
+    survivor = F.col("pre_reason").isNull()
+    if prefs.home():
+        df = df.withColumns({"_stop": F.when(survivor, stopwords_found(h)),
+                             "needed_lang": F.when(survivor, required_language(h, prefs.spoken()))})
+        df = df.withColumn("_lang_counts", language_counts(F.col("_stop")))
+        df = df.withColumn("written_in", language_of(F.col("_lang_counts")))
+    else:
+        df = df.withColumns({"written_in": F.lit("english"),
+                             "needed_lang": F.lit(None).cast("string")})
     cols = {"haystack": h, "remote_ok": r_ok, "sponsorship_likely": F.col("sponsorship_likely"),
             "restricted": restricted, "places": F.col("places"), "on_register": F.col("on_register"),
-            "flagged": flagged_src, "visa_hits": F.col("visa_hits")}
-    df = df.withColumn("eligibility", F.when(F.col("pre_reason").isNull(), assess(cols, prefs)))
+            "flagged": flagged_src, "visa_hits": F.col("visa_hits"),
+            "written_in": F.col("written_in"), "needed_lang": F.col("needed_lang")}
+    df = df.withColumn("eligibility", F.when(survivor, assess(cols, prefs)))
     df = df.withColumn("reject_reason", F.coalesce(
         F.col("pre_reason"), F.when(F.col("eligibility.reason").isNotNull(), F.lit("rejected_relocation"))))
 
-    # Stage 4: score and reasons (meaningful for matches only).
+    # Stage 5: score and reasons (matches only).
     title_hits = keyword_hits(title_l, prefs.include_keywords)
     score = (F.lit(prefs.weight("title_hit")) * _capped(F.size(title_hits), prefs.cap("title_hit"))
              + F.lit(prefs.weight("keyword_hit")) * _capped(F.size("include_hits"), prefs.cap("keyword_hit"))
@@ -365,11 +411,20 @@ def match(postings: DataFrame, prefs: Prefs, now: datetime,
         F.when(F.col("on_register"), F.lit("visa:sponsor-register")),
         visa_reason))
     matched = F.col("reject_reason").isNull()
-    return (df.withColumn("score", F.when(matched, score.cast("int")))
-              .withColumn("reasons", F.when(matched, reasons))
-              .withColumn("reloc_reason", F.col("eligibility.reason"))
-              .withColumn("highlight", F.when(matched, F.col("eligibility.highlight")))
-              .withColumn("sponsorship", F.when(matched & restricted, F.lit("no")))
-              .withColumn("sponsorship_reason",
-                          F.when(matched & restricted, F.lit(dims.RESTRICTED_REASON)))
-              .drop("eligibility", "pre_reason"))
+    return (df.withColumns({
+                "score": F.when(matched, score.cast("int")),
+                "reasons": F.when(matched, reasons),
+                "reloc_reason": F.col("eligibility.reason"),
+                "highlight": F.when(matched, F.col("eligibility.highlight")),
+                "sponsorship": F.when(matched & restricted, F.lit("no")),
+                "sponsorship_reason": F.when(matched & restricted, F.lit(dims.RESTRICTED_REASON)),
+            })
+            .drop("eligibility", "pre_reason", "_stop", "_lang_counts"))
+
+
+HEAVY_COLUMNS = ("description", "haystack", "segments", "places", "written_in", "needed_lang")
+
+
+def narrow(matched: DataFrame) -> DataFrame:
+    """The annotated postings without the text-sized columns (for materialising)."""
+    return matched.drop(*[c for c in HEAVY_COLUMNS if c in matched.columns])

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url, strip_html)
 from feedmatch.operators import matching as M
+from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx
 from feedmatch.prefs import FIXTURE_NOW, FIXTURE_PREFS
-from feedmatch.session import table
+from feedmatch.session import cut_lineage, table
 
 # Keywords searched in the raw documents (keyword_hits): frequent function
 # words of the four languages plus the profile's own keywords.
@@ -25,10 +26,33 @@ def _job_key() -> F.Column:
     return F.concat(F.col("source"), F.lit(":"), F.col("source_id"))
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Reuse a built DataFrame *plan* (not its data) per session and input folder.
+
+    Building the funnel's expression tree costs seconds of driver time; the
+    rows are still recomputed by every action.
+    """
+    key = (id(spark), sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def matched_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """postings_fx annotated by the funnel with the fixture profile and register."""
-    register = M.register_names(register_lines_fx(spark, sf_dir))
-    return M.match(postings_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, register)
+    """postings_fx annotated by the funnel, materialised narrow (no text columns).
+
+    The annotated frame is checkpointed to the shared checkpoint folder: it
+    cuts lineage (a lost executor does not re-run the text rules) and stops
+    the optimizer from inlining the whole rule tree into later filters.
+    """
+    def build():
+        register = M.register_names(register_lines_fx(spark, sf_dir))
+        m = M.match(postings_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, register)
+        return M.narrow(m)
+    return cut_lineage(_memo(spark, sf_dir, "matched", build))
 
 
 # --- funnel and classifiers --------------------------------------------------------
@@ -57,7 +81,7 @@ def hard_restriction(spark, sf_dir):
 
 def move_offer(spark, sf_dir):
     m = matched_fx(spark, sf_dir)
-    return m.select("ord", M.offers_move(F.col("haystack")).alias("offers_move"))
+    return m.select("ord", "offers_move")
 
 
 def remote_eligibility(spark, sf_dir):
@@ -81,14 +105,14 @@ def scored_matches(spark, sf_dir):
 
 
 def keyword_hits_q(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", F.array_join(keyword_hits(F.lower(F.col("text")), DOC_KEYWORDS), ",")
                     .alias("hits"))
 
 
 # --- text functions over pages / documents ------------------------------------------
 def html_to_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = ensure_parallelism(table(spark, sf_dir, "pages"), "page_id")
     return pages.select("page_id", strip_html(F.col("html")).alias("text"))
 
 
@@ -99,7 +123,7 @@ def url_normalize_dups(spark, sf_dir):
 
 
 def posting_language_confusion(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
     h = F.lower(strip_html(F.col("text")))
     return (d.select(F.col("lang"), M.posting_language(h).alias("detected"))
              .groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n")))

@@ -19,6 +19,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Local mode runs executors inside the driver JVM.
+    "spark.driver.memory": "16g",
 }
 
 
@@ -64,12 +66,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the driver's parquet tables as temp views of the same names."""
+    """Register the driver's parquet tables as temp views of the same names.
+
+    A view is (re)registered only when it is missing or points at another
+    directory, so repeated calls cost no file listing.
+    """
     for name in names:
+        key = (id(spark), name)
+        if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
+            continue
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path):
             spark.read.parquet(path).createOrReplaceTempView(name)
+            _REGISTERED[key] = sf_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

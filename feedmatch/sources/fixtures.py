@@ -73,40 +73,51 @@ SELECT
   d.doc_id * 10 AS ord,
   d.doc_id AS doc_id
 FROM documents d
-LEFT JOIN part p ON p.p_partkey = d.doc_id % 40
-LEFT JOIN customer c ON c.c_custkey = d.doc_id % 100
+LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_partkey < 40) p
+  ON p.p_partkey = d.doc_id % 40
+LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey < 100) c
+  ON c.c_custkey = d.doc_id % 100
 LEFT JOIN orders o ON o.o_orderkey = d.doc_id
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 
+# Repost variants by doc_id % 17; every residue keeps its original row.
+VARIANTS = tuple((r, "orig") for r in range(17)) + (
+    (3, "url"), (5, "fp"), (7, "chain_b"), (7, "chain_c"), (9, "key"))
+
+
 def postings_sql(engine: str = SPARK) -> str:
-    """``postings_fx``: base rows plus the reposts that drive dedupe."""
-    base = _base_sql(engine)
-    cols = ("source, source_id, title, company, url, location, description, tags, remote, "
-            "posted_at, salary, job_type, visa_sponsorship, ord, doc_id")
-    rest = ("description, tags, remote, posted_at, salary, job_type, visa_sponsorship")
+    """``postings_fx``: base rows plus the reposts that drive dedupe.
+
+    One scan of the base rows, equi-joined on ``doc_id % 17`` to a 22-row
+    literal table of variants (broadcast), instead of one scan per variant.
+    """
+    values = ", ".join(f"({r}, {sql_literal(k)})" for r, k in VARIANTS)
+    vtab = f"(VALUES {values}) AS v(residue, kind)"
+    did = "CAST(b.doc_id AS STRING)"
     return f"""
-WITH base AS ({base})
-SELECT {cols} FROM base
-UNION ALL
-SELECT 'agg', 'b' || CAST(doc_id AS STRING), title || ' (m/f)', company, url || '?utm=1', location,
-       {rest}, ord + 1, doc_id FROM base WHERE doc_id % 17 = 3
-UNION ALL
-SELECT 'agg', 'b' || CAST(doc_id AS STRING), title, company,
-       'https://agg.example.com/b/' || CAST(doc_id AS STRING), location,
-       {rest}, ord + 1, doc_id FROM base WHERE doc_id % 17 = 5
-UNION ALL
-SELECT 'agg', 'b' || CAST(doc_id AS STRING), title || ' x', company, url || '/', location,
-       {rest}, ord + 1, doc_id FROM base WHERE doc_id % 17 = 7
-UNION ALL
-SELECT 'agg', 'c' || CAST(doc_id AS STRING), title || ' x', company,
-       'https://agg.example.com/c/' || CAST(doc_id AS STRING), location,
-       {rest}, ord + 2, doc_id FROM base WHERE doc_id % 17 = 7
-UNION ALL
-SELECT source, source_id, title || ' (repost)', company,
-       'https://agg.example.com/k/' || CAST(doc_id AS STRING), location,
-       {rest}, ord + 1, doc_id FROM base WHERE doc_id % 17 = 9
+WITH base AS ({_base_sql(engine)})
+SELECT
+  CASE WHEN v.kind IN ('orig', 'key') THEN b.source ELSE 'agg' END AS source,
+  CASE WHEN v.kind IN ('orig', 'key') THEN b.source_id
+       WHEN v.kind = 'chain_c' THEN 'c' || {did} ELSE 'b' || {did} END AS source_id,
+  CASE v.kind WHEN 'url' THEN b.title || ' (m/f)' WHEN 'chain_b' THEN b.title || ' x'
+       WHEN 'chain_c' THEN b.title || ' x' WHEN 'key' THEN b.title || ' (repost)'
+       ELSE b.title END AS title,
+  b.company AS company,
+  CASE v.kind WHEN 'url' THEN b.url || '?utm=1'
+       WHEN 'fp' THEN 'https://agg.example.com/b/' || {did}
+       WHEN 'chain_b' THEN b.url || '/'
+       WHEN 'chain_c' THEN 'https://agg.example.com/c/' || {did}
+       WHEN 'key' THEN 'https://agg.example.com/k/' || {did}
+       ELSE b.url END AS url,
+  b.location AS location, b.description AS description, b.tags AS tags, b.remote AS remote,
+  b.posted_at AS posted_at, b.salary AS salary, b.job_type AS job_type,
+  b.visa_sponsorship AS visa_sponsorship,
+  b.ord + CASE v.kind WHEN 'orig' THEN 0 WHEN 'chain_c' THEN 2 ELSE 1 END AS ord,
+  b.doc_id AS doc_id
+FROM base b JOIN {vtab} ON v.residue = b.doc_id % 17
 """
 
 
