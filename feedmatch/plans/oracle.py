@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from feedmatch.plans import oracle_sql as O
 from feedmatch.plans.queries import DOC_KEYWORDS
+from feedmatch.functions.regex import DUCKDB
 from feedmatch.prefs import FIXTURE_NOW, FIXTURE_PREFS
+from feedmatch.sources import fixtures as fx
 
 
 def _matched() -> str:
@@ -72,6 +74,27 @@ def posting_language_confusion() -> str:
             f"SELECT lang, {O.language_case()} AS detected, count(*) AS n FROM c GROUP BY 1, 2")
 
 
+def place_key_bucket() -> str:
+    pk = O.place_key("location", "remote IS TRUE")
+    loc = "lower(coalesce(location, ''))"
+    return (f"WITH {O.postings_cte()}\n"
+            f"SELECT ord, location, {O.country_bucket(loc, O.segments(loc), 'remote IS TRUE')} AS bucket, "
+            f"{pk} AS place_key, {O.fingerprint('company', 'title', pk)} AS fingerprint FROM postings")
+
+
+def _seen_ctes() -> str:
+    return (f"seen_raw AS ({fx.seen_sql(DUCKDB)}),\n"
+            f"s AS (SELECT *, {O.identity_cols()} FROM seen_raw),\n"
+            f"si AS (SELECT DISTINCT kind, value FROM ({O.identities_sql('s', '0')}))")
+
+
+def seen_antijoin() -> str:
+    return (f"WITH {O.postings_cte()},\n p AS (SELECT *, {O.identity_cols()} FROM postings),\n"
+            f"{_seen_ctes()},\n pi AS ({O.identities_sql('p')})\n"
+            f"SELECT ord, job_key FROM p WHERE ord NOT IN "
+            f"(SELECT pi.id FROM pi JOIN si ON pi.kind = si.kind AND pi.value = si.value)")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -85,4 +108,6 @@ ORACLE = {
     "html_to_text": html_to_text,
     "url_normalize_dups": url_normalize_dups,
     "posting_language_confusion": posting_language_confusion,
+    "place_key_bucket": place_key_bucket,
+    "seen_antijoin": seen_antijoin,
 }

@@ -360,3 +360,50 @@ m AS (SELECT *,
 
 def postings_cte() -> str:
     return f"postings AS ({fx.postings_sql(DUCKDB)})"
+
+
+def country_bucket(loc: str, segs: str, remote: str) -> str:
+    parts = []
+    for country, aliases in dims.COUNTRY_ALIASES.items():
+        if country in dims.GENERIC_BUCKETS:
+            continue
+        short = [a for a in aliases if len(a) <= 2]
+        long_ = [a for a in aliases if len(a) > 2]
+        cond = []
+        if short:
+            cond.append(f"list_has_any({segs}, {arr(short)})")
+        if long_:
+            cond.append(rm(loc, any_phrase(long_)))
+        parts.append(f"WHEN {' OR '.join(cond)} THEN {lit(dims.country_label(country))}")
+    europe = [a for a in dict.fromkeys(dims.COUNTRY_ALIASES["europe"] + dims.COUNTRY_ALIASES["eu"])
+              if len(a) > 2]
+    parts.append(f"WHEN {rm(loc, any_phrase(europe))} THEN 'Europe'")
+    parts.append(f"WHEN coalesce({remote}, FALSE) THEN 'Remote'")
+    return "(CASE " + " ".join(parts) + " ELSE 'Other' END)"
+
+
+def place_key(location: str, remote: str) -> str:
+    loc = f"lower(coalesce({location}, ''))"
+    segs = segments(loc)
+    named = (f"list_filter({segs}, lambda s: NOT {in_list('s', dims.COUNTRY_NAME_TOKENS)} "
+             f"AND NOT {in_list('s', dims.WORK_MODE_WORDS)})")
+    return (f"(CASE WHEN len({named}) > 0 THEN array_to_string(list_sort({named}), ' ') "
+            f"ELSE {country_bucket(loc, segs, remote)} END)")
+
+
+def fingerprint(company: str, title: str, place: str) -> str:
+    fc, ft = fold_identity(company), fold_identity(title)
+    seed = f"concat_ws('|', {fc}, {ft}, {fold_identity(place)})"
+    return f"(CASE WHEN {fc} <> '' AND {ft} <> '' THEN substr(sha256({seed}), 1, 32) END)"
+
+
+def identity_cols() -> str:
+    """job_key, url_norm, fingerprint over a relation with the raw posting columns."""
+    return (f"source || ':' || source_id AS job_key, {normalize_url('url')} AS url_norm, "
+            f"{fingerprint('company', 'title', place_key('location', 'remote IS TRUE'))} AS fingerprint")
+
+
+def identities_sql(rel: str, id_col: str = "ord") -> str:
+    return (f"SELECT {id_col} AS id, 'key' AS kind, job_key AS value FROM {rel} "
+            f"UNION ALL SELECT {id_col}, 'url', url_norm FROM {rel} WHERE url_norm IS NOT NULL AND url_norm <> '' "
+            f"UNION ALL SELECT {id_col}, 'fp', fingerprint FROM {rel} WHERE fingerprint IS NOT NULL")

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url, strip_html)
+from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url, segments,
+                                      strip_html)
+from feedmatch.operators import dedupe as D
+from feedmatch.operators import digest as G
 from feedmatch.operators import matching as M
 from feedmatch.operators.partitioning import ensure_parallelism
-from feedmatch.plans.inputs import postings_fx, register_lines_fx
+from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
 from feedmatch.prefs import FIXTURE_NOW, FIXTURE_PREFS
 from feedmatch.session import cut_lineage, table
 
@@ -129,6 +132,51 @@ def posting_language_confusion(spark, sf_dir):
              .groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n")))
 
 
+# --- identities, seen history and dedupe ---------------------------------------------
+def seen_fx(spark, sf_dir):
+    return D.with_identities(seen_raw_fx(spark, sf_dir))
+
+
+def place_key_bucket(spark, sf_dir):
+    p = postings_fx(spark, sf_dir)
+    loc_l = F.lower(F.coalesce(F.col("location"), F.lit("")))
+    remote = F.col("remote") == F.lit(True)
+    pk = D.place_key(F.col("location"), remote)
+    return p.select("ord", "location",
+                    D.country_bucket(loc_l, segments(loc_l), remote).alias("bucket"),
+                    pk.alias("place_key"),
+                    D.fingerprint(F.col("company"), F.col("title"), pk).alias("fingerprint"))
+
+
+def seen_antijoin(spark, sf_dir):
+    p = D.with_identities(postings_fx(spark, sf_dir))
+    return D.anti_seen(p, seen_fx(spark, sf_dir)).select("ord", "job_key")
+
+
+def greedy_dedupe_q(spark, sf_dir):
+    p = D.with_identities(postings_fx(spark, sf_dir)).select("ord", "job_key", "url_norm", "fingerprint")
+    return D.greedy_dedupe(p, F.struct(F.col("ord")), "ord").select("ord", "job_key")
+
+
+def digest_rank() -> F.Column:
+    """SRT-01: score descending, lower(title), then fetch order (total order)."""
+    return F.struct((-F.col("score")).alias("neg_score"), F.lower(F.col("title")).alias("title_l"),
+                    F.col("ord").alias("ord"))
+
+
+def fresh_matches(spark, sf_dir):
+    """Matches minus seen history, deduplicated best-first (JN-02 + WIN-01)."""
+    m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
+    fresh = D.anti_seen(m, seen_fx(spark, sf_dir))
+    return D.greedy_dedupe(fresh, digest_rank(), "ord")
+
+
+def digest_topn_backlog(spark, sf_dir):
+    fresh = cut_lineage(fresh_matches(spark, sf_dir))
+    top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
+    return top.select("position", "job_key", "score", "title", F.lit(backlog).alias("backlog"))
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -142,4 +190,8 @@ QUERIES = {
     "html_to_text": html_to_text,
     "url_normalize_dups": url_normalize_dups,
     "posting_language_confusion": posting_language_confusion,
+    "place_key_bucket": place_key_bucket,
+    "seen_antijoin": seen_antijoin,
+    "greedy_dedupe": greedy_dedupe_q,
+    "digest_topn_backlog": digest_topn_backlog,
 }
