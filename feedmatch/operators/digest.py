@@ -25,3 +25,32 @@ def top_n(rows: DataFrame, cap: int, rank: Column, limit: int | None = None) ->
     top = ranked.orderBy("_rank").limit(cap)
     top = top.withColumn("position", F.row_number().over(Window.orderBy("_rank"))).drop("_rank")
     return top, max(0, total - cap)
+
+
+def byte_budget(blocks: DataFrame, group: str, order: str, block_col: str, budget: int,
+                head_bytes: int, tail_bytes: int) -> DataFrame:
+    """WIN-04: per group, keep blocks in order while header + kept blocks + the
+    "…and N more not shown." line the next cut would need + tail fit ``budget``
+    bytes; the first overflow stops the group.  Returns one row per group:
+    ``kept``, ``dropped``, ``body_bytes``."""
+    w = Window.partitionBy(group).orderBy(order)
+    more = lambda n: F.when(n > 0, F.octet_length(
+        F.concat(F.lit("…and "), n.cast("string"), F.lit(" more not shown.\n")))).otherwise(F.lit(0))
+    b = (blocks.withColumn("_bytes", F.octet_length(F.col(block_col)))
+               .withColumn("_cum", F.sum("_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn("_i", F.row_number().over(w))
+               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group))))
+    b = b.withColumn("_fits", F.lit(head_bytes) + F.col("_cum") + more(F.col("_n") - F.col("_i"))
+                     + F.lit(tail_bytes) <= F.lit(budget))
+    b = b.withColumn("_first_over", F.min(F.when(~F.col("_fits"), F.col("_i")))
+                     .over(Window.partitionBy(group)))
+    in_prefix = F.col("_first_over").isNull() | (F.col("_i") < F.col("_first_over"))
+    per = b.groupBy(group).agg(
+        F.max("_n").alias("n"),
+        F.count(F.when(in_prefix, F.lit(1))).alias("kept"),
+        F.coalesce(F.sum(F.when(in_prefix, F.col("_bytes"))), F.lit(0)).alias("kept_bytes"))
+    dropped = F.col("n") - F.col("kept")
+    return per.select(group, F.col("kept").cast("bigint").alias("kept"),
+                      dropped.cast("bigint").alias("dropped"),
+                      (F.lit(head_bytes) + F.col("kept_bytes") + more(dropped) + F.lit(tail_bytes))
+                      .cast("bigint").alias("body_bytes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedmatch import dims
 from feedmatch.plans import oracle_sql as O
 from feedmatch.plans.queries import DOC_KEYWORDS
 from feedmatch.functions.regex import DUCKDB
@@ -95,6 +96,53 @@ def seen_antijoin() -> str:
             f"(SELECT pi.id FROM pi JOIN si ON pi.kind = si.kind AND pi.value = si.value)")
 
 
+def relative_age() -> str:
+    sec = f"(epoch({O.ts(FIXTURE_NOW)}) - epoch(o_orderdate))"
+    hours = f"CAST(floor({sec} / 3600) AS BIGINT)"
+    return (f"SELECT o_orderkey, CASE WHEN o_orderdate IS NULL THEN '' WHEN {sec} < 3600 THEN 'just now' "
+            f"WHEN {hours} < 24 THEN CAST({hours} AS VARCHAR) || 'h ago' "
+            f"ELSE CAST(CAST(floor({hours} / 24) AS BIGINT) AS VARCHAR) || 'd ago' END AS age FROM orders")
+
+
+def salary_text() -> str:
+    k = "p_partkey"
+    inputs = (f"SELECT {k}, CASE {k} % 5 WHEN 1 THEN p_retailprice * 100 WHEN 2 THEN p_retailprice * 100 "
+              f"WHEN 3 THEN 0.5 WHEN 4 THEN -5.0 END AS low, "
+              f"CASE {k} % 4 WHEN 0 THEN p_retailprice * 130 WHEN 2 THEN p_retailprice * 100 "
+              f"WHEN 3 THEN p_size * 1000.0 END AS high, "
+              f"CASE {k} % 3 WHEN 0 THEN ' usd ' WHEN 1 THEN '' END AS currency, "
+              f"CASE {k} % 6 WHEN 0 THEN 'Yearly' WHEN 1 THEN 'monthly' WHEN 2 THEN ' hourly ' "
+              f"WHEN 3 THEN 'annual' WHEN 4 THEN 'weekly' END AS period FROM part")
+    amt = lambda v: f"nullif(CASE WHEN {v} > 0 THEN CAST(floor({v}) AS BIGINT) END, 0)"
+    units = " ".join(f"WHEN {O.lit(a)} THEN {O.lit(b)}" for a, b in dims.SALARY_UNITS.items())
+    return (f"WITH s AS ({inputs}), a AS (SELECT {k}, {amt('low')} AS lo, {amt('high')} AS hi, "
+            f"upper(coalesce(trim(currency), '')) AS code, "
+            f"CASE lower(trim(coalesce(period, ''))) {units} END AS unit FROM s), "
+            f"t AS (SELECT {k}, lo, hi, unit, trim(code || ' ' || CASE WHEN lo IS NOT NULL AND hi IS NOT NULL "
+            f"AND lo <> hi THEN format('{{:,}}', lo) || '–' || format('{{:,}}', hi) "
+            f"ELSE format('{{:,}}', coalesce(lo, hi)) END) AS txt FROM a) "
+            f"SELECT {k}, CASE WHEN lo IS NULL AND hi IS NULL THEN NULL WHEN unit IS NOT NULL "
+            f"THEN txt || ' / ' || unit ELSE txt END AS salary FROM t")
+
+
+def byte_budget_prefix() -> str:
+    from feedmatch.plans.queries import DIGEST_BUDGET, DIGEST_HEAD, DIGEST_TAIL
+    hb, tb = len(DIGEST_HEAD.encode()), len(DIGEST_TAIL.encode())
+    more = lambda n: (f"CASE WHEN {n} > 0 THEN strlen('…and ' || CAST({n} AS VARCHAR) || "
+                      f"' more not shown.' || chr(10)) ELSE 0 END")
+    return (f"WITH b AS (SELECT conv_id, turn, strlen(role || ': ' || text || chr(10)) AS bytes FROM conversations), "
+            f"c AS (SELECT *, sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS cum, "
+            f"row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, "
+            f"count(*) OVER (PARTITION BY conv_id) AS n FROM b), "
+            f"f AS (SELECT *, ({hb} + cum + {more('n - i')} + {tb}) <= {DIGEST_BUDGET} AS fits FROM c), "
+            f"g AS (SELECT *, min(CASE WHEN NOT fits THEN i END) OVER (PARTITION BY conv_id) AS first_over FROM f), "
+            f"h AS (SELECT conv_id, max(n) AS n, count(*) FILTER (WHERE first_over IS NULL OR i < first_over) AS kept, "
+            f"coalesce(sum(bytes) FILTER (WHERE first_over IS NULL OR i < first_over), 0) AS kept_bytes "
+            f"FROM g GROUP BY conv_id) "
+            f"SELECT conv_id, CAST(kept AS BIGINT) AS kept, CAST(n - kept AS BIGINT) AS dropped, "
+            f"CAST({hb} + kept_bytes + {more('n - kept')} + {tb} AS BIGINT) AS body_bytes FROM h")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -110,4 +158,7 @@ ORACLE = {
     "posting_language_confusion": posting_language_confusion,
     "place_key_bucket": place_key_bucket,
     "seen_antijoin": seen_antijoin,
+    "relative_age": relative_age,
+    "salary_text": salary_text,
+    "byte_budget_prefix": byte_budget_prefix,
 }

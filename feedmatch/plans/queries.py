@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url, segments,
                                       strip_html)
+from feedmatch.functions.dates import relative_age
+from feedmatch.functions.salary import format_salary
 from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
 from feedmatch.operators import matching as M
@@ -177,6 +179,47 @@ def digest_topn_backlog(spark, sf_dir):
     return top.select("position", "job_key", "score", "title", F.lit(backlog).alias("backlog"))
 
 
+# --- dates, salary, byte budget -------------------------------------------------------
+def relative_age_q(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", relative_age(F.col("o_orderdate"), FIXTURE_NOW).alias("age"))
+
+
+def salary_inputs(df: DataFrame) -> DataFrame:
+    """Bounds, currency and period derived from part numerics (every shape of FN-13 input)."""
+    k = F.col("p_partkey")
+    price = F.col("p_retailprice")
+    return df.select(
+        k,
+        F.when(k % 5 == 1, price * 100).when(k % 5 == 2, price * 100).when(k % 5 == 3, F.lit(0.5))
+         .when(k % 5 == 4, F.lit(-5.0)).alias("low"),
+        F.when(k % 4 == 0, price * 130).when(k % 4 == 2, price * 100)
+         .when(k % 4 == 3, F.col("p_size") * 1000.0).alias("high"),
+        F.when(k % 3 == 0, F.lit(" usd ")).when(k % 3 == 1, F.lit("")).alias("currency"),
+        F.when(k % 6 == 0, F.lit("Yearly")).when(k % 6 == 1, F.lit("monthly"))
+         .when(k % 6 == 2, F.lit(" hourly ")).when(k % 6 == 3, F.lit("annual"))
+         .when(k % 6 == 4, F.lit("weekly")).alias("period"))
+
+
+def salary_text(spark, sf_dir):
+    s = salary_inputs(table(spark, sf_dir, "part"))
+    return s.select("p_partkey", format_salary(F.col("low"), F.col("high"), F.col("currency"),
+                                               F.col("period")).alias("salary"))
+
+
+DIGEST_HEAD = "New matches\n\n"
+DIGEST_TAIL = "\n(end of digest)"
+DIGEST_BUDGET = 4000
+
+
+def byte_budget_prefix(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    blocks = c.select("conv_id", "turn",
+                      F.concat(F.col("role"), F.lit(": "), F.col("text"), F.lit("\n")).alias("block"))
+    return G.byte_budget(blocks, "conv_id", "turn", "block", DIGEST_BUDGET,
+                         len(DIGEST_HEAD.encode()), len(DIGEST_TAIL.encode()))
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -194,4 +237,7 @@ QUERIES = {
     "seen_antijoin": seen_antijoin,
     "greedy_dedupe": greedy_dedupe_q,
     "digest_topn_backlog": digest_topn_backlog,
+    "relative_age": relative_age_q,
+    "salary_text": salary_text,
+    "byte_budget_prefix": byte_budget_prefix,
 }
