@@ -71,9 +71,9 @@ def unescape_html(col) -> Column:
     named = F.create_map(*[F.lit(x) for pair in P.HTML_ENTITIES for x in pair])
     pieces = F.split(c, _ENTITY, -1)
     refs = F.regexp_extract_all(c, F.lit(_ENTITY), 0)
-    body = F.array_join(F.transform(
-        F.sequence(F.lit(0), F.size(refs) - 1),
-        lambda i: F.concat(_decode_entity(F.get(refs, i), named), F.get(pieces, i + 1))), "")
+    # zip_with receives both arrays once; the lambda only sees elements.
+    tail = F.slice(pieces, 2, F.size(refs))
+    body = F.array_join(F.zip_with(refs, tail, lambda e, p: F.concat(_decode_entity(e, named), p)), "")
     decoded = F.concat(F.get(pieces, 0), body)
     return F.when(~c.contains("&") | (F.size(refs) == 0), c).otherwise(decoded)
 
@@ -110,10 +110,10 @@ _SUFFIX_TAIL = "(?: (?:" + "|".join(dims.LEGAL_SUFFIXES) + "))+$"
 def fold_company(col) -> Column:
     """FN-05: identity fold, runs of single letters rejoined, trailing legal forms dropped."""
     words = F.split(fold_identity(col), " ")
+    prev = F.concat(F.array(F.lit("")), words)  # prev[i] = word before words[i] ("" first)
     glued = F.array_join(
-        F.transform(words, lambda w, i: F.concat(
-            F.when((F.length(w) == 1) & (F.length(F.get(words, i - 1)) == 1), F.lit(""))
-             .otherwise(F.lit(" ")), w)),
+        F.zip_with(words, prev, lambda w, pw: F.concat(
+            F.when((F.length(w) == 1) & (F.length(pw) == 1), F.lit("")).otherwise(F.lit(" ")), w)),
         "")
     return F.trim(F.regexp_replace(glued, _SUFFIX_TAIL, ""))
 

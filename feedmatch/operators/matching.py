@@ -72,15 +72,18 @@ def offers_move(h: Column) -> Column:
     move, neg, n = rx(P.MOVE_OFFER), rx(P.NEGATION), P.NEGATION_LOOKBACK
     pieces = F.split(h, move, -1)
     found = F.regexp_extract_all(h, F.lit(move), 0)
+    # (text before occurrence i, occurrence i) pairs, built once per row.
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found,
+                       lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     init = F.struct(F.lit("").alias("tail"), F.lit(False).alias("ok"))
 
-    def step(acc, i):
-        window = F.substring(F.concat(acc["tail"], F.get(pieces, i)), -n, n)
+    def step(acc, x):
+        window = F.substring(F.concat(acc["tail"], x["p"]), -n, n)
         return F.struct(
-            F.substring(F.concat(window, F.get(found, i)), -n, n).alias("tail"),
+            F.substring(F.concat(window, x["m"]), -n, n).alias("tail"),
             (acc["ok"] | ~window.rlike(neg)).alias("ok"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), init, step)
+    folded = F.aggregate(pairs, init, step)
     return F.when(~matches(h, P.MOVE_OFFER), F.lit(False)).otherwise(folded["ok"])
 
 

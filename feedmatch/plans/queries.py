@@ -130,8 +130,10 @@ def url_normalize_dups(spark, sf_dir):
 def posting_language_confusion(spark, sf_dir):
     d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
     h = F.lower(strip_html(F.col("text")))
-    return (d.select(F.col("lang"), M.posting_language(h).alias("detected"))
-             .groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n")))
+    found = d.select("lang", M.stopwords_found(h).alias("found"))
+    counted = found.select("lang", M.language_counts(F.col("found")).alias("counts"))
+    return (counted.select("lang", M.language_of(F.col("counts")).alias("detected"))
+                   .groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n")))
 
 
 # --- identities, seen history and dedupe ---------------------------------------------
