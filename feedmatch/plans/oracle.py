@@ -143,6 +143,27 @@ def byte_budget_prefix() -> str:
             f"CAST({hb} + kept_bytes + {more('n - kept')} + {tb} AS BIGINT) AS body_bytes FROM h")
 
 
+def seen_upsert() -> str:
+    now = O.ts(FIXTURE_NOW)
+    return (_matched().replace("WITH ", "WITH ", 1)
+            + f", mi AS (SELECT *, {O.identity_cols()} FROM m WHERE reject_reason IS NULL),\n"
+            f"n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_key ORDER BY ord) AS rn FROM mi) "
+            f"WHERE rn = 1),\n{_seen_ctes()}\n"
+            f"SELECT coalesce(n.job_key, s.job_key) AS job_key, "
+            f"CASE WHEN s.source IS NOT NULL THEN s.source ELSE n.source END AS source, "
+            f"CASE WHEN s.source IS NOT NULL THEN s.source_id ELSE n.source_id END AS source_id, "
+            f"CASE WHEN n.source IS NOT NULL THEN n.url ELSE s.url END AS url, "
+            f"CASE WHEN n.source IS NOT NULL THEN n.url_norm ELSE s.url_norm END AS url_norm, "
+            f"CASE WHEN s.source IS NOT NULL THEN s.title ELSE n.title END AS title, "
+            f"CASE WHEN s.source IS NOT NULL THEN s.company ELSE n.company END AS company, "
+            f"CASE WHEN n.source IS NOT NULL THEN n.location ELSE s.location END AS location, "
+            f"CASE WHEN n.source IS NOT NULL THEN n.fingerprint ELSE s.fingerprint END AS fingerprint, "
+            f"CAST(CASE WHEN s.source IS NOT NULL THEN s.first_seen ELSE {now} END AS VARCHAR) AS first_seen, "
+            f"CAST(CASE WHEN n.source IS NOT NULL THEN {now} ELSE s.last_seen END AS VARCHAR) AS last_seen, "
+            f"greatest(coalesce(s.notified, 0), CASE WHEN n.source IS NOT NULL THEN 1 ELSE 0 END) AS notified "
+            f"FROM n FULL OUTER JOIN s ON n.job_key = s.job_key")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -161,4 +182,5 @@ ORACLE = {
     "relative_age": relative_age,
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
+    "seen_upsert": seen_upsert,
 }

@@ -16,6 +16,7 @@ from feedmatch.functions.dates import relative_age
 from feedmatch.functions.salary import format_salary
 from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
+from feedmatch.operators import state as S
 from feedmatch.operators import matching as M
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
@@ -222,6 +223,16 @@ def byte_budget_prefix(spark, sf_dir):
                          len(DIGEST_HEAD.encode()), len(DIGEST_TAIL.encode()))
 
 
+def seen_upsert(spark, sf_dir):
+    """SNK-01: this run's matches (one row per key, first in fetch order) marked as delivered."""
+    m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
+    first = (m.groupBy("job_key").agg(F.min_by(F.struct(*[F.col(c) for c in m.columns]), F.col("ord")).alias("r"))
+              .select("r.*"))
+    snap = S.upsert_seen(seen_fx(spark, sf_dir), first, FIXTURE_NOW, notified=True)
+    return snap.select(*[F.col(c).cast("string").alias(c) if c in ("first_seen", "last_seen") else F.col(c)
+                         for c in snap.columns])
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -242,4 +253,5 @@ QUERIES = {
     "relative_age": relative_age_q,
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
+    "seen_upsert": seen_upsert,
 }
