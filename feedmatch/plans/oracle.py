@@ -164,6 +164,23 @@ def seen_upsert() -> str:
             f"FROM n FULL OUTER JOIN s ON n.job_key = s.job_key")
 
 
+def json_envelope_records() -> str:
+    body = ("CASE event_id % 6 WHEN 0 THEN '[' || props || ', 1, \"x\", ' || props || ']' "
+            "WHEN 1 THEN '{\"jobs\": [' || props || ']}' WHEN 2 THEN '{\"data\": [' || props || ', null]}' "
+            "WHEN 3 THEN '{\"jobs\": null, \"data\": [' || props || ']}' "
+            "WHEN 4 THEN '{\"results\": \"not a list\"}' ELSE 'not json ' || props END")
+    return (f"WITH p AS (SELECT event_id, {body} AS body FROM events),\n"
+            f"v AS (SELECT event_id, CAST(body AS JSON) AS j FROM p WHERE json_valid(body)),\n"
+            f"a AS (SELECT event_id, CASE WHEN json_type(j) = 'ARRAY' THEN j "
+            f"WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.jobs') = 'ARRAY' THEN json_extract(j, '$.jobs') "
+            f"WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.data') = 'ARRAY' THEN json_extract(j, '$.data') "
+            f"END AS arr FROM v),\n"
+            f"e AS (SELECT event_id, r.i AS pos, json_extract(arr, '$[' || CAST(r.i AS VARCHAR) || ']') AS rec "
+            f"FROM a, range(0, CAST(json_array_length(arr) AS BIGINT)) r(i) WHERE arr IS NOT NULL)\n"
+            f"SELECT event_id, CAST(pos AS BIGINT) AS pos, TRY_CAST(json_extract(rec, '$.k') AS BIGINT) AS k "
+            f"FROM e WHERE json_type(rec) = 'OBJECT'")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -183,4 +200,5 @@ ORACLE = {
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
     "seen_upsert": seen_upsert,
+    "json_envelope_records": json_envelope_records,
 }

@@ -233,6 +233,29 @@ def seen_upsert(spark, sf_dir):
                          for c in snap.columns])
 
 
+ENVELOPE_KEYS = ("jobs", "data")
+
+
+def payloads_from_events(events: DataFrame) -> DataFrame:
+    """Drifting payload shapes built from events.props, by event_id % 6."""
+    e, props = F.col("event_id"), F.col("props")
+    body = (F.when(e % 6 == 0, F.concat(F.lit("["), props, F.lit(', 1, "x", '), props, F.lit("]")))
+             .when(e % 6 == 1, F.concat(F.lit('{"jobs": ['), props, F.lit("]}")))
+             .when(e % 6 == 2, F.concat(F.lit('{"data": ['), props, F.lit(", null]}")))
+             .when(e % 6 == 3, F.concat(F.lit('{"jobs": null, "data": ['), props, F.lit("]}")))
+             .when(e % 6 == 4, F.lit('{"results": "not a list"}'))
+             .otherwise(F.concat(F.lit("not json "), props)))
+    return events.select("event_id", body.alias("body"))
+
+
+def json_envelope_records(spark, sf_dir):
+    from feedmatch.sources.payloads import field, records
+    p = payloads_from_events(table(spark, sf_dir, "events"))
+    r = records(p, "body", ENVELOPE_KEYS, keep=("event_id",))
+    return r.select("event_id", F.col("pos").cast("bigint").alias("pos"),
+                    field(F.col("record"), "k", "bigint").alias("k"))
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -254,4 +277,5 @@ QUERIES = {
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
     "seen_upsert": seen_upsert,
+    "json_envelope_records": json_envelope_records,
 }
