@@ -256,6 +256,12 @@ def json_envelope_records(spark, sf_dir):
                     field(F.col("record"), "k", "bigint").alias("k"))
 
 
+def visa_excerpt_q(spark, sf_dir):
+    from feedmatch.operators.excerpt import visa_excerpt
+    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
+    return d.select("doc_id", visa_excerpt(F.col("text")).alias("excerpt"))
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -278,4 +284,5 @@ QUERIES = {
     "byte_budget_prefix": byte_budget_prefix,
     "seen_upsert": seen_upsert,
     "json_envelope_records": json_envelope_records,
+    "visa_excerpt": visa_excerpt_q,
 }
