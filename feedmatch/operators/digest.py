@@ -54,3 +54,49 @@ def byte_budget(blocks: DataFrame, group: str, order: str, block_col: str, budge
                       dropped.cast("bigint").alias("dropped"),
                       (F.lit(head_bytes) + F.col("kept_bytes") + more(dropped) + F.lit(tail_bytes))
                       .cast("bigint").alias("body_bytes"))
+
+
+def group_digest(top: DataFrame, now) -> DataFrame:
+    """WIN-02/03 + PRJ-07/09/11 over the capped digest rows (at most ``cap`` rows, so the
+    global windows here are bounded by the cap, never by the data).
+
+    Groups by country bucket: "Other" last, best score first, then name; rows by
+    score then lower(title); numbered 1..N across groups.
+    """
+    from feedmatch import dims
+    from feedmatch.functions.dates import relative_age
+    from feedmatch.functions.text import segments
+    from feedmatch.operators.dedupe import country_bucket
+
+    reasons = F.coalesce(F.col("reasons"), F.array().cast("array<string>"))
+    shown_remote = (F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote")
+    loc_l = F.lower(F.coalesce(F.col("location"), F.lit("")))
+    d = top.withColumns({
+        "_remote": F.coalesce(shown_remote, F.lit(False)),
+        "country": country_bucket(loc_l, segments(loc_l), F.coalesce(shown_remote, F.lit(False))),
+    })
+    d = d.withColumn("_group_best", F.max("score").over(Window.partitionBy("country")))
+    order = [(F.col("country") == "Other").asc(), F.col("_group_best").desc(), F.col("country").asc(),
+             F.col("score").desc(), F.lower(F.col("title")).asc(), F.col("ord").asc()]
+    sponsorship = F.coalesce(F.col("sponsorship"), F.lit(""))
+    reason = F.trim(F.coalesce(F.col("sponsorship_reason"), F.lit("")))
+    with_reason = lambda head: F.when(reason != "", F.concat(F.lit(head + " — "), reason)).otherwise(F.lit(head))
+    highlight = F.coalesce(F.col("highlight"), F.lit(""))
+    flags = F.create_map(*[F.lit(x) for kv in dims.COUNTRY_FLAGS.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in dims.SOURCE_NAMES.items() for x in kv])
+    return d.select(
+        F.row_number().over(Window.orderBy(*order)).alias("n"),
+        "country",
+        F.concat(F.coalesce(F.try_element_at(flags, F.col("country")), F.lit(dims.DEFAULT_FLAG)),
+                 F.lit(" "), F.col("country")).alias("country_label"),
+        "job_key", "title", "score",
+        F.when(F.array_contains(reasons, "hybrid"), F.lit("Hybrid")).when(F.col("_remote"), F.lit("Remote"))
+         .when(F.array_contains(reasons, "onsite"), F.lit("On-site")).otherwise(F.lit("")).alias("work_mode"),
+        relative_age(F.col("posted_at"), now).alias("age"),
+        F.when(sponsorship == "yes", with_reason("Visa sponsorship likely"))
+         .when(sponsorship == "no", with_reason("Sponsorship unlikely"))
+         .when(highlight != "", highlight)
+         .when(F.array_contains(reasons, "visa:sponsor-register"), F.lit(dims.HL_REGISTER))
+         .otherwise(F.lit("")).alias("visa_note"),
+        F.when(highlight.startswith("Open ") & (sponsorship == ""), F.lit("🌍")).otherwise(F.lit("✈")).alias("icon"),
+        F.coalesce(F.try_element_at(names, F.col("source")), F.col("source")).alias("source_label"))

@@ -176,6 +176,12 @@ def fresh_matches(spark, sf_dir):
     return D.greedy_dedupe(fresh, digest_rank(), "ord")
 
 
+def digest_grouped(spark, sf_dir):
+    fresh = cut_lineage(fresh_matches(spark, sf_dir))
+    top, _ = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
+    return G.group_digest(top, FIXTURE_NOW)
+
+
 def digest_topn_backlog(spark, sf_dir):
     fresh = cut_lineage(fresh_matches(spark, sf_dir))
     top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
@@ -279,6 +285,7 @@ QUERIES = {
     "seen_antijoin": seen_antijoin,
     "greedy_dedupe": greedy_dedupe_q,
     "digest_topn_backlog": digest_topn_backlog,
+    "digest_grouped": digest_grouped,
     "relative_age": relative_age_q,
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
