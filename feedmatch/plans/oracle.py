@@ -181,6 +181,11 @@ def json_envelope_records() -> str:
             f"FROM e WHERE json_type(rec) = 'OBJECT'")
 
 
+def stream_ingest_dedupe() -> str:
+    return ("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY event_id ORDER BY ts) AS rn FROM events) WHERE rn = 1")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -201,4 +206,5 @@ ORACLE = {
     "byte_budget_prefix": byte_budget_prefix,
     "seen_upsert": seen_upsert,
     "json_envelope_records": json_envelope_records,
+    "stream_ingest_dedupe": stream_ingest_dedupe,
 }

@@ -7,6 +7,8 @@ plain scalars with explicit aliases, matching the oracle SQL.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,6 +270,18 @@ def visa_excerpt_q(spark, sf_dir):
     return d.select("doc_id", visa_excerpt(F.col("text")).alias("excerpt"))
 
 
+def stream_ingest_dedupe(spark, sf_dir):
+    """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
+    import uuid
+    from feedmatch.session import checkpoint_dir
+    from feedmatch.streaming.ingest import ingest_dedupe
+    src = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(src).schema
+    out = os.path.join(checkpoint_dir(spark), "tables", f"events_dedup_{uuid.uuid4().hex}")
+    table_ = ingest_dedupe(spark, src, schema, "event_id", "ts", out)
+    return table_.select("event_id", "user_id", "event_type")
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -292,4 +306,5 @@ QUERIES = {
     "seen_upsert": seen_upsert,
     "json_envelope_records": json_envelope_records,
     "visa_excerpt": visa_excerpt_q,
+    "stream_ingest_dedupe": stream_ingest_dedupe,
 }
