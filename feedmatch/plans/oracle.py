@@ -186,6 +186,32 @@ def stream_ingest_dedupe() -> str:
             "(PARTITION BY event_id ORDER BY ts) AS rn FROM events) WHERE rn = 1")
 
 
+def source_health() -> str:
+    env = json_envelope_records().split("\ne AS")[0].rstrip().rstrip(",")
+    return (env + ",\n"
+            "r AS (SELECT p.event_id, 'feed' || CAST(p.event_id % 3 AS VARCHAR) AS source, ev.event_type AS board, "
+            "CASE WHEN p.event_id % 97 = 0 THEN 500 ELSE 200 END AS status, "
+            "coalesce(len(list_filter(CAST(json_extract(a.arr, '$[*]') AS JSON[]), lambda x: json_type(x) = 'OBJECT')), 0) AS n_records, "
+            "coalesce(len(list_filter(CAST(json_extract(a.arr, '$[*]') AS JSON[]), lambda x: json_type(x) = 'OBJECT' "
+            "AND TRY_CAST(json_extract(x, '$.k') AS BIGINT) IS NOT NULL)), 0) AS n_mapped "
+            "FROM p JOIN events ev ON ev.event_id = p.event_id LEFT JOIN a ON a.event_id = p.event_id),\n"
+            "b AS (SELECT source, board, max(status >= 400) AS failed, "
+            "sum(CASE WHEN status < 400 THEN n_mapped ELSE 0 END) AS fetched, "
+            "sum(CASE WHEN status < 400 THEN n_records - n_mapped ELSE 0 END) AS skipped FROM r GROUP BY 1, 2),\n"
+            "h AS (SELECT source, CAST(sum(fetched) AS BIGINT) AS fetched, "
+            "list_sort(list(board) FILTER (WHERE NOT failed)) AS ok, "
+            "list_sort(list(board) FILTER (WHERE failed)) AS bad, CAST(sum(skipped) AS BIGINT) AS records_skipped "
+            "FROM b GROUP BY 1)\n"
+            "SELECT source AS name, fetched, array_to_string(coalesce(ok, []), ',') AS boards_ok, "
+            "array_to_string(coalesce(bad, []), ',') AS boards_failed, records_skipped, "
+            "(len(coalesce(bad, [])) = 0 AND records_skipped = 0) AS healthy, "
+            "source || ': ' || concat_ws(', ', CAST(fetched AS VARCHAR) || ' fetched', "
+            "CASE WHEN len(coalesce(ok, [])) + len(coalesce(bad, [])) > 0 THEN "
+            "CAST(len(coalesce(ok, [])) AS VARCHAR) || '/' || CAST(len(coalesce(ok, [])) + len(coalesce(bad, [])) AS VARCHAR) "
+            "|| ' boards OK' || CASE WHEN len(coalesce(bad, [])) > 0 THEN ' — failed: ' || array_to_string(bad, ', ') ELSE '' END END, "
+            "CASE WHEN records_skipped > 0 THEN CAST(records_skipped AS VARCHAR) || ' unreadable record(s)' END) AS summary FROM h")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -207,4 +233,5 @@ ORACLE = {
     "seen_upsert": seen_upsert,
     "json_envelope_records": json_envelope_records,
     "stream_ingest_dedupe": stream_ingest_dedupe,
+    "source_health": source_health,
 }

@@ -270,6 +270,26 @@ def visa_excerpt_q(spark, sf_dir):
     return d.select("doc_id", visa_excerpt(F.col("text")).alias("excerpt"))
 
 
+def responses_from_events(events: DataFrame) -> DataFrame:
+    """Landed responses: source/board/status from event columns, body from ``payloads_from_events``."""
+    from feedmatch.sources.payloads import envelope_array
+    e = F.col("event_id")
+    p = payloads_from_events(events).join(events.select("event_id", "event_type"), "event_id")
+    arr = F.coalesce(envelope_array(F.col("body"), ENVELOPE_KEYS), F.array().cast("array<variant>"))
+    objects = F.filter(arr, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return p.select(
+        F.concat(F.lit("feed"), (e % 3).cast("string")).alias("source"),
+        F.col("event_type").alias("board"),
+        F.when(e % 97 == 0, F.lit(500)).otherwise(F.lit(200)).alias("status"),
+        F.size(objects).alias("n_records"),
+        F.size(F.filter(objects, lambda x: F.try_variant_get(x, "$.k", "bigint").isNotNull())).alias("n_mapped"))
+
+
+def source_health_q(spark, sf_dir):
+    from feedmatch.operators.health import source_health
+    return source_health(responses_from_events(table(spark, sf_dir, "events")))
+
+
 def stream_ingest_dedupe(spark, sf_dir):
     """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
     import uuid
@@ -307,4 +327,5 @@ QUERIES = {
     "json_envelope_records": json_envelope_records,
     "visa_excerpt": visa_excerpt_q,
     "stream_ingest_dedupe": stream_ingest_dedupe,
+    "source_health": source_health_q,
 }
