@@ -212,6 +212,21 @@ def source_health() -> str:
             "CASE WHEN records_skipped > 0 THEN CAST(records_skipped AS VARCHAR) || ' unreadable record(s)' END) AS summary FROM h")
 
 
+def page_prefix() -> str:
+    base = source_health().split(",\nb AS")[0]
+    base = base.replace("CASE WHEN p.event_id % 97 = 0 THEN 500 ELSE 200 END AS status, ",
+                        "CASE WHEN p.event_id % 97 = 0 THEN 500 ELSE 200 END AS status, "
+                        "CAST(floor(p.event_id / 250) AS BIGINT) AS page, ")
+    return (base + ",\n"
+            "pg AS (SELECT source, board, page, max(status) AS status, CAST(sum(n_records) AS BIGINT) AS n_records "
+            "FROM r GROUP BY 1, 2, 3),\n"
+            "st AS (SELECT source, board, min(CASE WHEN status >= 400 OR n_records = 0 THEN page END) AS stop "
+            "FROM pg GROUP BY 1, 2)\n"
+            "SELECT pg.source, pg.board, count(*) AS pages_kept, CAST(sum(pg.n_records) AS BIGINT) AS records_kept "
+            "FROM pg JOIN st ON pg.source = st.source AND pg.board = st.board "
+            "WHERE st.stop IS NULL OR pg.page < st.stop GROUP BY 1, 2")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -234,4 +249,5 @@ ORACLE = {
     "json_envelope_records": json_envelope_records,
     "stream_ingest_dedupe": stream_ingest_dedupe,
     "source_health": source_health,
+    "page_prefix": page_prefix,
 }

@@ -270,7 +270,7 @@ def visa_excerpt_q(spark, sf_dir):
     return d.select("doc_id", visa_excerpt(F.col("text")).alias("excerpt"))
 
 
-def responses_from_events(events: DataFrame) -> DataFrame:
+def responses_from_events(events: DataFrame, with_page: bool = False) -> DataFrame:
     """Landed responses: source/board/status from event columns, body from ``payloads_from_events``."""
     from feedmatch.sources.payloads import envelope_array
     e = F.col("event_id")
@@ -282,7 +282,8 @@ def responses_from_events(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("board"),
         F.when(e % 97 == 0, F.lit(500)).otherwise(F.lit(200)).alias("status"),
         F.size(objects).alias("n_records"),
-        F.size(F.filter(objects, lambda x: F.try_variant_get(x, "$.k", "bigint").isNotNull())).alias("n_mapped"))
+        F.size(F.filter(objects, lambda x: F.try_variant_get(x, "$.k", "bigint").isNotNull())).alias("n_mapped"),
+        *([(e / 250).cast("bigint").alias("page")] if with_page else []))
 
 
 def source_health_q(spark, sf_dir):
@@ -290,6 +291,17 @@ def source_health_q(spark, sf_dir):
     return source_health(responses_from_events(table(spark, sf_dir, "events")))
 
 
+def page_prefix_q(spark, sf_dir):
+    from feedmatch.sources.payloads import page_prefix
+    ev = table(spark, sf_dir, "events")
+    pages = (responses_from_events(ev, with_page=True)
+             .groupBy("source", "board", "page")
+             .agg(F.max("status").alias("status"), F.sum("n_records").cast("bigint").alias("n_records")))
+    kept = page_prefix(pages)
+    return kept.groupBy("source", "board").agg(F.count(F.lit(1)).alias("pages_kept"),
+                                                F.sum("n_records").cast("bigint").alias("records_kept"))
+
+
 def stream_ingest_dedupe(spark, sf_dir):
     """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
     import uuid
@@ -328,4 +340,5 @@ QUERIES = {
     "visa_excerpt": visa_excerpt_q,
     "stream_ingest_dedupe": stream_ingest_dedupe,
     "source_health": source_health_q,
+    "page_prefix": page_prefix_q,
 }

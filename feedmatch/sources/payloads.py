@@ -29,3 +29,20 @@ def records(payloads: DataFrame, body: str, keys, keep=()) -> DataFrame:
 def field(record: Column, path: str, dtype: str = "string") -> Column:
     """A typed field of a record, NULL when absent or of another type."""
     return F.try_variant_get(record, f"$.{path}", dtype)
+
+
+def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page") -> DataFrame:
+    """SRC-15: per (source, board) keep the pages before the first stop page.
+
+    A stop page is a failed response (HTTP status >= 400) or an empty page.
+    The first stop per group comes from a partial aggregation (one row per
+    board) joined back size-checked, not from a window over a possibly hot
+    group.
+    """
+    from feedmatch.operators.joins import skew_safe_join
+
+    stop = F.col("status") >= 400
+    stop = stop | (F.col("n_records") == 0)
+    firsts = pages.groupBy(*group).agg(F.min(F.when(stop, F.col(page))).alias("_stop"))
+    joined = skew_safe_join(pages, firsts, list(group), "left")
+    return joined.filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
