@@ -184,6 +184,38 @@ def digest_grouped(spark, sf_dir):
     return G.group_digest(top, FIXTURE_NOW)
 
 
+def run_summary(spark, sf_dir):
+    """AGG-02/03/07: one row accounting for every fetched posting.
+
+    Drop counters come from one aggregation pass over the annotated postings;
+    ``already_seen`` = matched - fresh after seen and in-batch dedupe (Q4);
+    visa/remote counts are over the capped digest rows.
+    """
+    from feedmatch import dims
+    m = matched_fx(spark, sf_dir)
+    fresh = cut_lineage(fresh_matches(spark, sf_dir))
+    top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
+    n_fresh = fresh.count()
+    reasons = F.coalesce(F.col("reasons"), F.array().cast("array<string>"))
+    sponsorship = F.coalesce(F.col("sponsorship"), F.lit(""))
+    evidence = (F.when(sponsorship == "yes", F.lit(True)).when(sponsorship == "no", F.lit(False))
+                 .otherwise(F.exists(reasons, lambda r: r.startswith("visa:") & (r != "visa:restricted"))))
+    shown_remote = (F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote")
+    digest = top.agg(F.count(F.lit(1)).alias("new"), F.count_if(evidence).alias("visa_count"),
+                     F.count_if(F.coalesce(shown_remote, F.lit(False))).alias("remote_count")).first()
+    counts = [F.count_if(F.col("reject_reason") == r).alias(r) for r in dims.REASONS]
+    summary = m.agg(F.count(F.lit(1)).alias("fetched"),
+                    F.count_if(F.col("reject_reason").isNull()).alias("matched"), *counts)
+    return summary.select(
+        "fetched", "matched", F.lit(digest["new"]).cast("bigint").alias("new"),
+        (F.col("matched") - F.lit(n_fresh)).alias("already_seen"),
+        F.lit(backlog).cast("bigint").alias("backlog"), *dims.REASONS,
+        sum(F.col(r) for r in dims.HEADLINE_REJECTED).alias("rejected"),
+        F.lit(digest["visa_count"]).cast("bigint").alias("visa_count"),
+        F.lit(digest["remote_count"]).cast("bigint").alias("remote_count"),
+        F.lit(FIXTURE_PREFS.home()).alias("based_in"))
+
+
 def digest_topn_backlog(spark, sf_dir):
     fresh = cut_lineage(fresh_matches(spark, sf_dir))
     top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
@@ -332,6 +364,7 @@ QUERIES = {
     "greedy_dedupe": greedy_dedupe_q,
     "digest_topn_backlog": digest_topn_backlog,
     "digest_grouped": digest_grouped,
+    "run_summary": run_summary,
     "relative_age": relative_age_q,
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
