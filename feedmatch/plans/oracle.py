@@ -227,6 +227,23 @@ def page_prefix() -> str:
             "WHERE st.stop IS NULL OR pg.page < st.stop GROUP BY 1, 2")
 
 
+def verdict_cache() -> str:
+    fence = "'(?s)```(?:json)?\\s*(.*?)```'"
+    return (f"WITH r AS ({fx.replies_sql(DUCKDB)}),\n"
+            "t AS (SELECT job_key, trim(coalesce(array_to_string(list_transform(list_filter("
+            "CAST(json_extract(reply, '$.content[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'text'), "
+            "lambda b: coalesce(json_extract_string(b, '$.text'), '')), ' '), '')) AS txt FROM r),\n"
+            f"c AS (SELECT job_key, CASE WHEN regexp_matches(txt, {fence}) THEN regexp_extract(txt, {fence}, 1) "
+            "ELSE txt END AS cand FROM t),\n"
+            "b AS (SELECT job_key, cand, instr(cand, '{') AS st, CASE WHEN instr(reverse(cand), '}') > 0 "
+            "THEN length(cand) - instr(reverse(cand), '}') + 1 ELSE 0 END AS en FROM c),\n"
+            "o AS (SELECT job_key, CASE WHEN st > 0 AND en > st THEN substr(cand, st, en - st + 1) END AS s FROM b),\n"
+            "v AS (SELECT job_key, s, lower(trim(coalesce(json_extract_string(s, '$.sponsorship'), ''))) AS verdict, "
+            "trim(regexp_replace(coalesce(json_extract_string(s, '$.reason'), ''), '\\s+', ' ', 'g')) AS reason "
+            "FROM o WHERE s IS NOT NULL AND json_valid(s) AND json_type(s) = 'OBJECT')\n"
+            "SELECT job_key, verdict, reason FROM v WHERE verdict IN ('yes', 'no', 'unclear')")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -250,4 +267,5 @@ ORACLE = {
     "stream_ingest_dedupe": stream_ingest_dedupe,
     "source_health": source_health,
     "page_prefix": page_prefix,
+    "verdict_cache": verdict_cache,
 }

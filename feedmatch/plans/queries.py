@@ -334,6 +334,12 @@ def page_prefix_q(spark, sf_dir):
                                                 F.sum("n_records").cast("bigint").alias("records_kept"))
 
 
+def verdict_cache(spark, sf_dir):
+    from feedmatch.operators.verdicts import cacheable_verdicts
+    from feedmatch.plans.inputs import replies_fx
+    return cacheable_verdicts(replies_fx(spark, sf_dir))
+
+
 def stream_ingest_dedupe(spark, sf_dir):
     """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
     import uuid
@@ -374,4 +380,5 @@ QUERIES = {
     "stream_ingest_dedupe": stream_ingest_dedupe,
     "source_health": source_health_q,
     "page_prefix": page_prefix_q,
+    "verdict_cache": verdict_cache,
 }

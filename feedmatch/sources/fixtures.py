@@ -132,31 +132,28 @@ UNION ALL SELECT '' AS line
 
 
 def replies_sql(engine: str = SPARK) -> str:
-    """``replies_fx(job_key, reply)``: model replies in five shapes by doc_id % 5.
+    """``replies_fx(job_key, reply)``: model replies in five shapes by doc_id % 5, wrapped in the
+    message envelope ``{"content": [{"type": "text", "text": ...}]}``.
 
-    0 plain JSON, 1 fenced JSON, 2 JSON padded with prose, 3 an invalid
-    verdict, 4 not JSON at all.  Replies are wrapped in the message envelope
-    ``{"content":[{"type":"text","text":...}]}``.
+    0 plain JSON, 1 fenced JSON, 2 JSON padded with prose, 3 an invalid verdict, 4 not JSON.
     """
     verdict = _pick("d.doc_id % 3", ("yes", "no", "unclear"))
     obj = ("'{\"sponsorship\": \"' || " + verdict +
-           " || '\", \"reason\": \"Posting  mentions   visa ' || CAST(d.doc_id AS STRING) || '\"}'")
-    bad = "'{\"sponsorship\": \"maybe\", \"reason\": \"hm\"}'"
+           " || '\", \"reason\": \" Posting  mentions   visa ' || CAST(d.doc_id AS STRING) || ' \"}'")
     text = f"""CASE d.doc_id % 5
         WHEN 0 THEN {obj}
-        WHEN 1 THEN '```json\\n' || {obj} || '\\n```'
+        WHEN 1 THEN 'Sure.' || chr(10) || '```json' || chr(10) || {obj} || chr(10) || '```'
         WHEN 2 THEN 'Here is my answer: ' || {obj} || ' Hope that helps.'
-        WHEN 3 THEN {bad}
+        WHEN 3 THEN '{{"sponsorship": "maybe", "reason": "hm"}}'
         ELSE 'I cannot tell from this posting.' END"""
     if engine == SPARK:
-        text = text.replace("\\n", "\\\\n")
-    envelope = ("'{\"content\": [{\"type\": \"text\", \"text\": ' || to_json_str || '}]}'")
-    q = "to_json(named_struct('t', txt))" if engine == SPARK else "to_json(struct_pack(t := txt))"
+        wrap = "to_json(named_struct('content', array(named_struct('type', 'text', 'text', txt))))"
+    else:
+        wrap = "to_json(struct_pack(content := [struct_pack(type := 'text', text := txt)]))"
     return f"""
-SELECT job_key, '{{"content": [{{"type": "text", "text": ' ||
-       substr({q}, 6, length({q}) - 6) || '}}]}}' AS reply
+SELECT job_key, CAST({wrap} AS STRING) AS reply
 FROM (SELECT d.source || ':' || CAST(d.doc_id AS STRING) AS job_key, {text} AS txt
-      FROM documents d WHERE d.doc_id % 2 = 0) r
+      FROM documents d) r
 """
 
 
