@@ -340,6 +340,79 @@ def verdict_cache(spark, sf_dir):
     return cacheable_verdicts(replies_fx(spark, sf_dir))
 
 
+def _shape_records(p: DataFrame) -> dict:
+    """postings_fx rows re-serialised as each board's record shape (payloads_fx, FIXTURES B2)."""
+    iso = F.date_format(F.col("posted_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    epoch = F.unix_seconds(F.col("posted_at").cast("timestamp"))
+    tag = F.get(F.col("tags"), 0)
+    title = F.when(F.col("doc_id") % 50 == 0, F.lit(None).cast("string")).otherwise(F.col("title"))
+    lo, hi = F.col("doc_id") * 100.0, F.col("doc_id") * 130.0
+    st = F.struct
+    shapes = {
+        "greenhouse": st(F.col("doc_id").alias("id"), title.alias("title"), F.col("url").alias("absolute_url"),
+                         st(F.col("location").alias("name")).alias("location"), F.col("description").alias("content"),
+                         F.col("company").alias("company_name"), iso.alias("first_published"),
+                         F.array(st(tag.alias("name"))).alias("departments")),
+        "lever": st(F.col("source_id").alias("id"), title.alias("text"), F.col("url").alias("hostedUrl"),
+                    st(F.col("location").alias("location"), tag.alias("team")).alias("categories"),
+                    (epoch * 1000).alias("createdAt"), F.col("description").alias("description"),
+                    F.when(F.col("remote"), F.lit("remote")).alias("workplaceType")),
+        "ashby": st(F.col("source_id").alias("id"), title.alias("title"), F.col("url").alias("jobUrl"),
+                    F.col("location").alias("location"), F.col("remote").alias("isRemote"), iso.alias("publishedAt"),
+                    F.col("description").alias("descriptionHtml"), F.col("company").alias("organizationName")),
+        "remotive": st(F.col("doc_id").alias("id"), F.col("url").alias("url"), title.alias("title"),
+                       F.col("company").alias("company_name"), F.col("location").alias("candidate_required_location"),
+                       F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("publication_date"),
+                       F.col("description").alias("description"), F.col("tags").alias("tags")),
+        "arbeitnow": st(F.concat(F.lit("s-"), F.col("source_id")).alias("slug"), F.col("url").alias("url"),
+                        title.alias("title"), F.col("company").alias("company_name"), F.col("location").alias("location"),
+                        F.col("description").alias("description"),
+                        F.when(F.col("doc_id") % 2 == 0, F.col("remote").cast("string")).alias("remote"),
+                        F.col("visa_sponsorship").alias("visa_sponsorship"), epoch.alias("created_at"),
+                        F.array(F.lit("full time")).alias("job_types")),
+        "remoteok": st(F.col("doc_id").alias("id"), title.alias("position"), F.col("url").alias("url"),
+                       F.col("company").alias("company"), F.col("location").alias("location"),
+                       F.col("description").alias("description"), F.col("tags").alias("tags"), epoch.alias("epoch"),
+                       lo.alias("salary_min"), hi.alias("salary_max")),
+        "jobicy": st(F.col("doc_id").alias("id"), F.col("url").alias("url"), title.alias("jobTitle"),
+                     F.col("company").alias("companyName"), F.col("location").alias("jobGeo"),
+                     F.col("description").alias("jobDescription"),
+                     F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("pubDate"),
+                     lo.alias("salaryMin"), hi.alias("salaryMax"), F.lit("eur").alias("salaryCurrency"),
+                     F.lit("yearly").alias("salaryPeriod"), F.col("tags").alias("jobIndustry")),
+        "himalayas": st(F.col("url").alias("guid"), title.alias("title"), F.col("company").alias("companyName"),
+                        F.col("url").alias("applicationLink"),
+                        F.array(st(F.col("location").alias("name"))).alias("locationRestrictions"),
+                        F.col("description").alias("description"), epoch.alias("pubDate"),
+                        lo.alias("minSalary"), hi.alias("maxSalary"), F.lit("usd").alias("currency")),
+        "adzuna": st(F.col("source_id").alias("id"), title.alias("title"), F.col("url").alias("redirect_url"),
+                     st(F.col("location").alias("display_name")).alias("location"),
+                     st(F.col("company").alias("display_name")).alias("company"),
+                     F.col("description").alias("description"), iso.alias("created")),
+    }
+    return shapes
+
+
+def map_sources_union(spark, sf_dir):
+    """SRC-02..12/18: postings re-serialised per board shape (source by doc_id % 9), parsed
+    back through the envelope reader and mapped by the per-source specs, then unioned."""
+    from feedmatch.sources.mapping import ORDER, map_all
+    from feedmatch.sources.payloads import records
+    p = postings_fx(spark, sf_dir).filter(F.col("source") != "agg")
+    shapes = _shape_records(p)
+    by_source = {}
+    for i, name in enumerate(ORDER):
+        rows = p.filter(F.col("doc_id") % 9 == i)
+        body = F.concat(F.lit('{"jobs": ['), F.to_json(shapes[name]), F.lit("]}"))
+        payload = rows.select(F.lit("b" + str(i)).alias("board"),
+                              (F.col("doc_id") / 20).cast("bigint").alias("page"), body.alias("body"))
+        by_source[name] = records(payload, "body", ("jobs", "data", "results"), keep=("board", "page"))
+    m = map_all(by_source)
+    return m.select("source", "source_id", "title", "company", "url", "location", "remote",
+                    F.col("posted_at").cast("string").alias("posted_at"), "salary", "job_type",
+                    F.array_join("tags", ",").alias("tags"))
+
+
 def stream_ingest_dedupe(spark, sf_dir):
     """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
     import uuid
@@ -381,4 +454,5 @@ QUERIES = {
     "source_health": source_health_q,
     "page_prefix": page_prefix_q,
     "verdict_cache": verdict_cache,
+    "map_sources_union": map_sources_union,
 }
