@@ -23,3 +23,12 @@ def test_reply_parsing(spark):
     df = spark.createDataFrame(rows, "reply string")
     got = [(r.v.verdict, r.v.reason) for r in df.select(parse_verdict(reply_text(F.col("reply"))).alias("v")).collect()]
     assert got == [("yes", "a b"), ("no", ""), (None, None), (None, None), (None, None)]
+
+
+def test_source_mappings_round_trip(spark):
+    """Postings serialised into each board's payload shape map back to the same title/url."""
+    from feedmatch.plans.inputs import postings_fx
+    from feedmatch.plans.queries import map_sources_union
+    got = {(r.url, r.title) for r in map_sources_union(spark, SF_SMALL).collect()}
+    src = postings_fx(spark, SF_SMALL).filter("source <> 'agg' AND doc_id % 50 <> 0").collect()
+    assert got == {(r.url, r.title) for r in src}
