@@ -64,3 +64,26 @@ def upsert_seen(seen: DataFrame, new: DataFrame, now: datetime, notified: bool)
         touched_old = o.join(keys, "job_key", "left_semi")
         return untouched.unionByName(merged(n.join(touched_old, "job_key", "left")))
     return merged(n.join(o, "job_key", "full_outer"))
+
+
+FINGERPRINT_VERSION = 2
+
+
+def backfill_fingerprints(seen: DataFrame) -> DataFrame:
+    """SNK-04: recompute fingerprints of rows stored under an older version.
+
+    Uses the stored ``remote`` flag when present, so placeless remote rows keep
+    their "Remote" place (the reference's backfill lost it; quirk Q9).
+    """
+    from feedmatch.operators.dedupe import fingerprint, place_key
+    for c in ("location", "fingerprint"):
+        if c not in seen.columns:
+            seen = seen.withColumn(c, F.lit(None).cast("string"))
+    version = F.col("fp_version") if "fp_version" in seen.columns else F.lit(0)
+    remote = F.col("remote") == F.lit(True) if "remote" in seen.columns else F.lit(False)
+    fresh = fingerprint(F.col("company"), F.col("title"), place_key(F.col("location"), remote))
+    stale = version < F.lit(FINGERPRINT_VERSION)
+    return seen.withColumns({
+        "fingerprint": F.when(stale, fresh).otherwise(F.col("fingerprint")),
+        "fp_version": F.lit(FINGERPRINT_VERSION),
+    })

@@ -244,6 +244,11 @@ def verdict_cache() -> str:
             "SELECT job_key, verdict, reason FROM v WHERE verdict IN ('yes', 'no', 'unclear')")
 
 
+def tumbling_event_counts() -> str:
+    return ("SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n "
+            "FROM events GROUP BY 1, 2")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -268,4 +273,5 @@ ORACLE = {
     "source_health": source_health,
     "page_prefix": page_prefix,
     "verdict_cache": verdict_cache,
+    "tumbling_event_counts": tumbling_event_counts,
 }

@@ -413,6 +413,13 @@ def map_sources_union(spark, sf_dir):
                     F.array_join("tags", ",").alias("tags"))
 
 
+def tumbling_event_counts(spark, sf_dir):
+    from feedmatch.streaming.ingest import tumbling_counts
+    ev = table(spark, sf_dir, "events")
+    return tumbling_counts(ev, "ts", ["event_type"]).select(
+        F.col("window_start").cast("string").alias("window_start"), "event_type", "n")
+
+
 def stream_ingest_dedupe(spark, sf_dir):
     """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
     import uuid
@@ -455,4 +462,5 @@ QUERIES = {
     "page_prefix": page_prefix_q,
     "verdict_cache": verdict_cache,
     "map_sources_union": map_sources_union,
+    "tumbling_event_counts": tumbling_event_counts,
 }

@@ -180,3 +180,20 @@ def map_all(records_by_source: dict[str, DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+ATS = ("greenhouse", "lever", "ashby")
+
+
+def select_sources(payloads: DataFrame, prefs) -> DataFrame:
+    """SRC-14: a source is on unless disabled; ATS boards only when listed.
+
+    With payloads laid out as ``partitionBy(source, board)`` this filter prunes
+    whole folders at the scan.
+    """
+    enabled = [n for n in ORDER if prefs.source_is_enabled(n)]
+    cond = F.col("source").isin(enabled)
+    for ats in ATS:
+        boards = list(prefs.boards_for(ats))
+        cond = cond & ((F.col("source") != ats) | F.col("board").isin(boards if boards else ["\u0000"]))
+    return payloads.filter(cond)

@@ -32,3 +32,21 @@ def test_source_mappings_round_trip(spark):
     got = {(r.url, r.title) for r in map_sources_union(spark, SF_SMALL).collect()}
     src = postings_fx(spark, SF_SMALL).filter("source <> 'agg' AND doc_id % 50 <> 0").collect()
     assert got == {(r.url, r.title) for r in src}
+
+
+def test_select_sources_and_backfill(spark):
+    from feedmatch.operators.state import backfill_fingerprints
+    from feedmatch.prefs import Prefs
+    from feedmatch.sources.mapping import select_sources
+    prefs = Prefs.from_dict({"sources": {"remotive": False}, "ats_boards": {"lever": ["acme"]}})
+    df = spark.createDataFrame([("remotive", "x"), ("lever", "acme"), ("lever", "other"), ("greenhouse", "g"),
+                                ("jobicy", "j")], "source string, board string")
+    assert {(r.source, r.board) for r in select_sources(df, prefs).collect()} == {("lever", "acme"), ("jobicy", "j")}
+    seen = spark.createDataFrame(
+        [("a:1", "a", "1", "u", "u", "Eng", "Acme", "", None, "t", "t", 0, True)],
+        "job_key string, source string, source_id string, url string, url_norm string, title string, "
+        "company string, location string, fingerprint string, first_seen string, last_seen string, "
+        "notified int, remote boolean")
+    out = backfill_fingerprints(seen).first()
+    assert out.fingerprint is not None and out.fp_version == 2
+    assert out.remote is True  # the stored flag is kept and used for the place key
