@@ -216,6 +216,23 @@ def run_summary(spark, sf_dir):
         F.lit(FIXTURE_PREFS.home()).alias("based_in"))
 
 
+def backlog_drain(spark, sf_dir, runs: int = 4):
+    """SRT-03 + SNK-03: successive runs over the same matches; each run delivers the best
+    ``max_jobs`` fresh rows and marks only those as seen, so the backlog drains with
+    nothing lost or repeated.  Each run's snapshot is checkpointed (short lineage)."""
+    matches = cut_lineage(D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull())))
+    seen = cut_lineage(S.normalise_seen(seen_fx(spark, sf_dir)))
+    out = []
+    for run in range(1, runs + 1):
+        fresh = cut_lineage(D.greedy_dedupe(D.anti_seen(matches, seen), digest_rank(), "ord"))
+        top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
+        top = cut_lineage(top)
+        delivered = top.count()
+        out.append((run, delivered, backlog))
+        seen = cut_lineage(S.upsert_seen(seen, top, FIXTURE_NOW, notified=True))
+    return spark.createDataFrame(out, "run int, delivered long, backlog long")
+
+
 def digest_topn_backlog(spark, sf_dir):
     fresh = cut_lineage(fresh_matches(spark, sf_dir))
     top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
@@ -451,6 +468,7 @@ QUERIES = {
     "digest_topn_backlog": digest_topn_backlog,
     "digest_grouped": digest_grouped,
     "run_summary": run_summary,
+    "backlog_drain": backlog_drain,
     "relative_age": relative_age_q,
     "salary_text": salary_text,
     "byte_budget_prefix": byte_budget_prefix,
