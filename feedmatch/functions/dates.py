@@ -16,8 +16,11 @@ def ts_lit(value: datetime) -> Column:
 def relative_age(posted: Column, now: datetime) -> Column:
     """FN-16: "" when unknown; "just now" under an hour (and for future dates); else
     floor hours "Nh ago" under a day; else floor days "Nd ago"."""
-    # Both sides read as UTC instants (the session time zone is UTC).
-    seconds = F.unix_seconds(ts_lit(now).cast("timestamp")) - F.unix_seconds(posted.cast("timestamp"))
+    # Whole days plus seconds of day, on the naive UTC wall clock: no session
+    # time zone (or DST) enters the difference.
+    p, n = posted.cast("timestamp_ntz"), ts_lit(now)
+    sod = lambda c: F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    seconds = (F.datediff(F.to_date(n), F.to_date(p)).cast("bigint") * 86400 + sod(n) - sod(p))
     hours = F.floor(seconds / F.lit(3600))
     return (F.when(posted.isNull(), F.lit(""))
              .when(seconds < 3600, F.lit("just now"))

@@ -49,7 +49,8 @@ def ingest_dedupe(spark: SparkSession, source_path: str, schema, key: str, time_
 def tumbling_counts(df: DataFrame, time_col: str, keys, width: str = "1 day") -> DataFrame:
     """STR-05: counts per tumbling window and key; the same expression runs on a
     batch DataFrame or on a stream (append mode after ``withWatermark``)."""
-    t = F.col(time_col).cast("timestamp")
-    return (df.groupBy(F.window(t, width).alias("w"), *keys)
+    # window() takes TIMESTAMP_NTZ as is: boundaries stay on the UTC wall clock
+    # whatever the session time zone.
+    return (df.groupBy(F.window(F.col(time_col), width).alias("w"), *keys)
               .agg(F.count(F.lit(1)).alias("n"))
               .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, "n"))
