@@ -11,8 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def source_health(responses: DataFrame) -> DataFrame:
-    """``responses(source, board, status, n_records, n_mapped)`` -> one row per source."""
+# --- fixed values: sources whose HTTP errors the reference swallows (empty and healthy) ---
+QUIET_ON_ERROR = ("remotive", "arbeitnow", "adzuna")
+
+
+def source_health(responses: DataFrame, compat: bool = False) -> DataFrame:
+    """``responses(source, board, status, n_records, n_mapped)`` -> one row per source.
+
+    AGG-06: by default every HTTP error marks its board failed.  With
+    ``compat=True`` the quiet sources report errors as empty pages and stay
+    healthy, as the reference does (quirk Q13).
+    """
+    if compat:
+        quiet = F.col("source").isin(list(QUIET_ON_ERROR)) & (F.col("status") >= 400)
+        responses = responses.withColumns({
+            "status": F.when(quiet, F.lit(200)).otherwise(F.col("status")),
+            "n_records": F.when(quiet, F.lit(0)).otherwise(F.col("n_records")),
+            "n_mapped": F.when(quiet, F.lit(0)).otherwise(F.col("n_mapped"))})
     per_board = responses.groupBy("source", "board").agg(
         F.max(F.col("status") >= 400).alias("failed"),
         F.sum(F.when(F.col("status") < 400, F.col("n_mapped")).otherwise(0)).alias("fetched"),

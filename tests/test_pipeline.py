@@ -50,3 +50,15 @@ def test_select_sources_and_backfill(spark):
     out = backfill_fingerprints(seen).first()
     assert out.fingerprint is not None and out.fp_version == 2
     assert out.remote is True  # the stored flag is kept and used for the place key
+
+
+def test_health_failure_policy(spark):
+    from feedmatch.operators.health import source_health
+    df = spark.createDataFrame([("remotive", "all", 500, 0, 0), ("lever", "acme", 500, 0, 0),
+                                ("lever", "beta", 200, 3, 2)],
+                               "source string, board string, status int, n_records int, n_mapped int")
+    strict = {r.name: r for r in source_health(df).collect()}
+    compat = {r.name: r for r in source_health(df, compat=True).collect()}
+    assert not strict["remotive"].healthy and compat["remotive"].healthy
+    assert not compat["lever"].healthy and compat["lever"].boards_failed == "acme"
+    assert strict["lever"].summary == "lever: 2 fetched, 1/2 boards OK — failed: acme, 1 unreadable record(s)"
