@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmatch.llm import dac, decontam, packing, simhash, toxicity
+from feedmatch.llm import ann, chat, dac, decontam, htmltext, packing, simhash, toxicity, urls, warc
 from feedmatch.llm.scratch import scratch_path
 
 
@@ -41,6 +41,37 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written as a chunk table and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired roles and rendered pieces of all conversations."""
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
+#: (host, path, verdict) of the rules that op8 judges by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -54,5 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_simhash_trie": op4_simhash_trie,
+    "op5_warc_chunks": op5_warc_chunks,
+    "op6_multiprobe_lsh": op6_multiprobe_lsh,
+    "op7_role_repair": op7_role_repair,
+    "op8_bloom_cascade": op8_bloom_cascade,
+    "op9_line_blocks": op9_line_blocks,
     "op10_wu_manber": op10_wu_manber,
 }
