@@ -7,13 +7,13 @@ WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
 ), g AS (
   SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS newest,
-         list_reduce(list_prepend('', list_transform(range(40), i -> lpad(bin(('0x' || substr(hex, i + 1, 1))::INT), 4, '0'))), (a, b) -> a || b) AS bits
+         list_reduce(list_prepend('', list_transform(range(40), lambda i: lpad(bin(('0x' || substr(hex, i + 1, 1))::INT), 4, '0'))), lambda a, b: a || b) AS bits
   FROM p
 )
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-       list_reduce(list_prepend('', list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_reduce(list_prepend('', list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT
-           + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1))), (a, b) -> a || b) AS payload_digest,
+           + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1))), lambda a, b: a || b) AS payload_digest,
        CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
 FROM g
@@ -45,15 +45,15 @@ WITH d AS (
   FROM benchmark
 ), p AS (
   SELECT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, (len(w) - least(10, len(w)) + 2)::BIGINT),
-         i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS win
+         lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS win
   FROM b WHERE len(w) > 0
 ), lengths AS (SELECT DISTINCT m FROM p),
 dw AS (
-  SELECT doc_id, m, unnest(list_transform(range(1, (len(w) - m + 2)::BIGINT), i -> {'i': i, 'win': array_to_string(w[i:i + m - 1], ' ')})) AS x
+  SELECT doc_id, m, unnest(list_transform(range(1, (len(w) - m + 2)::BIGINT), lambda i: {'i': i, 'win': array_to_string(w[i:i + m - 1], ' ')})) AS x
   FROM d, lengths WHERE len(w) >= m
 ), h AS (
   SELECT DISTINCT dw.doc_id, x.i AS i, dw.m AS m, p.item_id FROM dw JOIN p ON p.win = x.win AND p.m = dw.m
-), c AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM h) GROUP BY doc_id),
+), c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM h) GROUP BY doc_id),
 s AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
