@@ -11,7 +11,7 @@ median of toxic rows.
 
 Features are the distinct words of the whole text and their first 4 to 7
 letters. Those enter the model whose log-odds between toxic and other labelled
-rows are at least ``MIN_Z`` standard errors from zero, the strongest
+rows is at least ``MIN_Z`` standard errors above zero, the strongest
 ``max_features`` at most; the counts are aggregated by Spark. The model is
 fitted on a sample of at most ``sample_rows`` labelled rows (lowest hash of
 doc_id, both classes as they come), its training rows are reduced to selected
@@ -43,7 +43,7 @@ MIN_ROWS = 4
 PREFIXES = (4, 5, 6, 7)
 GRADES = 3
 #: Documents of at least this expected severity are toxic.
-TOXIC_AT = 0.5
+TOXIC_AT = 0.4
 #: Words whose features a task remembers before it starts afresh.
 MEMO_WORDS = 500_000
 
@@ -75,7 +75,7 @@ class Model:
 
 
 def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES,
-                l2: float = 0.02, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+                l2: float = 0.001, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from presence pairs (row, col) and the rows' grades; Adam on the mean log-likelihood."""
     n, k = len(grade), grades - 1
     share = np.clip([(grade <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
@@ -148,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ma
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     odds = F.log(a / (F.lit(p + 1) - a) / (b / (F.lit(n + 1) - b)))
     z = odds / F.sqrt(1 / a + 1 / (F.lit(p + 1) - a) + 1 / b + 1 / (F.lit(n + 1) - b))
-    best = (counts.where("name <> ''").select("name", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= MIN_Z)
-            .orderBy(F.desc(F.abs("z")), "name").limit(max_features).collect())
+    best = (counts.where("name <> ''").select("name", odds.alias("odds"), z.alias("z")).where(F.col("z") >= MIN_Z)
+            .orderBy(F.desc("z"), "name").limit(max_features).collect())
     if not best:
         return none
     names, log_odds = tuple(r["name"] for r in best), np.array([r["odds"] for r in best])
