@@ -36,6 +36,8 @@ def parse_instant(text: Column, number: Column | None = None) -> Column:
                     F.coalesce(F.try_to_timestamp(iso), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))))
     if number is None:
         return parsed.cast("timestamp_ntz")
-    from_number = F.when(F.abs(number) > F.lit(1e11), F.timestamp_millis(number.cast("long"))) \
-        .otherwise(F.timestamp_seconds(number))
+    # Out of range (or NaN) is NULL, never an overflow that ends the job.
+    seconds = F.when(F.abs(number) > F.lit(1e11), number / 1000).otherwise(number)
+    sane = F.when((seconds > F.lit(-62135596800.0)) & (seconds < F.lit(253402300800.0)), seconds)
+    from_number = F.timestamp_micros(F.floor(sane * 1000000).cast("long"))
     return F.coalesce(from_number, parsed).cast("timestamp_ntz")

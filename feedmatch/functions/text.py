@@ -5,6 +5,8 @@ All of these stay on the JVM inside whole-stage codegen; none is a UDF.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,17 +45,34 @@ def matches(col, template: str | None, needles=None) -> Column:
     return regex if not needles else contains_any(col, needles) & regex
 
 
-_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);"
+#: What numeric references to the C1 range stand for.
+_C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
+#: Every named reference that ends in a semicolon, as one foldable literal.
+_NAMED = "\x02".join(f"&{name}\x01{value}" for name, value in html5.items() if name.endswith(";"))
 
 
 def _code_point(code: Column) -> Column:
-    """The character of a code point, via its UTF-32 bytes (no Python worker)."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    """The character of a code point, via its UTF-32 bytes (no Python worker).
+
+    As in HTML: zero, surrogates and numbers beyond Unicode (NULL: too long to
+    read) are U+FFFD, the C1 range is read as Windows-1252, control and
+    non-characters vanish.
+    """
+    low = code.bitwiseAND(F.lit(0xFFFF))
+    gone = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+            | (low >= 0xFFFE))
+    sane = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+    return (F.when(sane.isNull(), F.lit("\ufffd"))
+             .when(code.between(0x80, 0x9F), F.get(F.array(*map(F.lit, _C1)), (code - 0x80).cast("int")))
+             .when(gone, F.lit(""))
+             .otherwise(F.decode(F.unhex(F.lpad(F.hex(F.coalesce(sane, F.lit(0xFFFD))), 8, "0")), "UTF-32")))
 
 
 def _decode_entity(e: Column, named: Column) -> Column:
-    hexa = F.conv(F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10).cast("bigint")
-    deci = F.regexp_extract(e, r"^&#([0-9]+);$", 1).cast("bigint")
+    digits = F.regexp_extract(e, r"^&#[xX]0*([0-9a-fA-F]{1,8});$", 1)
+    hexa = F.conv(F.nullif(digits, F.lit("")), 16, 10).try_cast("bigint")
+    deci = F.regexp_extract(e, r"^&#([0-9]+);$", 1).try_cast("bigint")
     return (F.when(e.startswith("&#x") | e.startswith("&#X"), _code_point(hexa))
              .when(e.startswith("&#"), _code_point(deci))
              .otherwise(F.coalesce(F.try_element_at(named, e), e)))
@@ -68,7 +87,7 @@ def unescape_html(col) -> Column:
     "&" skip the work.
     """
     c = F.coalesce(_C(col), F.lit(""))
-    named = F.create_map(*[F.lit(x) for pair in P.HTML_ENTITIES for x in pair])
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01"))
     pieces = F.split(c, _ENTITY, -1)
     refs = F.regexp_extract_all(c, F.lit(_ENTITY), 0)
     # zip_with receives both arrays once; the lambda only sees elements.

@@ -54,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="feedmatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -66,7 +68,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_REGISTERED: dict[tuple[int, str], str] = {}
+_REGISTERED: dict[tuple[str, str], str] = {}
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
@@ -76,7 +78,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     directory, so repeated calls cost no file listing.
     """
     for name in names:
-        key = (id(spark), name)
+        key = (spark.sparkContext.applicationId, name)
         if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
             continue
         path = os.path.join(sf_dir, f"{name}.parquet")

@@ -73,6 +73,11 @@ def contains_remote(*cols: Column) -> Column:
 
 BOARD = F.col("board")
 
+def board_id() -> Column:
+    """An id that is unique across the boards of a source; '' when the record has none."""
+    return F.when(s("id") != "", F.concat(BOARD, F.lit(":"), s("id"))).otherwise("")
+
+
 # --- the sources (field choices and fallbacks of each board's payload) ------------------
 SOURCES: dict[str, dict[str, Column]] = {
     "greenhouse": {
@@ -84,7 +89,7 @@ SOURCES: dict[str, dict[str, Column]] = {
         "salary": F.lit(None).cast("string"), "job_type": F.lit(None).cast("string"),
         "visa_sponsorship": F.lit(None).cast("boolean")},
     "lever": {
-        "source_id": s("id"), "title": s("text"), "url": first("hostedUrl", "applyUrl"), "company": BOARD,
+        "source_id": board_id(), "title": s("text"), "url": first("hostedUrl", "applyUrl"), "company": BOARD,
         "location": s("categories.location"),
         "description": F.coalesce(F.nullif(s("descriptionPlain"), F.lit("")), strip_html(s("description"))),
         "tags": F.filter(F.array(F.nullif(s("categories.team"), F.lit("")),
@@ -94,7 +99,7 @@ SOURCES: dict[str, dict[str, Column]] = {
         "posted_at": instant("createdAt"), "salary": F.nullif(s("salaryDescription"), F.lit("")),
         "job_type": F.nullif(s("categories.commitment"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
     "ashby": {
-        "source_id": s("id"), "title": s("title"), "url": first("jobUrl", "applyUrl"),
+        "source_id": board_id(), "title": s("title"), "url": first("jobUrl", "applyUrl"),
         "company": F.coalesce(F.nullif(s("organizationName"), F.lit("")), BOARD), "location": s("location"),
         "description": F.coalesce(F.nullif(s("descriptionPlain"), F.lit("")), strip_html(s("descriptionHtml"))),
         "tags": F.filter(F.array(F.nullif(s("department"), F.lit("")), F.nullif(s("team"), F.lit(""))),
@@ -112,9 +117,10 @@ SOURCES: dict[str, dict[str, Column]] = {
     "arbeitnow": {
         "source_id": first("slug", "url"), "title": s("title"), "url": s("url"), "company": s("company_name"),
         "location": s("location"), "description": strip_html(s("description")), "tags": text_list("tags"),
-        "remote": as_bool("remote"), "posted_at": instant("created_at"), "salary": F.lit(None).cast("string"),
+        "remote": as_bool("remote"), "posted_at": F.coalesce(instant("created_at"), instant("createdAt")),
+        "salary": F.lit(None).cast("string"),
         "job_type": F.coalesce(F.nullif(F.array_join(text_list("job_types"), ", "), F.lit("")),
-                               F.nullif(s("job_types"), F.lit(""))),
+                               F.nullif(s("job_types"), F.lit("")), F.nullif(s("job_type"), F.lit(""))),
         "visa_sponsorship": as_bool("visa_sponsorship")},
     "remoteok": {
         "source_id": s("id"), "title": s("position"), "url": first("url", "apply_url"), "company": s("company"),
@@ -151,7 +157,8 @@ SOURCES: dict[str, dict[str, Column]] = {
         "location": F.coalesce(F.nullif(s("location.display_name"), F.lit("")),
                                F.nullif(F.array_join(text_list("location.area"), ", "), F.lit("")), F.upper(BOARD)),
         "description": strip_html(s("description")), "tags": F.array(BOARD),
-        "remote": contains_remote(s("title"), s("location.display_name"), s("description")),
+        "remote": contains_remote(s("title"), s("location.display_name"), F.array_join(text_list("location.area"), ", "),
+                                  s("description")),
         "posted_at": instant("created"), "salary": F.lit(None).cast("string"),
         "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
 }
