@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 TABLES, HASHES, WIDTH, SEED = 8, 6, 1.5, 7
 TARGET, SAMPLE = 0.96, 256
-PART_ROWS = 100_000
+PART_ROWS, MIN_PARTS = 100_000, 12
 FOUND_SCHEMA = "query_id long, vec_id long, score double, probe int"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("probe", pa.int32())])
 _DELTAS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)))
@@ -112,7 +112,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tables, dim = Tables(stats["dim"], float(stats["top"]) ** 0.5), stats["dim"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stats["n"] // PART_ROWS))
+    parts = max(MIN_PARTS, -(-stats["n"] // PART_ROWS))
     data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "vec")
 
     def asked(queries: DataFrame) -> DataFrame:
