@@ -72,14 +72,14 @@ def with_identities(df: DataFrame) -> DataFrame:
     })
 
 
-def identities(df: DataFrame, id_col: str = "ord") -> DataFrame:
-    """Narrow ``(id, kind, value)`` rows: one per non-empty identity of each posting."""
+def identities(df: DataFrame, id_col: str = "ord", *carried: str) -> DataFrame:
+    """Narrow ``(id, kind, value)`` rows, and ``carried`` columns: one per non-empty identity of each posting."""
     kinds = F.array(
         F.struct(F.lit("key").alias("kind"), F.col("job_key").alias("value")),
         F.struct(F.lit("url").alias("kind"), F.col("url_norm").alias("value")),
         F.struct(F.lit("fp").alias("kind"), F.col("fingerprint").alias("value")))
-    return (df.select(F.col(id_col).alias("id"), F.explode(kinds).alias("i"))
-              .select("id", "i.kind", "i.value")
+    return (df.select(F.col(id_col).alias("id"), *carried, F.explode(kinds).alias("i"))
+              .select("id", "i.kind", "i.value", *carried)
               .filter(F.col("value").isNotNull() & (F.col("value") != "")))
 
 
@@ -101,33 +101,32 @@ def greedy_dedupe(rows: DataFrame, rank: Column, id_col: str = "ord") -> DataFra
     """WIN-01: keep a row iff no identity of it belongs to a better-ranked *kept* row.
 
     Equivalent to walking rows best-first and registering only kept rows'
-    identities.  Computed as parallel rounds (lexicographically-first maximal
-    independent set): an undecided row that is the best of every identity
-    group it is in is kept; undecided rows sharing a group with a newly kept
-    row are dropped; repeat.  Group minima use partial aggregation, the
-    join-back on ``(kind, value)`` is skew-safe, and each round's state is
-    checkpointed so lineage stays short.  ``rank`` must be a total order.
+    identities.  Identities that only one row has decide nothing, so rounds run
+    over contested ones alone: an undecided row that is the best of all its
+    contested identities is kept, rows sharing one with it are dropped, and
+    both leave the next round.  Group minima use partial aggregation, the join
+    back to them has unique keys on one side, so AQE can split a hot identity.
+    Each round is one checkpoint.  ``rank`` must be a total order; a row
+    without any identity is kept.
     """
-    ranked = rows.withColumn("_rank", rank)
-    ids = identities(ranked, id_col)
-    ids = ids.join(ranked.select(F.col(id_col).alias("id"), "_rank"), "id")
-    ids = cut_lineage(ids)
-    undecided = cut_lineage(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n_ids")))
-    kept_all = None
+    ids = identities(rows.withColumn("_rank", rank), id_col, "_rank")
+    shared = ids.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    contested = ids.join(shared, ["kind", "value"], "left_semi")
+    per_row = contested.groupBy("id").agg(F.count(F.lit(1)).alias("n_ids"))
+    active = cut_lineage(contested.join(per_row, "id"))
+    dropped = None
     while True:  # each round keeps at least the best undecided row, so it ends
-        active = ids.join(undecided.select("id"), "id", "left_semi")
-        winners = (active.groupBy("kind", "value")
-                         .agg(F.min(F.struct("_rank", "id")).alias("w")))
-        wins = winners.groupBy(F.col("w.id").alias("id")).agg(F.count(F.lit(1)).alias("n_wins"))
-        kept = (undecided.join(wins, "id").filter(F.col("n_wins") == F.col("n_ids"))
-                         .select("id"))
-        kept = cut_lineage(kept)
-        kept_all = kept if kept_all is None else kept_all.unionByName(kept)
-        taken = active.join(kept, "id", "left_semi").select("kind", "value").distinct()
-        dead = skew_safe_join(active, taken, ["kind", "value"], "left_semi", salt_by=F.col("id")) \
-            .select("id").distinct()
-        undecided = cut_lineage(undecided.join(kept, "id", "left_anti").join(dead, "id", "left_anti"))
-        if undecided.limit(1).count() == 0:
+        best = active.groupBy("kind", "value").agg(F.min(F.struct("_rank", "id", "n_ids")).alias("w"))
+        kept = (best.groupBy(F.col("w.id").alias("id"), F.col("w.n_ids").alias("n_ids"))
+                    .agg(F.count(F.lit(1)).alias("n_wins")).filter("n_wins = n_ids").select("id"))
+        taken = best.select("kind", "value", F.col("w.id").alias("id")).join(kept, "id", "left_semi") \
+            .withColumnRenamed("id", "keeper")
+        decided = (active.select("id", "kind", "value").join(taken, ["kind", "value"])
+                         .groupBy("id").agg(F.max(F.col("id") != F.col("keeper")).alias("lost")))
+        state = cut_lineage(active.join(decided, "id", "left"))
+        lost = state.filter("lost").select("id").distinct()
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        active = state.filter("lost IS NULL").drop("lost")
+        if active.isEmpty():
             break
-    kept_all = cut_lineage(kept_all)
-    return rows.join(kept_all.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return rows.join(dropped.select(F.col("id").alias(id_col)), id_col, "left_anti")

@@ -6,6 +6,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedmatch.session import cut_lineage
+
+
+def ranked_positions(rows: DataFrame, rank: Column) -> DataFrame:
+    """``rows`` numbered 1..n by ``rank`` in ``position``, without gathering them in one task.
+
+    Rows are range-partitioned by rank and written once; each partition numbers
+    its own rows and adds the sizes of the partitions before it, which are as
+    many as there are partitions.
+    """
+    parts = cut_lineage(rows.withColumn("_rank", rank).repartitionByRange(F.col("_rank"))
+                            .withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_rank"))
+    return (parts.join(F.broadcast(before), "_part")
+                 .withColumn("position", F.col("_before") + own).drop("_rank", "_part", "_before"))
+
 
 def top_n(rows: DataFrame, cap: int, rank: Column, limit: int | None = None) -> tuple[DataFrame, int]:
     """SRT-02: the best ``cap`` rows by ``rank`` (numbered 1..n) and the backlog count.
@@ -13,14 +32,13 @@ def top_n(rows: DataFrame, cap: int, rank: Column, limit: int | None = None) ->
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each partition keeps
     its own best ``cap`` and only those are merged, so nothing unbounded meets
     in one task.  The numbering window then runs over at most ``cap`` rows.
-    A cap <= 0 means no cap (and no backlog); a run-level ``limit`` tightens it.
+    A cap <= 0 means no cap (and no backlog), numbered by ``ranked_positions``; a run-level ``limit`` tightens it.
     """
     if limit is not None:
         cap = limit if cap <= 0 else min(cap, limit)
     ranked = rows.withColumn("_rank", rank)
     if cap <= 0:
-        return (ranked.withColumn("position", F.row_number().over(Window.orderBy("_rank")))
-                      .drop("_rank"), 0)
+        return ranked_positions(rows, rank), 0
     total = rows.count()
     top = ranked.orderBy("_rank").limit(cap)
     top = top.withColumn("position", F.row_number().over(Window.orderBy("_rank"))).drop("_rank")

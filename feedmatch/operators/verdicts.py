@@ -45,6 +45,8 @@ def cacheable_verdicts(replies: DataFrame) -> DataFrame:
     parsed = replies.select("job_key", parse_verdict(reply_text(F.col("reply"))).alias("v"),
                             *(["checked_at"] if "checked_at" in replies.columns else []))
     usable = parsed.filter(F.col("v.verdict").isNotNull())
-    order = F.col("checked_at") if "checked_at" in replies.columns else F.lit(0)
+    # Without a time the smallest reply wins, so that the choice doesn't depend on the row order.
+    order = (F.struct("checked_at", F.col("v.verdict"), F.col("v.reason")) if "checked_at" in replies.columns
+             else F.struct(F.col("v.verdict"), F.col("v.reason")))
     return (usable.groupBy("job_key").agg(F.max_by(F.col("v"), order).alias("v"))
                   .select("job_key", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason")))

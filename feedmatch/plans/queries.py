@@ -43,29 +43,33 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     Building the funnel's expression tree costs seconds of driver time; the
     rows are still recomputed by every action.
     """
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]
 
 
+def annotated_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """postings_fx annotated by the funnel, as a plan: what selects a few flags computes only those."""
+    def build():
+        register = M.register_names(register_lines_fx(spark, sf_dir))
+        return M.narrow(M.match(postings_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, register))
+    return _memo(spark, sf_dir, "matched", build)
+
+
 def matched_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """postings_fx annotated by the funnel, materialised narrow (no text columns).
+    """``annotated_fx`` materialised, for what filters on its flags or reads it more than once.
 
     The annotated frame is checkpointed to the shared checkpoint folder: it
     cuts lineage (a lost executor does not re-run the text rules) and stops
     the optimizer from inlining the whole rule tree into later filters.
     """
-    def build():
-        register = M.register_names(register_lines_fx(spark, sf_dir))
-        m = M.match(postings_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, register)
-        return M.narrow(m)
-    return cut_lineage(_memo(spark, sf_dir, "matched", build))
+    return cut_lineage(annotated_fx(spark, sf_dir))
 
 
 # --- funnel and classifiers --------------------------------------------------------
 def funnel_counts(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
+    m = annotated_fx(spark, sf_dir)
     return (m.groupBy(F.coalesce("reject_reason", F.lit("matched")).alias("reason"))
              .agg(F.count(F.lit(1)).alias("n")))
 
@@ -78,22 +82,22 @@ def seniority_levels(spark, sf_dir):
 
 
 def company_fold(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
+    m = annotated_fx(spark, sf_dir)
     return m.select("ord", "company", "company_norm", "on_register")
 
 
 def hard_restriction(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
+    m = annotated_fx(spark, sf_dir)
     return m.select("ord", "restricted")
 
 
 def move_offer(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
+    m = annotated_fx(spark, sf_dir)
     return m.select("ord", "offers_move")
 
 
 def remote_eligibility(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
+    m = annotated_fx(spark, sf_dir)
     return m.select("ord", "is_remote", "is_hybrid", "geo_ok", "remote_ok", "hybrid_ok", "onsite_ok")
 
 
@@ -216,21 +220,22 @@ def run_summary(spark, sf_dir):
         F.lit(FIXTURE_PREFS.home()).alias("based_in"))
 
 
-def backlog_drain(spark, sf_dir, runs: int = 4):
-    """SRT-03 + SNK-03: successive runs over the same matches; each run delivers the best
-    ``max_jobs`` fresh rows and marks only those as seen, so the backlog drains with
-    nothing lost or repeated.  Each run's snapshot is checkpointed (short lineage)."""
-    matches = cut_lineage(D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull())))
-    seen = cut_lineage(S.normalise_seen(seen_fx(spark, sf_dir)))
-    out = []
-    for run in range(1, runs + 1):
-        fresh = cut_lineage(D.greedy_dedupe(D.anti_seen(matches, seen), digest_rank(), "ord"))
-        top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
-        top = cut_lineage(top)
-        delivered = top.count()
-        out.append((run, delivered, backlog))
-        seen = cut_lineage(S.upsert_seen(seen, top, FIXTURE_NOW, notified=True))
-    return spark.createDataFrame(out, "run int, delivered long, backlog long")
+def backlog_drain(spark, sf_dir):
+    """SRT-03 + SNK-03: how successive runs over the same matches drain the backlog, until it is empty.
+
+    Each run delivers the best ``max_jobs`` fresh rows and marks only those as
+    seen. What a delivered row displaced collides with the seen row in the next
+    run just as it did with the kept one, so the kept rows of every run are
+    those of the first: one dedupe, and run = position / cap, rounded up.
+    """
+    cap = FIXTURE_PREFS.max_jobs
+    kept = fresh_matches(spark, sf_dir).select("score", "title", "ord")
+    runs = (G.ranked_positions(kept, digest_rank())
+             .groupBy(F.ceil(F.col("position") / cap).cast("int").alias("run"))
+             .agg(F.count(F.lit(1)).alias("delivered"), F.max("position").alias("_upto")))
+    total = runs.agg(F.coalesce(F.max("_upto"), F.lit(0)).alias("_total"))
+    return (runs.join(F.broadcast(total), F.col("_upto") <= F.col("_total"))  # one row
+                .select("run", "delivered", (F.col("_total") - F.col("_upto")).alias("backlog")))
 
 
 def digest_topn_backlog(spark, sf_dir):
@@ -293,7 +298,7 @@ def seen_upsert(spark, sf_dir):
 ENVELOPE_KEYS = ("jobs", "data")
 
 
-def payloads_from_events(events: DataFrame) -> DataFrame:
+def payloads_from_events(events: DataFrame, *carried: str) -> DataFrame:
     """Drifting payload shapes built from events.props, by event_id % 6."""
     e, props = F.col("event_id"), F.col("props")
     body = (F.when(e % 6 == 0, F.concat(F.lit("["), props, F.lit(', 1, "x", '), props, F.lit("]")))
@@ -302,7 +307,7 @@ def payloads_from_events(events: DataFrame) -> DataFrame:
              .when(e % 6 == 3, F.concat(F.lit('{"jobs": null, "data": ['), props, F.lit("]}")))
              .when(e % 6 == 4, F.lit('{"results": "not a list"}'))
              .otherwise(F.concat(F.lit("not json "), props)))
-    return events.select("event_id", body.alias("body"))
+    return events.select("event_id", *carried, body.alias("body"))
 
 
 def json_envelope_records(spark, sf_dir):
@@ -323,7 +328,7 @@ def responses_from_events(events: DataFrame, with_page: bool = False) -> DataFra
     """Landed responses: source/board/status from event columns, body from ``payloads_from_events``."""
     from feedmatch.sources.payloads import envelope_array
     e = F.col("event_id")
-    p = payloads_from_events(events).join(events.select("event_id", "event_type"), "event_id")
+    p = payloads_from_events(events, "event_type")
     arr = F.coalesce(envelope_array(F.col("body"), ENVELOPE_KEYS), F.array().cast("array<variant>"))
     objects = F.filter(arr, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     return p.select(
