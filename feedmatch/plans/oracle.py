@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from feedmatch import dims
 from feedmatch.plans import oracle_sql as O
 from feedmatch.plans.queries import DOC_KEYWORDS
@@ -249,6 +251,106 @@ def tumbling_event_counts() -> str:
             "FROM events GROUP BY 1, 2")
 
 
+def _kept_ctes(rel: str, rank: str) -> str:
+    """``kept``: rows of ``rel`` that a best-first walk keeps, one row a step, taken identities as a list."""
+    return (f"ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {rank}) AS rk FROM {rel}),\n"
+            f"numbered AS (SELECT id, dense_rank() OVER (ORDER BY kind, value) AS v FROM ({O.identities_sql('ranked', 'rk')})),\n"
+            "lists AS MATERIALIZED (SELECT id AS rk, list(v) AS vs FROM numbered GROUP BY id),\n"
+            "walk AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS taken, FALSE AS keep UNION ALL "
+            "SELECT l.rk, CASE WHEN list_has_any(w.taken, l.vs) THEN w.taken ELSE list_concat(w.taken, l.vs) END, "
+            "NOT list_has_any(w.taken, l.vs) FROM walk w JOIN lists l ON l.rk = w.rk + 1),\n"
+            "kept AS MATERIALIZED (SELECT ranked.* FROM ranked JOIN walk USING (rk) WHERE walk.keep)")
+
+
+def greedy_dedupe() -> str:
+    return (f"WITH RECURSIVE {O.postings_cte()},\n p AS (SELECT ord, {O.identity_cols()} FROM postings),\n"
+            f"{_kept_ctes('p', 'ord')}\nSELECT ord, job_key FROM kept")
+
+
+def _fresh() -> str:
+    """``m``, ``fresh`` (matches minus seen), ``kept`` of them and ``top``, the digest's rows."""
+    return (_matched().replace("WITH ", "WITH RECURSIVE ", 1)
+            + f", mi AS MATERIALIZED (SELECT *, {O.identity_cols()} FROM m WHERE reject_reason IS NULL),\n{_seen_ctes()},\n"
+            f"mids AS ({O.identities_sql('mi')}),\n"
+            "fresh AS (SELECT * FROM mi WHERE ord NOT IN (SELECT mids.id FROM mids JOIN si USING (kind, value))),\n"
+            f"{_kept_ctes('fresh', 'score DESC, lower(title), ord')},\n"
+            "placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rk) AS position FROM kept),\n"
+            f"top AS MATERIALIZED (SELECT * FROM placed WHERE position <= {FIXTURE_PREFS.max_jobs})\n")
+
+
+_BACKLOG = f"(SELECT greatest(count(*) - {FIXTURE_PREFS.max_jobs}, 0) FROM placed)"
+_REMOTE = "coalesce(remote, FALSE) OR coalesce(list_contains(reasons, 'remote'), FALSE)"
+
+
+def digest_topn_backlog() -> str:
+    return _fresh() + f"SELECT position, job_key, score, title, {_BACKLOG} AS backlog FROM top"
+
+
+def backlog_drain() -> str:
+    cap = FIXTURE_PREFS.max_jobs
+    return _fresh() + (f"SELECT CAST((position + {cap - 1}) // {cap} AS INTEGER) AS run, count(*) AS delivered, "
+                       "(SELECT count(*) FROM placed) - max(position) AS backlog FROM placed GROUP BY 1")
+
+
+def run_summary() -> str:
+    counts = ", ".join(f"(SELECT count(*) FROM m WHERE reject_reason = '{r}') AS {r}" for r in dims.REASONS)
+    evidence = ("CASE coalesce(sponsorship, '') WHEN 'yes' THEN TRUE WHEN 'no' THEN FALSE ELSE "
+                "len(list_filter(reasons, lambda r: starts_with(r, 'visa:') AND r <> 'visa:restricted')) > 0 END")
+    matched = "(SELECT count(*) FROM m WHERE reject_reason IS NULL)"
+    return _fresh() + (
+        f"SELECT (SELECT count(*) FROM m) AS fetched, {matched} AS matched, (SELECT count(*) FROM top) AS new, "
+        f"{matched} - (SELECT count(*) FROM placed) AS already_seen, {_BACKLOG} AS backlog, {counts}, "
+        f"(SELECT count(*) FROM m WHERE {O.in_list('reject_reason', dims.HEADLINE_REJECTED)}) AS rejected, "
+        f"(SELECT count(*) FROM top WHERE {evidence}) AS visa_count, (SELECT count(*) FROM top WHERE {_REMOTE}) AS remote_count, "
+        f"{O.lit(FIXTURE_PREFS.home())} AS based_in")
+
+
+def digest_grouped() -> str:
+    loc = "lower(coalesce(location, ''))"
+    case = lambda table: " ".join(f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in table.items())
+    noted = lambda head: f"{O.lit(head)} || CASE WHEN {why} <> '' THEN ' — ' || {why} ELSE '' END"
+    why, spons, shown = "trim(coalesce(sponsorship_reason, ''))", "coalesce(sponsorship, '')", "coalesce(highlight, '')"
+    has = lambda r: f"coalesce(list_contains(reasons, {O.lit(r)}), FALSE)"
+    sec = f"(epoch({O.ts(FIXTURE_NOW)}) - epoch(posted_at))"
+    hours = f"CAST(floor({sec} / 3600) AS BIGINT)"
+    return _fresh() + (
+        f", c AS (SELECT *, {O.country_bucket(loc, O.segments(loc), _REMOTE)} AS country FROM top),\n"
+        "g AS (SELECT *, max(score) OVER (PARTITION BY country) AS best FROM c)\n"
+        "SELECT row_number() OVER (ORDER BY country = 'Other', best DESC, country, score DESC, lower(title), ord) AS n, country, "
+        f"CASE country {case(dims.COUNTRY_FLAGS)} ELSE {O.lit(dims.DEFAULT_FLAG)} END || ' ' || country AS country_label, "
+        f"job_key, title, score, CASE WHEN {has('hybrid')} THEN 'Hybrid' WHEN {_REMOTE} THEN 'Remote' "
+        f"WHEN {has('onsite')} THEN 'On-site' ELSE '' END AS work_mode, "
+        f"CASE WHEN posted_at IS NULL THEN '' WHEN {sec} < 3600 THEN 'just now' WHEN {hours} < 24 THEN CAST({hours} AS VARCHAR) || 'h ago' "
+        f"ELSE CAST(CAST(floor({hours} / 24) AS BIGINT) AS VARCHAR) || 'd ago' END AS age, "
+        f"CASE WHEN {spons} = 'yes' THEN {noted('Visa sponsorship likely')} WHEN {spons} = 'no' THEN {noted('Sponsorship unlikely')} "
+        f"WHEN {shown} <> '' THEN {shown} WHEN {has('visa:sponsor-register')} THEN {O.lit(dims.HL_REGISTER)} ELSE '' END AS visa_note, "
+        f"CASE WHEN starts_with({shown}, 'Open ') AND {spons} = '' THEN '🌍' ELSE '✈' END AS icon, "
+        f"CASE source {case(dims.SOURCE_NAMES)} ELSE source END AS source_label FROM g")
+
+
+def visa_excerpt() -> str:
+    """Windows as islands of touching spans, cut where their running length meets the budget."""
+    head, pad, budget = dims.EXCERPT_HEAD, dims.EXCERPT_WINDOW, dims.EXCERPT_BUDGET
+    term = O.lit("(?i)(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in dims.VISA_TERMS) + ")")
+    return (
+        f"WITH b AS (SELECT doc_id, {O.ws_strip("coalesce(text, '')")} AS body FROM documents), "
+        f"r AS (SELECT *, substr(body, {head + 1}) AS rest FROM b WHERE length(body) > {budget}), "
+        f"t AS (SELECT doc_id, length(body) AS n, unnest(string_split_regex(rest, {term})) AS gap, "
+        f"unnest(regexp_extract_all(rest, {term})) AS term, generate_subscripts(string_split_regex(rest, {term}), 1) AS i FROM r), "
+        f"e AS (SELECT *, {head} + sum(length(gap) + coalesce(length(term), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM t), "
+        f"w AS (SELECT doc_id, 0 AS lo, {head} AS hi FROM r UNION ALL "
+        f"SELECT doc_id, greatest({head}, stop - length(term) - {pad}), least(n, stop + {pad}) FROM e WHERE term IS NOT NULL), "
+        "x AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w), "
+        "y AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo, hi "
+        "ROWS UNBOUNDED PRECEDING) AS island FROM x), "
+        "z AS (SELECT doc_id, island, min(lo) AS lo, max(hi) AS hi FROM y GROUP BY doc_id, island), "
+        f"q AS (SELECT *, {budget} - coalesce(sum(hi - lo) OVER (PARTITION BY doc_id ORDER BY island "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM z) "
+        f"SELECT doc_id, string_agg(substr(body, CAST(lo + 1 AS BIGINT), CAST(least(hi - lo, room) AS BIGINT)), {O.lit(dims.EXCERPT_JOIN)} "
+        f"ORDER BY island) AS excerpt FROM q JOIN b USING (doc_id) WHERE room > 0 AND hi > lo GROUP BY doc_id "
+        f"UNION ALL SELECT doc_id, body FROM b WHERE length(body) <= {budget}")
+
+
 ORACLE = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -274,4 +376,10 @@ ORACLE = {
     "page_prefix": page_prefix,
     "verdict_cache": verdict_cache,
     "tumbling_event_counts": tumbling_event_counts,
+    "greedy_dedupe": greedy_dedupe,
+    "digest_topn_backlog": digest_topn_backlog,
+    "digest_grouped": digest_grouped,
+    "run_summary": run_summary,
+    "backlog_drain": backlog_drain,
+    "visa_excerpt": visa_excerpt,
 }
