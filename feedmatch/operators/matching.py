@@ -138,14 +138,14 @@ _STOP_RX = (f"(?<!{_LETTERS})"
             f"(?!{_LETTERS})")
 
 
-def stopwords_found(h: Column) -> Column:
-    """The function words of all languages in the first 6000 characters, in order.
+def stopwords_found(h: Column, window: int | None = dims.LANGUAGE_WINDOW_CHARS) -> Column:
+    """The function words of all languages in the first ``window`` characters (None: the whole text), in order.
 
     A word is a maximal run of the WORD class, so guarding the trie of all
     stopwords with that same class extracts exactly the words Python's
     tokenizer would count, in one pass.
     """
-    return F.regexp_extract_all(F.substring(h, 1, dims.LANGUAGE_WINDOW_CHARS), F.lit(_STOP_RX), 0)
+    return F.regexp_extract_all(h if window is None else F.substring(h, 1, window), F.lit(_STOP_RX), 0)
 
 
 def language_counts(found: Column) -> Column:
@@ -308,7 +308,7 @@ def match(postings: DataFrame, prefs: Prefs, now: datetime,
     df = ensure_parallelism(postings, *key).withColumn("company_norm", fold_company(F.col("company")))
     if register is not None:
         flagged = register.select("company_norm").withColumn("on_register", F.lit(True))
-        df = skew_safe_join(df, flagged, ["company_norm"], "left", salt_by=F.col("ord"))
+        df = skew_safe_join(df, flagged, ["company_norm"], "left", salt_by=F.xxhash64("ord"))
         on_register = F.coalesce(F.col("on_register"), F.lit(False)) & (F.col("company_norm") != "")
     else:
         on_register = F.lit(False)

@@ -70,7 +70,7 @@ def url_normalize_dups() -> str:
 
 
 def posting_language_confusion() -> str:
-    counts = O.posting_language("h")
+    counts = O.posting_language("h", None)
     cols = ", ".join(f"{expr} AS c_{lang}" for lang, expr in counts.items())
     return (f"WITH d AS (SELECT lang, lower({O.strip_html('text')}) AS h FROM documents),\n"
             f"c AS (SELECT lang, {cols} FROM d)\n"
@@ -351,7 +351,35 @@ def visa_excerpt() -> str:
         f"UNION ALL SELECT doc_id, body FROM b WHERE length(body) <= {budget}")
 
 
+def map_sources_union() -> str:
+    """What each board's shape keeps of a posting, stated without the detour over JSON."""
+    of = lambda cases, rest="NULL": "CASE i " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + f" ELSE {rest} END"
+    names = ("greenhouse", "lever", "ashby", "remotive", "arbeitnow", "remoteok", "jobicy", "himalayas", "adzuna")
+    loc, has_remote = "loc", "contains(lower(loc), 'remote')"
+    range_ = "format('{:,}', doc_id * 100) || '–' || format('{:,}', doc_id * 130)"
+    dollars = "'$' || format('{:,}', doc_id * 100) || '–$' || format('{:,}', doc_id * 130)"
+    words = "'engineer|developer|software|devops|python|data'"
+    first_tag, all_tags = "coalesce(nullif(tags[1], ''), '')", "array_to_string(tags, ',')"
+    parts = (f"list_filter(list_transform(string_split_regex(loc, '[,/;|&]'), lambda x: {O.ws_strip('x')}), lambda x: x <> '')")
+    return (
+        f"WITH {O.postings_cte()}, p AS (SELECT *, doc_id % 9 AS i, {O.ws_strip("coalesce(location, '')")} AS loc, "
+        f"{O.ws_strip('title')} AS t, {O.ws_strip('url')} AS u, {O.ws_strip("coalesce(company, '')")} AS co FROM postings "
+        "WHERE doc_id % 50 <> 0)\n"
+        f"SELECT {of({k: O.lit(n) for k, n in enumerate(names)})} AS source, "
+        f"{of({0: "'b0:' || doc_id", 1: "'b1:' || source_id", 2: "'b2:' || source_id", 4: "'s-' || source_id", 7: 'u', 8: 'source_id'}, 'CAST(doc_id AS VARCHAR)')} AS source_id, "
+        f"t AS title, {of({0: "coalesce(nullif(co, ''), 'b0')", 1: "'b1'", 2: "coalesce(nullif(co, ''), 'b2')"}, 'co')} AS company, u AS url, "
+        f"{of({5: "coalesce(nullif(loc, ''), 'Remote')", 6: "coalesce(nullif(loc, ''), 'Anywhere')", 7: "coalesce(nullif(loc, ''), 'Worldwide')", 8: "coalesce(nullif(loc, ''), 'B8')"}, loc)} AS location, "
+        f"{of({0: has_remote, 1: f'coalesce(remote, FALSE) OR {has_remote}', 2: f'coalesce(remote, {has_remote})', 4: 'CASE WHEN doc_id % 2 = 0 THEN remote END', 8: f"contains(lower(t || ' ' || coalesce(nullif(loc, ''), 'B8') || ' ' || {O.strip_html("coalesce(description, '')")}), 'remote')"}, 'TRUE')} AS remote, "
+        f"strftime(posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at, "
+        f"{of({5: dollars, 6: f"'EUR ' || {range_} || ' / year'", 7: f"'USD ' || {range_}"})} AS salary, "
+        f"{of({4: "'full time'"})} AS job_type, "
+        f"{of({0: first_tag, 1: first_tag, 3: all_tags, 5: all_tags, 6: all_tags, 8: "'b8'"}, "''")} AS tags, "
+        f"{of({6: f"CASE WHEN len({parts}) > 0 THEN array_to_string({parts}, '|') ELSE 'Anywhere' END", 7: "coalesce(nullif(loc, ''), 'Worldwide')"})} AS regions "
+        f"FROM p WHERE t <> '' AND u <> '' AND (i <> 3 OR regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words}))")
+
+
 ORACLE = {
+    "map_sources_union": map_sources_union,
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
     "company_fold": company_fold,

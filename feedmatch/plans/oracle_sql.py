@@ -148,8 +148,9 @@ def remote_allowed(loc: str, segs: str, h: str, prefs: Prefs) -> str:
     return "(" + (" AND ".join(conds) if conds else "TRUE") + ")"
 
 
-def posting_language(h: str) -> str:
-    words = f"regexp_extract_all(substr({h}, 1, {dims.LANGUAGE_WINDOW_CHARS}), {lit(P.WORD)})"
+def posting_language(h: str, window: int | None = dims.LANGUAGE_WINDOW_CHARS) -> dict[str, str]:
+    read = h if window is None else f"substr({h}, 1, {window})"
+    words = f"regexp_extract_all({read}, {lit(P.WORD)})"
     counts = {lang: f"len(list_filter({words}, lambda w: list_contains({arr(ws)}, w)))"
               for lang, ws in dims.STOPWORDS.items()}
     return counts

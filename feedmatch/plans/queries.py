@@ -137,7 +137,7 @@ def url_normalize_dups(spark, sf_dir):
 def posting_language_confusion(spark, sf_dir):
     d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
     h = F.lower(strip_html(F.col("text")))
-    found = d.select("lang", M.stopwords_found(h).alias("found"))
+    found = d.select("lang", M.stopwords_found(h, window=None).alias("found"))
     counted = found.select("lang", M.language_counts(F.col("found")).alias("counts"))
     return (counted.select("lang", M.language_of(F.col("counts")).alias("detected"))
                    .groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n")))
@@ -417,22 +417,20 @@ def _shape_records(p: DataFrame) -> dict:
 
 def map_sources_union(spark, sf_dir):
     """SRC-02..12/18: postings re-serialised per board shape (source by doc_id % 9), parsed
-    back through the envelope reader and mapped by the per-source specs, then unioned."""
-    from feedmatch.sources.mapping import ORDER, map_all
+    back through the envelope reader and mapped by the source of each record."""
+    from feedmatch.sources.mapping import ORDER, map_records
     from feedmatch.sources.payloads import records
-    p = postings_fx(spark, sf_dir).filter(F.col("source") != "agg")
-    shapes = _shape_records(p)
-    by_source = {}
-    for i, name in enumerate(ORDER):
-        rows = p.filter(F.col("doc_id") % 9 == i)
-        body = F.concat(F.lit('{"jobs": ['), F.to_json(shapes[name]), F.lit("]}"))
-        payload = rows.select(F.lit("b" + str(i)).alias("board"),
-                              (F.col("doc_id") / 20).cast("bigint").alias("page"), body.alias("body"))
-        by_source[name] = records(payload, "body", ("jobs", "data", "results"), keep=("board", "page"))
-    m = map_all(by_source)
+    p = postings_fx(spark, sf_dir)
+    shapes, number = _shape_records(p), F.col("doc_id") % len(ORDER)
+    shape = F.coalesce(*[F.when(number == i, F.to_json(shapes[name])) for i, name in enumerate(ORDER)])
+    payloads = p.select(F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int")).alias("source"),
+                        F.concat(F.lit("b"), number.cast("string")).alias("board"),
+                        (F.col("doc_id") / 20).cast("bigint").alias("page"),
+                        F.concat(F.lit('{"jobs": ['), shape, F.lit("]}")).alias("body"))
+    m = map_records(records(payloads, "body", ("jobs", "data", "results"), keep=("source", "board", "page")))
     return m.select("source", "source_id", "title", "company", "url", "location", "remote",
                     F.col("posted_at").cast("string").alias("posted_at"), "salary", "job_type",
-                    F.array_join("tags", ",").alias("tags"))
+                    F.array_join("tags", ",").alias("tags"), F.array_join("extra.eligible_regions", "|").alias("regions"))
 
 
 def tumbling_event_counts(spark, sf_dir):

@@ -20,8 +20,10 @@ R = F.col("record")
 
 
 def s(path: str) -> Column:
-    """A field as text (numbers are rendered as text), trimmed; '' when absent."""
-    return strip_ws(F.coalesce(F.try_variant_get(R, f"$.{path}", "string"), F.lit("")))
+    """A field as text (numbers are rendered as text), trimmed; '' when absent or a list or object."""
+    kind = F.schema_of_variant(F.try_variant_get(R, f"$.{path}", "variant"))
+    text = F.when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.try_variant_get(R, f"$.{path}", "string"))
+    return strip_ws(F.coalesce(text, F.lit("")))
 
 
 def first(*paths: str) -> Column:
@@ -71,8 +73,45 @@ def contains_remote(*cols: Column) -> Column:
     return F.lower(F.concat_ws(" ", *cols)).contains("remote")
 
 
+def has(path: str) -> Column:
+    """Whether the record names the field, whatever it holds."""
+    return F.try_variant_get(R, f"$.{path}", "variant").isNotNull()
+
+
+def bound(path: str, missing: str = "?") -> Column:
+    """A salary bound as the source writes it."""
+    return F.coalesce(F.nullif(s(path), F.lit("")), F.lit(missing))
+
+
+def dollars() -> Column:
+    """Remote OK: both bounds, or whichever is a positive number."""
+    amount = lambda path: F.nullif(F.when(num(path) > 0, F.floor(num(path))), F.lit(0))
+    shown = F.array_compact(F.array(*[F.concat(F.lit("$"), F.format_number(amount(p), 0)) for p in ("salary_min", "salary_max")]))
+    return F.nullif(F.array_join(shown, "–"), F.lit(""))
+
+
+def technical() -> Column:
+    """SRC-06: a software category, or a technical word in title or tags."""
+    category = F.lower(s("category"))
+    blob = F.lower(F.concat_ws(" ", s("title"), F.array_join(text_list("tags"), " ")))
+    return category.contains("software") | any_of(blob, TECHNICAL_WORDS)
+
+
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+
+
+# --- fixed values: words of technical roles outside the software category ----------------
+TECHNICAL_WORDS = ("engineer", "developer", "software", "devops", "python", "data")
+
 BOARD = F.col("board")
 
+
+def regions_or(parts: Column, default: str) -> Column:
+    named = F.filter(F.transform(parts, strip_ws), lambda r: r != "")
+    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(default)))
+
+
 def board_id() -> Column:
     """An id that is unique across the boards of a source; '' when the record has none."""
     return F.when(s("id") != "", F.concat(BOARD, F.lit(":"), s("id"))).otherwise("")
@@ -96,7 +135,12 @@ SOURCES: dict[str, dict[str, Column]] = {
                                  F.nullif(s("categories.department"), F.lit("")),
                                  F.nullif(s("categories.commitment"), F.lit(""))), lambda x: x.isNotNull()),
         "remote": (F.lower(s("workplaceType")) == "remote") | contains_remote(s("categories.location")),
-        "posted_at": instant("createdAt"), "salary": F.nullif(s("salaryDescription"), F.lit("")),
+        "posted_at": instant("createdAt"), 
+        "salary": F.coalesce(
+            F.nullif(s("salaryDescription"), F.lit("")),
+            F.when((s("salaryRange.min") != "") | (s("salaryRange.max") != ""), F.trim(F.concat(
+                s("salaryRange.currency"), F.lit(" "), bound("salaryRange.min"), F.lit("–"), bound("salaryRange.max"))))),
+        "extra": {"board": BOARD, "workplace_type": F.nullif(F.lower(s("workplaceType")), F.lit(""))},
         "job_type": F.nullif(s("categories.commitment"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
     "ashby": {
         "source_id": board_id(), "title": s("title"), "url": first("jobUrl", "applyUrl"),
@@ -112,6 +156,7 @@ SOURCES: dict[str, dict[str, Column]] = {
         "source_id": s("id"), "title": s("title"), "url": s("url"), "company": s("company_name"),
         "location": first("candidate_required_location", "job_type"), "description": strip_html(s("description")),
         "tags": text_list("tags"), "remote": F.lit(True), "posted_at": instant("publication_date"),
+        "extra": {"category": F.nullif(s("category"), F.lit(""))}, "wanted": technical(),
         "salary": F.nullif(s("salary"), F.lit("")), "job_type": F.nullif(s("job_type"), F.lit("")),
         "visa_sponsorship": F.lit(None).cast("boolean")},
     "arbeitnow": {
@@ -127,17 +172,17 @@ SOURCES: dict[str, dict[str, Column]] = {
         "location": F.coalesce(F.nullif(s("location"), F.lit("")), F.lit("Remote")),
         "description": strip_html(s("description")), "tags": text_list("tags"), "remote": F.lit(True),
         "posted_at": F.coalesce(instant("date"), instant("epoch")),
-        "salary": F.when((num("salary_min") > 0) & (num("salary_max") > 0),
-                         F.concat(F.lit("$"), F.format_number(F.floor(num("salary_min")), 0), F.lit("–$"),
-                                  F.format_number(F.floor(num("salary_max")), 0))),
+        "salary": dollars(),
         "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
     "jobicy": {
         "source_id": s("id"), "title": first("jobTitle", "title"), "url": s("url"), "company": s("companyName"),
         "location": F.coalesce(F.nullif(s("jobGeo"), F.lit("")), F.lit("Anywhere")),
         "description": strip_html(first("jobDescription", "jobExcerpt")), "tags": text_list("jobIndustry"),
         "remote": F.lit(True), "posted_at": instant("pubDate"),
-        "salary": format_salary(F.coalesce(num("salaryMin"), num("annualSalaryMin")),
-                                F.coalesce(num("salaryMax"), num("annualSalaryMax")),
+        "extra": {"eligible_regions": regions_or(F.split(s("jobGeo"), REGION_SPLIT), "Anywhere"),
+                  "level": F.when(F.lower(s("jobLevel")) != "any", F.nullif(s("jobLevel"), F.lit("")))},
+        "salary": format_salary(F.when(has("salaryMin"), num("salaryMin")).otherwise(num("annualSalaryMin")),
+                                F.when(has("salaryMax"), num("salaryMax")).otherwise(num("annualSalaryMax")),
                                 F.nullif(s("salaryCurrency"), F.lit("")), s("salaryPeriod")),
         "job_type": F.nullif(F.array_join(text_list("jobType"), ", "), F.lit("")),
         "visa_sponsorship": F.lit(None).cast("boolean")},
@@ -148,6 +193,8 @@ SOURCES: dict[str, dict[str, Column]] = {
                                F.lit("Worldwide")),
         "description": strip_html(first("description", "excerpt")), "tags": names("categories"),
         "remote": F.lit(True), "posted_at": F.coalesce(instant("pubDate"), instant("publishedAt")),
+        "extra": {"eligible_regions": regions_or(names("locationRestrictions"), "Worldwide"),
+                  "level": F.nullif(F.array_join(names("seniority"), ", "), F.lit(""))},
         "salary": format_salary(num("minSalary"), num("maxSalary"), F.nullif(s("currency"), F.lit("")),
                                 s("salaryPeriod")),
         "job_type": F.nullif(s("employmentType"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
@@ -159,34 +206,48 @@ SOURCES: dict[str, dict[str, Column]] = {
         "description": strip_html(s("description")), "tags": F.array(BOARD),
         "remote": contains_remote(s("title"), s("location.display_name"), F.array_join(text_list("location.area"), ", "),
                                   s("description")),
-        "posted_at": instant("created"), "salary": F.lit(None).cast("string"),
+        "posted_at": instant("created"),
+        "salary": F.when((F.coalesce(num("salary_min"), F.lit(0.0)) != 0) | (F.coalesce(num("salary_max"), F.lit(0.0)) != 0),
+                         F.concat(bound("salary_min"), F.lit("–"), bound("salary_max"))),
+        "extra": {"country": BOARD, "category": F.nullif(s("category.label"), F.lit(""))},
         "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
 }
 REQUIRED = ("source_id", "title", "url")
 ORDER = tuple(SOURCES)  # registry order: the global fetch-order tie-break (SRC-17)
+FIELDS = ("source_id", "title", "url", "company", "location", "description", "tags", "remote", "posted_at", "salary",
+          "job_type", "visa_sponsorship")
+EXTRA_TYPES = {"board": "string", "workplace_type": "string", "category": "string", "country": "string",
+               "level": "string", "eligible_regions": "array<string>"}
 
 
-def map_source(records: DataFrame, name: str) -> DataFrame:
-    """Map one source's records (columns: record, board, page, pos) to postings (SRC-12 applied)."""
-    spec = SOURCES[name]
-    out = records.select(F.lit(name).alias("source"), *[c.alias(k) for k, c in spec.items()],
-                         s("id").alias("_rid"), "page", "pos", "board")
-    ok = (F.col("source_id") != "") & (F.col("title") != "") & (F.col("url") != "")
-    if name == "greenhouse":
-        ok = ok & (F.col("_rid") != "")
-    return out.filter(ok).drop("_rid")
-
-
-def map_all(records_by_source: dict[str, DataFrame]) -> DataFrame:
-    """SRC-18: union of every mapped source, with an explicit fetch-order key."""
-    frames = []
-    for rank, name in enumerate(ORDER):
-        if name in records_by_source:
-            frames.append(map_source(records_by_source[name], name).withColumn("source_rank", F.lit(rank)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def _of_source(expression) -> Column:
+    """``expression(spec)`` of each record's own source, NULL for unknown sources."""
+    return F.coalesce(*[F.when(F.col("source") == name, expression(spec)) for name, spec in SOURCES.items()])
+
+
+def map_records(records: DataFrame) -> DataFrame:
+    """SRC-02..12, 17, 18: postings from records of all sources (columns source, board, page, pos, record), in one pass.
+
+    Records without an id, a title or a url are dropped before their other
+    fields are read, as are those that their source doesn't want.  ``extra``
+    and ``ord`` (fetch order) have the form that the matching rules take.
+    """
+    def usable(spec: dict) -> Column:
+        named = [spec[k] != "" for k in REQUIRED]
+        ok = spec.get("wanted", F.lit(True))
+        for test in named + ([s("id") != ""] if spec is SOURCES["greenhouse"] else []):
+            ok = ok & test
+        return ok
+
+    def fields(spec: dict) -> Column:
+        extra = spec.get("extra", {})
+        extra = F.struct(*[extra.get(k, F.lit(None)).cast(t).alias(k) for k, t in EXTRA_TYPES.items()])
+        return F.struct(*[spec[k].alias(k) for k in FIELDS], extra.alias("extra"))
+
+    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
+    kept = records.filter(F.coalesce(_of_source(usable), F.lit(False)))
+    return kept.select("source", _of_source(fields).alias("m"),
+                       F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")).select("source", "m.*", "ord")
 
 
 ATS = ("greenhouse", "lever", "ashby")
