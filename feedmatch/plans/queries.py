@@ -420,7 +420,7 @@ def map_sources_union(spark, sf_dir):
     back through the envelope reader and mapped by the source of each record."""
     from feedmatch.sources.mapping import ORDER, map_records
     from feedmatch.sources.payloads import records
-    p = postings_fx(spark, sf_dir)
+    p = ensure_parallelism(postings_fx(spark, sf_dir), "ord")
     shapes, number = _shape_records(p), F.col("doc_id") % len(ORDER)
     shape = F.coalesce(*[F.when(number == i, F.to_json(shapes[name])) for i, name in enumerate(ORDER)])
     payloads = p.select(F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int")).alias("source"),

@@ -246,8 +246,9 @@ def map_records(records: DataFrame) -> DataFrame:
 
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
     kept = records.filter(F.coalesce(_of_source(usable), F.lit(False)))
-    return kept.select("source", _of_source(fields).alias("m"),
-                       F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")).select("source", "m.*", "ord")
+    order = F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")
+    # A generator evaluates the record's fields once; a struct column would be inlined per field.
+    return kept.select("source", order, F.inline(F.array(_of_source(fields))))
 
 
 ATS = ("greenhouse", "lever", "ashby")
