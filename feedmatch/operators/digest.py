@@ -74,6 +74,38 @@ def byte_budget(blocks: DataFrame, group: str, order: str, block_col: str, budge
                       .cast("bigint").alias("body_bytes"))
 
 
+def shown_remote(reasons: Column) -> Column:
+    """PRJ-07: whether a match is shown as remote."""
+    return F.coalesce((F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote"), F.lit(False))
+
+
+def work_mode(reasons: Column, remote: Column) -> Column:
+    """PRJ-07: the work mode's label, '' when none is known."""
+    return (F.when(F.array_contains(reasons, "hybrid"), F.lit("Hybrid")).when(remote, F.lit("Remote"))
+             .when(F.array_contains(reasons, "onsite"), F.lit("On-site")).otherwise(F.lit("")))
+
+
+def facts(matches: DataFrame, now) -> DataFrame:
+    """PRJ-10: the lines printed under each match, as arrays and texts beside its columns."""
+    from feedmatch import dims
+    from feedmatch.functions.dates import relative_age
+
+    filled = lambda *parts: F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != ""))
+    reasons = F.coalesce(F.col("reasons"), F.array().cast("array<string>"))
+    level = F.when(F.col("seniority") != dims.UNKNOWN_LEVEL, F.col("seniority"))
+    age = relative_age(F.col("posted_at"), now)
+    why_not = F.trim(F.coalesce(F.col("sponsorship_reason"), F.lit("")))
+    named = F.coalesce(F.nullif(F.col("location"), F.lit("")), F.lit("Location n/a"))
+    return matches.withColumns({
+        "details": filled(work_mode(reasons, shown_remote(reasons)), F.initcap(level), age, F.col("salary")),
+        "facts": filled(named, F.col("source"), level, age, F.col("salary"), F.concat(F.lit("score "), F.col("score").cast("string"))),
+        "why": F.coalesce(F.nullif(F.array_join(reasons, ", "), F.lit("")), F.lit("matched prefs")),
+        "sponsorship_line": F.when(F.coalesce(F.col("sponsorship"), F.lit("")) == "", F.lit(""))
+                             .otherwise(F.concat(F.lit("sponsorship: "), F.col("sponsorship"),
+                                                 F.when(why_not != "", F.concat(F.lit(" — "), why_not)).otherwise(F.lit("")))),
+    })
+
+
 def group_digest(top: DataFrame, now) -> DataFrame:
     """WIN-02/03 + PRJ-07/09/11 over the capped digest rows (at most ``cap`` rows, so the
     global windows here are bounded by the cap, never by the data).
@@ -87,11 +119,10 @@ def group_digest(top: DataFrame, now) -> DataFrame:
     from feedmatch.operators.dedupe import country_bucket
 
     reasons = F.coalesce(F.col("reasons"), F.array().cast("array<string>"))
-    shown_remote = (F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote")
     loc_l = F.lower(F.coalesce(F.col("location"), F.lit("")))
     d = top.withColumns({
-        "_remote": F.coalesce(shown_remote, F.lit(False)),
-        "country": country_bucket(loc_l, segments(loc_l), F.coalesce(shown_remote, F.lit(False))),
+        "_remote": shown_remote(reasons),
+        "country": country_bucket(loc_l, segments(loc_l), shown_remote(reasons)),
     })
     d = d.withColumn("_group_best", F.max("score").over(Window.partitionBy("country")))
     order = [(F.col("country") == "Other").asc(), F.col("_group_best").desc(), F.col("country").asc(),
@@ -108,8 +139,7 @@ def group_digest(top: DataFrame, now) -> DataFrame:
         F.concat(F.coalesce(F.try_element_at(flags, F.col("country")), F.lit(dims.DEFAULT_FLAG)),
                  F.lit(" "), F.col("country")).alias("country_label"),
         "job_key", "title", "score",
-        F.when(F.array_contains(reasons, "hybrid"), F.lit("Hybrid")).when(F.col("_remote"), F.lit("Remote"))
-         .when(F.array_contains(reasons, "onsite"), F.lit("On-site")).otherwise(F.lit("")).alias("work_mode"),
+        work_mode(reasons, F.col("_remote")).alias("work_mode"),
         relative_age(F.col("posted_at"), now).alias("age"),
         F.when(sponsorship == "yes", with_reason("Visa sponsorship likely"))
          .when(sponsorship == "no", with_reason("Sponsorship unlikely"))

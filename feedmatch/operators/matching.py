@@ -431,3 +431,10 @@ HEAVY_COLUMNS = ("description", "haystack", "segments", "places", "written_in",
 def narrow(matched: DataFrame) -> DataFrame:
     """The annotated postings without the text-sized columns (for materialising)."""
     return matched.drop(*[c for c in HEAVY_COLUMNS if c in matched.columns])
+
+
+def rejects(matched: DataFrame) -> DataFrame:
+    """SNK-07: the audit of dropped postings, to be written with ``partitionBy("reject_reason")``."""
+    return (matched.filter(F.col("reject_reason").isNotNull())
+                   .select("ord", F.concat(F.col("source"), F.lit(":"), F.col("source_id")).alias("job_key"),
+                           "reject_reason", F.coalesce("reloc_reason", F.lit("")).alias("reloc_reason")))

@@ -8,18 +8,77 @@ from feedmatch import dims
 from feedmatch.plans import oracle_sql as O
 from feedmatch.plans.queries import DOC_KEYWORDS
 from feedmatch.functions.regex import DUCKDB
-from feedmatch.prefs import FIXTURE_NOW, FIXTURE_PREFS
+from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
 from feedmatch.sources import fixtures as fx
 
 
-def _matched() -> str:
-    return f"WITH {O.postings_cte()},\n{O.register_ctes()},\n{O.matched_ctes(FIXTURE_PREFS, FIXTURE_NOW)}\n"
+def _matched(prefs=FIXTURE_PREFS) -> str:
+    return f"WITH {O.postings_cte()},\n{O.register_ctes()},\n{O.matched_ctes(prefs, FIXTURE_NOW)}\n"
 
 
 def funnel_counts() -> str:
     return _matched() + "SELECT coalesce(reject_reason, 'matched') AS reason, count(*) AS n FROM m GROUP BY 1"
 
 
+def funnel_counts_strict() -> str:
+    return _matched(STRICT_PREFS) + "SELECT coalesce(reject_reason, 'matched') AS reason, count(*) AS n FROM m GROUP BY 1"
+
+
+def relocation_evidence() -> str:
+    return _matched(EVIDENCE_PREFS) + ("SELECT reject_reason, coalesce(reloc_reason, '') AS reloc_reason, count(*) AS n, "
+                                       "CAST(sum(score) AS BIGINT) AS score FROM m GROUP BY 1, 2")
+
+
+def rejects() -> str:
+    return _matched() + ("SELECT ord, source || ':' || source_id AS job_key, reject_reason, "
+                         "coalesce(reloc_reason, '') AS reloc_reason FROM m WHERE reject_reason IS NOT NULL")
+
+
+def digest_facts() -> str:
+    sec = f"(epoch({O.ts(FIXTURE_NOW)}) - epoch(posted_at))"
+    hours = f"CAST(floor({sec} / 3600) AS BIGINT)"
+    age = (f"CASE WHEN posted_at IS NULL THEN '' WHEN {sec} < 3600 THEN 'just now' WHEN {hours} < 24 THEN CAST({hours} AS VARCHAR) || 'h ago' "
+           f"ELSE CAST(CAST(floor({hours} / 24) AS BIGINT) AS VARCHAR) || 'd ago' END")
+    has = lambda r: f"list_contains(reasons, {O.lit(r)})"
+    mode = f"CASE WHEN {has('hybrid')} THEN 'Hybrid' WHEN {_REMOTE} THEN 'Remote' WHEN {has('onsite')} THEN 'On-site' END"
+    line = lambda *parts: f"concat_ws(' · ', {', '.join(f'nullif({x}, {chr(39) * 2})' for x in parts)})"
+    level = "CASE WHEN seniority <> 'unknown' THEN seniority END"
+    return _matched() + (
+        f"SELECT ord, {line(mode, O.initcap(f'({level})'), age, 'salary')} AS details, "
+        f"{line("coalesce(nullif(location, ''), 'Location n/a')", 'source', level, age, 'salary', "'score ' || CAST(score AS VARCHAR)")} AS facts, "
+        "CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ', ') ELSE 'matched prefs' END AS why, "
+        "CASE WHEN sponsorship IS NULL THEN '' ELSE 'sponsorship: ' || sponsorship || ' — ' || sponsorship_reason END AS sponsorship_line "
+        "FROM m WHERE reject_reason IS NULL")
+
+
+def _verdict_ctes() -> str:
+    """``mk`` (matches), ``v`` (usable verdicts) and ``landed`` (keys with a reply), by the document's number."""
+    return (f", v AS ({verdict_cache()}),\n"
+            "mk AS (SELECT *, source || ':' || source_id AS job_key, TRY_CAST(split_part(source_id, ':', -1) AS BIGINT) AS no FROM m "
+            "WHERE reject_reason IS NULL),\n"
+            "landed AS (SELECT source || ':' || CAST(doc_id AS VARCHAR) AS job_key FROM documents WHERE doc_id % 7 <> 0)\n")
+
+
+def verdict_applied() -> str:
+    return _matched() + _verdict_ctes() + (
+        ", o AS (SELECT mk.*, v.verdict, v.reason, CASE WHEN sponsorship IS NOT NULL THEN 'rule' WHEN l.job_key IS NULL THEN 'missing' "
+        "WHEN no % 2 = 0 THEN CASE WHEN v.verdict IS NULL THEN 'missing' ELSE 'cache' END "
+        "WHEN v.verdict IS NULL THEN 'unusable' ELSE 'reply' END AS verdict_origin "
+        "FROM mk LEFT JOIN landed l USING (job_key) LEFT JOIN v USING (job_key))\n"
+        "SELECT ord, job_key, verdict_origin, CASE verdict_origin WHEN 'rule' THEN sponsorship WHEN 'missing' THEN 'unclear' "
+        "WHEN 'unusable' THEN 'unclear' ELSE verdict END AS sponsorship, CASE verdict_origin WHEN 'rule' THEN sponsorship_reason "
+        "WHEN 'missing' THEN 'classifier unavailable' WHEN 'unusable' THEN 'classifier returned no verdict' ELSE reason END AS sponsorship_reason FROM o")
+
+
+def to_classify() -> str:
+    return _matched() + _verdict_ctes() + (
+        ", u AS (SELECT * FROM mk WHERE sponsorship IS NULL AND job_key NOT IN (SELECT v.job_key FROM v JOIN landed USING (job_key) "
+        "WHERE CAST(split_part(v.job_key, ':', -1) AS BIGINT) % 2 = 0)),\n"
+        "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_key ORDER BY ord) AS rn FROM u) WHERE rn = 1),\n"
+        f"x AS ({visa_excerpt('f', 'ord', 'description')})\n"
+        "SELECT job_key, title, company, location, excerpt FROM f JOIN x USING (ord)")
+
+
 def seniority_levels() -> str:
     allow = [a.lower() for a in FIXTURE_PREFS.seniority_allow]
     keep = str(FIXTURE_PREFS.seniority_keep_unknown).upper()
@@ -328,12 +387,12 @@ def digest_grouped() -> str:
         f"CASE source {case(dims.SOURCE_NAMES)} ELSE source END AS source_label FROM g")
 
 
-def visa_excerpt() -> str:
+def visa_excerpt(rel: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """Windows as islands of touching spans, cut where their running length meets the budget."""
     head, pad, budget = dims.EXCERPT_HEAD, dims.EXCERPT_WINDOW, dims.EXCERPT_BUDGET
     term = O.lit("(?i)(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in dims.VISA_TERMS) + ")")
     return (
-        f"WITH b AS (SELECT doc_id, {O.ws_strip("coalesce(text, '')")} AS body FROM documents), "
+        f"WITH b AS (SELECT {key} AS doc_id, {O.ws_strip(f"coalesce({text}, '')")} AS body FROM {rel}), "
         f"r AS (SELECT *, substr(body, {head + 1}) AS rest FROM b WHERE length(body) > {budget}), "
         f"t AS (SELECT doc_id, length(body) AS n, unnest(string_split_regex(rest, {term})) AS gap, "
         f"unnest(regexp_extract_all(rest, {term})) AS term, generate_subscripts(string_split_regex(rest, {term}), 1) AS i FROM r), "
@@ -346,7 +405,7 @@ def visa_excerpt() -> str:
         "z AS (SELECT doc_id, island, min(lo) AS lo, max(hi) AS hi FROM y GROUP BY doc_id, island), "
         f"q AS (SELECT *, {budget} - coalesce(sum(hi - lo) OVER (PARTITION BY doc_id ORDER BY island "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM z) "
-        f"SELECT doc_id, string_agg(substr(body, CAST(lo + 1 AS BIGINT), CAST(least(hi - lo, room) AS BIGINT)), {O.lit(dims.EXCERPT_JOIN)} "
+        f"SELECT doc_id AS {key}, string_agg(substr(body, CAST(lo + 1 AS BIGINT), CAST(least(hi - lo, room) AS BIGINT)), {O.lit(dims.EXCERPT_JOIN)} "
         f"ORDER BY island) AS excerpt FROM q JOIN b USING (doc_id) WHERE room > 0 AND hi > lo GROUP BY doc_id "
         f"UNION ALL SELECT doc_id, body FROM b WHERE length(body) <= {budget}")
 
@@ -410,4 +469,10 @@ ORACLE = {
     "run_summary": run_summary,
     "backlog_drain": backlog_drain,
     "visa_excerpt": visa_excerpt,
+    "funnel_counts_strict": funnel_counts_strict,
+    "relocation_evidence": relocation_evidence,
+    "rejects": rejects,
+    "digest_facts": digest_facts,
+    "verdict_applied": verdict_applied,
+    "to_classify": to_classify,
 }

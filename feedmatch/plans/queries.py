@@ -22,7 +22,7 @@ from feedmatch.operators import state as S
 from feedmatch.operators import matching as M
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
-from feedmatch.prefs import FIXTURE_NOW, FIXTURE_PREFS
+from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
 from feedmatch.session import cut_lineage, table
 
 # Keywords searched in the raw documents (keyword_hits): frequent function
@@ -49,12 +49,12 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _PLANS[key]
 
 
-def annotated_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotated_fx(spark: SparkSession, sf_dir: str, prefs=FIXTURE_PREFS, name: str = "matched") -> DataFrame:
     """postings_fx annotated by the funnel, as a plan: what selects a few flags computes only those."""
     def build():
         register = M.register_names(register_lines_fx(spark, sf_dir))
-        return M.narrow(M.match(postings_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, register))
-    return _memo(spark, sf_dir, "matched", build)
+        return M.narrow(M.match(postings_fx(spark, sf_dir), prefs, FIXTURE_NOW, register))
+    return _memo(spark, sf_dir, name, build)
 
 
 def matched_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,56 @@ def funnel_counts(spark, sf_dir):
              .agg(F.count(F.lit(1)).alias("n")))
 
 
+def funnel_counts_strict(spark, sf_dir):
+    """FLT-02/04/07/11/14/26: the profile whose gates are all on."""
+    m = annotated_fx(spark, sf_dir, STRICT_PREFS, "strict")
+    return (m.groupBy(F.coalesce("reject_reason", F.lit("matched")).alias("reason"))
+             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def relocation_evidence(spark, sf_dir):
+    """FLT-25 with evidence required: one row per reason, and the scores without caps and place weights."""
+    m = annotated_fx(spark, sf_dir, EVIDENCE_PREFS, "evidence")
+    return (m.groupBy("reject_reason", F.coalesce("reloc_reason", F.lit("")).alias("reloc_reason"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("score").cast("bigint").alias("score")))
+
+
+def rejects_q(spark, sf_dir):
+    return M.rejects(matched_fx(spark, sf_dir))
+
+
+def digest_facts(spark, sf_dir):
+    """PRJ-10 of every match."""
+    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull())
+    return G.facts(m, FIXTURE_NOW).select("ord", F.array_join("details", " · ").alias("details"),
+                                          F.array_join("facts", " · ").alias("facts"), "why", "sponsorship_line")
+
+
+def _replies_split(spark, sf_dir):
+    """Replies of even documents as the stored verdicts, of odd ones as what this run got; each seventh never came."""
+    from feedmatch.operators.verdicts import cacheable_verdicts
+    from feedmatch.plans.inputs import replies_fx
+    number = F.substring_index("job_key", ":", -1).cast("bigint")
+    replies = replies_fx(spark, sf_dir).filter(number % 7 != 0)
+    return cacheable_verdicts(replies.filter(number % 2 == 0)), replies.filter(number % 2 == 1)
+
+
+def verdict_applied(spark, sf_dir):
+    """JN-03 + JN-05 over every match (a run applies them to its capped digest)."""
+    from feedmatch.operators.verdicts import apply_verdicts
+    cache, replies = _replies_split(spark, sf_dir)
+    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()).withColumn("job_key", _job_key())
+    return apply_verdicts(m, cache, replies).select("ord", "job_key", "sponsorship", "sponsorship_reason", "verdict_origin")
+
+
+def to_classify_q(spark, sf_dir):
+    """EXT-04: what neither the rules nor the stored verdicts decide, with its excerpt."""
+    from feedmatch.operators.verdicts import to_classify
+    cache, _ = _replies_split(spark, sf_dir)
+    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()).withColumn("job_key", _job_key())
+    return to_classify(m, cache, postings_fx(spark, sf_dir))
+
+
 def seniority_levels(spark, sf_dir):
     p = postings_fx(spark, sf_dir)
     level = M.seniority(F.col("title"))
@@ -484,4 +534,10 @@ QUERIES = {
     "verdict_cache": verdict_cache,
     "map_sources_union": map_sources_union,
     "tumbling_event_counts": tumbling_event_counts,
+    "funnel_counts_strict": funnel_counts_strict,
+    "relocation_evidence": relocation_evidence,
+    "rejects": rejects_q,
+    "digest_facts": digest_facts,
+    "verdict_applied": verdict_applied,
+    "to_classify": to_classify_q,
 }
