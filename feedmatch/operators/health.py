@@ -15,29 +15,38 @@ from pyspark.sql import functions as F
 QUIET_ON_ERROR = ("remotive", "arbeitnow", "adzuna")
 
 
+# --- fixed values: sources fetched as one feed, not by board, whose failure is the source's own ---
+WHOLE_FEEDS = ("remotive", "arbeitnow", "remoteok", "jobicy", "himalayas", "adzuna")
+SCHEMA_MOVED = "no usable records, payload shape may have changed"
+
+
 def source_health(responses: DataFrame, compat: bool = False) -> DataFrame:
-    """``responses(source, board, status, n_records, n_mapped)`` -> one row per source.
+    """``responses(source, board, status, n_records, n_mapped[, n_broken])`` -> one row per source.
 
-    AGG-06: by default every HTTP error marks its board failed.  With
+    AGG-04: ``records_skipped`` are the unreadable records (``n_broken``; where
+    that is not counted, all that were not mapped).  AGG-05: a source with
+    records none of which could be mapped has failed.  AGG-06: an HTTP error
+    fails the board, or the whole source where it is one feed; with
     ``compat=True`` the quiet sources report errors as empty pages and stay
-    healthy, as the reference does (quirk Q13).
+    healthy, as in quirk Q13.
     """
-    if compat:
-        quiet = F.col("source").isin(list(QUIET_ON_ERROR)) & (F.col("status") >= 400)
-        responses = responses.withColumns({
-            "status": F.when(quiet, F.lit(200)).otherwise(F.col("status")),
-            "n_records": F.when(quiet, F.lit(0)).otherwise(F.col("n_records")),
-            "n_mapped": F.when(quiet, F.lit(0)).otherwise(F.col("n_mapped"))})
+    if "n_broken" not in responses.columns:
+        responses = responses.withColumn("n_broken", F.col("n_records") - F.col("n_mapped"))
+    ok = F.col("status") < 400
+    quiet = F.col("source").isin(list(QUIET_ON_ERROR)) if compat else F.lit(False)
+    counted = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(0)).cast("bigint")
     per_board = responses.groupBy("source", "board").agg(
-        F.max(F.col("status") >= 400).alias("failed"),
-        F.sum(F.when(F.col("status") < 400, F.col("n_mapped")).otherwise(0)).alias("fetched"),
-        F.sum(F.when(F.col("status") < 400, F.col("n_records") - F.col("n_mapped")).otherwise(0))
-         .alias("skipped"))
+        F.min(F.when(~ok & ~quiet, F.col("status"))).alias("error_status"),
+        counted("n_records").alias("raw"), counted("n_mapped").alias("fetched"), counted("n_broken").alias("skipped"))
     h = per_board.groupBy("source").agg(
-        F.sum("fetched").cast("bigint").alias("fetched"),
-        F.sort_array(F.collect_list(F.when(~F.col("failed"), F.col("board")))).alias("ok"),
-        F.sort_array(F.collect_list(F.when(F.col("failed"), F.col("board")))).alias("bad"),
-        F.sum("skipped").cast("bigint").alias("records_skipped"))
+        F.sum("fetched").alias("fetched"), F.sum("raw").alias("raw"), F.min("error_status").alias("error_status"),
+        F.sort_array(F.collect_list(F.when(F.col("error_status").isNull(), F.col("board")))).alias("ok"),
+        F.sort_array(F.collect_list(F.when(F.col("error_status").isNotNull(), F.col("board")))).alias("bad"),
+        F.sum("skipped").alias("records_skipped"))
+    error = (F.when(F.col("source").isin(list(WHOLE_FEEDS)) & F.col("error_status").isNotNull(),
+                    F.concat(F.lit("HTTP "), F.col("error_status").cast("string")))
+              .when((F.col("raw") > 0) & (F.col("fetched") == 0), F.lit(SCHEMA_MOVED)).otherwise(F.lit("")))
+    h = h.withColumn("error", error).withColumn("failed", F.col("error") != "")
     total = F.size("ok") + F.size("bad")
     detail = F.concat(F.size("ok").cast("string"), F.lit("/"), total.cast("string"), F.lit(" boards OK"),
                       F.when(F.size("bad") > 0, F.concat(F.lit(" — failed: "), F.array_join("bad", ", ")))
@@ -46,9 +55,22 @@ def source_health(responses: DataFrame, compat: bool = False) -> DataFrame:
                         F.when(total > 0, detail),
                         F.when(F.col("records_skipped") > 0,
                                F.concat(F.col("records_skipped").cast("string"), F.lit(" unreadable record(s)"))))
+    said = F.when(F.col("failed"), F.concat(F.lit("FAILED ("), F.col("error"), F.lit(")"))).otherwise(parts)
     return h.select(
-        F.col("source").alias("name"), "fetched",
+        F.col("source").alias("name"), "fetched", "failed", "error",
         F.array_join("ok", ",").alias("boards_ok"), F.array_join("bad", ",").alias("boards_failed"),
         "records_skipped",
-        ((F.size("bad") == 0) & (F.col("records_skipped") == 0)).alias("healthy"),
-        F.concat(F.col("source"), F.lit(": "), parts).alias("summary"))
+        (~F.col("failed") & (F.size("bad") == 0) & (F.col("records_skipped") == 0)).alias("healthy"),
+        F.concat(F.col("source"), F.lit(": "), said).alias("summary"))
+
+
+def unhealthy(health: DataFrame) -> DataFrame:
+    """AGG-10: the sources a run has to warn about."""
+    return health.filter(~F.col("healthy"))
+
+
+def fail_on_unhealthy(health: DataFrame) -> None:
+    """AGG-10: raise if any source is unhealthy (one row per configured source)."""
+    said = [r.summary for r in unhealthy(health).orderBy("name").collect()]
+    if said:
+        raise RuntimeError("unhealthy sources: " + "; ".join(said))

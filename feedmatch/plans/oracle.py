@@ -7,7 +7,9 @@ import re
 from feedmatch import dims
 from feedmatch.plans import oracle_sql as O
 from feedmatch.plans.queries import DOC_KEYWORDS
+from feedmatch.functions import patterns as P
 from feedmatch.functions.regex import DUCKDB
+from feedmatch.operators.health import SCHEMA_MOVED
 from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
 from feedmatch.sources import fixtures as fx
 
@@ -263,7 +265,7 @@ def source_health() -> str:
             "list_sort(list(board) FILTER (WHERE NOT failed)) AS ok, "
             "list_sort(list(board) FILTER (WHERE failed)) AS bad, CAST(sum(skipped) AS BIGINT) AS records_skipped "
             "FROM b GROUP BY 1)\n"
-            "SELECT source AS name, fetched, array_to_string(coalesce(ok, []), ',') AS boards_ok, "
+            "SELECT source AS name, fetched, FALSE AS failed, '' AS error, array_to_string(coalesce(ok, []), ',') AS boards_ok, "
             "array_to_string(coalesce(bad, []), ',') AS boards_failed, records_skipped, "
             "(len(coalesce(bad, [])) = 0 AND records_skipped = 0) AS healthy, "
             "source || ': ' || concat_ws(', ', CAST(fetched AS VARCHAR) || ' fetched', "
@@ -410,8 +412,8 @@ def visa_excerpt(rel: str = "documents", key: str = "doc_id", text: str = "text"
         f"UNION ALL SELECT doc_id, body FROM b WHERE length(body) <= {budget}")
 
 
-def map_sources_union() -> str:
-    """What each board's shape keeps of a posting, stated without the detour over JSON."""
+def _mapped_ctes() -> str:
+    """``mp``: what each board's shape keeps of a posting, stated without the detour over JSON."""
     of = lambda cases, rest="NULL": "CASE i " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + f" ELSE {rest} END"
     names = ("greenhouse", "lever", "ashby", "remotive", "arbeitnow", "remoteok", "jobicy", "himalayas", "adzuna")
     loc, has_remote = "loc", "contains(lower(loc), 'remote')"
@@ -423,8 +425,8 @@ def map_sources_union() -> str:
     return (
         f"WITH {O.postings_cte()}, p AS (SELECT *, doc_id % 9 AS i, {O.ws_strip("coalesce(location, '')")} AS loc, "
         f"{O.ws_strip('title')} AS t, {O.ws_strip('url')} AS u, {O.ws_strip("coalesce(company, '')")} AS co FROM postings "
-        "WHERE doc_id % 50 <> 0)\n"
-        f"SELECT {of({k: O.lit(n) for k, n in enumerate(names)})} AS source, "
+        "WHERE doc_id % 50 <> 0),\n"
+        f"mp AS (SELECT ord, description, posted_at AS posted, i, visa_sponsorship AS flag, {of({k: O.lit(n) for k, n in enumerate(names)})} AS source, "
         f"{of({0: "'b0:' || doc_id", 1: "'b1:' || source_id", 2: "'b2:' || source_id", 4: "'s-' || source_id", 7: 'u', 8: 'source_id'}, 'CAST(doc_id AS VARCHAR)')} AS source_id, "
         f"t AS title, {of({0: "coalesce(nullif(co, ''), 'b0')", 1: "'b1'", 2: "coalesce(nullif(co, ''), 'b2')"}, 'co')} AS company, u AS url, "
         f"{of({5: "coalesce(nullif(loc, ''), 'Remote')", 6: "coalesce(nullif(loc, ''), 'Anywhere')", 7: "coalesce(nullif(loc, ''), 'Worldwide')", 8: "coalesce(nullif(loc, ''), 'B8')"}, loc)} AS location, "
@@ -434,7 +436,63 @@ def map_sources_union() -> str:
         f"{of({4: "'full time'"})} AS job_type, "
         f"{of({0: first_tag, 1: first_tag, 3: all_tags, 5: all_tags, 6: all_tags, 8: "'b8'"}, "''")} AS tags, "
         f"{of({6: f"CASE WHEN len({parts}) > 0 THEN array_to_string({parts}, '|') ELSE 'Anywhere' END", 7: "coalesce(nullif(loc, ''), 'Worldwide')"})} AS regions "
-        f"FROM p WHERE t <> '' AND u <> '' AND (i <> 3 OR regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words}))")
+        f"FROM p WHERE t <> '' AND u <> '' AND (i <> 3 OR regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words})))")
+
+
+def map_sources_union() -> str:
+    return _mapped_ctes() + "SELECT * EXCLUDE (ord, description, posted, i, flag) FROM mp"
+
+
+def ingest_to_funnel() -> str:
+    """The funnel over mapped postings: texts are stripped once more, regions come from the shape."""
+    html = "coalesce(description, '')"
+    twice = html
+    for ent, ch in P.HTML_ENTITIES:
+        twice = f"replace({twice}, {O.lit(ent)}, {O.lit(ch)})"
+    regions = "CASE WHEN regions IS NULL THEN CAST([] AS VARCHAR[]) ELSE string_split(regions, '|') END"
+    return _mapped_ctes() + (
+        f", mpost AS (SELECT ord, source, source_id, title, company, url, location, remote, salary, job_type, posted AS posted_at, "
+        f"CASE WHEN i = 0 THEN {O.strip_html(twice)} ELSE {O.strip_html(html)} END AS description, "
+        "CASE WHEN tags = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(tags, ',') END AS tags, "
+        f"CASE WHEN i = 4 THEN flag END AS visa_sponsorship, {regions} AS regions FROM mp),\n"
+        f"{O.register_ctes()},\n{O.matched_ctes(FIXTURE_PREFS, FIXTURE_NOW, 'mpost', regions='regions')}\n"
+        "SELECT source, coalesce(reject_reason, 'matched') AS reason, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM m GROUP BY 1, 2")
+
+
+def _drifted() -> str:
+    """``r``: each payload's source, board, status and fate, from the document's number."""
+    names = ("greenhouse", "lever", "ashby", "remotive", "arbeitnow", "remoteok", "jobicy", "himalayas", "adzuna")
+    source = "CASE i " + " ".join(f"WHEN {k} THEN {O.lit(n)}" for k, n in enumerate(names)) + " END"
+    words = "'engineer|developer|software|devops|python|data'"
+    return (f"WITH {O.postings_cte()}, p AS (SELECT *, doc_id % 9 AS i, doc_id % 2 AS half, {O.ws_strip('title')} AS t, {O.ws_strip('url')} AS u FROM postings),\n"
+            f"r AS (SELECT {source} AS source, 'b' || CAST(i AS VARCHAR) || '-' || CAST(half AS VARCHAR) AS board, "
+            "CASE WHEN i = 1 AND half = 1 THEN 503 WHEN i = 5 AND half = 0 THEN 429 ELSE 200 END AS status, "
+            "CASE WHEN doc_id % 35 = 0 AND doc_id % 50 <> 0 AND i <> 7 THEN 'quarantined' WHEN i = 7 OR doc_id % 50 = 0 OR t = '' OR u = '' "
+            f"OR (i = 3 AND NOT regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words})) THEN 'dropped' ELSE 'mapped' END AS fate FROM p)\n")
+
+
+def quarantine_counts() -> str:
+    return _drifted() + ("SELECT source, board, count(*) AS n_records, count(*) FILTER (WHERE fate = 'mapped') AS n_mapped, "
+                         "count(*) FILTER (WHERE fate = 'quarantined') AS n_broken, count(*) FILTER (WHERE fate = 'dropped') AS n_dropped "
+                         "FROM r WHERE status < 400 GROUP BY 1, 2")
+
+
+def unhealthy_sources() -> str:
+    return _drifted() + (
+        ", b AS (SELECT source, board, max(status) AS status, count(*) FILTER (WHERE status < 400) AS raw, "
+        "count(*) FILTER (WHERE status < 400 AND fate = 'mapped') AS fetched, "
+        "count(*) FILTER (WHERE status < 400 AND fate = 'quarantined') AS skipped FROM r GROUP BY 1, 2),\n"
+        "h AS (SELECT source, CAST(sum(fetched) AS BIGINT) AS fetched, sum(raw) AS raw, CAST(sum(skipped) AS BIGINT) AS records_skipped, "
+        "max(status) AS worst, coalesce(string_agg(board, ',' ORDER BY board) FILTER (WHERE status < 400), '') AS boards_ok, "
+        "coalesce(string_agg(board, ',' ORDER BY board) FILTER (WHERE status >= 400), '') AS boards_failed, "
+        "count(*) AS n, count(*) FILTER (WHERE status < 400) AS n_ok FROM b GROUP BY 1),\n"
+        "e AS (SELECT *, CASE WHEN source NOT IN ('greenhouse', 'lever', 'ashby') AND worst >= 400 THEN 'HTTP ' || CAST(worst AS VARCHAR) "
+        f"WHEN raw > 0 AND fetched = 0 THEN {O.lit(SCHEMA_MOVED)} ELSE '' END AS error FROM h)\n"
+        "SELECT source AS name, fetched, error <> '' AS failed, error, boards_ok, boards_failed, records_skipped, "
+        "source || ': ' || CASE WHEN error <> '' THEN 'FAILED (' || error || ')' ELSE concat_ws(', ', CAST(fetched AS VARCHAR) || ' fetched', "
+        "CAST(n_ok AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ' boards OK' || CASE WHEN boards_failed <> '' THEN ' — failed: ' || "
+        "replace(boards_failed, ',', ', ') ELSE '' END, CASE WHEN records_skipped > 0 THEN CAST(records_skipped AS VARCHAR) || "
+        "' unreadable record(s)' END) END AS summary FROM e WHERE error <> '' OR boards_failed <> '' OR records_skipped > 0")
 
 
 ORACLE = {
@@ -475,4 +533,7 @@ ORACLE = {
     "digest_facts": digest_facts,
     "verdict_applied": verdict_applied,
     "to_classify": to_classify,
+    "ingest_to_funnel": ingest_to_funnel,
+    "quarantine_counts": quarantine_counts,
+    "unhealthy_sources": unhealthy_sources,
 }

@@ -181,9 +181,13 @@ def required_language(h: str, spoken) -> str:
     return f"({langs})[1]"
 
 
-def eligible_places(loc: str) -> str:
+def eligible_places(loc: str, regions: str | None = None) -> str:
     segs = segments(loc, P.PLACES_SPLIT)
-    return f"list_sort(list_filter({segs}, lambda s: NOT {in_list('s', dims.WORK_MODE_WORDS)}))"
+    named = f"list_sort(list_filter({segs}, lambda s: NOT {in_list('s', dims.WORK_MODE_WORDS)}))"
+    if regions is None:
+        return named
+    given = f"list_filter(list_transform({regions}, lambda x: lower({ws_strip('x')})), lambda x: x <> '')"
+    return f"CASE WHEN len({regions}) > 0 THEN {given} ELSE {named} END"
 
 
 def includes_home(place: str, prefs: Prefs) -> str:
@@ -239,8 +243,8 @@ def register_ctes() -> str:
 
 
 def matched_ctes(prefs: Prefs, now: datetime, postings: str = "postings",
-                 with_register: bool = True) -> str:
-    """CTE chain from a relation ``postings`` to ``m`` (the annotated rows)."""
+                 with_register: bool = True, regions: str | None = None) -> str:
+    """CTE chain from a relation ``postings`` to ``m`` (the annotated rows); ``regions``: its column of stated regions."""
     reg_join = ("LEFT JOIN reg r ON r.company_norm = p.company_norm" if with_register
                 else "LEFT JOIN (SELECT NULL::VARCHAR AS company_norm WHERE FALSE) r ON FALSE")
     h = "h"
@@ -291,7 +295,7 @@ def matched_ctes(prefs: Prefs, now: datetime, postings: str = "postings",
               f"ELSE {evidence} END)")
         lang_cols = ", ".join(f"{expr} AS c_{lang}" for lang, expr in langs.items())
         lang_stage = (f"m5a AS (SELECT *, {lang_cols}, {required_language(h, spoken)} AS needed, "
-                      f"{eligible_places('location_l')} AS places FROM m4 WHERE pre_reason IS NULL),\n"
+                      f"{eligible_places('location_l', regions)} AS places FROM m4 WHERE pre_reason IS NULL),\n"
                       f"m5b AS (SELECT *, {language_case()} AS written_in FROM m5a),\n"
                       f"m5c AS (SELECT *, {reloc} AS reloc_reason FROM m5b),\n"
                       f"m5 AS (SELECT *, {hl} AS highlight FROM m5c),\n")

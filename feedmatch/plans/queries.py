@@ -465,22 +465,75 @@ def _shape_records(p: DataFrame) -> dict:
     return shapes
 
 
-def map_sources_union(spark, sf_dir):
-    """SRC-02..12/18: postings re-serialised per board shape (source by doc_id % 9), parsed
-    back through the envelope reader and mapped by the source of each record."""
-    from feedmatch.sources.mapping import ORDER, map_records
-    from feedmatch.sources.payloads import records
+RECORD_KEYS = ("jobs", "data", "results")
+
+
+def payloads_fx(spark, sf_dir, drift: bool = False) -> DataFrame:
+    """Postings re-serialised per board shape (source by doc_id % 9), one record a payload.
+
+    With ``drift``, titles of each 35th document are lists, Himalayas calls its
+    titles by another name, Lever's board b1-1 and a part of Remote OK answer
+    with errors, and boards are two a source.
+    """
+    from feedmatch.sources.mapping import ORDER
     p = ensure_parallelism(postings_fx(spark, sf_dir), "ord")
     shapes, number = _shape_records(p), F.col("doc_id") % len(ORDER)
     shape = F.coalesce(*[F.when(number == i, F.to_json(shapes[name])) for i, name in enumerate(ORDER)])
-    payloads = p.select(F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int")).alias("source"),
-                        F.concat(F.lit("b"), number.cast("string")).alias("board"),
-                        (F.col("doc_id") / 20).cast("bigint").alias("page"),
-                        F.concat(F.lit('{"jobs": ['), shape, F.lit("]}")).alias("body"))
-    m = map_records(records(payloads, "body", ("jobs", "data", "results"), keep=("source", "board", "page")))
-    return m.select("source", "source_id", "title", "company", "url", "location", "remote",
-                    F.col("posted_at").cast("string").alias("posted_at"), "salary", "job_type",
-                    F.array_join("tags", ",").alias("tags"), F.array_join("extra.eligible_regions", "|").alias("regions"))
+    board = F.concat(F.lit("b"), number.cast("string"))
+    status = F.lit(200)
+    if drift:
+        title = r'"(title|text|position|jobTitle)":("(?:[^"\\\\]|\\\\.)*")'.replace("\\\\", "\\")
+        shape = F.when(F.col("doc_id") % 35 == 0, F.regexp_replace(shape, title, '"$1":[$2]')).otherwise(shape)
+        shape = F.when(number == 7, F.regexp_replace(shape, '"title":', '"jobName":')).otherwise(shape)
+        half = F.col("doc_id") % 2
+        board = F.concat(board, F.lit("-"), half.cast("string"))
+        status = F.when((number == 1) & (half == 1), F.lit(503)).when((number == 5) & (half == 0), F.lit(429)).otherwise(status)
+    return p.select(F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int")).alias("source"),
+                    board.alias("board"), (F.col("doc_id") / 20).cast("bigint").alias("page"), status.alias("status"),
+                    F.concat(F.lit('{"jobs": ['), shape, F.lit("]}")).alias("body"))
+
+
+def mapped_fx(spark, sf_dir) -> DataFrame:
+    from feedmatch.sources.mapping import map_records
+    from feedmatch.sources.payloads import records
+    return map_records(records(payloads_fx(spark, sf_dir), "body", RECORD_KEYS, keep=("source", "board", "page")))
+
+
+def map_sources_union(spark, sf_dir):
+    """SRC-02..12/18: payloads of all sources parsed by the envelope reader and mapped by the source of each record."""
+    return mapped_fx(spark, sf_dir).select(
+        "source", "source_id", "title", "company", "url", "location", "remote",
+        F.col("posted_at").cast("string").alias("posted_at"), "salary", "job_type",
+        F.array_join("tags", ",").alias("tags"), F.array_join("extra.eligible_regions", "|").alias("regions"))
+
+
+def ingest_to_funnel(spark, sf_dir):
+    """Payloads -> postings -> funnel: how many postings of each source meet each end."""
+    register = M.register_names(register_lines_fx(spark, sf_dir))
+    m = M.match(cut_lineage(mapped_fx(spark, sf_dir)), FIXTURE_PREFS, FIXTURE_NOW, register)
+    return (m.groupBy("source", F.coalesce("reject_reason", F.lit("matched")).alias("reason"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("score").cast("bigint").alias("score")))
+
+
+def _drifted_responses(spark, sf_dir) -> DataFrame:
+    from feedmatch.sources.mapping import fate
+    from feedmatch.sources.payloads import responses
+    return responses(payloads_fx(spark, sf_dir, drift=True), "body", RECORD_KEYS, fate())
+
+
+def quarantine_counts(spark, sf_dir):
+    """SRC-12/13: records of each answered board by what became of them."""
+    r = _drifted_responses(spark, sf_dir).filter("status < 400")
+    total = lambda c: F.sum(c).cast("bigint")
+    return (r.groupBy("source", "board").agg(total("n_records").alias("n_records"), total("n_mapped").alias("n_mapped"),
+                                             total("n_broken").alias("n_broken"))
+             .withColumn("n_dropped", F.col("n_records") - F.col("n_mapped") - F.col("n_broken")))
+
+
+def unhealthy_sources(spark, sf_dir):
+    """AGG-05/06/10 over drifting payloads."""
+    from feedmatch.operators.health import source_health, unhealthy
+    return unhealthy(source_health(_drifted_responses(spark, sf_dir))).drop("healthy")
 
 
 def tumbling_event_counts(spark, sf_dir):
@@ -540,4 +593,7 @@ QUERIES = {
     "digest_facts": digest_facts,
     "verdict_applied": verdict_applied,
     "to_classify": to_classify_q,
+    "ingest_to_funnel": ingest_to_funnel,
+    "quarantine_counts": quarantine_counts,
+    "unhealthy_sources": unhealthy_sources,
 }

@@ -213,6 +213,13 @@ SOURCES: dict[str, dict[str, Column]] = {
         "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
 }
 REQUIRED = ("source_id", "title", "url")
+#: Payload fields that must be text or numbers, and those that must be objects where present (SRC-13).
+TEXTS = {
+    "greenhouse": ("id", "title", "absolute_url"), "lever": ("id", "text", "hostedUrl"), "ashby": ("id", "title", "jobUrl"),
+    "remotive": ("id", "title", "url"), "arbeitnow": ("slug", "title", "url"), "remoteok": ("id", "position", "url"),
+    "jobicy": ("id", "jobTitle", "url"), "himalayas": ("guid", "title", "applicationLink"), "adzuna": ("id", "title", "redirect_url"),
+}
+OBJECTS = {"greenhouse": ("location",), "lever": ("categories",), "adzuna": ("location", "company")}
 ORDER = tuple(SOURCES)  # registry order: the global fetch-order tie-break (SRC-17)
 FIELDS = ("source_id", "title", "url", "company", "location", "description", "tags", "remote", "posted_at", "salary",
           "job_type", "visa_sponsorship")
@@ -225,27 +232,53 @@ def _of_source(expression) -> Column:
     return F.coalesce(*[F.when(F.col("source") == name, expression(spec)) for name, spec in SOURCES.items()])
 
 
-def map_records(records: DataFrame) -> DataFrame:
-    """SRC-02..12, 17, 18: postings from records of all sources (columns source, board, page, pos, record), in one pass.
+def _usable(spec: dict) -> Column:
+    """SRC-12, SRC-06: an id, a title and a url, and wanted by its source."""
+    named = [spec[k] != "" for k in REQUIRED]
+    ok = spec.get("wanted", F.lit(True))
+    for test in named + ([s("id") != ""] if spec is SOURCES["greenhouse"] else []):
+        ok = ok & test
+    return ok
+
 
-    Records without an id, a title or a url are dropped before their other
-    fields are read, as are those that their source doesn't want.  ``extra``
-    and ``ord`` (fetch order) have the form that the matching rules take.
+def fate(source: str = "source") -> Column:
+    """SRC-13: what becomes of a record: "mapped", "quarantined" or "dropped".
+
+    Quarantined is a record whose id, title or url holds a list or an object,
+    or whose place or company is a list where the source sends an object: its
+    types broke, and it costs only itself. Dropped is a readable record that
+    lacks one of the required fields, or that its source doesn't want.
     """
-    def usable(spec: dict) -> Column:
-        named = [spec[k] != "" for k in REQUIRED]
-        ok = spec.get("wanted", F.lit(True))
-        for test in named + ([s("id") != ""] if spec is SOURCES["greenhouse"] else []):
-            ok = ok & test
-        return ok
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(R, f"$.{path}", "variant")), F.lit("VOID"))
+
+    def broken(name: str) -> Column:
+        out = F.lit(False)
+        for path in TEXTS[name]:
+            out = out | kind(path).startswith("ARRAY") | kind(path).startswith("OBJECT")
+        for path in OBJECTS.get(name, ()):
+            out = out | ~(kind(path).startswith("OBJECT") | (kind(path) == "VOID"))
+        return out
 
+    of = F.coalesce(*[F.when(F.col(source) == name, F.when(broken(name), F.lit("quarantined"))
+                             .when(F.coalesce(_usable(spec), F.lit(False)), F.lit("mapped")).otherwise(F.lit("dropped")))
+                      for name, spec in SOURCES.items()])
+    return F.coalesce(of, F.lit("dropped"))
+
+
+def map_records(records: DataFrame) -> DataFrame:
+    """SRC-02..13, 17, 18: postings from records of all sources (columns source, board, page, pos, record), in one pass.
+
+    Only records whose ``fate`` is "mapped" have their other fields read.
+    ``extra`` and ``ord`` (fetch order) have the form that the matching rules take.
+    """
     def fields(spec: dict) -> Column:
         extra = spec.get("extra", {})
         extra = F.struct(*[extra.get(k, F.lit(None)).cast(t).alias(k) for k, t in EXTRA_TYPES.items()])
         return F.struct(*[spec[k].alias(k) for k in FIELDS], extra.alias("extra"))
 
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
-    kept = records.filter(F.coalesce(_of_source(usable), F.lit(False)))
+    kept = records.filter(fate() == "mapped")
     order = F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")
     # A generator evaluates the record's fields once; a struct column would be inlined per field.
     return kept.select("source", order, F.inline(F.array(_of_source(fields))))

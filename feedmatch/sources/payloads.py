@@ -26,6 +26,22 @@ def records(payloads: DataFrame, body: str, keys, keep=()) -> DataFrame:
     return exploded.filter(F.schema_of_variant(F.col("record")).startswith("OBJECT"))
 
 
+def responses(payloads: DataFrame, body: str, keys, fate: Column) -> DataFrame:
+    """Counts per response: n_records, n_mapped and n_broken, by the ``fate`` of each ``record``.
+
+    ``payloads`` need source, board, page and status.  A response without
+    records (empty, failed or not JSON) keeps its row, with zeros.
+    """
+    arr = F.filter(F.coalesce(envelope_array(F.col(body), keys), F.array().cast("array<variant>")),
+                   lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    each = payloads.select("source", "board", "page", "status", F.explode_outer(arr).alias("record"))
+    there = F.col("record").isNotNull()
+    each = each.select("source", "board", "page", "status", F.when(there, fate).alias("fate"))
+    return (each.groupBy("source", "board", "page", "status")
+                .agg(F.count("fate").alias("n_records"), F.count_if(F.col("fate") == "mapped").alias("n_mapped"),
+                     F.count_if(F.col("fate") == "quarantined").alias("n_broken")))
+
+
 def field(record: Column, path: str, dtype: str = "string") -> Column:
     """A typed field of a record, NULL when absent or of another type."""
     return F.try_variant_get(record, f"$.{path}", dtype)
