@@ -66,6 +66,11 @@ def upsert_seen(seen: DataFrame, new: DataFrame, now: datetime, notified: bool)
     return merged(n.join(o, "job_key", "full_outer"))
 
 
+def store_count(seen: DataFrame) -> int:
+    """SNK-06: rows of a history snapshot."""
+    return seen.count()
+
+
 FINGERPRINT_VERSION = 2
 
 

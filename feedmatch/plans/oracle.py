@@ -312,15 +312,30 @@ def tumbling_event_counts() -> str:
             "FROM events GROUP BY 1, 2")
 
 
-def _kept_ctes(rel: str, rank: str) -> str:
-    """``kept``: rows of ``rel`` that a best-first walk keeps, one row a step, taken identities as a list."""
-    return (f"ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {rank}) AS rk FROM {rel}),\n"
-            f"numbered AS (SELECT id, dense_rank() OVER (ORDER BY kind, value) AS v FROM ({O.identities_sql('ranked', 'rk')})),\n"
-            "lists AS MATERIALIZED (SELECT id AS rk, list(v) AS vs FROM numbered GROUP BY id),\n"
-            "walk AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS taken, FALSE AS keep UNION ALL "
+def _kept_ctes(rel: str, rank: str, n: str = "") -> str:
+    """``kept``: rows of ``rel`` that a best-first walk keeps, one row a step, taken identities as a list; names end in ``n``."""
+    return (f"ranked{n} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {rank}) AS rk FROM {rel}),\n"
+            f"numbered{n} AS (SELECT id, dense_rank() OVER (ORDER BY kind, value) AS v FROM ({O.identities_sql(f'ranked{n}', 'rk')})),\n"
+            f"lists{n} AS MATERIALIZED (SELECT id AS rk, list(v) AS vs FROM numbered{n} GROUP BY id),\n"
+            f"walk{n} AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS taken, FALSE AS keep UNION ALL "
             "SELECT l.rk, CASE WHEN list_has_any(w.taken, l.vs) THEN w.taken ELSE list_concat(w.taken, l.vs) END, "
-            "NOT list_has_any(w.taken, l.vs) FROM walk w JOIN lists l ON l.rk = w.rk + 1),\n"
-            "kept AS MATERIALIZED (SELECT ranked.* FROM ranked JOIN walk USING (rk) WHERE walk.keep)")
+            f"NOT list_has_any(w.taken, l.vs) FROM walk{n} w JOIN lists{n} l ON l.rk = w.rk + 1),\n"
+            f"kept{n} AS MATERIALIZED (SELECT ranked{n}.* FROM ranked{n} JOIN walk{n} USING (rk) WHERE walk{n}.keep)")
+
+
+def stream_cross_batch() -> str:
+    """Day by day: what neither the history nor an earlier day's delivered rows have, walked and capped."""
+    from feedmatch.plans.queries import STREAM_CAP, STREAM_PARTS
+    sql = (f"WITH RECURSIVE {O.postings_cte()},\n p AS MATERIALIZED (SELECT ord, {O.identity_cols()} FROM postings),\n"
+           f"pid AS MATERIALIZED ({O.identities_sql('p')}),\n{_seen_ctes()},\nknown0 AS MATERIALIZED (SELECT * FROM si)")
+    for k in range(STREAM_PARTS):
+        sql += (f",\nday{k} AS MATERIALIZED (SELECT * FROM p WHERE ord % {STREAM_PARTS} = {k} AND ord NOT IN "
+                f"(SELECT pid.id FROM pid JOIN known{k} USING (kind, value))),\n{_kept_ctes(f'day{k}', 'ord', str(k))},\n"
+                f"got{k} AS MATERIALIZED (SELECT {k} AS batch, row_number() OVER (ORDER BY rk) AS position, job_key, ord, "
+                f"(SELECT greatest(count(*) - {STREAM_CAP}, 0) FROM kept{k}) AS backlog FROM kept{k}),\n"
+                f"known{k + 1} AS MATERIALIZED (SELECT kind, value FROM known{k} UNION SELECT kind, value FROM pid "
+                f"JOIN got{k} ON pid.id = got{k}.ord WHERE position <= {STREAM_CAP})")
+    return sql + "\n" + " UNION ALL ".join(f"SELECT * FROM got{k} WHERE position <= {STREAM_CAP}" for k in range(STREAM_PARTS))
 
 
 def greedy_dedupe() -> str:
@@ -536,4 +551,5 @@ ORACLE = {
     "ingest_to_funnel": ingest_to_funnel,
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
+    "stream_cross_batch": stream_cross_batch,
 }

@@ -16,6 +16,7 @@ from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url,
                                       strip_html)
 from feedmatch.functions.dates import relative_age
 from feedmatch.functions.salary import format_salary
+from feedmatch.job import digest_rank, new_folder, stream_fresh
 from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
 from feedmatch.operators import state as S
@@ -219,12 +220,6 @@ def greedy_dedupe_q(spark, sf_dir):
     return D.greedy_dedupe(p, F.struct(F.col("ord")), "ord").select("ord", "job_key")
 
 
-def digest_rank() -> F.Column:
-    """SRT-01: score descending, lower(title), then fetch order (total order)."""
-    return F.struct((-F.col("score")).alias("neg_score"), F.lower(F.col("title")).alias("title_l"),
-                    F.col("ord").alias("ord"))
-
-
 def fresh_matches(spark, sf_dir):
     """Matches minus seen history, deduplicated best-first (JN-02 + WIN-01)."""
     m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
@@ -555,6 +550,21 @@ def stream_ingest_dedupe(spark, sf_dir):
     return table_.select("event_id", "user_id", "event_type")
 
 
+STREAM_PARTS, STREAM_CAP = 3, 300
+
+
+def stream_cross_batch(spark, sf_dir):
+    """STR-03: postings land on three days, reposts on another day than their original; each day is one batch."""
+    columns = ("ord", "source", "source_id", "title", "company", "url", "location", "remote")
+    landed = cut_lineage(postings_fx(spark, sf_dir).select(*columns))
+    landing, out = new_folder(spark, "landing"), new_folder(spark, "fresh")
+    for day in range(STREAM_PARTS):
+        landed.filter(F.col("ord") % STREAM_PARTS == day).write.mode("append").parquet(landing)
+        stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW)
+    return spark.read.parquet(f"{out}/delivered").select(F.col("batch").cast("int").alias("batch"), "position", "job_key", "ord",
+                                                         F.col("backlog").cast("bigint").alias("backlog"))
+
+
 QUERIES = {
     "funnel_counts": funnel_counts,
     "seniority_levels": seniority_levels,
@@ -596,4 +606,5 @@ QUERIES = {
     "ingest_to_funnel": ingest_to_funnel,
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
+    "stream_cross_batch": stream_cross_batch,
 }
