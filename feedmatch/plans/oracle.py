@@ -290,6 +290,21 @@ def page_prefix() -> str:
             "WHERE st.stop IS NULL OR pg.page < st.stop GROUP BY 1, 2")
 
 
+def page_rules() -> str:
+    base = source_health().split(",\nb AS")[0]
+    base = base.replace("CASE WHEN p.event_id % 97 = 0 THEN 500 ELSE 200 END AS status, ",
+                        "CASE WHEN p.event_id % 97 = 0 THEN 500 ELSE 200 END AS status, "
+                        "CAST(floor(p.event_id / 500) AS BIGINT) AS page, ")
+    return (base + ",\n"
+            "pg AS (SELECT CASE source WHEN 'feed0' THEN 'himalayas' WHEN 'feed1' THEN 'jobicy' ELSE 'adzuna' END AS source, board, page, "
+            "max(status) AS status, CAST(sum(n_records) AS BIGINT) AS n_records FROM r WHERE status < 400 OR page % 7 = 6 GROUP BY 1, 2, 3),\n"
+            "w AS (SELECT *, min(CASE WHEN status >= 400 OR n_records = 0 THEN page END) OVER (PARTITION BY source, board) AS stop, "
+            "min(CASE WHEN source = 'himalayas' AND n_records < 20 OR source = 'jobicy' AND (page + length(board)) % 9 = 8 THEN page END) "
+            "OVER (PARTITION BY source, board) AS final FROM pg)\n"
+            "SELECT source, board, count(*) AS pages_kept, max(page) AS last_page, CAST(sum(n_records) AS BIGINT) AS records_kept "
+            "FROM w WHERE coalesce(page < stop, TRUE) AND coalesce(page <= final, TRUE) GROUP BY 1, 2")
+
+
 def verdict_cache() -> str:
     fence = "'(?s)```(?:json)?\\s*(.*?)```'"
     return (f"WITH r AS ({fx.replies_sql(DUCKDB)}),\n"
@@ -552,4 +567,5 @@ ORACLE = {
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
     "stream_cross_batch": stream_cross_batch,
+    "page_rules": page_rules,
 }

@@ -401,6 +401,19 @@ def page_prefix_q(spark, sf_dir):
                                                 F.sum("n_records").cast("bigint").alias("records_kept"))
 
 
+def page_rules(spark, sf_dir):
+    """SRC-15: the paging rule of each source, over pages of 500 events that mostly name a next one."""
+    from feedmatch.sources.payloads import page_prefix
+    r = responses_from_events(table(spark, sf_dir, "events"), with_page=True)
+    named = F.element_at(F.create_map(*[F.lit(x) for x in ("feed0", "himalayas", "feed1", "jobicy", "feed2", "adzuna")]), F.col("source"))
+    pages = (r.withColumns({"source": named, "page": (F.col("page") / 2).cast("bigint")})
+              .filter("status < 400 OR page % 7 = 6").groupBy("source", "board", "page")
+              .agg(F.max("status").alias("status"), F.sum("n_records").cast("bigint").alias("n_records"))
+              .withColumn("has_next", (F.col("page") + F.length("board")) % 9 != 8))
+    return page_prefix(pages).groupBy("source", "board").agg(F.count(F.lit(1)).alias("pages_kept"), F.max("page").alias("last_page"),
+                                                             F.sum("n_records").cast("bigint").alias("records_kept"))
+
+
 def verdict_cache(spark, sf_dir):
     from feedmatch.operators.verdicts import cacheable_verdicts
     from feedmatch.plans.inputs import replies_fx
@@ -607,4 +620,5 @@ QUERIES = {
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
     "stream_cross_batch": stream_cross_batch,
+    "page_rules": page_rules,
 }

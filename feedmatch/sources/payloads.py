@@ -47,18 +47,30 @@ def field(record: Column, path: str, dtype: str = "string") -> Column:
     return F.try_variant_get(record, f"$.{path}", dtype)
 
 
-def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page") -> DataFrame:
-    """SRC-15: per (source, board) keep the pages before the first stop page.
+# --- fixed values: sources whose pages name the next one, and the size of a full page where a short one is the last ---
+NAMES_NEXT = ("arbeitnow", "jobicy")
+FULL_PAGE = {"himalayas": 20}
+
 
-    A stop page is a failed response (HTTP status >= 400) or an empty page.
-    The first stop per group comes from a partial aggregation (one row per
-    board) joined back size-checked, not from a window over a possibly hot
-    group.
+def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page") -> DataFrame:
+    """SRC-15: per (source, board) the pages that paging would have fetched.
+
+    A failed (HTTP status >= 400) or empty page ends the prefix and isn't part
+    of it.  A page that names no next one (column ``has_next``, where there is
+    one, for the sources that do) and a page shorter than the source's full
+    page end it too, but belong to it.  The ends come from a partial
+    aggregation (one row per board) joined back size-checked, not from a window
+    over a possibly hot group.
     """
     from feedmatch.operators.joins import skew_safe_join
 
-    stop = F.col("status") >= 400
-    stop = stop | (F.col("n_records") == 0)
-    firsts = pages.groupBy(*group).agg(F.min(F.when(stop, F.col(page))).alias("_stop"))
-    joined = skew_safe_join(pages, firsts, list(group), "left")
-    return joined.filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    stop = (F.col("status") >= 400) | (F.col("n_records") == 0)
+    last = F.lit(False)
+    for source, size in FULL_PAGE.items():
+        last = last | ((F.col("source") == source) & (F.col("n_records") < size))
+    if "has_next" in pages.columns:
+        last = last | (F.col("source").isin(list(NAMES_NEXT)) & ~F.coalesce(F.col("has_next"), F.lit(False)))
+    ends = pages.groupBy(*group).agg(F.min(F.when(stop, F.col(page))).alias("_stop"), F.min(F.when(last, F.col(page))).alias("_last"))
+    joined = skew_safe_join(pages, ends, list(group), "left")
+    within = (F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))) & (F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
+    return joined.filter(within).drop("_stop", "_last")

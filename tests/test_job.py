@@ -86,6 +86,18 @@ def test_fate_of_records(spark):
     assert [r.got for r in rows] == [r.want for r in rows]
 
 
+def test_page_prefix_ends(spark):
+    from feedmatch.sources.payloads import page_prefix
+    rows = [("himalayas", 0, 200, 20, None), ("himalayas", 1, 200, 19, None), ("himalayas", 2, 200, 20, None),
+            ("arbeitnow", 0, 200, 3, True), ("arbeitnow", 1, 200, 3, False), ("arbeitnow", 2, 200, 3, True),
+            ("adzuna", 0, 200, 1, None), ("adzuna", 1, 500, 0, None), ("adzuna", 2, 200, 1, None),
+            ("remotive", 0, 200, 0, None)]
+    df = spark.createDataFrame([(s, "all", p, st, n, x) for s, p, st, n, x in rows],
+                               "source string, board string, page int, status int, n_records int, has_next boolean")
+    assert {(r.source, r.page) for r in page_prefix(df).collect()} == {
+        ("himalayas", 0), ("himalayas", 1), ("arbeitnow", 0), ("arbeitnow", 1), ("adzuna", 0)}
+
+
 def test_failed_sources(spark):
     from feedmatch.operators.health import fail_on_unhealthy, source_health
     df = spark.createDataFrame(
