@@ -122,7 +122,7 @@ SOURCES: dict[str, dict[str, Column]] = {
     "greenhouse": {
         "source_id": F.concat(BOARD, F.lit(":"), s("id")), "title": s("title"), "url": s("absolute_url"),
         "company": F.coalesce(F.nullif(s("company_name"), F.lit("")), BOARD), "location": s("location.name"),
-        "description": strip_html(unescape_html(s("content"))), "tags": names("departments"),
+        "html": unescape_html(s("content")), "tags": names("departments"),
         "remote": contains_remote(s("location.name")),
         "posted_at": F.coalesce(instant("first_published"), instant("updated_at")),
         "salary": F.lit(None).cast("string"), "job_type": F.lit(None).cast("string"),
@@ -130,7 +130,7 @@ SOURCES: dict[str, dict[str, Column]] = {
     "lever": {
         "source_id": board_id(), "title": s("text"), "url": first("hostedUrl", "applyUrl"), "company": BOARD,
         "location": s("categories.location"),
-        "description": F.coalesce(F.nullif(s("descriptionPlain"), F.lit("")), strip_html(s("description"))),
+        "plain": s("descriptionPlain"), "html": s("description"),
         "tags": F.filter(F.array(F.nullif(s("categories.team"), F.lit("")),
                                  F.nullif(s("categories.department"), F.lit("")),
                                  F.nullif(s("categories.commitment"), F.lit(""))), lambda x: x.isNotNull()),
@@ -145,7 +145,7 @@ SOURCES: dict[str, dict[str, Column]] = {
     "ashby": {
         "source_id": board_id(), "title": s("title"), "url": first("jobUrl", "applyUrl"),
         "company": F.coalesce(F.nullif(s("organizationName"), F.lit("")), BOARD), "location": s("location"),
-        "description": F.coalesce(F.nullif(s("descriptionPlain"), F.lit("")), strip_html(s("descriptionHtml"))),
+        "plain": s("descriptionPlain"), "html": s("descriptionHtml"),
         "tags": F.filter(F.array(F.nullif(s("department"), F.lit("")), F.nullif(s("team"), F.lit(""))),
                          lambda x: x.isNotNull()),
         "remote": F.coalesce(as_bool("isRemote"), contains_remote(s("location"))),
@@ -154,14 +154,14 @@ SOURCES: dict[str, dict[str, Column]] = {
         "job_type": F.nullif(s("employmentType"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
     "remotive": {
         "source_id": s("id"), "title": s("title"), "url": s("url"), "company": s("company_name"),
-        "location": first("candidate_required_location", "job_type"), "description": strip_html(s("description")),
+        "location": first("candidate_required_location", "job_type"), "html": s("description"),
         "tags": text_list("tags"), "remote": F.lit(True), "posted_at": instant("publication_date"),
         "extra": {"category": F.nullif(s("category"), F.lit(""))}, "wanted": technical(),
         "salary": F.nullif(s("salary"), F.lit("")), "job_type": F.nullif(s("job_type"), F.lit("")),
         "visa_sponsorship": F.lit(None).cast("boolean")},
     "arbeitnow": {
         "source_id": first("slug", "url"), "title": s("title"), "url": s("url"), "company": s("company_name"),
-        "location": s("location"), "description": strip_html(s("description")), "tags": text_list("tags"),
+        "location": s("location"), "html": s("description"), "tags": text_list("tags"),
         "remote": as_bool("remote"), "posted_at": F.coalesce(instant("created_at"), instant("createdAt")),
         "salary": F.lit(None).cast("string"),
         "job_type": F.coalesce(F.nullif(F.array_join(text_list("job_types"), ", "), F.lit("")),
@@ -170,14 +170,14 @@ SOURCES: dict[str, dict[str, Column]] = {
     "remoteok": {
         "source_id": s("id"), "title": s("position"), "url": first("url", "apply_url"), "company": s("company"),
         "location": F.coalesce(F.nullif(s("location"), F.lit("")), F.lit("Remote")),
-        "description": strip_html(s("description")), "tags": text_list("tags"), "remote": F.lit(True),
+        "html": s("description"), "tags": text_list("tags"), "remote": F.lit(True),
         "posted_at": F.coalesce(instant("date"), instant("epoch")),
         "salary": dollars(),
         "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
     "jobicy": {
         "source_id": s("id"), "title": first("jobTitle", "title"), "url": s("url"), "company": s("companyName"),
         "location": F.coalesce(F.nullif(s("jobGeo"), F.lit("")), F.lit("Anywhere")),
-        "description": strip_html(first("jobDescription", "jobExcerpt")), "tags": text_list("jobIndustry"),
+        "html": first("jobDescription", "jobExcerpt"), "tags": text_list("jobIndustry"),
         "remote": F.lit(True), "posted_at": instant("pubDate"),
         "extra": {"eligible_regions": regions_or(F.split(s("jobGeo"), REGION_SPLIT), "Anywhere"),
                   "level": F.when(F.lower(s("jobLevel")) != "any", F.nullif(s("jobLevel"), F.lit("")))},
@@ -191,7 +191,7 @@ SOURCES: dict[str, dict[str, Column]] = {
         "url": first("applicationLink", "applicationUrl", "url"), "company": s("companyName"),
         "location": F.coalesce(F.nullif(F.array_join(names("locationRestrictions"), ", "), F.lit("")),
                                F.lit("Worldwide")),
-        "description": strip_html(first("description", "excerpt")), "tags": names("categories"),
+        "html": first("description", "excerpt"), "tags": names("categories"),
         "remote": F.lit(True), "posted_at": F.coalesce(instant("pubDate"), instant("publishedAt")),
         "extra": {"eligible_regions": regions_or(names("locationRestrictions"), "Worldwide"),
                   "level": F.nullif(F.array_join(names("seniority"), ", "), F.lit(""))},
@@ -203,7 +203,7 @@ SOURCES: dict[str, dict[str, Column]] = {
         "company": s("company.display_name"),
         "location": F.coalesce(F.nullif(s("location.display_name"), F.lit("")),
                                F.nullif(F.array_join(text_list("location.area"), ", "), F.lit("")), F.upper(BOARD)),
-        "description": strip_html(s("description")), "tags": F.array(BOARD),
+        "html": s("description"), "tags": F.array(BOARD),
         "remote": contains_remote(s("title"), s("location.display_name"), F.array_join(text_list("location.area"), ", "),
                                   s("description")),
         "posted_at": instant("created"),
@@ -221,7 +221,7 @@ TEXTS = {
 }
 OBJECTS = {"greenhouse": ("location",), "lever": ("categories",), "adzuna": ("location", "company")}
 ORDER = tuple(SOURCES)  # registry order: the global fetch-order tie-break (SRC-17)
-FIELDS = ("source_id", "title", "url", "company", "location", "description", "tags", "remote", "posted_at", "salary",
+FIELDS = ("source_id", "title", "url", "company", "location", "plain", "html", "tags", "remote", "posted_at", "salary",
           "job_type", "visa_sponsorship")
 EXTRA_TYPES = {"board": "string", "workplace_type": "string", "category": "string", "country": "string",
                "level": "string", "eligible_regions": "array<string>"}
@@ -275,13 +275,16 @@ def map_records(records: DataFrame) -> DataFrame:
     def fields(spec: dict) -> Column:
         extra = spec.get("extra", {})
         extra = F.struct(*[extra.get(k, F.lit(None)).cast(t).alias(k) for k, t in EXTRA_TYPES.items()])
-        return F.struct(*[spec[k].alias(k) for k in FIELDS], extra.alias("extra"))
+        return F.struct(*[spec.get(k, F.lit(None).cast("string")).alias(k) for k in FIELDS], extra.alias("extra"))
 
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
     kept = records.filter(fate() == "mapped")
     order = F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")
     # A generator evaluates the record's fields once; a struct column would be inlined per field.
-    return kept.select("source", order, F.inline(F.array(_of_source(fields))))
+    mapped = kept.select("source", order, F.inline(F.array(_of_source(fields))))
+    # Mark-up is stripped in one place for all sources: one rule tree in the plan.
+    text = F.coalesce(F.nullif(F.col("plain"), F.lit("")), strip_html(F.col("html")))
+    return mapped.withColumn("description", text).drop("plain", "html")
 
 
 ATS = ("greenhouse", "lever", "ashby")
