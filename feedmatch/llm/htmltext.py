@@ -2,16 +2,18 @@
 
 Markup is stripped: comments, scripts, styles and the like go with their
 content, block elements end a line, character references are decoded and white
-space becomes one space. Regions that name themselves as menu, header, footer,
-sidebar, notice, advert, form or reader comments leave blank lines behind, and
-where the page marks its article, lines outside it are blank too. Each line
-weighs its characters outside links. The distribution is the sum of weights
-over windows of ``WINDOW`` lines: text begins where it surges to the threshold
-(at the first line with weight of that window) and ends where it dives to
-zero. The threshold is ``SURGE`` characters, or half the page's highest window
-if that is less; in a marked article any text surges, and links and headings
-weigh like other text. All text between surges and dives is kept, lines in page
-order.
+space becomes one space. Each line weighs its characters outside links. The
+distribution is the sum of weights over windows of ``WINDOW`` lines: text
+begins where it surges to the threshold (at the first line with weight of that
+window, in an article at the article's begin) and ends where it dives to zero.
+The threshold is ``SURGE`` characters, or half the page's highest window if
+that is less. All text between surges and dives is kept, lines in page order.
+
+Tags act beside the distribution in two ways. Lines inside <article> or <main>
+weigh ``BONUS`` times, links and headings included, and blank lines stand where
+the outermost one begins and ends. Regions whose tag, role, class or id names a
+menu, header, footer, sidebar, notice, advert, form or reader comments are left
+out and leave blank lines.
 
 Defined results: a null or empty page and one without text give an empty text;
 malformed or unclosed markup is read up to the end of the page, an unclosed
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+BONUS = 2
+#: Regions within one another that are told apart.
+NESTED = 64
 
 _RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option datalist audio video xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,25 +53,46 @@ _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
+def _mark(tag: str, attributes: str, in_article: bool) -> str | None:
+    """What names the element as other than main text: its tag, a role or a class or id token."""
     if tag in _CHROME or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or "=" not in attributes:
-        return False
+        return tag
+    if tag in ("html", "body", "main") or "=" not in attributes or in_article and re.fullmatch(r"h[1-6]|p|header|hgroup", tag):
+        return None
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next(filter(None, values), "")
-        if name.lower() == "role" and value.strip().lower() in _ROLE or name.lower() != "role" and _NAMED.search(value):
-            return not (in_article and re.fullmatch(r"h[1-6]|p|header|hgroup", tag))
-    return False
-
-
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, weight, in article) of each line, blank ones for dropped regions; whether an article is marked."""
-    lines: list[tuple[str, int, bool]] = []
+        value = next(filter(None, values), "").strip().lower()
+        if name.lower() == "role" and value in _ROLE or name.lower() != "role" and _NAMED.search(value):
+            return value
+    return None
+
+
+@dataclass
+class Region:
+    tag: str
+    mark: str
+    bounds: bool
+    articles: int = 0
+    main: bool = False
+    depth: int = 1
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int
+    article: bool = False
+    regions: tuple[Region, ...] = ()
+    bounds: bool = False
+
+
+def lines_of(page: str) -> tuple[list[Line], int]:
+    """Lines, blank ones around articles and page-level <nav> and <header>; the number of articles outside regions."""
+    lines: list[Line] = []
     words: list[str] = []
-    weight, link, heading, article, marked = 0, 0, 0, 0, False
-    region: str | None = None
-    depth, at, n, low = 0, 0, len(page), page.lower()
+    weight, link, heading, article, free = 0, 0, 0, 0, 0
+    regions: tuple[Region, ...] = ()
+    ends: dict[str, int] = {}
+    at, n, low = 0, len(page), page.lower()
     if len(low) != n:  # lower-casing may change lengths outside ASCII
         low = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
 
@@ -73,21 +100,29 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal weight
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, weight, article > 0))
+            lines.append(Line(text, weight * (BONUS if article else 1), article > 0, regions))
         words.clear()
         weight = 0
 
-    def gap() -> None:
-        lines.extend([("", 0, False)] * WINDOW)
+    def gap(bounds: bool = False) -> None:
+        lines.extend([Line("", 0, False, regions, bounds)] * WINDOW)
 
     def text_to(end: int) -> None:
         nonlocal weight
-        if region is None and end > at:
+        if end > at:
             text = html.unescape(page[at:end])
             words.append(text)
             if not link or article or heading:
                 weight += len(" ".join(text.split()))
 
+    def leave(k: int) -> None:
+        nonlocal regions
+        end_line()
+        left = regions[k]
+        regions = regions[:k]
+        if left.bounds:
+            gap(True)
+
     while at < n:
         tag = _TAG.search(page, at)
         if tag is None:
@@ -112,15 +147,23 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if name not in ("svg", "math"):
                 words.append(" ")
             continue
-        if region is not None:
-            if name == region and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    region = None
-                continue
-            if closing or name not in _RESUME or low.find(f"</{region}", at) >= 0:
-                continue
-            region, depth = None, 0
+        opens = not closing and name not in _VOID and not attributes.endswith("/")
+        if not closing and name in _RESUME:
+            for k, region in enumerate(regions):
+                if ends.setdefault(region.tag, low.rfind(f"</{region.tag}")) < at:
+                    leave(k)
+                    link = 0
+                    break
+        if name in _BLOCK:
+            end_line()
+        if opens or closing:
+            k = next((k for k in reversed(range(len(regions))) if regions[k].tag == name), None)
+            if k is not None:
+                regions[k].depth += -1 if closing else 1
+                if not regions[k].depth:
+                    leave(k)
+                    link = 0
+        mark = _mark(name, attributes, article > 0) if opens and len(regions) < NESTED else None
         if name in _VOID or name not in _BLOCK:
             if name == "a":
                 link = 0 if closing else 1
@@ -128,34 +171,40 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 words.append(" ")
             if name == "hr":
                 end_line()
-            if not closing and name not in _VOID and not attributes.endswith("/") and _is_chrome(name, attributes, article > 0):
-                end_line()
-                gap()
-                region, depth = name, 1
-            continue
-        end_line()
-        if name[0] == "h" and name[1:].isdigit():
+        elif name[0] == "h" and name[1:].isdigit():
             heading = 0 if closing else 1
+        if mark is not None:
+            end_line()
+            bounds = not article and name in ("nav", "header")
+            if bounds:
+                gap(True)
+            regions = (*regions, Region(name, mark, bounds))
         if name in ("article", "main"):
+            if not closing and mark is None:
+                free += not regions
+                for region in regions:
+                    region.articles += 1
+                    region.main |= name == "main"
+            if article + (not closing) == 1:  # the outermost
+                gap()
             article = max(0, article + (-1 if closing else 1))
-            marked = True
-            gap()
-        elif not closing and _is_chrome(name, attributes, article > 0) and not attributes.endswith("/"):
-            gap()
-            region, depth = name, 1
-            link = 0
     end_line()
-    return lines, marked and any(inside for _, _, inside in lines)
+    return lines, free
+
+
+def _windows(weights: list[float]) -> list[float]:
+    return [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
 
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points of a whole page."""
-    lines, marked = lines_of(page or "")
-    if marked:
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    weights = [w for _, w, _ in lines]
-    blocks = [sum(weights[i:i + WINDOW]) for i in range(len(lines))]
-    threshold = 1 if marked else max(1, min(SURGE, max(blocks, default=0) // 2))
+    lines, free = lines_of(page or "")
+    shown = [(line, not line.regions) for line in lines]
+    lines = [x for line, stays in shown for x in ([line] if stays else [Line("", 0)] * WINDOW)]
+    weights = [line.weight for line in lines]
+    threshold = max(1, min(SURGE, max(_windows(weights), default=0) // 2))
+    weights = [line.weight for line in lines]
+    blocks = _windows(weights)
     kept: list[str] = []
     i = 0
     while i < len(lines):
@@ -164,8 +213,10 @@ def main_text(page: str | None) -> str:
             continue
         while not weights[i]:  # surge: the first line with text of the window
             i += 1
+        while i and lines[i].article and lines[i - 1].article and lines[i - 1].text:  # an article is kept from its begin
+            i -= 1
         while i < len(lines) and blocks[i]:  # dive: a window without text
-            kept.append(lines[i][0])
+            kept.append(lines[i].text)
             i += 1
     return "\n".join(filter(None, kept))
 

@@ -84,3 +84,12 @@ def test_toxicity_learns_words_and_keeps_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((d is None, d or 0, t) for d, t, _ in rows if not (t or "").startswith("vile"))
     assert toxicity.clean(docs, labels.where("false")).count() == len(rows)
     assert toxicity.clean(docs.where("false"), labels).count() == 0
+
+
+LONG = " ".join(["Long words of the main text of this page, enough of them to count."] * 5)
+
+
+def test_article_tags_do_not_replace_the_distribution():
+    page = f"<div><p>{LONG}</p><p>{LONG}</p></div><article><h2>Teaser</h2></article><article class='comment'>{LONG}</article>"
+    assert htmltext.main_text(page) == f"{LONG}\n{LONG}"
+    assert htmltext.main_text(f"<article><p>Yes.</p><p>No.</p><p>Oh.</p><p>{LONG}</p></article>") == f"Yes.\nNo.\nOh.\n{LONG}"
