@@ -11,9 +11,13 @@ that is less. All text between surges and dives is kept, lines in page order.
 
 Tags act beside the distribution in two ways. Lines inside <article> or <main>
 weigh ``BONUS`` times, links and headings included, and blank lines stand where
-the outermost one begins and ends. Regions whose tag, role, class or id names a
-menu, header, footer, sidebar, notice, advert, form or reader comments are left
-out and leave blank lines.
+the outermost one begins and ends. Regions whose tag, role or a whole class or
+id token names a menu, header, footer, sidebar, notice, advert, form or reader
+comments weigh a fraction (``_share``) and are left out, unless they hold the
+page's <main>, its only <article>s (reader comments aside) or its highest
+window; a mark that is wrong for the highest window counts for no region of the
+page. What is left out leaves
+blank lines.
 
 Defined results: a null or empty page and one without text give an empty text;
 malformed or unclosed markup is read up to the end of the page, an unclosed
@@ -24,6 +28,7 @@ repeated rows are extracted each; other columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,9 +49,17 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
                    "tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav footer aside form menu dialog button fieldset".split())
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|"
-                    r"topbar|footer|sidebar|side|aside|widget|related|recommended|share|sharing|social|cookies?|consent|notice|notices|alert|popup|modal|overlay|"
-                    r"newsletter|subscribe|subscription|signup|login|search|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|legal|copyright)(?:$|[\s_-])", re.I)
+_NAMED = frozenset("""ad ads advert adverts advertisement advertising adsbygoogle ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper sponsor sponsored promo
+    banner nav navbar navigation menu main-menu main-nav main-navigation site-nav site-navigation nav-menu top-nav breadcrumb breadcrumbs
+    header masthead topbar top-bar site-header page-header footer site-footer page-footer sidebar side-bar left-sidebar right-sidebar sidebar-left
+    sidebar-right side aside widget widgets widget-area related recommended related-posts related-articles related-links share sharing social
+    share-buttons social-share social-links social-icons cookie cookies consent cookie-banner cookie-bar cookie-consent cookie-notice notice notices
+    alert popup modal overlay newsletter newsletter-signup subscribe subscription signup login login-form search search-form searchform
+    comment comments comment-list commentlist comments-area comment-body comment-form comments-section comment-section disqus disqus_thread
+    respond replies pagination pager toolbar legal copyright""".split())
+_REPLIES = re.compile(r"comment|disqus|respond$|replies$")
+#: In an article these name its own head.
+_HEAD = frozenset("header banner masthead page-header".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _RESUME = frozenset("article main section h1 h2 footer".split())
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?/][^>]*>)")
@@ -60,12 +73,18 @@ def _mark(tag: str, attributes: str, in_article: bool) -> str | None:
     if tag in ("html", "body", "main") or "=" not in attributes or in_article and re.fullmatch(r"h[1-6]|p|header|hgroup", tag):
         return None
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next(filter(None, values), "").strip().lower()
-        if name.lower() == "role" and value in _ROLE or name.lower() != "role" and _NAMED.search(value):
-            return value
+        named = _ROLE if name.lower() == "role" else _NAMED
+        for token in next(filter(None, values), "").lower().split():
+            if token in named and not (in_article and token in _HEAD):
+                return f"{name.lower() == 'role'} {token}"
     return None
 
 
+def _share(mark: str) -> int:
+    """A line of a region counts for one in so many: forms may wrap a page, names may be chance, the other tags rarely err."""
+    return 2 if mark in ("form", "fieldset") else 4 if " " in mark and not _REPLIES.match(mark.split()[1]) else 8
+
+
 @dataclass
 class Region:
     tag: str
@@ -75,6 +94,10 @@ class Region:
     main: bool = False
     depth: int = 1
 
+    def holds_main(self, free: int) -> bool:
+        """Whether it holds <main>, or <article>s that are not reader comments while the page has none outside regions."""
+        return self.main or bool(self.articles and not free and not _REPLIES.match(self.mark.split()[-1]))
+
 
 @dataclass
 class Line:
@@ -196,10 +219,22 @@ def _windows(weights: list[float]) -> list[float]:
     return [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
 
 
+def _cleared(lines: list[Line], free: int) -> set[str]:
+    """The marks of all regions that hold the heaviest line of the page's highest window."""
+    weights = [line.weight / math.prod(_share(r.mark) for r in line.regions if not r.holds_main(free)) for line in lines]
+    blocks = _windows(weights)
+    top = max(range(len(lines)), key=blocks.__getitem__, default=None)
+    if top is None or not blocks[top]:
+        return set()
+    heaviest = max(range(top, min(top + WINDOW, len(lines))), key=weights.__getitem__)
+    return {r.mark for r in lines[heaviest].regions}
+
+
 def main_text(page: str | None) -> str:
     """The text between surge and dive points of a whole page."""
     lines, free = lines_of(page or "")
-    shown = [(line, not line.regions) for line in lines]
+    cleared = _cleared(lines, free)
+    shown = [(line, all(r.holds_main(free) or r.mark in cleared for r in line.regions)) for line in lines]
     lines = [x for line, stays in shown for x in ([line] if stays else [Line("", 0)] * WINDOW)]
     weights = [line.weight for line in lines]
     threshold = max(1, min(SURGE, max(_windows(weights), default=0) // 2))

@@ -93,3 +93,12 @@ def test_article_tags_do_not_replace_the_distribution():
     page = f"<div><p>{LONG}</p><p>{LONG}</p></div><article><h2>Teaser</h2></article><article class='comment'>{LONG}</article>"
     assert htmltext.main_text(page) == f"{LONG}\n{LONG}"
     assert htmltext.main_text(f"<article><p>Yes.</p><p>No.</p><p>Oh.</p><p>{LONG}</p></article>") == f"Yes.\nNo.\nOh.\n{LONG}"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='with-sidebar'><p>{LONG}</p></div>", LONG), (f"<form><div><p>{LONG}</p></div></form>", LONG), (f"<form><article><p>{LONG}</p></article></form>", LONG),
+    (f"<div class='widget'><p>{LONG}</p></div><div class='widget'><p>More.</p></div><footer>{LONG}</footer>", f"{LONG}\nMore."),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><section id='related-work'><p>work</p></section></article>", f"Title\n{LONG}\nwork"),
+    (f"<p>{LONG} {LONG}</p><section class='comments'><article>{LONG}</article></section>", f"{LONG} {LONG}")])
+def test_names_do_not_drop_main_text(page, text):
+    assert htmltext.main_text(page) == text
