@@ -16,8 +16,8 @@ id token names a menu, header, footer, sidebar, notice, advert, form or reader
 comments weigh a fraction (``_share``) and are left out, unless they hold the
 page's <main>, its only <article>s (reader comments aside) or its highest
 window; a mark that is wrong for the highest window counts for no region of the
-page. What is left out leaves
-blank lines.
+page. What is left out leaves no blank lines, save a page's <nav> or <header>
+before the first surge.
 
 Defined results: a null or empty page and one without text give an empty text;
 malformed or unclosed markup is read up to the end of the page, an unclosed
@@ -234,10 +234,11 @@ def main_text(page: str | None) -> str:
     """The text between surge and dive points of a whole page."""
     lines, free = lines_of(page or "")
     cleared = _cleared(lines, free)
-    shown = [(line, all(r.holds_main(free) or r.mark in cleared for r in line.regions)) for line in lines]
-    lines = [x for line, stays in shown for x in ([line] if stays else [Line("", 0)] * WINDOW)]
+    lines = [line for line in lines if all(r.holds_main(free) or r.mark in cleared for r in line.regions)]
     weights = [line.weight for line in lines]
     threshold = max(1, min(SURGE, max(_windows(weights), default=0) // 2))
+    first = next((i for i, block in enumerate(_windows(weights)) if block >= threshold), 0)
+    lines = [line for i, line in enumerate(lines) if i <= first or not line.bounds]
     weights = [line.weight for line in lines]
     blocks = _windows(weights)
     kept: list[str] = []

@@ -102,3 +102,11 @@ def test_article_tags_do_not_replace_the_distribution():
     (f"<p>{LONG} {LONG}</p><section class='comments'><article>{LONG}</article></section>", f"{LONG} {LONG}")])
 def test_names_do_not_drop_main_text(page, text):
     assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<p>{LONG}</p><div class='ad'>buy</div><p>Short closing words.</p>", f"{LONG}\nShort closing words."),
+    (f"<p>{LONG}</p><div class='ad'>buy</div><p>Short.</p><aside>b</aside><p>{LONG}</p>", f"{LONG}\nShort.\n{LONG}"),
+    (f"<div>Logo</div><nav>menu</nav><h1>T</h1><div class='share'>s</div><p>{LONG}</p><nav>x</nav><p>End.</p>", f"T\n{LONG}\nEnd.")])
+def test_removed_regions_do_not_break_the_text(page, text):
+    assert htmltext.main_text(page) == text
