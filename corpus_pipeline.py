@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component."""
+    """One document of each near-duplicate component: the smallest doc_id, null ids last, then the smallest text hash."""
     return simhash.keep_first(docs)
 
 

@@ -28,9 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedmatch.llm.components import components
 from feedmatch.llm.scratch import stored
@@ -59,16 +58,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+#: What tells the rows of documents apart; null ids come last.
+KEY = ("no_id", "id", "text_1", "text_2")
+
+
+def _key() -> dict[str, Column]:
+    doc_id = F.col("doc_id").cast("long")
+    return dict(zip(KEY, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64("text"), F.hash("text")), strict=True))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """The key of each row and fp, the fingerprint's bits as a long."""
+    schema = pa.schema([("no_id", pa.bool_()), ("id", pa.int64()), ("text_1", pa.int64()), ("text_2", pa.int32()), ("fp", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, KEY), pa.array(fps.view(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    keyed = docs.select(*(c.alias(name) for name, c in _key().items()), "text")
+    return keyed.mapInArrow(rows, "no_id boolean, id long, text_1 long, text_2 int, fp long")
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -189,21 +198,27 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
     return dealt.repartition(parts, "block", "value", "one", "two").mapInArrow(walk, "u long, v long")
 
 
+def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its smallest row key and its component."""
+    distinct = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first"))
+    found = components(links(distinct, max_bits))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct, max_bits))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = _rooted(fps, max_bits)
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    of = rooted.select("fp", "root").join(named, "root").select("fp", F.expr("if(first.no_id, null, first.id)").alias("component_id"))
+    return fps.join(of, "fp").select(F.expr("if(no_id, null, id)").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose doc_id names their component; of rows that repeat a doc_id, one."""
-    groups = near_duplicates(docs, shingle, max_bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
-    once = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return once.where("_copy = 1").select(*docs.columns)
+    """One document per component: the smallest doc_id, null ids last, then the smallest text hash; of rows equal in both, one."""
+    rooted = _rooted(stored(fingerprints(docs, shingle), "fingerprints"), max_bits)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    names = {name: f"_kept_{name}" for name in KEY}
+    kept = kept.select(*(F.col(f"first.{name}").alias(to) for name, to in names.items()))
+    rows = docs.withColumns({names[name]: c for name, c in _key().items()}).join(kept, list(names.values()))
+    return rows.dropDuplicates(list(names.values())).select(*docs.columns)

@@ -91,6 +91,14 @@ def test_keep_first_edge_cases(spark):
     assert simhash.near_duplicates(docs).count() == len(rows)
 
 
+def test_keep_first_chooses_rows_not_ids(spark):
+    rows = [(None, "first row without a name of its own"), (None, "second text that nobody gave any name"), (None, "second text that nobody gave any name"),
+            (3, "words that two of the rows share here"), (5, "words that two of the rows share here"), (5, "quite other words under the same number")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, id string")
+    want = [rows[0], rows[1], rows[3], rows[5]]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_first(docs).collect()) == sorted((d or 0, t) for d, t in want)
+
+
 def _brute_hits(text, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
