@@ -9,7 +9,9 @@ block when they are in none); at shift zero the suffix bucket of that block
 selects patterns, the first block selects further, and the words are compared.
 
 Items are searched in blocks of bounded size, one narrow pass over the
-documents each, so the patterns a task holds do not grow with the benchmark.
+documents each. The result of each block but the last is written before the
+next block is collected, so driver and tasks hold one block at a time, however
+large the benchmark; a benchmark of n blocks writes the documents n - 1 times.
 
 Defined results: null texts have no words; items without words are no pattern;
 a null item_id is no item; repeated items count once; documents keep all their
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from feedmatch.llm.scratch import stored
+
 WINDOW = 10
 #: Benchmark text searched for in one pass, in bytes.
 BLOCK_BYTES = 32 << 20
@@ -104,8 +108,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.lit(0).cast("long").alias("n_words"),
                       F.lit(None).cast(schema["spans"].dataType).alias("spans"), F.lit(None).cast(ArrayType(LongType())).alias("items"))
     for k in range(n_blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()]  # about block_bytes
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(block), window), schema)
+        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]  # about block_bytes
+        held = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_pass(held, window), schema)
+        if k < n_blocks - 1:
+            out = stored(out, "hits")
+            held.destroy()
     return out
 
 

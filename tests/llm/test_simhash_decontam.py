@@ -136,3 +136,10 @@ def test_wu_manber_equals_brute_force(spark):
     assert {r[0] for r in decontam.clean(df, benchmark).collect()} == {d for d, _, n, _ in want if not n}
     assert decontam.clean(df, benchmark.where("false")).count() == len(docs)
     assert decontam.hits(df.where("false"), benchmark).count() == 0
+
+
+def test_one_block_of_items_is_held_at_a_time(spark):
+    df = spark.createDataFrame([(0, "one two three")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, f"item {i} of many") for i in range(4)], "item_id long, text string")
+    plan = decontam.hits(df, benchmark, block_bytes=60)._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[1].count("MapInArrow") == 1
