@@ -14,7 +14,8 @@ next block is collected, so driver and tasks hold one block at a time, however
 large the benchmark; a benchmark of n blocks writes the documents n - 1 times.
 
 Defined results: null texts have no words; items without words are no pattern;
-a null item_id is no item; repeated items count once; documents keep all their
+a null item_id is no item unless ``nameless`` is set, which searches those items too
+(one null at the end of ``items`` stands for all of them); repeated items count once; documents keep all their
 columns in ``row``, whatever their names; a table without patterns gives every
 document no hits.
 """
@@ -74,12 +75,12 @@ class WuManber:
             end += move
 
 
-def searchers(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[WuManber]:
+def searchers(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One searcher per pattern length."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], set[int | None]]] = {}
     for item, text in items:
         words = words_of(text)
-        if item is None or not words:
+        if not words:
             continue
         m = min(window, len(words))
         for k in range(len(words) - m + 1):
@@ -97,9 +98,11 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """row (all columns of a document), n_words, spans (begin, end of hit words), items (sorted item_ids)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    if not nameless:
+        items = items.where("item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
@@ -136,7 +139,7 @@ def _pass(block, window: int):
                         which |= of
                 n_words.append(len(words))
                 spans.append([{"begin": a, "end": b} for a, b in _merge(found)])
-                items.append(sorted(which))
+                items.append(sorted(which, key=lambda i: (i is None, i)))
             yield pa.RecordBatch.from_arrays([rows, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))],
                                              names=["row", "n_words", "spans", "items"])
 
@@ -148,6 +151,6 @@ def n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, nameless: bool = False) -> DataFrame:
     """The documents without any hit."""
-    return hits(docs, benchmark, window).where(F.size("spans") == 0).select("row.*")
+    return hits(docs, benchmark, window, nameless=nameless).where(F.size("spans") == 0).select("row.*")

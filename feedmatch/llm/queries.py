@@ -74,7 +74,7 @@ def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
-    found = decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), nameless=True)
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("row.doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))

@@ -138,6 +138,17 @@ def test_wu_manber_equals_brute_force(spark):
     assert decontam.hits(df.where("false"), benchmark).count() == 0
 
 
+def test_nameless_items_are_searched(spark):
+    items = [(None, "passage without a name"), (None, "another such passage"), (4, "a named passage"), (None, None), (None, "")]
+    texts = ["it holds a passage without a name here", "another such passage and a named passage", "nothing of them", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 30):
+        got = decontam.hits(df, benchmark, block_bytes=size, nameless=True).select("row.doc_id", decontam.n_hit(), "items").collect()
+        assert sorted(map(tuple, got)) == [(0, 4, [None]), (1, 6, [4, None]), (2, 0, []), (3, 0, [])]
+    assert {r[0] for r in decontam.clean(df, benchmark, nameless=True).collect()} == {2, 3}
+
+
 def test_one_block_of_items_is_held_at_a_time(spark):
     df = spark.createDataFrame([(0, "one two three")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(i, f"item {i} of many") for i in range(4)], "item_id long, text string")
