@@ -100,22 +100,29 @@ def run(postings: DataFrame, seen: DataFrame, prefs: Prefs, now: datetime, mode:
 
 
 def stream_fresh(landing: str, schema, seen: DataFrame, out: str, cap: int, now: datetime,
-                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet") -> None:
+                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet", carry: bool = True) -> None:
     """STR-03: one availableNow pass over what landed since the last one, deduplicated against earlier batches.
 
     Batch ``n`` reads the history that batch ``n - 1`` left and writes its
     delivered rows and the next history to its own folder, so a batch that is
     run again gives the same rows.  ``seen`` is the history before batch 0.
+    Rows that neither were delivered nor share an identity with a delivered
+    one go to ``held``, and come back with the next batch before its dedupe and
+    cap (SRT-03); without ``carry`` they only gather there.
     """
     spark = seen.sparkSession
 
     def each(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
         before = session.read.parquet(f"{out}/seen/batch={n - 1}") if n else S.normalise_seen(seen)
-        rows = cut_lineage(D.with_identities(batch))
+        landed = D.with_identities(batch)
+        held = session.read.schema(landed.schema).parquet(f"{out}/held/batch={n - 1}") if n else landed.limit(0)
+        rows = cut_lineage(landed.unionByName(held) if carry else landed)
         top, backlog = fresh_top(rows, before, rank(), cap)
         top.withColumn("backlog", F.lit(backlog)).write.mode("overwrite").parquet(f"{out}/delivered/batch={n}")
         S.upsert_seen(before, top, now, notified=True).write.mode("overwrite").parquet(f"{out}/seen/batch={n}")
+        left = D.anti_seen(rows if carry else rows.unionByName(held), session.read.parquet(f"{out}/seen/batch={n}"))
+        left.write.mode("overwrite").parquet(f"{out}/held/batch={n}")
 
     stream = spark.readStream.schema(schema).format(fmt).load(landing)
     query = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/state")

@@ -567,13 +567,16 @@ STREAM_PARTS, STREAM_CAP = 3, 300
 
 
 def stream_cross_batch(spark, sf_dir):
-    """STR-03: postings land on three days, reposts on another day than their original; each day is one batch."""
+    """STR-03: postings land on three days, reposts on another day than their original; each day is one batch.
+
+    Its SQL delivers each day's own rows up to the cap, so rows beyond it are held but don't come back here.
+    """
     columns = ("ord", "source", "source_id", "title", "company", "url", "location", "remote")
     landed = cut_lineage(postings_fx(spark, sf_dir).select(*columns))
     landing, out = new_folder(spark, "landing"), new_folder(spark, "fresh")
     for day in range(STREAM_PARTS):
         landed.filter(F.col("ord") % STREAM_PARTS == day).write.mode("append").parquet(landing)
-        stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW)
+        stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW, carry=False)
     return spark.read.parquet(f"{out}/delivered").select(F.col("batch").cast("int").alias("batch"), "position", "job_key", "ord",
                                                          F.col("backlog").cast("bigint").alias("backlog"))
 
