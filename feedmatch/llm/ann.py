@@ -10,7 +10,9 @@ are merged and ranked by their exact inner product in double precision.
 
 The number of probes is the smallest that finds ``TARGET`` of the exact
 neighbours of at most ``SAMPLE`` queries (lowest hash of vec_id), which are
-compared with every row. Every row is indexed.
+compared with every row. Where all perturbations of all tables don't reach it,
+the buckets are made twice as wide and the sample is compared again, until they
+do. Every row is indexed.
 
 Rows are dealt by the hash of vec_id into parts of about ``PART_ROWS``; a part
 holds its own tables, so a hot bucket is spread over all parts, and queries
@@ -47,18 +49,18 @@ FAR = np.iinfo(np.int32).max
 class Tables:
     """Projections for vectors of ``dim`` components whose largest norm is ``top``."""
 
-    def __init__(self, dim: int, top: float) -> None:
+    def __init__(self, dim: int, top: float, width: float = WIDTH) -> None:
         rng = np.random.default_rng(SEED)
-        self.top = top
+        self.top, self.width = top, width
         self.a = rng.normal(size=(TABLES, dim + 1, HASHES))
-        self.b = rng.uniform(0, WIDTH, size=(TABLES, HASHES))
+        self.b = rng.uniform(0, width, size=(TABLES, HASHES))
 
     def place(self, vectors: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
         """Whole hashes and the position inside them: rows x tables x hashes."""
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         unit = vectors / (norms if query else self.top)
         more = np.zeros_like(norms) if query else np.sqrt(np.maximum(0, 1 - (norms / self.top) ** 2))
-        at = (np.einsum("nd,tdk->ntk", np.hstack([unit, more]), self.a) + self.b) / WIDTH
+        at = (np.einsum("nd,tdk->ntk", np.hstack([unit, more]), self.a) + self.b) / self.width
         whole = np.floor(at)
         return whole.astype(np.int64), at - whole
 
@@ -122,7 +124,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def search(limit: int | None):
+    def search(limit: int | None, tables: Tables):
         """Answers the queries of each part; without a limit all rows are compared and the probe that finds each is told."""
 
         def answer(ids, vecs, index, batch) -> pa.RecordBatch:
@@ -191,7 +193,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     queries = rows.where(is_query).select("vec_id", "vec")
     if probes is None:
         sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-        need = merged(asked(sample).mapInArrow(search(None), FOUND_SCHEMA)).select("probe").toArrow()["probe"].to_numpy()
-        reach = np.sort(need)[min(len(need) - 1, int(np.ceil(TARGET * len(need))))] if len(need) else 0
-        probes = int(min(reach + 1, len(_DELTAS)))
-    return merged(asked(queries).mapInArrow(search(probes), FOUND_SCHEMA)).select("query_id", "rank", "vec_id", "score")
+        while True:  # ends: in wide enough buckets all hashes differ by one at most
+            need = merged(asked(sample).mapInArrow(search(None, tables), FOUND_SCHEMA)).select("probe").toArrow()["probe"].to_numpy()
+            reach = int(np.sort(need)[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) if len(need) else 0
+            if reach < FAR:
+                break
+            tables = Tables(dim, tables.top, 2 * tables.width)
+        probes = min(reach + 1, len(_DELTAS))
+    return merged(asked(queries).mapInArrow(search(probes, tables), FOUND_SCHEMA)).select("query_id", "rank", "vec_id", "score")

@@ -110,3 +110,16 @@ def test_names_do_not_drop_main_text(page, text):
     (f"<div>Logo</div><nav>menu</nav><h1>T</h1><div class='share'>s</div><p>{LONG}</p><nav>x</nav><p>End.</p>", f"T\n{LONG}\nEnd.")])
 def test_removed_regions_do_not_break_the_text(page, text):
     assert htmltext.main_text(page) == text
+
+
+def test_nearest_widens_buckets_that_hold_too_few(spark):
+    import warnings
+
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    rows = [(0, [-1.0] + [0.0] * 38)] + [(i, [1.0, *(1e-4 * rnd.normal(size=38)).tolist()]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        got = ann.nearest(df, F.col("vec_id") == 0, 20).collect()
+    assert len(got) == 20 and len({r["vec_id"] for r in got}) == 20
