@@ -119,17 +119,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, se
         part, number, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids, held = [], [], [], 0
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for name, raw in zip(names[lo:], memo(tokenizer).encode(texts[lo:lo + 256]), strict=False):
-                    doc_ids.append(name)
-                    lengths.append(len(raw) // 4 + 1)
-                    ids += [raw, end]
-                    held += lengths[-1]
-                    if held >= segment_tokens:
-                        yield segment(part, number, before, held, doc_ids, lengths, ids)
-                        number, before = number + 1, before + held
-                        doc_ids, lengths, ids, held = [], [], [], 0
+            for name, raw in zip(batch.column("doc_id").to_pylist(), memo(tokenizer).encode(batch.column("text")), strict=True):
+                doc_ids.append(name)
+                lengths.append(len(raw) // 4 + 1)
+                ids += [raw, end]
+                held += lengths[-1]
+                if held >= segment_tokens:
+                    yield segment(part, number, before, held, doc_ids, lengths, ids)
+                    number, before = number + 1, before + held
+                    doc_ids, lengths, ids, held = [], [], [], 0
         if doc_ids:
             yield segment(part, number, before, held, doc_ids, lengths, ids)
 

@@ -126,13 +126,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for name, raw in zip(names[lo:], memo(tokenizer).encode(texts[lo:lo + 256]), strict=False):
-                    raw += end
-                    total = len(raw) // 4
-                    for start in range(0, total, size):
-                        packer.add((name, start, total, raw[4 * start:4 * (start + size)]))
+            for name, raw in zip(batch.column("doc_id").to_pylist(), memo(tokenizer).encode(batch.column("text")), strict=True):
+                raw += end
+                total = len(raw) // 4
+                for start in range(0, total, size):
+                    packer.add((name, start, total, raw[4 * start:4 * (start + size)]))
                 if len(packer.done) >= 256:
                     yield finished()
         packer.flush()

@@ -45,7 +45,6 @@ def test_run_equals_brute_force(spark):
     want = _expected(spark)
     pieces = corpus_pipeline.run(spark, SF_SMALL).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got, sequences = {}, {}
     for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
         assert p["start"] == len(got.get(p["doc_id"], b"")) // 4 and p["length"] * 4 == len(p["ids"])

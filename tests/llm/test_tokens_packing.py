@@ -18,9 +18,7 @@ ROWS = [(5, "It's a fine day, isn't it?", "x", 1), (2, "", None, None), (3, None
 
 @cache
 def _tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def _ids(path, text):
@@ -30,12 +28,17 @@ def _ids(path, text):
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_memo_equals_library_on_whole_texts(path):
     rnd = np.random.default_rng(3)
-    letters = list("ab'sT .,\n\t 1é́ß×² d　_\x1c")
-    texts = ["".join(rnd.choice(letters, rnd.integers(0, 30))) for _ in range(1500)] + [t for _, t, *_ in ROWS]
-    memo = TokenMemo(path)
-    assert memo.mode
-    for _ in range(2):  # first unknown, then remembered
-        assert [[*np.frombuffer(raw, "<u4"), 1] for raw in memo.encode(texts)] == [_ids(path, t) for t in texts]
+    letters = list("ab'sT .,\n\t 1é́ß×² d　_\x1c") + ["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "  ", "   ", " \n"]
+    texts = ["".join(rnd.choice(letters, rnd.integers(0, 30))) for _ in range(3000)] + [t for _, t, *_ in ROWS]
+    for memo in (TokenMemo(path), TokenMemo(path, entries=50)):  # the second forgets all the time
+        assert memo.mode
+        for _ in range(2):  # first unknown, then remembered
+            assert [[*np.frombuffer(raw, "<u4"), 1] for raw in memo.encode(texts)] == [_ids(path, t) for t in texts]
+
+
+def test_special_token_strings_follow_the_plain_call():
+    for path, special in ((WORDS, 49407), (BYTES, 50256)):
+        assert special in np.frombuffer(next(TokenMemo(path).encode(["hello <|endoftext|> world"])), "<u4")
 
 
 def test_dac_random_access():
