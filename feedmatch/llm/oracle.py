@@ -60,4 +60,35 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op5_warc_chunks": OP5, "op8_bloom_cascade": OP8, "op10_wu_manber": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x(i) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+  SELECT [a.i, b.i, e.i, g.i, h.i] AS o FROM x a, x b, x e, x g, x h WHERE len(list_distinct([a.i, b.i, e.i, g.i, h.i])) = 5
+), s AS (SELECT o, list_reduce(list_transform(o, lambda i: substr('ABCDE', i, 1)), lambda p, q: p || q) AS filter_order, unnest(range(1, 6))::INT AS step FROM orders
+), r AS (
+  SELECT part, filter_order, step, o[step] AS f, n, good, toxic, fails,
+         len(list_filter(o[:step - 1], lambda i: fails[i])) = 0 AS alive, fails[o[step]] AS hit, len(list_filter(fails, lambda b: b)) AS failed
+  FROM s, c
+), t AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (alive AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (alive AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (NOT alive AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (hit AND failed = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (alive AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (alive AND hit), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM t
+"""
+
+ORACLE: dict[str, str] = {"op5_warc_chunks": OP5, "op8_bloom_cascade": OP8, "op10_wu_manber": OP10,
+                          "op11_radix_audit": OP11}

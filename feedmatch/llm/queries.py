@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmatch.llm import ann, chat, dac, decontam, htmltext, packing, simhash, toxicity, urls, warc
+from feedmatch.llm import ann, bincompletion, blocktables, chat, dac, decontam, htmltext, packing, radixaudit, simhash, toxicity, urls, warc
 from feedmatch.llm.scratch import scratch_path
 
 
@@ -80,6 +80,22 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op11_radix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    return radixaudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after damage."""
+    return blocktables.audit(_table(spark, sf_dir, "conversations"))
+
+
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few windows of 2048 ids as found."""
+    pieces = bincompletion.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dac_tokens": op1_dac_tokens,
     "op2_toxicity": op2_toxicity,
@@ -91,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bloom_cascade": op8_bloom_cascade,
     "op9_line_blocks": op9_line_blocks,
     "op10_wu_manber": op10_wu_manber,
+    "op11_radix_audit": op11_radix_audit,
+    "op12_block_tables": op12_block_tables,
+    "op13_bin_completion": op13_bin_completion,
 }
