@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedmatch.operators.scan import prefix_sums
 from feedmatch.session import cut_lineage
 
 
@@ -50,28 +51,23 @@ def byte_budget(blocks: DataFrame, group: str, order: str, block_col: str, budge
     """WIN-04: per group, keep blocks in order while header + kept blocks + the
     "…and N more not shown." line the next cut would need + tail fit ``budget``
     bytes; the first overflow stops the group.  Returns one row per group:
-    ``kept``, ``dropped``, ``body_bytes``."""
-    w = Window.partitionBy(group).orderBy(order)
+    ``kept``, ``dropped``, ``body_bytes``.
+
+    Running sums come from ``prefix_sums``, so a group of any size is spread
+    over all tasks; what stops a group is one partial aggregation.  Blocks of
+    equal order go by their size.
+    """
     more = lambda n: F.when(n > 0, F.octet_length(
         F.concat(F.lit("…and "), n.cast("string"), F.lit(" more not shown.\n")))).otherwise(F.lit(0))
-    b = (blocks.withColumn("_bytes", F.octet_length(F.col(block_col)))
-               .withColumn("_cum", F.sum("_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("_i", F.row_number().over(w))
-               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group))))
-    b = b.withColumn("_fits", F.lit(head_bytes) + F.col("_cum") + more(F.col("_n") - F.col("_i"))
-                     + F.lit(tail_bytes) <= F.lit(budget))
-    b = b.withColumn("_first_over", F.min(F.when(~F.col("_fits"), F.col("_i")))
-                     .over(Window.partitionBy(group)))
-    in_prefix = F.col("_first_over").isNull() | (F.col("_i") < F.col("_first_over"))
-    per = b.groupBy(group).agg(
-        F.max("_n").alias("n"),
-        F.count(F.when(in_prefix, F.lit(1))).alias("kept"),
-        F.coalesce(F.sum(F.when(in_prefix, F.col("_bytes"))), F.lit(0)).alias("kept_bytes"))
-    dropped = F.col("n") - F.col("kept")
-    return per.select(group, F.col("kept").cast("bigint").alias("kept"),
-                      dropped.cast("bigint").alias("dropped"),
-                      (F.lit(head_bytes) + F.col("kept_bytes") + more(dropped) + F.lit(tail_bytes))
-                      .cast("bigint").alias("body_bytes"))
+    narrow = blocks.select(group, F.col(order).alias("_at"), F.coalesce(F.octet_length(F.col(block_col)), F.lit(0)).alias("_bytes"))
+    b = prefix_sums(narrow, [group], [F.col("_at"), F.col("_bytes")], {"cum": F.col("_bytes"), "i": F.lit(1)})
+    over = (F.lit(head_bytes) + F.col("cum") + more(F.col("i_total") - F.col("i")) + F.lit(tail_bytes)) > F.lit(budget)
+    per = b.groupBy(group).agg(F.max("i_total").alias("n"), F.max("cum_total").alias("bytes"),
+                               F.min(F.when(over, F.struct("i", (F.col("cum") - F.col("_bytes")).alias("before")))).alias("stop"))
+    kept = F.coalesce(F.col("stop.i") - 1, F.col("n"))
+    dropped = F.col("n") - kept
+    return per.select(group, kept.cast("bigint").alias("kept"), dropped.cast("bigint").alias("dropped"),
+                      (F.lit(head_bytes) + F.coalesce("stop.before", "bytes") + more(dropped) + F.lit(tail_bytes)).cast("bigint").alias("body_bytes"))
 
 
 def shown_remote(reasons: Column) -> Column:
