@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedmatch.sources.mapping import SPECS
 
-# --- fixed values: sources whose HTTP errors the reference swallows (empty and healthy) ---
-QUIET_ON_ERROR = ("remotive", "arbeitnow", "adzuna")
 
-
-# --- fixed values: sources fetched as one feed, not by board, whose failure is the source's own ---
-WHOLE_FEEDS = ("remotive", "arbeitnow", "remoteok", "jobicy", "himalayas", "adzuna")
+#: Sources whose HTTP errors are empty pages in compat mode, and those fetched as one feed, whose failure is the source's own.
+QUIET_ON_ERROR = tuple(s.name for s in SPECS if s.quiet)
+WHOLE_FEEDS = tuple(s.name for s in SPECS if s.failure == "feed")
 SCHEMA_MOVED = "no usable records, payload shape may have changed"
 
 

@@ -1,9 +1,9 @@
-"""Per-source field mappings (EXT-01/02, SRC-02..12, SRC-18, FN-12..15).
+"""The sources and the mapping of their records to postings (EXT-01/02, SRC-02..13, SRC-18, FN-12..15).
 
-A source is a dict of Column builders over one ``record`` VARIANT (plus the
-``board`` column for ATS sources).  Every field read is typed and tolerant:
-a missing or wrong-typed field is NULL, never an error.  Records lacking an
-id, a title or a URL are dropped (SRC-12); the rest are unioned by name.
+Fields are read by the compiled specs (one reader per field); what a source
+does beside naming its fields is a case of the few rules below, each of which
+stands once in the plan.  Every field read is typed and tolerant: a missing or
+wrong-typed field is NULL or empty, never an error.
 """
 
 from __future__ import annotations
@@ -13,281 +13,160 @@ from pyspark.sql import functions as F
 
 from feedmatch.functions.dates import parse_instant
 from feedmatch.functions.patterns import REGION_SPLIT
+from feedmatch.functions.regex import spark_sql_literal as lit
 from feedmatch.functions.salary import format_salary
-from feedmatch.functions.text import strip_html, strip_ws, unescape_html
-
-R = F.col("record")
-
-
-def s(path: str) -> Column:
-    """A field as text (numbers are rendered as text), trimmed; '' when absent or a list or object."""
-    kind = F.schema_of_variant(F.try_variant_get(R, f"$.{path}", "variant"))
-    text = F.when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.try_variant_get(R, f"$.{path}", "string"))
-    return strip_ws(F.coalesce(text, F.lit("")))
-
-
-def first(*paths: str) -> Column:
-    """The first non-empty of several text fields (the ``a or b`` fallbacks)."""
-    return F.coalesce(*[F.nullif(s(p), F.lit("")) for p in paths], F.lit(""))
-
-
-def num(path: str) -> Column:
-    """A numeric field; booleans and strings are not numbers."""
-    kind = F.schema_of_variant(F.try_variant_get(R, f"$.{path}", "variant"))
-    return F.when(kind.isin("BIGINT", "DOUBLE", "INT", "SMALLINT", "TINYINT", "FLOAT")
-                  | kind.startswith("DECIMAL"), F.try_variant_get(R, f"$.{path}", "double"))
-
-
-def as_bool(path: str) -> Column:
-    """FN-12: null/'' -> NULL; bool as is; strings true/1/yes/remote; else truthiness."""
-    v = F.try_variant_get(R, f"$.{path}", "variant")
-    kind = F.schema_of_variant(v)
-    text = F.lower(strip_ws(F.coalesce(F.try_variant_get(R, f"$.{path}", "string"), F.lit(""))))
-    return (F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("boolean"))
-             .when(kind == "BOOLEAN", F.try_variant_get(R, f"$.{path}", "boolean"))
-             .when(kind == "STRING", F.when(text == "", F.lit(None).cast("boolean"))
-                   .otherwise(text.isin("true", "1", "yes", "remote")))
-             .otherwise(F.coalesce(F.try_variant_get(R, f"$.{path}", "double") != 0, F.lit(True))))
-
-
-def instant(path: str) -> Column:
-    """FN-15 on a field that may be epoch seconds/millis or an ISO string."""
-    return parse_instant(F.try_variant_get(R, f"$.{path}", "string"), num(path))
-
-
-def names(path: str) -> Column:
-    """FN-14: strings, or the ``name`` of objects, trimmed; others dropped."""
-    items = F.try_variant_get(R, f"$.{path}", "array<variant>")
-    vals = F.transform(items, lambda x: strip_ws(F.coalesce(
-        F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")),
-        F.try_variant_get(x, "$.name", "string"), F.lit(""))))
-    return F.filter(F.coalesce(vals, F.array().cast("array<string>")), lambda x: x != "")
+from feedmatch.functions.text import strip_html, unescape_html
+from feedmatch.sources import spec as K
+from feedmatch.sources.spec import SourceSpec
 
+# --- fixed values: words of technical roles outside the software category (SRC-06) ----------------
+TECHNICAL_WORDS = ("engineer", "developer", "software", "devops", "python", "data")
 
-def text_list(path: str) -> Column:
-    items = F.try_variant_get(R, f"$.{path}", "array<string>")
-    return F.coalesce(F.filter(items, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+_REGIONS = "CASE WHEN size({0}) > 0 THEN {0} ELSE array('{1}') END"
+_JOBICY_REGIONS = f"filter(transform(split(location, {lit(REGION_SPLIT)}), r -> {K.strip('r')}), r -> r <> '')"
+
+# --- fixed values: the sources, with the field names and fallbacks of each board's payload, in registry order (SRC-17) ----
+SPECS = (
+    SourceSpec("greenhouse", {
+        "source_id": "id", "title": "title", "url": "absolute_url", "company": "company_name", "location": "location.name", "html": "content",
+        "tag_names": "departments", "at": "first_published", "at_else": "updated_at"},
+        objects=("location",), failure="board", board_ids=True),
+    SourceSpec("lever", {
+        "source_id": "id", "title": "text", "url": ("hostedUrl", "applyUrl"), "location": "categories.location", "plain": "descriptionPlain",
+        "html": "description", "tag_texts": ("categories.team", "categories.department", "categories.commitment"), "workplace": "workplaceType",
+        "at": "createdAt", "salary_text": "salaryDescription", "low_text": "salaryRange.min", "high_text": "salaryRange.max",
+        "currency": "salaryRange.currency", "job_text": "categories.commitment"},
+        objects=("categories",), failure="board", board_ids=True, extra={"board": "board", "workplace_type": "nullif(lower(workplace), '')"}),
+    SourceSpec("ashby", {
+        "source_id": "id", "title": "title", "url": ("jobUrl", "applyUrl"), "company": "organizationName", "location": "location",
+        "plain": "descriptionPlain", "html": "descriptionHtml", "tag_texts": ("department", "team"), "remote_flag": "isRemote",
+        "at": "publishedAt", "at_else": "updatedAt", "salary_text": "compensation.compensationTierSummary", "job_text": "employmentType"},
+        failure="board", board_ids=True),
+    SourceSpec("remotive", {
+        "source_id": "id", "title": "title", "url": "url", "company": "company_name", "location": ("candidate_required_location", "job_type"),
+        "html": "description", "tag_list": "tags", "at": "publication_date", "category": "category", "salary_text": "salary", "job_text": "job_type"},
+        quiet=True, extra={"category": "nullif(category, '')"}),
+    SourceSpec("arbeitnow", {
+        "source_id": ("slug", "url"), "title": "title", "url": "url", "company": "company_name", "location": "location", "html": "description",
+        "tag_list": "tags", "remote_flag": "remote", "at": "created_at", "at_else": "createdAt", "job_list": "job_types",
+        "job_text": ("job_types", "job_type"), "visa_flag": "visa_sponsorship"},
+        envelope=("data",), quiet=True),
+    SourceSpec("remoteok", {
+        "source_id": "id", "title": "position", "url": ("url", "apply_url"), "company": "company", "location": "location", "html": "description",
+        "tag_list": "tags", "at": "date", "at_else": "epoch", "low": "salary_min", "high": "salary_max"}),
+    SourceSpec("jobicy", {
+        "source_id": "id", "title": ("jobTitle", "title"), "url": "url", "company": "companyName", "location": "jobGeo",
+        "html": ("jobDescription", "jobExcerpt"), "tag_list": "jobIndustry", "at": "pubDate", "low": ("salaryMin", "annualSalaryMin"),
+        "high": ("salaryMax", "annualSalaryMax"), "currency": "salaryCurrency", "period": "salaryPeriod", "job_list": "jobType", "level_text": "jobLevel"},
+        extra={"eligible_regions": _REGIONS.format(_JOBICY_REGIONS, "Anywhere"),
+               "level": "CASE WHEN lower(level_text) <> 'any' THEN nullif(level_text, '') END"}),
+    SourceSpec("himalayas", {
+        "source_id": ("guid", "id", "slug", "url"), "title": "title", "url": ("applicationLink", "applicationUrl", "url"), "company": "companyName",
+        "html": ("description", "excerpt"), "tag_names": "categories", "region_names": "locationRestrictions", "level_names": "seniority",
+        "at": "pubDate", "at_else": "publishedAt", "low": "minSalary", "high": "maxSalary", "currency": "currency", "period": "salaryPeriod",
+        "job_text": "employmentType"},
+        extra={"eligible_regions": _REGIONS.format("region_names", "Worldwide"), "level": "nullif(array_join(level_names, ', '), '')"}),
+    SourceSpec("adzuna", {
+        "source_id": "id", "title": "title", "url": ("redirect_url", "adref"), "company": "company.display_name", "location": "location.display_name",
+        "html": "description", "area": "location.area", "at": "created", "low": "salary_min", "high": "salary_max", "low_text": "salary_min",
+        "high_text": "salary_max", "category": "category.label"},
+        envelope=("results",), objects=("location", "company"), quiet=True, extra={"country": "board", "category": "nullif(category, '')"}),
+)
+BY_NAME = {s.name: s for s in SPECS}
+ORDER = tuple(BY_NAME)  # the global fetch-order tie-break (SRC-17)
+EXTRA_TYPES = {"board": "string", "workplace_type": "string", "category": "string", "country": "string",
+               "level": "string", "eligible_regions": "array<string>"}
 
 
-def contains_remote(*cols: Column) -> Column:
-    return F.lower(F.concat_ws(" ", *cols)).contains("remote")
+def _when(rules: dict[str, str], otherwise: str = "NULL") -> str:
+    """One rule by source; names may be joined by a bar."""
+    whens = " ".join(f"WHEN source IN ({', '.join(lit(n) for n in names.split('|'))}) THEN {sql}" for names, sql in rules.items())
+    return f"CASE {whens} ELSE {otherwise} END"
 
 
-def has(path: str) -> Column:
-    """Whether the record names the field, whatever it holds."""
-    return F.try_variant_get(R, f"$.{path}", "variant").isNotNull()
+def _remote(*texts: str) -> str:
+    return f"contains(lower(concat_ws(' ', {', '.join(texts)})), 'remote')"
 
 
-def bound(path: str, missing: str = "?") -> Column:
-    """A salary bound as the source writes it."""
-    return F.coalesce(F.nullif(s(path), F.lit("")), F.lit(missing))
+def _bound(text: str) -> str:
+    return f"coalesce(nullif({text}, ''), '?')"
 
 
-def dollars() -> Column:
+def _dollars() -> str:
     """Remote OK: both bounds, or whichever is a positive number."""
-    amount = lambda path: F.nullif(F.when(num(path) > 0, F.floor(num(path))), F.lit(0))
-    shown = F.array_compact(F.array(*[F.concat(F.lit("$"), F.format_number(amount(p), 0)) for p in ("salary_min", "salary_max")]))
-    return F.nullif(F.array_join(shown, "–"), F.lit(""))
-
-
-def technical() -> Column:
-    """SRC-06: a software category, or a technical word in title or tags."""
-    category = F.lower(s("category"))
-    blob = F.lower(F.concat_ws(" ", s("title"), F.array_join(text_list("tags"), " ")))
-    return category.contains("software") | any_of(blob, TECHNICAL_WORDS)
-
-
-def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
-
-
-# --- fixed values: words of technical roles outside the software category ----------------
-TECHNICAL_WORDS = ("engineer", "developer", "software", "devops", "python", "data")
-
-BOARD = F.col("board")
-
-
-def regions_or(parts: Column, default: str) -> Column:
-    named = F.filter(F.transform(parts, strip_ws), lambda r: r != "")
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(default)))
-
-
-def board_id() -> Column:
-    """An id that is unique across the boards of a source; '' when the record has none."""
-    return F.when(s("id") != "", F.concat(BOARD, F.lit(":"), s("id"))).otherwise("")
-
-
-# --- the sources (field choices and fallbacks of each board's payload) ------------------
-SOURCES: dict[str, dict[str, Column]] = {
-    "greenhouse": {
-        "source_id": F.concat(BOARD, F.lit(":"), s("id")), "title": s("title"), "url": s("absolute_url"),
-        "company": F.coalesce(F.nullif(s("company_name"), F.lit("")), BOARD), "location": s("location.name"),
-        "html": unescape_html(s("content")), "tags": names("departments"),
-        "remote": contains_remote(s("location.name")),
-        "posted_at": F.coalesce(instant("first_published"), instant("updated_at")),
-        "salary": F.lit(None).cast("string"), "job_type": F.lit(None).cast("string"),
-        "visa_sponsorship": F.lit(None).cast("boolean")},
-    "lever": {
-        "source_id": board_id(), "title": s("text"), "url": first("hostedUrl", "applyUrl"), "company": BOARD,
-        "location": s("categories.location"),
-        "plain": s("descriptionPlain"), "html": s("description"),
-        "tags": F.filter(F.array(F.nullif(s("categories.team"), F.lit("")),
-                                 F.nullif(s("categories.department"), F.lit("")),
-                                 F.nullif(s("categories.commitment"), F.lit(""))), lambda x: x.isNotNull()),
-        "remote": (F.lower(s("workplaceType")) == "remote") | contains_remote(s("categories.location")),
-        "posted_at": instant("createdAt"), 
-        "salary": F.coalesce(
-            F.nullif(s("salaryDescription"), F.lit("")),
-            F.when((s("salaryRange.min") != "") | (s("salaryRange.max") != ""), F.trim(F.concat(
-                s("salaryRange.currency"), F.lit(" "), bound("salaryRange.min"), F.lit("–"), bound("salaryRange.max"))))),
-        "extra": {"board": BOARD, "workplace_type": F.nullif(F.lower(s("workplaceType")), F.lit(""))},
-        "job_type": F.nullif(s("categories.commitment"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
-    "ashby": {
-        "source_id": board_id(), "title": s("title"), "url": first("jobUrl", "applyUrl"),
-        "company": F.coalesce(F.nullif(s("organizationName"), F.lit("")), BOARD), "location": s("location"),
-        "plain": s("descriptionPlain"), "html": s("descriptionHtml"),
-        "tags": F.filter(F.array(F.nullif(s("department"), F.lit("")), F.nullif(s("team"), F.lit(""))),
-                         lambda x: x.isNotNull()),
-        "remote": F.coalesce(as_bool("isRemote"), contains_remote(s("location"))),
-        "posted_at": F.coalesce(instant("publishedAt"), instant("updatedAt")),
-        "salary": F.nullif(s("compensation.compensationTierSummary"), F.lit("")),
-        "job_type": F.nullif(s("employmentType"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
-    "remotive": {
-        "source_id": s("id"), "title": s("title"), "url": s("url"), "company": s("company_name"),
-        "location": first("candidate_required_location", "job_type"), "html": s("description"),
-        "tags": text_list("tags"), "remote": F.lit(True), "posted_at": instant("publication_date"),
-        "extra": {"category": F.nullif(s("category"), F.lit(""))}, "wanted": technical(),
-        "salary": F.nullif(s("salary"), F.lit("")), "job_type": F.nullif(s("job_type"), F.lit("")),
-        "visa_sponsorship": F.lit(None).cast("boolean")},
-    "arbeitnow": {
-        "source_id": first("slug", "url"), "title": s("title"), "url": s("url"), "company": s("company_name"),
-        "location": s("location"), "html": s("description"), "tags": text_list("tags"),
-        "remote": as_bool("remote"), "posted_at": F.coalesce(instant("created_at"), instant("createdAt")),
-        "salary": F.lit(None).cast("string"),
-        "job_type": F.coalesce(F.nullif(F.array_join(text_list("job_types"), ", "), F.lit("")),
-                               F.nullif(s("job_types"), F.lit("")), F.nullif(s("job_type"), F.lit(""))),
-        "visa_sponsorship": as_bool("visa_sponsorship")},
-    "remoteok": {
-        "source_id": s("id"), "title": s("position"), "url": first("url", "apply_url"), "company": s("company"),
-        "location": F.coalesce(F.nullif(s("location"), F.lit("")), F.lit("Remote")),
-        "html": s("description"), "tags": text_list("tags"), "remote": F.lit(True),
-        "posted_at": F.coalesce(instant("date"), instant("epoch")),
-        "salary": dollars(),
-        "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
-    "jobicy": {
-        "source_id": s("id"), "title": first("jobTitle", "title"), "url": s("url"), "company": s("companyName"),
-        "location": F.coalesce(F.nullif(s("jobGeo"), F.lit("")), F.lit("Anywhere")),
-        "html": first("jobDescription", "jobExcerpt"), "tags": text_list("jobIndustry"),
-        "remote": F.lit(True), "posted_at": instant("pubDate"),
-        "extra": {"eligible_regions": regions_or(F.split(s("jobGeo"), REGION_SPLIT), "Anywhere"),
-                  "level": F.when(F.lower(s("jobLevel")) != "any", F.nullif(s("jobLevel"), F.lit("")))},
-        "salary": format_salary(F.when(has("salaryMin"), num("salaryMin")).otherwise(num("annualSalaryMin")),
-                                F.when(has("salaryMax"), num("salaryMax")).otherwise(num("annualSalaryMax")),
-                                F.nullif(s("salaryCurrency"), F.lit("")), s("salaryPeriod")),
-        "job_type": F.nullif(F.array_join(text_list("jobType"), ", "), F.lit("")),
-        "visa_sponsorship": F.lit(None).cast("boolean")},
-    "himalayas": {
-        "source_id": first("guid", "id", "slug", "url"), "title": s("title"),
-        "url": first("applicationLink", "applicationUrl", "url"), "company": s("companyName"),
-        "location": F.coalesce(F.nullif(F.array_join(names("locationRestrictions"), ", "), F.lit("")),
-                               F.lit("Worldwide")),
-        "html": first("description", "excerpt"), "tags": names("categories"),
-        "remote": F.lit(True), "posted_at": F.coalesce(instant("pubDate"), instant("publishedAt")),
-        "extra": {"eligible_regions": regions_or(names("locationRestrictions"), "Worldwide"),
-                  "level": F.nullif(F.array_join(names("seniority"), ", "), F.lit(""))},
-        "salary": format_salary(num("minSalary"), num("maxSalary"), F.nullif(s("currency"), F.lit("")),
-                                s("salaryPeriod")),
-        "job_type": F.nullif(s("employmentType"), F.lit("")), "visa_sponsorship": F.lit(None).cast("boolean")},
-    "adzuna": {
-        "source_id": s("id"), "title": s("title"), "url": first("redirect_url", "adref"),
-        "company": s("company.display_name"),
-        "location": F.coalesce(F.nullif(s("location.display_name"), F.lit("")),
-                               F.nullif(F.array_join(text_list("location.area"), ", "), F.lit("")), F.upper(BOARD)),
-        "html": s("description"), "tags": F.array(BOARD),
-        "remote": contains_remote(s("title"), s("location.display_name"), F.array_join(text_list("location.area"), ", "),
-                                  s("description")),
-        "posted_at": instant("created"),
-        "salary": F.when((F.coalesce(num("salary_min"), F.lit(0.0)) != 0) | (F.coalesce(num("salary_max"), F.lit(0.0)) != 0),
-                         F.concat(bound("salary_min"), F.lit("–"), bound("salary_max"))),
-        "extra": {"country": BOARD, "category": F.nullif(s("category.label"), F.lit(""))},
-        "job_type": F.lit(None).cast("string"), "visa_sponsorship": F.lit(None).cast("boolean")},
+    amount = [f"nullif(CASE WHEN {n} > 0 THEN floor({n}) END, 0)" for n in ("low", "high")]
+    return "nullif(array_join(array_compact(array(" + ", ".join(f"concat('$', format_number({a}, 0))" for a in amount) + ")), '–'), '')"
+
+
+_AREA = "nullif(array_join(area, ', '), '')"
+RULES = {
+    "company": _when({"lever": "board", "greenhouse|ashby": "coalesce(nullif(company, ''), board)"}, "company"),
+    "location": _when({"remoteok": "coalesce(nullif(location, ''), 'Remote')", "jobicy": "coalesce(nullif(location, ''), 'Anywhere')",
+                       "himalayas": "coalesce(nullif(array_join(region_names, ', '), ''), 'Worldwide')",
+                       "adzuna": f"coalesce(nullif(location, ''), {_AREA}, upper(board))"}, "location"),
+    "tags": _when({"lever|ashby": "tag_texts", "greenhouse|himalayas": "tag_names", "adzuna": "array(board)"}, "tag_list"),
+    "remote": _when({"greenhouse": _remote("location"), "lever": f"lower(workplace) = 'remote' OR {_remote('location')}",
+                     "ashby": f"coalesce(remote_flag, {_remote('location')})", "arbeitnow": "remote_flag",
+                     "adzuna": _remote("title", "location", "array_join(area, ', ')", "html")}, "true"),
+    "job_type": "coalesce(nullif(array_join(job_list, ', '), ''), nullif(job_text, ''))",
+    "visa_sponsorship": "visa_flag",
+    "own_salary": _when({
+        "lever": "coalesce(nullif(salary_text, ''), CASE WHEN low_text <> '' OR high_text <> '' THEN "
+                 f"trim(concat(currency, ' ', {_bound('low_text')}, '–', {_bound('high_text')})) END)",
+        "remoteok": _dollars(),
+        "adzuna": f"CASE WHEN coalesce(low, 0) <> 0 OR coalesce(high, 0) <> 0 THEN concat({_bound('low_text')}, '–', {_bound('high_text')}) END"},
+        "nullif(salary_text, '')"),
+    "extra": "named_struct(" + ", ".join(
+        f"'{k}', cast({_when({s.name: s.extra[k] for s in SPECS if k in s.extra})} as {t})" for k, t in EXTRA_TYPES.items()) + ")",
 }
-REQUIRED = ("source_id", "title", "url")
-#: Payload fields that must be text or numbers, and those that must be objects where present (SRC-13).
-TEXTS = {
-    "greenhouse": ("id", "title", "absolute_url"), "lever": ("id", "text", "hostedUrl"), "ashby": ("id", "title", "jobUrl"),
-    "remotive": ("id", "title", "url"), "arbeitnow": ("slug", "title", "url"), "remoteok": ("id", "position", "url"),
-    "jobicy": ("id", "jobTitle", "url"), "himalayas": ("guid", "title", "applicationLink"), "adzuna": ("id", "title", "redirect_url"),
-}
-OBJECTS = {"greenhouse": ("location",), "lever": ("categories",), "adzuna": ("location", "company")}
-ORDER = tuple(SOURCES)  # registry order: the global fetch-order tie-break (SRC-17)
-FIELDS = ("source_id", "title", "url", "company", "location", "plain", "html", "tags", "remote", "posted_at", "salary",
-          "job_type", "visa_sponsorship")
-EXTRA_TYPES = {"board": "string", "workplace_type": "string", "category": "string", "country": "string",
-               "level": "string", "eligible_regions": "array<string>"}
-
-
-def _of_source(expression) -> Column:
-    """``expression(spec)`` of each record's own source, NULL for unknown sources."""
-    return F.coalesce(*[F.when(F.col("source") == name, expression(spec)) for name, spec in SOURCES.items()])
-
+#: SRC-12, SRC-06: an id, a title and a url, and wanted by its source.
+_TECHNICAL = (f"contains(lower(category), 'software') OR exists(array({', '.join(map(lit, TECHNICAL_WORDS))}), "
+              "w -> contains(lower(concat_ws(' ', title, array_join(tag_list, ' '))), w))")
+_USABLE = " AND ".join(f"{f} <> ''" for f in K.REQUIRED) + f" AND ({_when({'remotive': _TECHNICAL}, 'true')})"
+_FATE = ("CASE WHEN NOT array_contains(array(" + ", ".join(map(lit, ORDER)) + "), source) OR source IS NULL THEN 'dropped' "
+         f"WHEN offending IS NOT NULL THEN 'quarantined' WHEN coalesce({_USABLE}, false) THEN 'mapped' ELSE 'dropped' END")
 
-def _usable(spec: dict) -> Column:
-    """SRC-12, SRC-06: an id, a title and a url, and wanted by its source."""
-    named = [spec[k] != "" for k in REQUIRED]
-    ok = spec.get("wanted", F.lit(True))
-    for test in named + ([s("id") != ""] if spec is SOURCES["greenhouse"] else []):
-        ok = ok & test
-    return ok
 
+def read_fields(records: DataFrame) -> DataFrame:
+    """``records`` (columns source, board, record and others) with every field of the specs, ``offending`` and ``fate``.
 
-def fate(source: str = "source") -> Column:
-    """SRC-13: what becomes of a record: "mapped", "quarantined" or "dropped".
-
-    Quarantined is a record whose id, title or url holds a list or an object,
-    or whose place or company is a list where the source sends an object: its
-    types broke, and it costs only itself. Dropped is a readable record that
-    lacks one of the required fields, or that its source doesn't want.
+    SRC-13: "quarantined" is a record whose id, title or url holds a list or an object, or whose place or company is no
+    object where the source sends one: its types broke, and it costs only itself. "dropped" is a readable record that lacks
+    one of the required fields, that its source doesn't want, or whose source is unknown; the others are "mapped".
     """
-    def kind(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(R, f"$.{path}", "variant")), F.lit("VOID"))
+    # A generator evaluates the record's fields once; struct columns would be inlined into every rule.
+    read = records.select("*", F.expr(f"inline(array({K.readers(SPECS)}))"))
+    return read.withColumn("offending", F.expr(K.offending(SPECS))).withColumn("fate", F.expr(_FATE))
 
-    def broken(name: str) -> Column:
-        out = F.lit(False)
-        for path in TEXTS[name]:
-            out = out | kind(path).startswith("ARRAY") | kind(path).startswith("OBJECT")
-        for path in OBJECTS.get(name, ()):
-            out = out | ~(kind(path).startswith("OBJECT") | (kind(path) == "VOID"))
-        return out
 
-    of = F.coalesce(*[F.when(F.col(source) == name, F.when(broken(name), F.lit("quarantined"))
-                             .when(F.coalesce(_usable(spec), F.lit(False)), F.lit("mapped")).otherwise(F.lit("dropped")))
-                      for name, spec in SOURCES.items()])
-    return F.coalesce(of, F.lit("dropped"))
+def fates(records: DataFrame) -> DataFrame:
+    """``records`` with ``fate`` and ``offending``."""
+    return read_fields(records).select(*records.columns, "fate", "offending")
 
 
 def map_records(records: DataFrame) -> DataFrame:
     """SRC-02..13, 17, 18: postings from records of all sources (columns source, board, page, pos, record), in one pass.
 
-    Only records whose ``fate`` is "mapped" have their other fields read.
     ``extra`` and ``ord`` (fetch order) have the form that the matching rules take.
     """
-    def fields(spec: dict) -> Column:
-        extra = spec.get("extra", {})
-        extra = F.struct(*[extra.get(k, F.lit(None)).cast(t).alias(k) for k, t in EXTRA_TYPES.items()])
-        return F.struct(*[spec.get(k, F.lit(None).cast("string")).alias(k) for k in FIELDS], extra.alias("extra"))
-
-    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
-    kept = records.filter(fate() == "mapped")
-    order = F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord")
-    # A generator evaluates the record's fields once; a struct column would be inlined per field.
-    mapped = kept.select("source", order, F.inline(F.array(_of_source(fields))))
-    # Mark-up is stripped in one place for all sources: one rule tree in the plan.
-    text = F.coalesce(F.nullif(F.col("plain"), F.lit("")), strip_html(F.col("html")))
-    return mapped.withColumn("description", text).drop("plain", "html")
+    return postings_of(read_fields(records).filter("fate = 'mapped'"))
 
 
-ATS = ("greenhouse", "lever", "ashby")
+def postings_of(read: DataFrame, carried: list[str] = ()) -> DataFrame:
+    """Postings from the read fields of mapped records, with other columns ``carried`` along."""
+    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("source"))
+    html = F.when(F.col("source") == "greenhouse", unescape_html(F.col("html"))).otherwise(F.col("html"))
+    board_id = f"CASE WHEN source IN ({', '.join(lit(s.name) for s in SPECS if s.board_ids)}) THEN concat(board, ':', source_id) ELSE source_id END"
+    formatted = format_salary(F.col("low"), F.col("high"), F.nullif(F.col("currency"), F.lit("")), F.col("period"))
+    return read.select(
+        *carried, "source", F.struct(rank.alias("source_rank"), "board", "page", "pos").alias("ord"), F.expr(board_id).alias("source_id"), "title", "url",
+        *(F.expr(sql).alias(n) for n, sql in RULES.items() if n != "own_salary"),
+        F.when(F.col("source").isin("jobicy", "himalayas"), formatted).otherwise(F.expr(RULES["own_salary"])).alias("salary"),
+        F.coalesce(*(parse_instant(F.col(f"{at}_text"), F.col(f"{at}_number")) for at in K.INSTANTS)).alias("posted_at"),
+        F.coalesce(F.nullif(F.col("plain"), F.lit("")), strip_html(html)).alias("description"))
+
+
+ATS = tuple(s.name for s in SPECS if s.failure == "board")
 
 
 def select_sources(payloads: DataFrame, prefs) -> DataFrame:

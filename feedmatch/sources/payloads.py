@@ -26,17 +26,27 @@ def records(payloads: DataFrame, body: str, keys, keep=()) -> DataFrame:
     return exploded.filter(F.schema_of_variant(F.col("record")).startswith("OBJECT"))
 
 
-def responses(payloads: DataFrame, body: str, keys, fate: Column) -> DataFrame:
-    """Counts per response: n_records, n_mapped and n_broken, by the ``fate`` of each ``record``.
+def source_records(payloads: DataFrame, keep=("page",), outer: bool = False) -> DataFrame:
+    """One row per record of ``payloads`` (source, board, body), found by its source's own envelope: source, board, ``keep``, pos and
+    record.  ``outer`` keeps a row without record for a response that has none (empty, failed or not JSON)."""
+    from feedmatch.sources.mapping import SPECS
+    from feedmatch.sources.spec import envelope
 
-    ``payloads`` need source, board, page and status.  A response without
-    records (empty, failed or not JSON) keeps its row, with zeros.
+    objects = f"filter({envelope(SPECS, 'body')}, x -> schema_of_variant(x) LIKE 'OBJECT%')"
+    explode = F.posexplode_outer if outer else F.posexplode
+    return payloads.select("source", "board", *keep, explode(F.expr(objects)).alias("pos", "record"))
+
+
+def responses(payloads: DataFrame) -> DataFrame:
+    """Counts per response: n_records, n_mapped and n_broken, by the fate of each record.
+
+    ``payloads`` need source, board, page, status and body.  A response without
+    records keeps its row, with zeros.
     """
-    arr = F.filter(F.coalesce(envelope_array(F.col(body), keys), F.array().cast("array<variant>")),
-                   lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    each = payloads.select("source", "board", "page", "status", F.explode_outer(arr).alias("record"))
-    there = F.col("record").isNotNull()
-    each = each.select("source", "board", "page", "status", F.when(there, fate).alias("fate"))
+    from feedmatch.sources.mapping import fates
+
+    each = fates(source_records(payloads, ("page", "status"), outer=True))
+    each = each.select("source", "board", "page", "status", F.expr("CASE WHEN record IS NOT NULL THEN fate END").alias("fate"))
     return (each.groupBy("source", "board", "page", "status")
                 .agg(F.count("fate").alias("n_records"), F.count_if(F.col("fate") == "mapped").alias("n_mapped"),
                      F.count_if(F.col("fate") == "quarantined").alias("n_broken")))
@@ -58,11 +68,11 @@ def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page")
     A failed (HTTP status >= 400) or empty page ends the prefix and isn't part
     of it.  A page that names no next one (column ``has_next``, where there is
     one, for the sources that do) and a page shorter than the source's full
-    page end it too, but belong to it.  The ends come from a partial
-    aggregation (one row per board) joined back size-checked, not from a window
-    over a possibly hot group.
+    page end it too, but belong to it.  Ends are counted along the pages by
+    ``prefix_sums``: a board of any number of pages is spread over the tasks,
+    and neither a join of the pages nor a count before it is needed.
     """
-    from feedmatch.operators.joins import skew_safe_join
+    from feedmatch.operators.scan import prefix_sums
 
     stop = (F.col("status") >= 400) | (F.col("n_records") == 0)
     last = F.lit(False)
@@ -70,7 +80,9 @@ def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page")
         last = last | ((F.col("source") == source) & (F.col("n_records") < size))
     if "has_next" in pages.columns:
         last = last | (F.col("source").isin(list(NAMES_NEXT)) & ~F.coalesce(F.col("has_next"), F.lit(False)))
-    ends = pages.groupBy(*group).agg(F.min(F.when(stop, F.col(page))).alias("_stop"), F.min(F.when(last, F.col(page))).alias("_last"))
-    joined = skew_safe_join(pages, ends, list(group), "left")
-    within = (F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))) & (F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
-    return joined.filter(within).drop("_stop", "_last")
+    last = last & ~stop
+    # rows of one page: those that end the prefix at once come first, those that only end it behind them last
+    order = [F.col(page), F.when(stop, 0).when(last, 2).otherwise(1)]
+    counted = prefix_sums(pages, list(group), order, {"_stops": stop.cast("int"), "_lasts": last.cast("int")})
+    within = (F.col("_stops") == 0) & (F.col("_lasts") - last.cast("int") == 0)
+    return counted.filter(within).drop("_stops", "_lasts", "_stops_total", "_lasts_total")
