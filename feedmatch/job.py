@@ -21,6 +21,8 @@ from feedmatch.operators import digest as G
 from feedmatch.operators import matching as M
 from feedmatch.operators import state as S
 from feedmatch.operators import verdicts as V
+from feedmatch.operators.backlog import RankedQueue
+from feedmatch.operators.history import IdentityIndex, SeenHistory, identity_rows
 from feedmatch.prefs import Prefs
 from feedmatch.session import checkpoint_dir, cut_lineage
 
@@ -100,34 +102,48 @@ def run(postings: DataFrame, seen: DataFrame, prefs: Prefs, now: datetime, mode:
 
 
 def stream_fresh(landing: str, schema, seen: DataFrame, out: str, cap: int, now: datetime,
-                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet", carry: bool = True) -> None:
+                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet") -> RankedQueue:
     """STR-03: one availableNow pass over what landed since the last one, deduplicated against earlier batches.
 
-    Batch ``n`` reads the history that batch ``n - 1`` left and writes its
-    delivered rows and the next history to its own folder, so a batch that is
-    run again gives the same rows.  ``seen`` is the history before batch 0.
-    Rows that neither were delivered nor share an identity with a delivered
-    one go to ``held``, and come back with the next batch before its dedupe and
-    cap (SRT-03); without ``carry`` they only gather there.
+    A batch admits the rows that neither the history nor an earlier batch has, best first among its own, and appends
+    them to a ranked queue; the best ``cap`` rows of the queue are delivered, the others stay in it (SRT-03), so every
+    admitted row is delivered once, by this batch, a later one or ``deliver_rest``.  Admission looks identities up in a
+    stored index behind a filter, so neither held rows nor the history are read again.  Batch ``n`` writes version
+    ``n + 1`` of index and history from version ``n`` and version ``n`` of the queue: run again, it gives the same.
+    ``seen`` is the history before batch 0.
     """
     spark = seen.sparkSession
+    queue = _queue(spark, out, schema, rank)
 
     def each(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        before = session.read.parquet(f"{out}/seen/batch={n - 1}") if n else S.normalise_seen(seen)
-        landed = D.with_identities(batch)
-        held = session.read.schema(landed.schema).parquet(f"{out}/held/batch={n - 1}") if n else landed.limit(0)
-        rows = cut_lineage(landed.unionByName(held) if carry else landed)
-        top, backlog = fresh_top(rows, before, rank(), cap)
-        top.withColumn("backlog", F.lit(backlog)).write.mode("overwrite").parquet(f"{out}/delivered/batch={n}")
-        S.upsert_seen(before, top, now, notified=True).write.mode("overwrite").parquet(f"{out}/seen/batch={n}")
-        left = D.anti_seen(rows if carry else rows.unionByName(held), session.read.parquet(f"{out}/seen/batch={n}"))
-        left.write.mode("overwrite").parquet(f"{out}/held/batch={n}")
+        known, history = IdentityIndex(spark, f"{out}/known"), SeenHistory(spark, f"{out}/seen").rows
+        if n == 0:
+            history.create(S.normalise_seen(seen))
+            known.create(identity_rows(history.read(version=0)))
+        landed = cut_lineage(D.with_identities(batch))
+        admitted = cut_lineage(D.greedy_dedupe(known.anti_known(landed, version=n), rank(), "ord"))
+        known.change(identity_rows(admitted), version=n)
+        top = queue.step(n, admitted, cap)
+        top.withColumn("held", F.lit(queue.left(n))).write.mode("overwrite").parquet(f"{out}/delivered/batch={n}")
+        history.update(top, lambda old, new: S.upsert_seen(old, new, now, notified=True), version=n)
 
     stream = spark.readStream.schema(schema).format(fmt).load(landing)
     query = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/state")
                    .trigger(availableNow=True).start())
     query.awaitTermination()
+    return queue
+
+
+def deliver_rest(queue: RankedQueue, out: str, cap: int, batches: int) -> None:
+    """What the batches after the first ``batches`` deliver when nothing more lands, in one pass: batch, position and held."""
+    rest = queue.drain(batches - 1, cap).withColumn("batch", F.col("step") + batches - 1).drop("step")
+    total = queue.left(batches - 1)
+    rest = rest.withColumn("held", F.greatest(F.lit(0).cast("bigint"), F.lit(total) - (F.col("batch") - batches + 1) * F.lit(cap)))
+    rest.write.mode("overwrite").parquet(f"{out}/rest")
+
+
+def _queue(spark, out: str, schema, rank: Callable[[], Column]) -> RankedQueue:
+    return RankedQueue(spark, f"{out}/queue", D.with_identities(spark.createDataFrame([], schema)).schema, rank)
 
 
 def new_folder(spark, name: str) -> str:

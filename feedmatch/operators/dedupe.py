@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from feedmatch import dims
 from feedmatch.functions.text import any_phrase_in, fold_identity, normalize_url, segments
-from feedmatch.operators.joins import skew_safe_join
 from feedmatch.session import cut_lineage
 
 
@@ -89,10 +88,12 @@ def seen_identities(seen: DataFrame) -> DataFrame:
 
 
 def anti_seen(postings: DataFrame, seen: DataFrame, id_col: str = "ord") -> DataFrame:
-    """JN-02: postings none of whose identities occurs in ``seen`` (three-way OR, as equi-joins)."""
+    """JN-02: postings none of whose identities occurs in ``seen`` (three-way OR, as equi-joins).
+
+    For a snapshot without an index; ``SeenHistory.anti_seen`` reads of a stored history only what may hit.
+    """
     ids = identities(postings, id_col)
-    hit = skew_safe_join(ids, seen_identities(seen), ["kind", "value"], "left_semi",
-                         salt_by=F.col("id"))
+    hit = ids.join(seen_identities(seen), ["kind", "value"], "left_semi")
     seen_ids = hit.select(F.col("id").alias(id_col)).distinct()
     return postings.join(seen_ids, id_col, "left_anti")
 

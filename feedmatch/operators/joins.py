@@ -1,14 +1,11 @@
-"""Join helpers with an explicit size check before broadcasting, and a salted
-path for hot keys.
-
-Broadcasting is only done for a side whose row count was measured below a
-bound; otherwise the join is left to the planner (sort-merge or shuffled hash
-with AQE).  For joins whose big side may concentrate a large share of rows on
-one key (one company, one fingerprint shared by many copies), the hot keys are
-found exactly with a partial aggregation; there can be at most
-``1 / hot_share`` of them, so the list is bounded by construction.  Hot rows
-are spread over ``salt`` buckets and the matching dimension rows replicated
-into each bucket; cold rows join unsalted.
+"""Join help for hot keys.
+
+Sizes are left to the planner: it broadcasts a side by the byte size of its
+files or, with AQE, of its shuffled blocks, and AQE splits the partitions of a
+hot key at run time, so nothing is counted before a join.  Where a key is known
+to hold a large share of the rows (one company, one fingerprint shared by many
+copies), ``salted_join`` spreads it: the rows of the named keys go to ``salt``
+buckets, and their few rows of the other side are replicated into each bucket.
 """
 
 from __future__ import annotations
@@ -16,60 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
-HOT_SHARE = 0.05          # a key holding >= 5% of rows is hot (at most 20 keys)
-HOT_MIN_ROWS = 100_000    # ...and only once it is big enough to matter
 SALT_BUCKETS = 64
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows; reads no more than bound+1 rows."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_share: float = HOT_SHARE,
-             min_rows: int = HOT_MIN_ROWS) -> list[tuple]:
-    """Keys holding at least ``hot_share`` of the rows (and ``min_rows``).
-
-    Exact counts via partial aggregation; the result has at most
-    ``1 / hot_share`` entries, so collecting it is bounded.
-    """
-    counted = df.groupBy(*keys).count()
-    total = df.count()
-    threshold = max(min_rows, int(total * hot_share))
-    rows = counted.filter(F.col("count") >= threshold).select(*keys).collect()
-    return [tuple(r) for r in rows]
-
-
-def _key_in(keys: list[str], hot: list[tuple]) -> Column:
-    cond = F.lit(False)
-    for values in hot:
-        term = F.lit(True)
-        for k, v in zip(keys, values):
-            term = term & (F.col(k) == F.lit(v)) if v is not None else term & F.col(k).isNull()
-        cond = cond | term
-    return cond
-
-
-def skew_safe_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
-                   salt_by: Column | None = None, max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-                   hot_share: float = HOT_SHARE, min_hot_rows: int = HOT_MIN_ROWS,
-                   salt: int = SALT_BUCKETS) -> DataFrame:
-    """Join ``big`` to ``dim`` (at most one row per key) without a hot task.
+def salted_join(big: DataFrame, dim: DataFrame, keys: list[str], hot: Column, how: str = "left",
+                salt_by: Column | None = None, salt: int = SALT_BUCKETS) -> DataFrame:
+    """Join ``big`` to ``dim`` (at most one row per key); ``hot`` tells, from the key columns, which keys are spread.
 
-    ``how`` is one of inner / left / left_semi / left_anti.  ``salt_by`` is a
-    column of ``big`` that spreads rows of one key (default: a hash of all
-    columns).
+    ``how`` is one of inner / left / left_semi / left_anti.  ``salt_by`` is a column of ``big`` that spreads the rows of
+    one key (default: a hash of all columns).
     """
-    if row_count_at_most(dim, max_broadcast_rows):
-        return big.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(big.select(*keys), keys, hot_share, min_hot_rows)
-    if not hot:
-        return big.join(dim, keys, how)
-    is_hot = _key_in(keys, hot)
     spread = salt_by if salt_by is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    big_s = big.withColumn("_salt", F.when(is_hot, F.pmod(spread, F.lit(salt))).otherwise(F.lit(0)))
-    dim_s = dim.withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salt - 1)))
-                           .otherwise(F.array(F.lit(0)))))
-    return big_s.join(dim_s, keys + ["_salt"], how).drop("_salt")
+    salted = big.withColumn("_salt", F.when(hot, F.pmod(spread, F.lit(salt))).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(dim.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")

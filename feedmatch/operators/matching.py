@@ -20,7 +20,6 @@ from feedmatch.functions import patterns as P
 from feedmatch.functions.regex import any_phrase, trie_alternation
 from feedmatch.functions.text import (any_phrase_in, fold_company, haystack, initcap_word,
                                       keyword_hits, matches, rx, segments, sentences, strip_ws)
-from feedmatch.operators.joins import skew_safe_join
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.prefs import Prefs
 
@@ -308,7 +307,7 @@ def match(postings: DataFrame, prefs: Prefs, now: datetime,
     df = ensure_parallelism(postings, *key).withColumn("company_norm", fold_company(F.col("company")))
     if register is not None:
         flagged = register.select("company_norm").withColumn("on_register", F.lit(True))
-        df = skew_safe_join(df, flagged, ["company_norm"], "left", salt_by=F.xxhash64("ord"))
+        df = df.join(flagged, "company_norm", "left")  # broadcast by its size, else AQE splits a hot company
         on_register = F.coalesce(F.col("on_register"), F.lit(False)) & (F.col("company_norm") != "")
     else:
         on_register = F.lit(False)

@@ -1,10 +1,8 @@
 """History snapshots: the seen upsert (SNK-01/03/05).
 
-Plain Parquet has no MERGE, so an upsert produces a new snapshot to be
-written to a new folder (never overwrite a path being read).  When the batch
-of new rows is small -- the digest is capped -- it is broadcast after a size
-check and the history is only scanned, never shuffled; otherwise a full outer
-join on the key does the same merge.
+Plain Parquet has no MERGE, so an upsert gives new rows: a full outer join on
+the key, of the whole snapshot or, through ``KeyedStore``, of the key buckets
+that the new rows touch.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedmatch.functions.dates import ts_lit
-from feedmatch.operators.joins import BROADCAST_MAX_ROWS, row_count_at_most
 
 SEEN_COLUMNS = ("job_key", "source", "source_id", "url", "url_norm", "title", "company", "location",
                 "fingerprint", "first_seen", "last_seen", "notified")
@@ -58,11 +55,6 @@ def upsert_seen(seen: DataFrame, new: DataFrame, now: datetime, notified: bool)
             cols.append(v.alias(c))
         return joined.select(*cols)
 
-    if row_count_at_most(n, BROADCAST_MAX_ROWS):
-        keys = F.broadcast(n.select("job_key"))
-        untouched = seen.join(keys, "job_key", "left_anti")
-        touched_old = o.join(keys, "job_key", "left_semi")
-        return untouched.unionByName(merged(n.join(touched_old, "job_key", "left")))
     return merged(n.join(o, "job_key", "full_outer"))
 
 

@@ -339,18 +339,39 @@ def _kept_ctes(rel: str, rank: str, n: str = "") -> str:
 
 
 def stream_cross_batch() -> str:
-    """Day by day: what neither the history nor an earlier day's delivered rows have, walked and capped."""
+    """Day by day: what neither the history nor an earlier day has is walked and queued; the best of the queue are delivered."""
     from feedmatch.plans.queries import STREAM_CAP, STREAM_PARTS
     sql = (f"WITH RECURSIVE {O.postings_cte()},\n p AS MATERIALIZED (SELECT ord, {O.identity_cols()} FROM postings),\n"
            f"pid AS MATERIALIZED ({O.identities_sql('p')}),\n{_seen_ctes()},\nknown0 AS MATERIALIZED (SELECT * FROM si)")
     for k in range(STREAM_PARTS):
+        before = f"SELECT job_key, ord FROM queue{k - 1} WHERE position > {STREAM_CAP} UNION ALL " if k else ""
         sql += (f",\nday{k} AS MATERIALIZED (SELECT * FROM p WHERE ord % {STREAM_PARTS} = {k} AND ord NOT IN "
                 f"(SELECT pid.id FROM pid JOIN known{k} USING (kind, value))),\n{_kept_ctes(f'day{k}', 'ord', str(k))},\n"
-                f"got{k} AS MATERIALIZED (SELECT {k} AS batch, row_number() OVER (ORDER BY rk) AS position, job_key, ord, "
-                f"(SELECT greatest(count(*) - {STREAM_CAP}, 0) FROM kept{k}) AS backlog FROM kept{k}),\n"
-                f"known{k + 1} AS MATERIALIZED (SELECT kind, value FROM known{k} UNION SELECT kind, value FROM pid "
-                f"JOIN got{k} ON pid.id = got{k}.ord WHERE position <= {STREAM_CAP})")
-    return sql + "\n" + " UNION ALL ".join(f"SELECT * FROM got{k} WHERE position <= {STREAM_CAP}" for k in range(STREAM_PARTS))
+                f"known{k + 1} AS MATERIALIZED (SELECT kind, value FROM known{k} UNION SELECT kind, value FROM pid JOIN kept{k} ON pid.id = kept{k}.ord),\n"
+                f"queue{k} AS MATERIALIZED (SELECT job_key, ord, row_number() OVER (ORDER BY ord) AS position, count(*) OVER () AS n "
+                f"FROM ({before}SELECT job_key, ord FROM kept{k}))")
+    last, cap = STREAM_PARTS - 1, STREAM_CAP
+    days = [f"SELECT {k} AS batch, CAST(position AS INTEGER) AS position, job_key, ord, greatest(n - {cap}, 0) AS held FROM queue{k} WHERE position <= {cap}"
+            for k in range(STREAM_PARTS)]
+    rest = (f"SELECT CAST({STREAM_PARTS} + (position - {cap} - 1) // {cap} AS INTEGER), CAST((position - {cap} - 1) % {cap} + 1 AS INTEGER), job_key, ord, "
+            f"greatest(n - {cap} * (2 + (position - {cap} - 1) // {cap}), 0) FROM queue{last} WHERE position > {cap}")
+    return sql + "\n" + " UNION ALL ".join([*days, rest])
+
+
+def seen_count() -> str:
+    return (f"SELECT count(*) AS rows, CAST(sum(notified) AS BIGINT) AS notified, CAST(0 AS BIGINT) AS with_new_columns FROM ({fx.seen_sql(DUCKDB)})")
+
+
+def seen_backfill() -> str:
+    return (f"WITH {_seen_ctes()}\nSELECT job_key, CASE WHEN doc_id % 2 = 0 THEN fingerprint ELSE 'stored' END AS fingerprint, 2 AS fp_version FROM s")
+
+
+def verdict_merge() -> str:
+    from feedmatch.plans.queries import VERDICTS_AT
+    return (f"WITH v AS ({verdict_cache()}),\n"
+            "n AS (SELECT *, CAST(split_part(job_key, ':', -1) AS BIGINT) AS no FROM v)\n"
+            "SELECT job_key, verdict, CASE WHEN no % 3 = 0 OR no % 4 = 0 THEN replace(reason, 'Posting mentions', 'Second look:') ELSE reason END AS reason, "
+            f"CASE WHEN no % 3 = 0 OR no % 4 = 0 THEN '{VERDICTS_AT[1]}' ELSE '{VERDICTS_AT[0]}' END AS checked_at FROM n")
 
 
 def greedy_dedupe() -> str:
@@ -495,10 +516,17 @@ def _drifted() -> str:
     source = "CASE i " + " ".join(f"WHEN {k} THEN {O.lit(n)}" for k, n in enumerate(names)) + " END"
     words = "'engineer|developer|software|devops|python|data'"
     return (f"WITH {O.postings_cte()}, p AS (SELECT *, doc_id % 9 AS i, doc_id % 2 AS half, {O.ws_strip('title')} AS t, {O.ws_strip('url')} AS u FROM postings),\n"
-            f"r AS (SELECT {source} AS source, 'b' || CAST(i AS VARCHAR) || '-' || CAST(half AS VARCHAR) AS board, "
+            f"r AS (SELECT {source} AS source, CAST(floor(doc_id / 20) AS BIGINT) AS page, i, 'b' || CAST(i AS VARCHAR) || '-' || CAST(half AS VARCHAR) AS board, "
             "CASE WHEN i = 1 AND half = 1 THEN 503 WHEN i = 5 AND half = 0 THEN 429 ELSE 200 END AS status, "
             "CASE WHEN doc_id % 35 = 0 AND doc_id % 50 <> 0 AND i <> 7 THEN 'quarantined' WHEN i = 7 OR doc_id % 50 = 0 OR t = '' OR u = '' "
-            f"OR (i = 3 AND NOT regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words})) THEN 'dropped' ELSE 'mapped' END AS fate FROM p)\n")
+            f"OR (i = 3 AND NOT regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words})) THEN 'dropped' ELSE 'mapped' END AS fate, "
+            f"CASE WHEN t = '' OR u = '' OR (i = 3 AND NOT regexp_matches(lower(t || ' ' || array_to_string(tags, ' ')), {words})) THEN 'dropped' ELSE 'mapped' END AS mended FROM p)\n")
+
+
+def quarantine_records() -> str:
+    of = ("source, board, page, 0 AS pos, ", "CAST(count(*) AS BIGINT) AS n FROM r WHERE status < 400 AND fate = 'quarantined' GROUP BY ALL")
+    field = "CASE i WHEN 1 THEN 'text' WHEN 5 THEN 'position' WHEN 6 THEN 'jobTitle' ELSE 'title' END"
+    return _drifted() + f"SELECT {of[0]}{field} AS what, {of[1]} UNION ALL SELECT {of[0]}'replayed: ' || mended AS what, {of[1]}"
 
 
 def quarantine_counts() -> str:
@@ -567,5 +595,9 @@ ORACLE = {
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
     "stream_cross_batch": stream_cross_batch,
+    "quarantine_records": quarantine_records,
+    "seen_count": seen_count,
+    "seen_backfill": seen_backfill,
+    "verdict_merge": verdict_merge,
     "page_rules": page_rules,
 }

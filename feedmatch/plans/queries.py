@@ -16,11 +16,12 @@ from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url,
                                       strip_html)
 from feedmatch.functions.dates import relative_age
 from feedmatch.functions.salary import format_salary
-from feedmatch.job import digest_rank, new_folder, stream_fresh
+from feedmatch.job import deliver_rest, digest_rank, new_folder, stream_fresh
 from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
 from feedmatch.operators import state as S
 from feedmatch.operators import matching as M
+from feedmatch.operators.history import SeenHistory
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
 from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
@@ -211,8 +212,10 @@ def place_key_bucket(spark, sf_dir):
 
 
 def seen_antijoin(spark, sf_dir):
-    p = D.with_identities(postings_fx(spark, sf_dir))
-    return D.anti_seen(p, seen_fx(spark, sf_dir)).select("ord", "job_key")
+    """JN-02 against the history as a store: identity filter first, then the index buckets that may hold a hit."""
+    history = SeenHistory(spark, new_folder(spark, "history")).create(seen_fx(spark, sf_dir))
+    p = D.with_identities(postings_fx(spark, sf_dir).select("ord", "source", "source_id", "title", "company", "url", "location", "remote"))
+    return history.anti_seen(cut_lineage(p)).select("ord", "job_key")
 
 
 def greedy_dedupe_q(spark, sf_dir):
@@ -331,13 +334,57 @@ def byte_budget_prefix(spark, sf_dir):
 
 
 def seen_upsert(spark, sf_dir):
-    """SNK-01: this run's matches (one row per key, first in fetch order) marked as delivered."""
+    """SNK-01: this run's matches (one row per key, first in fetch order) marked as delivered in the stored history, whose
+    other key buckets keep their files."""
     m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
-    first = (m.groupBy("job_key").agg(F.min_by(F.struct(*[F.col(c) for c in m.columns]), F.col("ord")).alias("r"))
-              .select("r.*"))
-    snap = S.upsert_seen(seen_fx(spark, sf_dir), first, FIXTURE_NOW, notified=True)
-    return snap.select(*[F.col(c).cast("string").alias(c) if c in ("first_seen", "last_seen") else F.col(c)
-                         for c in snap.columns])
+    kept = [c for c in S.SEEN_COLUMNS if c in m.columns]
+    first = m.groupBy("job_key").agg(F.min_by(F.struct(*kept), F.col("ord")).alias("r")).select("r.*")
+    history = SeenHistory(spark, new_folder(spark, "history")).create(seen_fx(spark, sf_dir))
+    history.upsert(first, FIXTURE_NOW, notified=True)
+    return _texts(history.rows.read())
+
+
+def _texts(snap):
+    """A snapshot with its times as texts."""
+    return snap.select(*[F.col(c).cast("string").alias(c) if c in ("first_seen", "last_seen", "checked_at") else F.col(c) for c in snap.columns])
+
+
+def seen_count(spark, sf_dir):
+    """SNK-05 + SNK-06: a snapshot of an older form (no location, url_norm or fingerprint) becomes a store; its rows by the manifest."""
+    old = seen_raw_fx(spark, sf_dir).withColumn("job_key", _job_key()).drop("location", "remote", "doc_id")
+    history = SeenHistory(spark, new_folder(spark, "history")).create(old)
+    rows = history.rows.read()
+    known = rows.agg(F.count_if(F.col("location").isNotNull() | F.col("url_norm").isNotNull() | F.col("fingerprint").isNotNull()).alias("with_new_columns"),
+                     F.sum("notified").cast("bigint").alias("notified"))
+    return known.select(F.lit(history.rows.count()).cast("bigint").alias("rows"), "notified", "with_new_columns")
+
+
+def seen_backfill(spark, sf_dir):
+    """SNK-04: fingerprints of rows stored under an older version computed anew, the other rows as stored."""
+    stored = seen_fx(spark, sf_dir).withColumns({"fp_version": F.when(F.col("doc_id") % 2 == 0, F.lit(1)).otherwise(F.lit(S.FINGERPRINT_VERSION)),
+                                                 "fingerprint": F.lit("stored")})
+    return S.backfill_fingerprints(stored).select("job_key", "fingerprint", "fp_version")
+
+
+VERDICTS_AT = ("1999-01-01 00:00:00", "1999-12-31 00:00:00")
+
+
+def verdict_merge(spark, sf_dir):
+    """SNK-02: verdicts of two runs in one store by job key; the second run touches its keys' buckets only."""
+    from feedmatch.operators.store import KeyedStore
+    from feedmatch.operators.verdicts import cacheable_verdicts, merge_verdicts
+    from feedmatch.plans.inputs import replies_fx
+    number = F.substring_index("job_key", ":", -1).cast("bigint")
+    replies = replies_fx(spark, sf_dir)
+    at = lambda k: F.lit(VERDICTS_AT[k]).cast("timestamp_ntz")
+    first = cacheable_verdicts(replies.filter(number % 3 != 0).withColumn("checked_at", at(0)))
+    # a later run: other answers to each fourth, and those that were missing
+    later = replies.filter((number % 3 == 0) | (number % 4 == 0)).withColumns(
+        {"checked_at": at(1), "reply": F.regexp_replace("reply", "Posting  mentions", "Second look:")})
+    store = KeyedStore(spark, new_folder(spark, "verdicts"), "job_key string, verdict string, reason string, checked_at timestamp_ntz", ("job_key",))
+    store.create(first)
+    store.update(later, merge_verdicts)
+    return _texts(store.read())
 
 
 ENVELOPE_KEYS = ("jobs", "data")
@@ -473,9 +520,6 @@ def _shape_records(p: DataFrame) -> dict:
     return shapes
 
 
-RECORD_KEYS = ("jobs", "data", "results")
-
-
 def payloads_fx(spark, sf_dir, drift: bool = False) -> DataFrame:
     """Postings re-serialised per board shape (source by doc_id % 9), one record a payload.
 
@@ -483,7 +527,7 @@ def payloads_fx(spark, sf_dir, drift: bool = False) -> DataFrame:
     titles by another name, Lever's board b1-1 and a part of Remote OK answer
     with errors, and boards are two a source.
     """
-    from feedmatch.sources.mapping import ORDER
+    from feedmatch.sources.mapping import ORDER, SPECS
     p = ensure_parallelism(postings_fx(spark, sf_dir), "ord")
     shapes, number = _shape_records(p), F.col("doc_id") % len(ORDER)
     shape = F.coalesce(*[F.when(number == i, F.to_json(shapes[name])) for i, name in enumerate(ORDER)])
@@ -496,15 +540,21 @@ def payloads_fx(spark, sf_dir, drift: bool = False) -> DataFrame:
         half = F.col("doc_id") % 2
         board = F.concat(board, F.lit("-"), half.cast("string"))
         status = F.when((number == 1) & (half == 1), F.lit(503)).when((number == 5) & (half == 0), F.lit(429)).otherwise(status)
-    return p.select(F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int")).alias("source"),
-                    board.alias("board"), (F.col("doc_id") / 20).cast("bigint").alias("page"), status.alias("status"),
-                    F.concat(F.lit('{"jobs": ['), shape, F.lit("]}")).alias("body"))
+    # Each source's own envelope; Remote OK sends a bare list.
+    begins = {s.name: "[" if s.name == "remoteok" else f'{{"{s.envelope[0]}": [' for s in SPECS}
+    head, tail = (F.create_map(*[F.lit(x) for name, begin in begins.items() for x in (name, pick(begin))])
+                  for pick in (lambda begin: begin, lambda begin: "]" if begin == "[" else "]}"))
+    p = p.withColumns({"_shape": shape, "_status": status, "_board": board,
+                       "source": F.element_at(F.array(*map(F.lit, ORDER)), (number + 1).cast("int"))})
+    shape, status, board = F.col("_shape"), F.col("_status"), F.col("_board")
+    return p.select("source", board.alias("board"), (F.col("doc_id") / 20).cast("bigint").alias("page"), status.alias("status"),
+                    F.concat(F.element_at(head, F.col("source")), shape, F.element_at(tail, F.col("source"))).alias("body"))
 
 
 def mapped_fx(spark, sf_dir) -> DataFrame:
     from feedmatch.sources.mapping import map_records
-    from feedmatch.sources.payloads import records
-    return map_records(records(payloads_fx(spark, sf_dir), "body", RECORD_KEYS, keep=("source", "board", "page")))
+    from feedmatch.sources.payloads import source_records
+    return map_records(source_records(payloads_fx(spark, sf_dir)))
 
 
 def map_sources_union(spark, sf_dir):
@@ -524,9 +574,8 @@ def ingest_to_funnel(spark, sf_dir):
 
 
 def _drifted_responses(spark, sf_dir) -> DataFrame:
-    from feedmatch.sources.mapping import fate
     from feedmatch.sources.payloads import responses
-    return responses(payloads_fx(spark, sf_dir, drift=True), "body", RECORD_KEYS, fate())
+    return responses(payloads_fx(spark, sf_dir, drift=True))
 
 
 def quarantine_counts(spark, sf_dir):
@@ -538,6 +587,26 @@ def quarantine_counts(spark, sf_dir):
              .withColumn("n_dropped", F.col("n_records") - F.col("n_mapped") - F.col("n_broken")))
 
 
+#: A title that was sent as a list of one.
+LISTED_TITLE = r'"(title|text|position|jobTitle)":\[("(?:[^"\\]|\\.)*")\]'
+
+
+def quarantine_records(spark, sf_dir):
+    """SRC-13: what the drifting payloads set aside, with its place and the field that broke, and what becomes of it when it is
+    read again with the title taken out of its list."""
+    from feedmatch.sources import quarantine as Q
+    landed, again = new_folder(spark, "landed"), new_folder(spark, "replayed")
+    Q.land(payloads_fx(spark, sf_dir, drift=True), landed)
+    broken = Q.quarantined(spark, landed)
+    Q.replay(broken, lambda sent: F.regexp_replace(sent, LISTED_TITLE, '"$1":$2'), again)
+    fates = spark.read.parquet(again).select("source", "board", "page", "pos", F.col("fate").alias("replayed"))
+    named = broken.select("source", "board", "page", "pos", "offending")
+    n = lambda rows, *by: rows.groupBy("source", "board", "page", "pos", *by).agg(F.count(F.lit(1)).alias("n"))
+    return (n(named, "offending").select("source", "board", "page", F.col("pos").cast("int").alias("pos"), F.col("offending").alias("what"), "n")
+            .unionByName(n(fates, "replayed").select("source", "board", "page", F.col("pos").cast("int").alias("pos"),
+                                                     F.concat(F.lit("replayed: "), "replayed").alias("what"), "n")))
+
+
 def unhealthy_sources(spark, sf_dir):
     """AGG-05/06/10 over drifting payloads."""
     from feedmatch.operators.health import source_health, unhealthy
@@ -567,18 +636,18 @@ STREAM_PARTS, STREAM_CAP = 3, 300
 
 
 def stream_cross_batch(spark, sf_dir):
-    """STR-03: postings land on three days, reposts on another day than their original; each day is one batch.
-
-    Its SQL delivers each day's own rows up to the cap, so rows beyond it are held but don't come back here.
-    """
+    """STR-03: postings land on three days, reposts on another day than their original; each day is one batch, and the batches
+    after them deliver what is still held, until nothing is."""
     columns = ("ord", "source", "source_id", "title", "company", "url", "location", "remote")
     landed = cut_lineage(postings_fx(spark, sf_dir).select(*columns))
     landing, out = new_folder(spark, "landing"), new_folder(spark, "fresh")
     for day in range(STREAM_PARTS):
         landed.filter(F.col("ord") % STREAM_PARTS == day).write.mode("append").parquet(landing)
-        stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW, carry=False)
-    return spark.read.parquet(f"{out}/delivered").select(F.col("batch").cast("int").alias("batch"), "position", "job_key", "ord",
-                                                         F.col("backlog").cast("bigint").alias("backlog"))
+        queue = stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW)
+    deliver_rest(queue, out, STREAM_CAP, STREAM_PARTS)
+    shown = [F.col("batch").cast("int").alias("batch"), F.col("position").cast("int").alias("position"), "job_key", "ord",
+             F.col("held").cast("bigint").alias("held")]
+    return spark.read.parquet(f"{out}/delivered").select(*shown).unionByName(spark.read.parquet(f"{out}/rest").select(*shown))
 
 
 QUERIES = {
@@ -623,5 +692,9 @@ QUERIES = {
     "quarantine_counts": quarantine_counts,
     "unhealthy_sources": unhealthy_sources,
     "stream_cross_batch": stream_cross_batch,
+    "quarantine_records": quarantine_records,
+    "seen_count": seen_count,
+    "seen_backfill": seen_backfill,
+    "verdict_merge": verdict_merge,
     "page_rules": page_rules,
 }

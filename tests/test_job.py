@@ -75,15 +75,16 @@ def test_verdict_path(spark):
 
 
 def test_fate_of_records(spark):
-    from feedmatch.sources.mapping import fate
+    from feedmatch.sources.mapping import fates
     good = {"id": "1", "text": "Engineer", "hostedUrl": "u", "categories": {"location": "Bonn"}}
     cases = [(good, "mapped"), ({**good, "text": ["x"]}, "quarantined"), ({**good, "id": {"a": 1}}, "quarantined"),
              ({**good, "categories": ["x"]}, "quarantined"), ({**good, "categories": None}, "mapped"),
              ({**good, "text": " "}, "dropped"), ({**good, "id": 7}, "mapped"), ({"other": 1}, "dropped")]
     df = spark.createDataFrame([("lever", "b", json.dumps(c), w) for c, w in cases] + [("unknown", "b", json.dumps(good), "dropped")],
                                "source string, board string, body string, want string")
-    rows = df.withColumn("record", F.parse_json("body")).select("want", fate().alias("got")).collect()
-    assert [r.got for r in rows] == [r.want for r in rows]
+    rows = fates(df.withColumn("record", F.parse_json("body"))).collect()
+    assert [r.fate for r in rows] == [r.want for r in rows]
+    assert [r.offending for r in rows] == [None, "text", "id", "categories", None, None, None, None, None]
 
 
 def test_page_prefix_ends(spark):
@@ -109,17 +110,3 @@ def test_failed_sources(spark):
     assert h["adzuna"].healthy
     with pytest.raises(RuntimeError):
         fail_on_unhealthy(source_health(df))
-
-
-def test_stream_carries_held_rows(spark, tmp_path):
-    columns = "ord int, source string, source_id string, title string, company string, url string, location string, remote boolean"
-    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
-    empty = spark.createDataFrame([], SEEN)
-    days = [[0, 1, 2, 3, 4], [5], [6], [7]]
-    for day in days:
-        rows = spark.createDataFrame([(i, "s", str(i), f"Title {i}", f"Company {i}", f"https://x.test/{i}", "Bonn", False) for i in day], columns)
-        rows.coalesce(1).write.mode("append").parquet(landing)
-        job.stream_fresh(landing, rows.schema, empty, out, 2, FIXTURE_NOW)
-    got = {(r.batch, r.ord, r.backlog) for r in spark.read.parquet(f"{out}/delivered").collect()}
-    assert got == {(0, 0, 3), (0, 1, 3), (1, 2, 2), (1, 3, 2), (2, 4, 1), (2, 5, 1), (3, 6, 0), (3, 7, 0)}
-    assert [spark.read.parquet(f"{out}/held/batch={n}").count() for n in range(4)] == [3, 2, 1, 0]
