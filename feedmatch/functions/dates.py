@@ -28,10 +28,20 @@ def relative_age(posted: Column, now: datetime) -> Column:
              .otherwise(F.concat(F.floor(hours / F.lit(24)).cast("string"), F.lit("d ago"))))
 
 
+# Basic forms written out, one part at a time: date, time, offset, and a time of hours alone.
+_DATE = r"^(\d{4}-\d{2}-\d{2})"
+_EXTENDED = ((r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"), (_DATE + r"([T ]\d{2})(\d{2})(\d{2})", "$1$2:$3:$4"),
+             (_DATE + r"([T ]\d{2})(\d{2})(?![\d:])", "$1$2:$3"), (_DATE + r"([T ][\d:]+),", "$1$2."),
+             (_DATE + r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1$2:$3"), (_DATE + r"([T ][\d:.]+[+-]\d{2})$", "$1$2:00"),
+             (_DATE + r"([T ]\d{2})(?=$|[+-])", "$1$2:00"), (_DATE + r"([T ]\d{2}:\d{2})(?=$|[+-])", "$1$2:00"))
+
+
 def parse_instant(text: Column, number: Column | None = None) -> Column:
     """FN-15: epoch seconds (or milliseconds when |n| > 1e11), else an ISO-8601 string
-    with a full date ('Z' accepted); naive values are UTC; anything else NULL."""
+    with a full date ('Z' accepted), in extended or basic form; naive values are UTC; anything else NULL."""
     iso = F.regexp_replace(F.trim(text), "Z$", "+00:00")
+    for basic, extended in _EXTENDED:
+        iso = F.regexp_replace(iso, basic, extended)
     parsed = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"),
                     F.coalesce(F.try_to_timestamp(iso), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))))
     if number is None:

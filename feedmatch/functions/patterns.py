@@ -44,7 +44,6 @@ HYBRID_HINT = r"{B0}hybrid{B1}"
 US_ONLY = (r"{B0}(?:usa?\s*only|united states\s*only|u\.s\.?\s*only|north america(?:n)?\s*only|"
            r"canada\s*only|(?:must|only)\s+be\s+(?:located\s+)?in\s+the\s+(?:usa|us|united states)|"
            r"authorized to work in the (?:usa|us|united states)){B1}")
-US_ONLY_PREFIX_CHARS = 800
 
 # --- fixed values: sponsorship refused or presupposed (hard restriction) -----
 _SP = r"(?:visa\s+|work\s+)?sponsor(?:ship|ing|s)?"

@@ -5,6 +5,7 @@ All of these stay on the JVM inside whole-stage codegen; none is a UDF.
 
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedmatch import dims
 from feedmatch.functions import patterns as P
-from feedmatch.functions.regex import any_phrase, phrase
+from feedmatch.functions.regex import any_phrase, phrase, spark_sql_literal, trie_alternation
 
 _C = lambda c: F.col(c) if isinstance(c, str) else c
 
@@ -45,11 +46,13 @@ def matches(col, template: str | None, needles=None) -> Column:
     return regex if not needles else contains_any(col, needles) & regex
 
 
-_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);"
+#: Named references that also stand without a semicolon; the longest that begins what follows the ampersand counts.
+_LEGACY = "(" + trie_alternation(sorted(n for n in html5 if not n.endswith(";"))) + ")"
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;|" + _LEGACY[1:-1] + ")"
 #: What numeric references to the C1 range stand for.
 _C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
-#: Every named reference that ends in a semicolon, as one foldable literal.
-_NAMED = "\x02".join(f"&{name}\x01{value}" for name, value in html5.items() if name.endswith(";"))
+#: Every named reference, as one foldable literal.
+_NAMED = "\x02".join(f"&{name}\x01{value}" for name, value in html5.items())
 
 
 def _code_point(code: Column) -> Column:
@@ -70,12 +73,15 @@ def _code_point(code: Column) -> Column:
 
 
 def _decode_entity(e: Column, named: Column) -> Column:
-    digits = F.regexp_extract(e, r"^&#[xX]0*([0-9a-fA-F]{1,8});$", 1)
+    digits = F.regexp_extract(e, r"^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1)
     hexa = F.conv(F.nullif(digits, F.lit("")), 16, 10).try_cast("bigint")
-    deci = F.regexp_extract(e, r"^&#([0-9]+);$", 1).try_cast("bigint")
+    deci = F.regexp_extract(e, r"^&#([0-9]+);?$", 1).try_cast("bigint")
+    begins = F.regexp_extract(e, "^&" + _LEGACY, 1)
+    rest = F.substring(e, F.length(begins) + 2, F.length(e))
+    legacy = F.when(begins != "", F.concat(F.try_element_at(named, F.concat(F.lit("&"), begins)), rest))
     return (F.when(e.startswith("&#x") | e.startswith("&#X"), _code_point(hexa))
              .when(e.startswith("&#"), _code_point(deci))
-             .otherwise(F.coalesce(F.try_element_at(named, e), e)))
+             .otherwise(F.coalesce(F.try_element_at(named, e), legacy, e)))
 
 
 def unescape_html(col) -> Column:
@@ -83,8 +89,9 @@ def unescape_html(col) -> Column:
 
     The text is split on entity references; each reference is decoded (named
     ones from the fixed table, decimal/hex ones to their code point) and the
-    pieces re-joined, so "&amp;lt;" correctly becomes "&lt;".  Rows without
-    "&" skip the work.
+    pieces re-joined, so "&amp;lt;" correctly becomes "&lt;".  A reference
+    without a semicolon, or unknown with one, is decoded by the longest legacy
+    name that it begins with.  Rows without "&" skip the work.
     """
     c = F.coalesce(_C(col), F.lit(""))
     named = F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01"))
@@ -184,6 +191,49 @@ def keyword_hits(col, keywords) -> Column:
     return F.array_compact(F.array(*items))
 
 
+_WORD = r"[\p{L}\p{N}_]+"
+_PLAIN_ENDS = re.compile(r"\w(?:.*\w)?", re.DOTALL)
+
+
+def _run_of(words: Column, gaps: Column, n: int):
+    """The text from a word to the n-th from there."""
+    return lambda i: F.concat(F.get(words, i), *(x for k in range(1, n) for x in (F.get(gaps, i + k), F.get(words, i + k))))
+
+
+def keyword_index(col, keywords) -> Column:
+    """FN-07 for long lists: the same keywords as ``keyword_hits``, in one pass whatever their number.
+
+    The text is cut into words once.  A keyword of n words is found among the runs of n words, taken with what stands
+    between them, by one hashed intersection with the list; runs are formed only behind a first word of some longer
+    keyword.  Keywords that begin or end with another character than a word's are searched for one by one.
+    """
+    c, shown = _C(col), {}
+    for kw in keywords:
+        shown.setdefault(kw.lower().strip(), kw)
+    shown.pop("", None)
+    by_size: dict[int, list[str]] = {}
+    for k in shown:
+        if _PLAIN_ENDS.fullmatch(k):
+            by_size.setdefault(len(re.findall(r"\w+", k)), []).append(k)
+    strings = lambda values: F.expr(f"array({', '.join(map(spark_sql_literal, values))})") if values else F.array().cast("array<string>")
+    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    hits = [F.array_intersect(strings(by_size.pop(1, [])), words)]
+    if by_size:
+        gaps = F.split(c, _WORD, -1)  # what stands before each word, and behind the last
+        for n, keys in sorted(by_size.items()):
+            firsts = strings(sorted({re.match(r"\w+", k)[0] for k in keys}))
+            starts = F.transform(words, lambda w, i: F.when(F.array_contains(firsts, w), i))
+            at = F.when(F.arrays_overlap(words, firsts), F.filter(starts, lambda i: i.isNotNull() & (i + n <= F.size(words))))
+            runs = F.transform(at, _run_of(words, gaps, n))
+            hits.append(F.array_intersect(strings(keys), F.coalesce(runs, F.array().cast("array<string>"))))
+    odd = [k for k in shown if not _PLAIN_ENDS.fullmatch(k)]
+    if odd:
+        hits.append(F.array_compact(F.array(*(F.when(phrase_in(c, k), F.lit(k)) for k in odd))))
+    found = F.concat(*hits)
+    table = F.map_from_arrays(strings(list(shown)), strings(list(shown.values())))
+    return F.transform(F.array_intersect(strings(list(shown)), found), lambda k: F.try_element_at(table, k))
+
+
 def sentences(col) -> Column:
     """FN-17: split on sentence punctuation, newlines and bullets."""
     return F.split(_C(col), P.SENTENCE_SPLIT, -1)

@@ -2,9 +2,8 @@
 
 Modes (SNK-03): ``read`` writes nothing; ``mark`` writes the digest and marks
 its rows as seen; ``deliver`` also hands the digest to the sink and marks its
-rows as notified.  The digest is written and delivered before the history, so
-a failure between them repeats a delivery rather than losing one.  Rows held
-back by the cap are never marked.
+rows as notified.  Every step is committed to the run's ledger, digest and
+delivery before the history.  Rows held back by the cap are never marked.
 """
 
 from __future__ import annotations
@@ -22,9 +21,10 @@ from feedmatch.operators import matching as M
 from feedmatch.operators import state as S
 from feedmatch.operators import verdicts as V
 from feedmatch.operators.backlog import RankedQueue
+from feedmatch.operators.ledger import Ledger
 from feedmatch.operators.history import IdentityIndex, SeenHistory, identity_rows
 from feedmatch.prefs import Prefs
-from feedmatch.session import checkpoint_dir, cut_lineage
+from feedmatch.session import cut_lineage, new_folder
 
 MODES = ("read", "mark", "deliver")
 
@@ -41,6 +41,7 @@ class Outcome:
     to_classify: DataFrame
     verdicts: DataFrame
     seen: DataFrame
+    ledger: Ledger
 
 
 def digest_rank() -> Column:
@@ -61,13 +62,17 @@ def fresh_top(rows: DataFrame, seen: DataFrame, rank: Column, cap: int, limit: i
 
 def run(postings: DataFrame, seen: DataFrame, prefs: Prefs, now: datetime, mode: str = "read", out: str | None = None,
         register: DataFrame | None = None, verdicts: DataFrame | None = None, replies: DataFrame | None = None,
-        limit: int | None = None, sink: Callable[[DataFrame], None] | None = None) -> Outcome:
+        limit: int | None = None, sink: Callable[[DataFrame], None] | None = None, run_id: str | None = None,
+        redeliver: bool = False) -> Outcome:
     """Run once over ``postings`` (as ``map_records`` gives them) against the ``seen`` snapshot.
 
-    ``out`` is a new folder: digest, rejects, to_classify, verdicts and seen
-    are written below it.  ``verdicts`` (stored) or ``replies`` (landed, with
-    the columns job_key and reply) turn on the classifier step, which judges
-    the capped rows only (EXT-04).
+    ``out`` is the run's folder: matched, top, digest, rejects, to_classify,
+    verdicts, seen and the ledger are written below it.  A run called again
+    with the same folder and ``run_id`` (default: the folder) goes on at the
+    step it stopped at; a digest is delivered once under a run id (see
+    ``Ledger``).  ``verdicts`` (stored) or ``replies`` (landed, with the columns
+    job_key and reply) turn on the classifier step, which judges the capped
+    rows only (EXT-04).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -76,29 +81,37 @@ def run(postings: DataFrame, seen: DataFrame, prefs: Prefs, now: datetime, mode:
     if mode == "deliver" and sink is None:
         raise ValueError("a run that delivers needs a sink")
     spark = postings.sparkSession
+    out = out if mode != "read" else new_folder(spark, "read")  # a read leaves nothing in the run's own folder
+    ledger = Ledger(spark, out, run_id or out)
     seen = S.normalise_seen(seen)
-    matched = cut_lineage(M.narrow(M.match(postings, prefs, now, register)))
-    rows = D.with_identities(matched.filter(F.col("reject_reason").isNull()))
-    top, backlog = fresh_top(rows, seen, digest_rank(), prefs.max_jobs, limit)
+    matched = ledger.table("matched", lambda: M.narrow(M.match(postings, prefs, now, register)))
 
+    held: list[int] = []
+
+    def best() -> DataFrame:
+        rows = D.with_identities(matched.filter(F.col("reject_reason").isNull()))
+        top, backlog = fresh_top(rows, seen, digest_rank(), prefs.max_jobs, limit)
+        held.append(backlog)
+        return top
+
+    top = ledger.table("top", best, note=lambda: held[0])
+    backlog = ledger.find("top")["note"]
     stored = spark.createDataFrame([], "job_key string, verdict string, reason string") if verdicts is None else verdicts
-    pending = V.to_classify(top, stored, postings)
+    pending = ledger.table("to_classify", lambda: V.to_classify(top, stored, postings))
     judged = top
     if verdicts is not None or replies is not None:
         landed = spark.createDataFrame([], "job_key string, reply string") if replies is None else replies
-        judged = cut_lineage(V.apply_verdicts(top, stored, landed))
+        judged = ledger.table("judged", lambda: V.apply_verdicts(top, stored, landed))
         stored = V.merge_verdicts(stored, landed)
-    found = Outcome(G.group_digest(judged, now), G.facts(judged, now), backlog, matched, M.rejects(matched), pending, stored,
-                    S.upsert_seen(seen, top, now, notified=mode == "deliver"))
+    digest = ledger.table("digest", lambda: G.group_digest(judged, now))
+    rejects = ledger.table("rejects", lambda: M.rejects(matched), by=("reject_reason",))
+    stored = ledger.table("verdicts", lambda: stored)
+    after = S.upsert_seen(seen, top, now, notified=mode == "deliver")
+    if mode == "deliver":
+        ledger.deliver(digest, sink, redeliver)
     if mode != "read":
-        found.digest.write.parquet(f"{out}/digest")
-        found.rejects.write.partitionBy("reject_reason").parquet(f"{out}/rejects")
-        pending.write.parquet(f"{out}/to_classify")
-        stored.write.parquet(f"{out}/verdicts")
-        if mode == "deliver" and not found.digest.isEmpty():
-            sink(spark.read.parquet(f"{out}/digest"))
-        found.seen.write.parquet(f"{out}/seen")
-    return found
+        after = ledger.table("seen", lambda: after)
+    return Outcome(digest, G.facts(judged, now), backlog, matched, rejects, pending, stored, after, ledger)
 
 
 def stream_fresh(landing: str, schema, seen: DataFrame, out: str, cap: int, now: datetime,
@@ -144,9 +157,3 @@ def deliver_rest(queue: RankedQueue, out: str, cap: int, batches: int) -> None:
 
 def _queue(spark, out: str, schema, rank: Callable[[], Column]) -> RankedQueue:
     return RankedQueue(spark, f"{out}/queue", D.with_identities(spark.createDataFrame([], schema)).schema, rank)
-
-
-def new_folder(spark, name: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

@@ -70,6 +70,15 @@ def byte_budget(blocks: DataFrame, group: str, order: str, block_col: str, budge
                       (F.lit(head_bytes) + F.coalesce("stop.before", "bytes") + more(dropped) + F.lit(tail_bytes)).cast("bigint").alias("body_bytes"))
 
 
+def header_line(counts: dict) -> str:
+    """The one-line account of a run from its counters, what never made the digest included."""
+    held = [f"{counts['backlog']} held for next run"] if counts["backlog"] else []
+    place = counts["based_in"].title() or "your country"
+    far = [f"{counts['rejected_relocation']} not workable from {place}"] if counts["rejected_relocation"] else []
+    return " · ".join([f"{counts['new']} new", *held, f"{counts['already_seen']} already seen", f"{counts['too_old']} too old", *far,
+                       f"{counts['rejected']} rejected (US-only / title / seniority / visa)"])
+
+
 def shown_remote(reasons: Column) -> Column:
     """PRJ-07: whether a match is shown as remote."""
     return F.coalesce((F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote"), F.lit(False))
@@ -120,7 +129,8 @@ def group_digest(top: DataFrame, now) -> DataFrame:
         "_remote": shown_remote(reasons),
         "country": country_bucket(loc_l, segments(loc_l), shown_remote(reasons)),
     })
-    d = d.withColumn("_group_best", F.max("score").over(Window.partitionBy("country")))
+    d = d.withColumns({"_group_best": F.max("score").over(Window.partitionBy("country")),
+                       "_group_size": F.count(F.lit(1)).over(Window.partitionBy("country"))})
     order = [(F.col("country") == "Other").asc(), F.col("_group_best").desc(), F.col("country").asc(),
              F.col("score").desc(), F.lower(F.col("title")).asc(), F.col("ord").asc()]
     sponsorship = F.coalesce(F.col("sponsorship"), F.lit(""))
@@ -134,6 +144,7 @@ def group_digest(top: DataFrame, now) -> DataFrame:
         "country",
         F.concat(F.coalesce(F.try_element_at(flags, F.col("country")), F.lit(dims.DEFAULT_FLAG)),
                  F.lit(" "), F.col("country")).alias("country_label"),
+        F.col("_group_size").alias("group_size"), F.col("_group_best").alias("group_best"),
         "job_key", "title", "score",
         work_mode(reasons, F.col("_remote")).alias("work_mode"),
         relative_age(F.col("posted_at"), now).alias("age"),

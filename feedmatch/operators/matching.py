@@ -115,7 +115,9 @@ def remote_location_allowed(location_l: Column, segs: Column, h: Column, prefs:
     """FLT-16: remote eligibility of the location (+ US/Canada-only prose)."""
     ok = F.lit(True)
     if not prefs.us_targeted():
-        blob = F.substring(F.concat(location_l, F.lit(" "), h), 1, P.US_ONLY_PREFIX_CHARS)
+        blob = F.concat(location_l, F.lit(" "), h)
+        if prefs.us_only_chars is not None:
+            blob = F.substring(blob, 1, prefs.us_only_chars)
         ok = ok & ~matches(location_l, P.US_ONLY, ("only", "must", "authorized")) \
             & ~matches(blob, P.US_ONLY, ("only", "must", "authorized"))
     for p in prefs.active_reject_locations():
@@ -137,7 +139,7 @@ _STOP_RX = (f"(?<!{_LETTERS})"
             f"(?!{_LETTERS})")
 
 
-def stopwords_found(h: Column, window: int | None = dims.LANGUAGE_WINDOW_CHARS) -> Column:
+def stopwords_found(h: Column, window: int | None = None) -> Column:
     """The function words of all languages in the first ``window`` characters (None: the whole text), in order.
 
     A word is a maximal run of the WORD class, so guarding the trie of all
@@ -376,7 +378,7 @@ def match(postings: DataFrame, prefs: Prefs, now: datetime,
     # Stage 4: relocation, only for rows that passed everything else.
     survivor = F.col("pre_reason").isNull()
     if prefs.home():
-        df = df.withColumns({"_stop": F.when(survivor, stopwords_found(h)),
+        df = df.withColumns({"_stop": F.when(survivor, stopwords_found(h, prefs.language_chars)),
                              "needed_lang": F.when(survivor, required_language(h, prefs.spoken()))})
         df = df.withColumn("_lang_counts", language_counts(F.col("_stop")))
         df = df.withColumn("written_in", language_of(F.col("_lang_counts")))

@@ -77,8 +77,8 @@ def undecided(matches: DataFrame, cache: DataFrame) -> DataFrame:
 def to_classify(matches: DataFrame, cache: DataFrame, postings: DataFrame) -> DataFrame:
     """EXT-04: one row per undecided key with the text to be judged; ``postings`` hold the descriptions by ``ord``."""
     first = undecided(matches, cache).groupBy("job_key").agg(F.min("ord").alias("ord"))
-    texts = postings.select("ord", "title", "company", "location", visa_excerpt(F.col("description")).alias("excerpt"))
-    return first.join(texts, "ord").select("job_key", "title", "company", "location", "excerpt")
+    texts = postings.select("ord", "title", "company", "location", "description").join(first, "ord")
+    return texts.select("job_key", "title", "company", "location", visa_excerpt(F.col("description")).alias("excerpt"))
 
 
 def apply_verdicts(matches: DataFrame, cache: DataFrame, replies: DataFrame) -> DataFrame:

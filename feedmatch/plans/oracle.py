@@ -10,7 +10,7 @@ from feedmatch.plans.queries import DOC_KEYWORDS
 from feedmatch.functions import patterns as P
 from feedmatch.functions.regex import DUCKDB
 from feedmatch.operators.health import SCHEMA_MOVED
-from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
+from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS, WHOLE_PREFS
 from feedmatch.sources import fixtures as fx
 
 
@@ -409,12 +409,61 @@ def run_summary() -> str:
     evidence = ("CASE coalesce(sponsorship, '') WHEN 'yes' THEN TRUE WHEN 'no' THEN FALSE ELSE "
                 "len(list_filter(reasons, lambda r: starts_with(r, 'visa:') AND r <> 'visa:restricted')) > 0 END")
     matched = "(SELECT count(*) FROM m WHERE reject_reason IS NULL)"
+    home = FIXTURE_PREFS.home()
+    header = ("concat_ws(' · ', new || ' new', CASE WHEN backlog > 0 THEN backlog || ' held for next run' END, already_seen || ' already seen', "
+              f"too_old || ' too old', CASE WHEN rejected_relocation > 0 THEN rejected_relocation || ' not workable from {home}' END, "
+              "rejected || ' rejected (US-only / title / seniority / visa)')")
     return _fresh() + (
-        f"SELECT (SELECT count(*) FROM m) AS fetched, {matched} AS matched, (SELECT count(*) FROM top) AS new, "
+        f", a AS (SELECT (SELECT count(*) FROM m) AS fetched, {matched} AS matched, (SELECT count(*) FROM top) AS new, "
         f"{matched} - (SELECT count(*) FROM placed) AS already_seen, {_BACKLOG} AS backlog, {counts}, "
         f"(SELECT count(*) FROM m WHERE {O.in_list('reject_reason', dims.HEADLINE_REJECTED)}) AS rejected, "
         f"(SELECT count(*) FROM top WHERE {evidence}) AS visa_count, (SELECT count(*) FROM top WHERE {_REMOTE}) AS remote_count, "
-        f"{O.lit(FIXTURE_PREFS.home())} AS based_in")
+        f"{O.lit(home)} AS based_in)\nSELECT *, {header} AS header FROM a")
+
+
+def run_ledger() -> str:
+    steps = {"matched": ("m", "0"), "top": ("top", _BACKLOG), "to_classify": ("(SELECT DISTINCT job_key FROM top WHERE sponsorship IS NULL)", "0"),
+             "digest": ("top", "0"), "rejects": ("m WHERE reject_reason IS NOT NULL", "0"), "verdicts": ("m WHERE FALSE", "0"),
+             "begun": ("top", "0"), "delivered": ("top", "0"), "seen": ("(SELECT job_key FROM s UNION SELECT job_key FROM top)", "0"), "sent": ("top", "0")}
+    return _fresh() + " UNION ALL ".join(f"SELECT '{name}' AS step, count(*) AS rows, CAST({note} AS BIGINT) AS note FROM {rel}" for name, (rel, note) in steps.items())
+
+
+def register_reader() -> str:
+    return f"WITH {O.register_ctes()}\nSELECT company_norm, o.origin FROM reg, (VALUES ('list'), ('csv')) o(origin)"
+
+
+def selected_sources() -> str:
+    names = {0: "greenhouse", 1: "lever", 4: "arbeitnow", 5: "remoteok", 6: "jobicy", 7: "himalayas", 8: "adzuna"}
+    source = "CASE i " + " ".join(f"WHEN {k} THEN {O.lit(n)}" for k, n in names.items()) + " END"
+    return (f"WITH {O.postings_cte()}, p AS (SELECT doc_id % 9 AS i FROM postings)\n"
+            f"SELECT {source} AS source, 'b' || CAST(i AS VARCHAR) AS board, count(*) AS n FROM p WHERE i IN ({', '.join(map(str, names))}) GROUP BY i")
+
+
+def keyword_index() -> str:
+    from feedmatch.plans.queries import INDEX_KEYWORDS
+    return (f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), h AS (SELECT doc_id, {O.index_hits('t', INDEX_KEYWORDS)} AS hits FROM d)\n"
+            "SELECT doc_id, CAST(len(hits) AS INTEGER) AS n, array_to_string(hits, ',') AS hits FROM h")
+
+
+def funnel_counts_whole() -> str:
+    return _matched(WHOLE_PREFS) + "SELECT coalesce(reject_reason, 'matched') AS reason, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM m GROUP BY 1"
+
+
+def windowed_health() -> str:
+    """Windows closed at the end; a response counts unless its window was closed before its batch came."""
+    from feedmatch.plans.queries import HEALTH_BATCHES, HEALTH_DAYS, HEALTH_DELAY
+    base = source_health().split(",\nb AS")[0].replace("SELECT p.event_id, 'feed'", "SELECT ev.ts, p.event_id, 'feed'")
+    late = "CASE WHEN event_id % 101 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END"
+    return (base + ",\n"
+            "z AS (SELECT *, date_trunc('day', ts) AS start, date_diff('day', (SELECT min(ts) FROM r), ts) AS days FROM r),\n"
+            f"l AS (SELECT *, least({HEALTH_BATCHES - 1}, days // {HEALTH_DAYS} + {late}) AS batch FROM z),\n"
+            f"w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch) - INTERVAL {HEALTH_DELAY} DAY AS mark FROM l GROUP BY batch),\n"
+            "k AS (SELECT l.* FROM l LEFT JOIN w ON w.batch = l.batch - 1 WHERE w.mark IS NULL OR start + INTERVAL 1 DAY > w.mark)\n"
+            "SELECT epoch_us(start) AS start_micros, source, count(*) AS responses, count(*) FILTER (WHERE status >= 400) AS failed, "
+            "CAST(coalesce(sum(n_mapped) FILTER (WHERE status < 400), 0) AS BIGINT) AS fetched, "
+            "CAST(coalesce(sum(n_records - n_mapped) FILTER (WHERE status < 400), 0) AS BIGINT) AS skipped, "
+            "count(*) FILTER (WHERE status >= 400) = 0 AND coalesce(sum(n_records - n_mapped) FILTER (WHERE status < 400), 0) = 0 AS healthy "
+            "FROM k WHERE start + INTERVAL 1 DAY <= (SELECT max(mark) FROM w) GROUP BY start, source")
 
 
 def digest_grouped() -> str:
@@ -427,10 +476,10 @@ def digest_grouped() -> str:
     hours = f"CAST(floor({sec} / 3600) AS BIGINT)"
     return _fresh() + (
         f", c AS (SELECT *, {O.country_bucket(loc, O.segments(loc), _REMOTE)} AS country FROM top),\n"
-        "g AS (SELECT *, max(score) OVER (PARTITION BY country) AS best FROM c)\n"
+        "g AS (SELECT *, max(score) OVER (PARTITION BY country) AS best, count(*) OVER (PARTITION BY country) AS size FROM c)\n"
         "SELECT row_number() OVER (ORDER BY country = 'Other', best DESC, country, score DESC, lower(title), ord) AS n, country, "
         f"CASE country {case(dims.COUNTRY_FLAGS)} ELSE {O.lit(dims.DEFAULT_FLAG)} END || ' ' || country AS country_label, "
-        f"job_key, title, score, CASE WHEN {has('hybrid')} THEN 'Hybrid' WHEN {_REMOTE} THEN 'Remote' "
+        f"size AS group_size, best AS group_best, job_key, title, score, CASE WHEN {has('hybrid')} THEN 'Hybrid' WHEN {_REMOTE} THEN 'Remote' "
         f"WHEN {has('onsite')} THEN 'On-site' ELSE '' END AS work_mode, "
         f"CASE WHEN posted_at IS NULL THEN '' WHEN {sec} < 3600 THEN 'just now' WHEN {hours} < 24 THEN CAST({hours} AS VARCHAR) || 'h ago' "
         f"ELSE CAST(CAST(floor({hours} / 24) AS BIGINT) AS VARCHAR) || 'd ago' END AS age, "
@@ -524,7 +573,7 @@ def _drifted() -> str:
 
 
 def quarantine_records() -> str:
-    of = ("source, board, page, 0 AS pos, ", "CAST(count(*) AS BIGINT) AS n FROM r WHERE status < 400 AND fate = 'quarantined' GROUP BY ALL")
+    of = ("source, board, page, 0 AS pos, ", "CAST(count(*) AS BIGINT) AS n FROM r WHERE status < 400 AND fate = 'quarantined' GROUP BY start, source")
     field = "CASE i WHEN 1 THEN 'text' WHEN 5 THEN 'position' WHEN 6 THEN 'jobTitle' ELSE 'title' END"
     return _drifted() + f"SELECT {of[0]}{field} AS what, {of[1]} UNION ALL SELECT {of[0]}'replayed: ' || mended AS what, {of[1]}"
 
@@ -597,6 +646,12 @@ ORACLE = {
     "stream_cross_batch": stream_cross_batch,
     "quarantine_records": quarantine_records,
     "seen_count": seen_count,
+    "windowed_health": windowed_health,
+    "register_reader": register_reader,
+    "selected_sources": selected_sources,
+    "run_ledger": run_ledger,
+    "keyword_index": keyword_index,
+    "funnel_counts_whole": funnel_counts_whole,
     "seen_backfill": seen_backfill,
     "verdict_merge": verdict_merge,
     "page_rules": page_rules,

@@ -8,6 +8,7 @@ CTEs ending in a relation ``m`` with the columns the Spark operator produces.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from feedmatch import dims
@@ -134,7 +135,7 @@ def place_geo(place: str, prefs: Prefs) -> str:
 def remote_allowed(loc: str, segs: str, h: str, prefs: Prefs) -> str:
     conds = []
     if not prefs.us_targeted():
-        blob = f"substr({loc} || ' ' || {h}, 1, {P.US_ONLY_PREFIX_CHARS})"
+        blob = f"({loc} || ' ' || {h})" if prefs.us_only_chars is None else f"substr({loc} || ' ' || {h}, 1, {prefs.us_only_chars})"
         conds.append(f"NOT {rm(loc, P.US_ONLY)}")
         conds.append(f"NOT {rm(blob, P.US_ONLY)}")
     for p in prefs.active_reject_locations():
@@ -148,7 +149,7 @@ def remote_allowed(loc: str, segs: str, h: str, prefs: Prefs) -> str:
     return "(" + (" AND ".join(conds) if conds else "TRUE") + ")"
 
 
-def posting_language(h: str, window: int | None = dims.LANGUAGE_WINDOW_CHARS) -> dict[str, str]:
+def posting_language(h: str, window: int | None) -> dict[str, str]:
     read = h if window is None else f"substr({h}, 1, {window})"
     words = f"regexp_extract_all({read}, {lit(P.WORD)})"
     counts = {lang: f"len(list_filter({words}, lambda w: list_contains({arr(ws)}, w)))"
@@ -261,7 +262,7 @@ def matched_ctes(prefs: Prefs, now: datetime, postings: str = "postings",
         sen_ok = "TRUE"
     remote_ok = (f"(is_remote AND {remote_allowed('location_l', 'segs', h, prefs)})"
                  if prefs.accept_remote else "FALSE")
-    langs = posting_language(h)
+    langs = posting_language(h, prefs.language_chars)
     spoken = prefs.spoken()
     home = prefs.home()
     flagged = "coalesce(visa_sponsorship, FALSE)"
@@ -412,3 +413,21 @@ def identities_sql(rel: str, id_col: str = "ord") -> str:
     return (f"SELECT {id_col} AS id, 'key' AS kind, job_key AS value FROM {rel} "
             f"UNION ALL SELECT {id_col}, 'url', url_norm FROM {rel} WHERE url_norm IS NOT NULL AND url_norm <> '' "
             f"UNION ALL SELECT {id_col}, 'fp', fingerprint FROM {rel} WHERE fingerprint IS NOT NULL")
+
+
+def index_hits(col: str, keywords) -> str:
+    """As ``hits``, for long lists of keywords: words are marked at both ends, then a keyword with marked words is a plain search.
+
+    Keywords that begin or end with another character than a word's go by their pattern.
+    """
+    marked = f"regexp_replace({col}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+    shown: dict[str, str] = {}
+    for kw in keywords:
+        shown.setdefault(kw.lower().strip(), kw)
+    shown.pop("", None)
+    plain = {k: re.sub(r"\w+", lambda m: f"\x01{m[0]}\x02", k) for k in shown if re.fullmatch(r"\w(?:.*\w)?", k)}
+    numbers = {k: i for i, k in enumerate(shown)}
+    table = ", ".join(f"{{'i': {numbers[k]}, 'k': {lit(m)}, 'shown': {lit(shown[k])}}}" for k, m in plain.items())
+    odd = ", ".join(f"CASE WHEN {rm(col, phrase(k))} THEN {{'i': {numbers[k]}, 'k': '', 'shown': {lit(shown[k])}}} END" for k in shown if k not in plain)
+    found = f"list_concat(list_filter([{table}], lambda w: contains(marked, w.k)), list_filter([{odd}], lambda w: w IS NOT NULL))"
+    return f"(SELECT list_transform(list_sort({found}), lambda w: w.shown) FROM (SELECT {marked} AS marked))"

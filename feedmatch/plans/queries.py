@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedmatch.functions.text import (fold_company, keyword_hits, normalize_url, segments,
                                       strip_html)
 from feedmatch.functions.dates import relative_age
 from feedmatch.functions.salary import format_salary
-from feedmatch.job import deliver_rest, digest_rank, new_folder, stream_fresh
+from feedmatch.job import deliver_rest, digest_rank, stream_fresh
 from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
 from feedmatch.operators import state as S
@@ -24,8 +24,8 @@ from feedmatch.operators import matching as M
 from feedmatch.operators.history import SeenHistory
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
-from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS
-from feedmatch.session import cut_lineage, table
+from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS, WHOLE_PREFS, Prefs
+from feedmatch.session import cut_lineage, new_folder, table, written
 
 # Keywords searched in the raw documents (keyword_hits): frequent function
 # words of the four languages plus the profile's own keywords.
@@ -69,6 +69,13 @@ def matched_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(annotated_fx(spark, sf_dir))
 
 
+def matches_fx(spark: SparkSession, sf_dir: str, *counters: F.Column) -> tuple[DataFrame, dict]:
+    """The matched postings, written once, and the ``counters`` of all postings, observed in the pass that writes them (AGG-02)."""
+    seen = Observation("funnel")
+    m = annotated_fx(spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("fetched"), *counters)
+    return written(m.filter(F.col("reject_reason").isNull()), "matches"), seen.get
+
+
 # --- funnel and classifiers --------------------------------------------------------
 def funnel_counts(spark, sf_dir):
     m = annotated_fx(spark, sf_dir)
@@ -96,7 +103,7 @@ def rejects_q(spark, sf_dir):
 
 def digest_facts(spark, sf_dir):
     """PRJ-10 of every match."""
-    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull())
+    m, _ = matches_fx(spark, sf_dir)
     return G.facts(m, FIXTURE_NOW).select("ord", F.array_join("details", " · ").alias("details"),
                                           F.array_join("facts", " · ").alias("facts"), "why", "sponsorship_line")
 
@@ -114,7 +121,7 @@ def verdict_applied(spark, sf_dir):
     """JN-03 + JN-05 over every match (a run applies them to its capped digest)."""
     from feedmatch.operators.verdicts import apply_verdicts
     cache, replies = _replies_split(spark, sf_dir)
-    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()).withColumn("job_key", _job_key())
+    m = matches_fx(spark, sf_dir)[0].withColumn("job_key", _job_key())
     return apply_verdicts(m, cache, replies).select("ord", "job_key", "sponsorship", "sponsorship_reason", "verdict_origin")
 
 
@@ -122,7 +129,7 @@ def to_classify_q(spark, sf_dir):
     """EXT-04: what neither the rules nor the stored verdicts decide, with its excerpt."""
     from feedmatch.operators.verdicts import to_classify
     cache, _ = _replies_split(spark, sf_dir)
-    m = matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()).withColumn("job_key", _job_key())
+    m = matches_fx(spark, sf_dir)[0].withColumn("job_key", _job_key())
     return to_classify(m, cache, postings_fx(spark, sf_dir))
 
 
@@ -161,9 +168,8 @@ def relocation_assessment(spark, sf_dir):
 
 
 def scored_matches(spark, sf_dir):
-    m = matched_fx(spark, sf_dir)
-    return (m.filter(F.col("reject_reason").isNull())
-             .select("ord", _job_key().alias("job_key"), "score",
+    m, _ = matches_fx(spark, sf_dir)
+    return (m.select("ord", _job_key().alias("job_key"), "score",
                      F.array_join("reasons", "|").alias("reasons"), "seniority", "highlight",
                      F.coalesce("sponsorship", F.lit("")).alias("sponsorship")))
 
@@ -223,49 +229,51 @@ def greedy_dedupe_q(spark, sf_dir):
     return D.greedy_dedupe(p, F.struct(F.col("ord")), "ord").select("ord", "job_key")
 
 
-def fresh_matches(spark, sf_dir):
-    """Matches minus seen history, deduplicated best-first (JN-02 + WIN-01)."""
-    m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
-    fresh = D.anti_seen(m, seen_fx(spark, sf_dir))
-    return D.greedy_dedupe(fresh, digest_rank(), "ord")
+def fresh_matches(spark, sf_dir, matches: DataFrame | None = None) -> DataFrame:
+    """Matches minus seen history, deduplicated best-first (JN-02 + WIN-01); only identities and rank go through the rounds."""
+    m = matches_fx(spark, sf_dir)[0] if matches is None else matches
+    ids = written(D.with_identities(m).select("ord", "score", "title", "job_key", "url_norm", "fingerprint"), "identities")
+    return D.greedy_dedupe(D.anti_seen(ids, seen_fx(spark, sf_dir)), digest_rank(), "ord")
+
+
+def _top(spark, sf_dir, matches: DataFrame) -> tuple[DataFrame, int, int]:
+    """The digest's rows (at most ``max_jobs``) with all their columns, the backlog, and how many were fresh."""
+    counted = Observation("fresh")
+    fresh = written(fresh_matches(spark, sf_dir, matches).observe(counted, F.count(F.lit(1)).alias("n")), "fresh")
+    n, cap = counted.get["n"], FIXTURE_PREFS.max_jobs
+    best = fresh.withColumn("_rank", digest_rank()).orderBy("_rank").limit(cap).select("ord", "job_key")
+    return matches.drop("job_key").join(F.broadcast(best), "ord"), max(0, n - cap), n  # at most max_jobs rows
 
 
 def digest_grouped(spark, sf_dir):
-    fresh = cut_lineage(fresh_matches(spark, sf_dir))
-    top, _ = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
+    top, _, _ = _top(spark, sf_dir, matches_fx(spark, sf_dir)[0])
     return G.group_digest(top, FIXTURE_NOW)
 
 
 def run_summary(spark, sf_dir):
-    """AGG-02/03/07: one row accounting for every fetched posting.
+    """AGG-02/03/07: one row accounting for every fetched posting, and its header line.
 
-    Drop counters come from one aggregation pass over the annotated postings;
-    ``already_seen`` = matched - fresh after seen and in-batch dedupe (Q4);
-    visa/remote counts are over the capped digest rows.
+    All drop counters are observed in the one pass over the postings that writes the matches, the fresh rows in the pass
+    that writes those; ``already_seen`` = matched - fresh after seen and in-batch dedupe (Q4); visa/remote counts are over
+    the capped digest rows.
     """
     from feedmatch import dims
-    m = matched_fx(spark, sf_dir)
-    fresh = cut_lineage(fresh_matches(spark, sf_dir))
-    top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
-    n_fresh = fresh.count()
+    matches, counts = matches_fx(spark, sf_dir, F.count_if(F.col("reject_reason").isNull()).alias("matched"),
+                                 *(F.count_if(F.col("reject_reason") == r).alias(r) for r in dims.REASONS))
+    top, backlog, n_fresh = _top(spark, sf_dir, matches)
     reasons = F.coalesce(F.col("reasons"), F.array().cast("array<string>"))
     sponsorship = F.coalesce(F.col("sponsorship"), F.lit(""))
     evidence = (F.when(sponsorship == "yes", F.lit(True)).when(sponsorship == "no", F.lit(False))
                  .otherwise(F.exists(reasons, lambda r: r.startswith("visa:") & (r != "visa:restricted"))))
-    shown_remote = (F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote")
-    digest = top.agg(F.count(F.lit(1)).alias("new"), F.count_if(evidence).alias("visa_count"),
-                     F.count_if(F.coalesce(shown_remote, F.lit(False))).alias("remote_count")).first()
-    counts = [F.count_if(F.col("reject_reason") == r).alias(r) for r in dims.REASONS]
-    summary = m.agg(F.count(F.lit(1)).alias("fetched"),
-                    F.count_if(F.col("reject_reason").isNull()).alias("matched"), *counts)
-    return summary.select(
-        "fetched", "matched", F.lit(digest["new"]).cast("bigint").alias("new"),
-        (F.col("matched") - F.lit(n_fresh)).alias("already_seen"),
-        F.lit(backlog).cast("bigint").alias("backlog"), *dims.REASONS,
-        sum(F.col(r) for r in dims.HEADLINE_REJECTED).alias("rejected"),
-        F.lit(digest["visa_count"]).cast("bigint").alias("visa_count"),
-        F.lit(digest["remote_count"]).cast("bigint").alias("remote_count"),
-        F.lit(FIXTURE_PREFS.home()).alias("based_in"))
+    remote = F.coalesce((F.col("remote") == F.lit(True)) | F.array_contains(reasons, "remote"), F.lit(False))
+    shown = top.agg(F.count(F.lit(1)).alias("new"), F.count_if(evidence).alias("visa_count"), F.count_if(remote).alias("remote_count")).first()
+    row = counts | shown.asDict() | {
+        "already_seen": counts["matched"] - n_fresh, "backlog": backlog, "based_in": FIXTURE_PREFS.home(),
+        "rejected": sum(counts[r] for r in dims.HEADLINE_REJECTED)}
+    row["header"] = G.header_line(row)
+    texts = ("based_in", "header")
+    names = ["fetched", "matched", "new", "already_seen", "backlog", *dims.REASONS, "rejected", "visa_count", "remote_count", *texts]
+    return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} {'string' if n in texts else 'bigint'}" for n in names))
 
 
 def backlog_drain(spark, sf_dir):
@@ -287,7 +295,7 @@ def backlog_drain(spark, sf_dir):
 
 
 def digest_topn_backlog(spark, sf_dir):
-    fresh = cut_lineage(fresh_matches(spark, sf_dir))
+    fresh = written(fresh_matches(spark, sf_dir), "fresh")
     top, backlog = G.top_n(fresh, FIXTURE_PREFS.max_jobs, digest_rank())
     return top.select("position", "job_key", "score", "title", F.lit(backlog).alias("backlog"))
 
@@ -336,7 +344,7 @@ def byte_budget_prefix(spark, sf_dir):
 def seen_upsert(spark, sf_dir):
     """SNK-01: this run's matches (one row per key, first in fetch order) marked as delivered in the stored history, whose
     other key buckets keep their files."""
-    m = D.with_identities(matched_fx(spark, sf_dir).filter(F.col("reject_reason").isNull()))
+    m = D.with_identities(matches_fx(spark, sf_dir)[0])
     kept = [c for c in S.SEEN_COLUMNS if c in m.columns]
     first = m.groupBy("job_key").agg(F.min_by(F.struct(*kept), F.col("ord")).alias("r")).select("r.*")
     history = SeenHistory(spark, new_folder(spark, "history")).create(seen_fx(spark, sf_dir))
@@ -416,11 +424,11 @@ def visa_excerpt_q(spark, sf_dir):
     return d.select("doc_id", visa_excerpt(F.col("text")).alias("excerpt"))
 
 
-def responses_from_events(events: DataFrame, with_page: bool = False) -> DataFrame:
+def responses_from_events(events: DataFrame, with_page: bool = False, *carried: str) -> DataFrame:
     """Landed responses: source/board/status from event columns, body from ``payloads_from_events``."""
     from feedmatch.sources.payloads import envelope_array
     e = F.col("event_id")
-    p = payloads_from_events(events, "event_type")
+    p = payloads_from_events(events, "event_type", *carried)
     arr = F.coalesce(envelope_array(F.col("body"), ENVELOPE_KEYS), F.array().cast("array<variant>"))
     objects = F.filter(arr, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     return p.select(
@@ -429,7 +437,7 @@ def responses_from_events(events: DataFrame, with_page: bool = False) -> DataFra
         F.when(e % 97 == 0, F.lit(500)).otherwise(F.lit(200)).alias("status"),
         F.size(objects).alias("n_records"),
         F.size(F.filter(objects, lambda x: F.try_variant_get(x, "$.k", "bigint").isNotNull())).alias("n_mapped"),
-        *([(e / 250).cast("bigint").alias("page")] if with_page else []))
+        *([(e / 250).cast("bigint").alias("page")] if with_page else []), *carried)
 
 
 def source_health_q(spark, sf_dir):
@@ -621,15 +629,89 @@ def tumbling_event_counts(spark, sf_dir):
 
 
 def stream_ingest_dedupe(spark, sf_dir):
-    """Landed events replayed as a file stream; repeat keys dropped within the watermark."""
-    import uuid
-    from feedmatch.session import checkpoint_dir
+    """Landed events as a file stream; keys downloaded again, with the first download or a day later, are dropped within the watermark."""
     from feedmatch.streaming.ingest import ingest_dedupe
-    src = os.path.join(sf_dir, "events.parquet")
-    schema = spark.read.parquet(src).schema
-    out = os.path.join(checkpoint_dir(spark), "tables", f"events_dedup_{uuid.uuid4().hex}")
-    table_ = ingest_dedupe(spark, src, schema, "event_id", "ts", out)
-    return table_.select("event_id", "user_id", "event_type")
+    events = table(spark, sf_dir, "events")
+    again = events.withColumn("ts", F.expr("ts + INTERVAL 1 HOUR"))
+    landing, out = new_folder(spark, "events"), new_folder(spark, "events_dedup")
+    for landed in (events.unionByName(again.filter("event_id % 10 = 0")), again.filter("event_id % 10 = 5")):
+        landed.write.mode("append").parquet(landing)
+        kept = ingest_dedupe(spark, landing, events.schema, "event_id", "ts", out)
+    return kept.select("event_id", "user_id", "event_type")
+
+
+HEALTH_DAYS, HEALTH_BATCHES, HEALTH_DELAY = 8, 4, 2
+
+
+def windowed_health_q(spark, sf_dir):
+    """STR-05: responses land in four batches of eight days, some one or two batches late; windows that the watermark has closed."""
+    from feedmatch.streaming.ingest import land_windowed_health
+    events = table(spark, sf_dir, "events")
+    e, first = F.col("event_id"), events.agg(F.to_date(F.min("ts")).alias("first"))
+    days = F.datediff("ts", "first")
+    late = F.when(e % 101 == 0, 2).when(e % 11 == 0, 1).otherwise(0)
+    batch = F.least(F.lit(HEALTH_BATCHES - 1), F.floor(days / HEALTH_DAYS) + late).cast("int")
+    responses = responses_from_events(events.crossJoin(F.broadcast(first)).withColumn("batch", batch), False, "ts", "batch")  # one row
+    responses = written(responses.drop("board"), "responses")
+    landing, out = new_folder(spark, "responses"), new_folder(spark, "health")
+    for k in range(HEALTH_BATCHES):
+        responses.filter(F.col("batch") == k).drop("batch").write.mode("append").parquet(landing)
+        windows = land_windowed_health(spark, landing, responses.drop("batch").schema, "ts", out, delay=f"{HEALTH_DELAY} days")
+    return windows
+
+
+def register_reader(spark, sf_dir):
+    """SRC-16: the register written as a list and as a CSV, read back; a file that isn't there is empty."""
+    from feedmatch.sources.payloads import read_register
+    root = new_folder(spark, "register")
+    lines = register_lines_fx(spark, sf_dir)
+    lines.select("line").write.text(f"{root}/list")
+    lines.select("line", F.lit("a, second column")).write.option("escape", '"').csv(f"{root}/names.csv")
+    read = {"list": f"{root}/list", "csv": f"{root}/names.csv", "missing": f"{root}/none.csv"}
+    parts = [M.register_names(read_register(spark, path)).withColumn("origin", F.lit(name)) for name, path in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SELECTED = Prefs.from_dict({"sources": {"remotive": False}, "ats_boards": {"lever": ["b1"], "greenhouse": ["b0", "elsewhere"]}})
+
+
+def selected_sources(spark, sf_dir):
+    """SRC-14: payloads laid out by source and board; only the folders of enabled sources and listed boards are read."""
+    from feedmatch.sources.mapping import select_sources
+    folder = new_folder(spark, "payloads")
+    payloads_fx(spark, sf_dir).write.partitionBy("source", "board").parquet(folder)
+    return select_sources(spark.read.parquet(folder), SELECTED).groupBy("source", "board").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_ledger(spark, sf_dir):
+    """SNK-03 + EXT-03: a whole run that delivers its digest to a sink: the committed steps, and what the sink got."""
+    from feedmatch.job import run
+    out, sent = new_folder(spark, "run"), new_folder(spark, "sent")
+    found = run(postings_fx(spark, sf_dir), seen_fx(spark, sf_dir), FIXTURE_PREFS, FIXTURE_NOW, "deliver", out,
+                register=M.register_names(register_lines_fx(spark, sf_dir)), sink=lambda d: d.write.parquet(sent))
+    got = spark.read.parquet(sent).agg(F.lit("sent").alias("step"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("note"))
+    return found.ledger.rows().select("step", "rows", "note").unionByName(got)
+
+
+#: Frequent words of the four languages; with all their pairs a list of over a thousand keywords.
+INDEX_WORDS = ("the", "of", "and", "to", "in", "is", "on", "that", "der", "die", "und", "den", "zu", "ein", "von", "ist",
+               "le", "la", "les", "de", "et", "que", "un", "en", "el", "los", "con", "por", "del", "una", "se", "al")
+INDEX_KEYWORDS = (*INDEX_WORDS, "The", "c++", *(f"{a} {b}" for a in INDEX_WORDS for b in INDEX_WORDS))
+
+
+def keyword_index_q(spark, sf_dir):
+    """FN-07 with over a thousand keywords, in one pass over the words."""
+    from feedmatch.functions.text import keyword_index
+    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
+    hits = keyword_index(F.lower(F.coalesce("text", F.lit(""))), INDEX_KEYWORDS)
+    return d.select("doc_id", hits.alias("hits")).select("doc_id", F.size("hits").alias("n"), F.array_join("hits", ",").alias("hits"))
+
+
+def funnel_counts_whole(spark, sf_dir):
+    """FLT-16/18 without their windows: residency phrases and languages of whole texts."""
+    m = annotated_fx(spark, sf_dir, WHOLE_PREFS, "whole")
+    return (m.groupBy(F.coalesce("reject_reason", F.lit("matched")).alias("reason"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("score").cast("bigint").alias("score")))
 
 
 STREAM_PARTS, STREAM_CAP = 3, 300
@@ -694,6 +776,12 @@ QUERIES = {
     "stream_cross_batch": stream_cross_batch,
     "quarantine_records": quarantine_records,
     "seen_count": seen_count,
+    "windowed_health": windowed_health_q,
+    "register_reader": register_reader,
+    "selected_sources": selected_sources,
+    "run_ledger": run_ledger,
+    "keyword_index": keyword_index_q,
+    "funnel_counts_whole": funnel_counts_whole,
     "seen_backfill": seen_backfill,
     "verdict_merge": verdict_merge,
     "page_rules": page_rules,

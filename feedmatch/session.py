@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from feedmatch.sources.fixtures import TABLES
@@ -68,6 +70,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder.  What is written there stays until whoever runs the job clears the folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Materialise a DataFrame as a Parquet table and read it back: as durable as a checkpoint, narrower for what reads some of
+    its columns, and of a size that the planner knows when it picks joins."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _REGISTERED: dict[tuple[str, str], str] = {}
 
 
@@ -81,9 +96,12 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         key = (spark.sparkContext.applicationId, name)
         if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
             continue
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+        try:
+            spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
+        except AnalysisException as e:  # a folder may lack tables that no query at hand needs
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             _REGISTERED[key] = sf_dir
 
 

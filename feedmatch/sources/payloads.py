@@ -7,7 +7,8 @@ no records instead of an error.  Only object elements are records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,3 +87,23 @@ def page_prefix(pages: DataFrame, group=("source", "board"), page: str = "page")
     counted = prefix_sums(pages, list(group), order, {"_stops": stop.cast("int"), "_lasts": last.cast("int")})
     within = (F.col("_stops") == 0) & (F.col("_lasts") - last.cast("int") == 0)
     return counted.filter(within).drop("_stops", "_lasts", "_stops_total", "_lasts_total")
+
+
+def read_register(spark: SparkSession, path: str | None) -> DataFrame:
+    """SRC-16: the lines of a register file: a list (one employer a line), or, by its name, a CSV whose first column counts.
+
+    No path, or one that isn't there, is an empty register.  Blank and comment lines are left to ``register_names``.
+    """
+    none = spark.createDataFrame([], "line string")
+    if not path:
+        return none
+    try:
+        if path.lower().rstrip("/").endswith(".csv"):
+            rows = spark.read.schema("line string").option("escape", '"').option("enforceSchema", True).csv(path)
+        else:
+            rows = spark.read.text(path).withColumnRenamed("value", "line")
+        return rows.select("line")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
