@@ -22,6 +22,7 @@ from feedmatch.operators import state as S
 from feedmatch.operators import verdicts as V
 from feedmatch.operators.backlog import RankedQueue
 from feedmatch.operators.ledger import Ledger
+from feedmatch.operators.store import BUCKETS
 from feedmatch.operators.history import IdentityIndex, SeenHistory, identity_rows
 from feedmatch.prefs import Prefs
 from feedmatch.session import cut_lineage, new_folder
@@ -115,7 +116,7 @@ def run(postings: DataFrame, seen: DataFrame, prefs: Prefs, now: datetime, mode:
 
 
 def stream_fresh(landing: str, schema, seen: DataFrame, out: str, cap: int, now: datetime,
-                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet") -> RankedQueue:
+                 rank: Callable[[], Column] = lambda: F.struct("ord"), fmt: str = "parquet", buckets: int = BUCKETS) -> RankedQueue:
     """STR-03: one availableNow pass over what landed since the last one, deduplicated against earlier batches.
 
     A batch admits the rows that neither the history nor an earlier batch has, best first among its own, and appends
@@ -129,7 +130,7 @@ def stream_fresh(landing: str, schema, seen: DataFrame, out: str, cap: int, now:
     queue = _queue(spark, out, schema, rank)
 
     def each(batch: DataFrame, n: int) -> None:
-        known, history = IdentityIndex(spark, f"{out}/known"), SeenHistory(spark, f"{out}/seen").rows
+        known, history = IdentityIndex(spark, f"{out}/known", buckets), SeenHistory(spark, f"{out}/seen", buckets).rows
         if n == 0:
             history.create(S.normalise_seen(seen))
             known.create(identity_rows(history.read(version=0)))

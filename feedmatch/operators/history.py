@@ -52,14 +52,20 @@ class IdentityIndex:
         self.exact = KeyedStore(spark, f"{root}/exact", "kind string, value string, job_key string", ("kind", "value"), buckets)
         self.filter = KeyedStore(spark, f"{root}/filter", "part int, block bigint, blocks bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint", ("part",), buckets)
 
+        self._blocks: int | None = None
+
     @property
     def blocks(self) -> int:
-        return self.filter.read(version=0).agg(F.max("blocks")).first()[0] or EMPTY_BLOCKS
+        """Filter blocks of an index bucket, as the store was made."""
+        if self._blocks is None:
+            self._blocks = self.filter.read(version=0).agg(F.max("blocks")).first()[0] or EMPTY_BLOCKS
+        return self._blocks
 
     def create(self, identities: DataFrame, per_block: int = PER_BLOCK) -> IdentityIndex:
         self.exact.create(identities)
         n = self.exact.count(0)
-        self.filter.create(self._filter_of(self.exact.read(version=0), max(1, -(-n // (per_block * self.exact.buckets)))))
+        self._blocks = max(1, -(-n // (per_block * self.exact.buckets))) if n else None
+        self.filter.create(self._filter_of(self.exact.read(version=0), self._blocks or EMPTY_BLOCKS))
         return self
 
     def _filter_of(self, identities: DataFrame, blocks: int) -> DataFrame:

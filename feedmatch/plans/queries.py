@@ -21,7 +21,7 @@ from feedmatch.operators import dedupe as D
 from feedmatch.operators import digest as G
 from feedmatch.operators import state as S
 from feedmatch.operators import matching as M
-from feedmatch.operators.history import SeenHistory
+from feedmatch.operators.history import IdentityIndex, SeenHistory, identity_rows
 from feedmatch.operators.partitioning import ensure_parallelism
 from feedmatch.plans.inputs import postings_fx, register_lines_fx, seen_raw_fx
 from feedmatch.prefs import EVIDENCE_PREFS, FIXTURE_NOW, FIXTURE_PREFS, STRICT_PREFS, WHOLE_PREFS, Prefs
@@ -32,6 +32,10 @@ from feedmatch.session import cut_lineage, new_folder, table, written
 DOC_KEYWORDS = ("the", "und", "la", "que", "der", "python", "data", "et", "el", "The", "in the")
 
 
+#: Key buckets of the stores that queries make.
+STORE_BUCKETS = 16
+
+
 def _job_key() -> F.Column:
     return F.concat(F.col("source"), F.lit(":"), F.col("source_id"))
 
@@ -219,9 +223,9 @@ def place_key_bucket(spark, sf_dir):
 
 def seen_antijoin(spark, sf_dir):
     """JN-02 against the history as a store: identity filter first, then the index buckets that may hold a hit."""
-    history = SeenHistory(spark, new_folder(spark, "history")).create(seen_fx(spark, sf_dir))
+    known = IdentityIndex(spark, new_folder(spark, "known"), STORE_BUCKETS).create(identity_rows(seen_fx(spark, sf_dir)))
     p = D.with_identities(postings_fx(spark, sf_dir).select("ord", "source", "source_id", "title", "company", "url", "location", "remote"))
-    return history.anti_seen(cut_lineage(p)).select("ord", "job_key")
+    return known.anti_known(written(p, "identities")).select("ord", "job_key")
 
 
 def greedy_dedupe_q(spark, sf_dir):
@@ -347,7 +351,7 @@ def seen_upsert(spark, sf_dir):
     m = D.with_identities(matches_fx(spark, sf_dir)[0])
     kept = [c for c in S.SEEN_COLUMNS if c in m.columns]
     first = m.groupBy("job_key").agg(F.min_by(F.struct(*kept), F.col("ord")).alias("r")).select("r.*")
-    history = SeenHistory(spark, new_folder(spark, "history")).create(seen_fx(spark, sf_dir))
+    history = SeenHistory(spark, new_folder(spark, "history"), STORE_BUCKETS).create(seen_fx(spark, sf_dir))
     history.upsert(first, FIXTURE_NOW, notified=True)
     return _texts(history.rows.read())
 
@@ -360,7 +364,7 @@ def _texts(snap):
 def seen_count(spark, sf_dir):
     """SNK-05 + SNK-06: a snapshot of an older form (no location, url_norm or fingerprint) becomes a store; its rows by the manifest."""
     old = seen_raw_fx(spark, sf_dir).withColumn("job_key", _job_key()).drop("location", "remote", "doc_id")
-    history = SeenHistory(spark, new_folder(spark, "history")).create(old)
+    history = SeenHistory(spark, new_folder(spark, "history"), STORE_BUCKETS).create(old)
     rows = history.rows.read()
     known = rows.agg(F.count_if(F.col("location").isNotNull() | F.col("url_norm").isNotNull() | F.col("fingerprint").isNotNull()).alias("with_new_columns"),
                      F.sum("notified").cast("bigint").alias("notified"))
@@ -389,7 +393,7 @@ def verdict_merge(spark, sf_dir):
     # a later run: other answers to each fourth, and those that were missing
     later = replies.filter((number % 3 == 0) | (number % 4 == 0)).withColumns(
         {"checked_at": at(1), "reply": F.regexp_replace("reply", "Posting  mentions", "Second look:")})
-    store = KeyedStore(spark, new_folder(spark, "verdicts"), "job_key string, verdict string, reason string, checked_at timestamp_ntz", ("job_key",))
+    store = KeyedStore(spark, new_folder(spark, "verdicts"), "job_key string, verdict string, reason string, checked_at timestamp_ntz", ("job_key",), STORE_BUCKETS)
     store.create(first)
     store.update(later, merge_verdicts)
     return _texts(store.read())
@@ -725,7 +729,7 @@ def stream_cross_batch(spark, sf_dir):
     landing, out = new_folder(spark, "landing"), new_folder(spark, "fresh")
     for day in range(STREAM_PARTS):
         landed.filter(F.col("ord") % STREAM_PARTS == day).write.mode("append").parquet(landing)
-        queue = stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW)
+        queue = stream_fresh(landing, landed.schema, seen_fx(spark, sf_dir), out, STREAM_CAP, FIXTURE_NOW, buckets=STORE_BUCKETS)
     deliver_rest(queue, out, STREAM_CAP, STREAM_PARTS)
     shown = [F.col("batch").cast("int").alias("batch"), F.col("position").cast("int").alias("position"), "job_key", "ord",
              F.col("held").cast("bigint").alias("held")]

@@ -55,6 +55,7 @@ def test_windows_as_settings():
     assert (FIXTURE_PREFS.us_only_chars, FIXTURE_PREFS.language_chars) == (800, 6000)
     whole = Prefs.from_dict({"remote": {"us_only_chars": None}, "candidate": {"language_chars": 0}})
     assert (whole.us_only_chars, whole.language_chars) == (None, None)
+    assert Prefs.from_json('{"digest": {"max_jobs": 7}}').max_jobs == 7 and Prefs.from_json("[]") == Prefs.from_dict({})
 
 
 def test_run_goes_on_where_it_stopped(spark, tmp_path):
