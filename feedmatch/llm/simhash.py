@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from feedmatch.llm.components import components
 from feedmatch.llm.scratch import stored
@@ -37,6 +38,8 @@ from feedmatch.llm.scratch import stored
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints of one subtrie that one task takes.
 BUCKET_ROWS = 1 << 16
+#: Rotated fingerprints of a task, about.
+TASK_ROWS = 1 << 20
 #: Node pairs that are walked at a time, and pairs of fingerprints under a node pair that are compared at once.
 WALK, DIRECT = 50_000, 64
 
@@ -157,68 +160,70 @@ def trie_forest(keys: np.ndarray, group: np.ndarray, depth: int, max_bits: int)
     return parent
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """A spanning set of links (u, v) between distinct fingerprints ``fp`` within ``max_bits``."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS, node: str = "fp", n_rows: int = 0) -> DataFrame:
+    """A spanning set of links (u, v) between distinct fingerprints ``fp`` within ``max_bits``, named by column ``node``.
+
+    ``n_rows`` (at least the number of rows) sets how many tasks share the work, if the session's partitions are too few.
+    """
     spark, blocks = fps.sparkSession, _blocks(max_bits)
     turned = F.array(*(F.struct(F.lit(k).alias("block"), (F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a)) if a else F.col("fp")).alias("key"))
                        for k, (a, _) in enumerate(blocks)))
     width = F.element_at(F.array(*(F.lit(w) for _, w in blocks)), F.col("block") + 1)
-    rows = fps.select(F.explode(turned).alias("x")).select("x.block", "x.key")
+    rows = fps.select(F.explode(turned).alias("x"), F.col(node).alias("node")).select("x.block", "x.key", "node")
     rows = rows.withColumn("value", F.call_function("shiftrightunsigned", F.col("key"), (64 - width).cast("int")))
     # At most one row per block and value: 2**13 values in 5 blocks at 4 bits.
     hot = rows.groupBy("block", "value").count().where(F.col("count") > bucket_rows)
     hot = hot.select("block", "value", F.ceil(F.col("count") / bucket_rows).cast("int").alias("parts"))
     dealt = rows.join(F.broadcast(hot), ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.select("block", "value", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("block", "value", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    dealt = dealt.select("block", "value", "key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("block", "value", "key", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "value", "one", "two", "key")] for b in batches]
-        if not got:
+        held = list(batches)
+        if not held:
             return
-        block, value, one, two, key = (np.concatenate(x) for x in zip(*got, strict=True))
-        key = key.view(np.uint64)
+        block, value, one, two, key = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "value", "one", "two", "key"))
+        key, names = key.view(np.uint64), pa.concat_arrays([b.column("node") for b in held])
         order = np.lexsort((key, two, one, value, block))
         block, value, one, two, key = (x[order] for x in (block, value, one, two, key))
         new = (block[1:] != block[:-1]) | (value[1:] != value[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         group = np.concatenate([[0], np.cumsum(new)])
-        for k, (offset, bits) in enumerate(blocks):
+        for k, (_, bits) in enumerate(blocks):
             lo, hi = np.searchsorted(block, [k, k + 1])
             if lo == hi:
                 continue
-            keys = key[lo:hi]
-            root = trie_forest(keys, group[lo:hi], bits, max_bits)
-            back = (keys >> np.uint64(offset)) | (keys << np.uint64(64 - offset)) if offset else keys
-            tied = np.flatnonzero(root != np.arange(len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(back[tied].view(np.int64)), pa.array(back[root[tied]].view(np.int64))], schema=out)
+            root = trie_forest(key[lo:hi], group[lo:hi], bits, max_bits)
+            tied = np.flatnonzero(root != np.arange(hi - lo))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(order[lo + tied])), names.take(pa.array(order[lo + root[tied]]))], names=["u", "v"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "block", "value", "one", "two").mapInArrow(walk, "u long, v long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * len(blocks) // TASK_ROWS))
+    kind = fps.schema[node].dataType
+    return dealt.repartition(parts, "block", "value", "one", "two").mapInArrow(walk, StructType([StructField("u", kind), StructField("v", kind)]))
 
 
 def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, first, root) of each distinct fingerprint: its smallest row key and its component."""
+    """(fp, root) of each distinct fingerprint: the smallest row key of its component.
+
+    Fingerprints go by their smallest row key, so the smallest node that can be reached is the component's name already and
+    nothing is gathered by component.
+    """
     distinct = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first"))
-    found = components(links(distinct, max_bits))
-    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = components(links(distinct, max_bits, node="first", n_rows=fps.count()))
+    return distinct.join(found.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("root", "first").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    rooted = _rooted(fps, max_bits)
-    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    of = rooted.select("fp", "root").join(named, "root").select("fp", F.expr("if(first.no_id, null, first.id)").alias("component_id"))
+    of = _rooted(fps, max_bits).select("fp", F.expr("if(root.no_id, null, root.id)").alias("component_id"))
     return fps.join(of, "fp").select(F.expr("if(no_id, null, id)").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document per component: the smallest doc_id, null ids last, then the smallest text hash; of rows equal in both, one."""
-    rooted = _rooted(stored(fingerprints(docs, shingle), "fingerprints"), max_bits)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    kept = _rooted(stored(fingerprints(docs, shingle), "fingerprints"), max_bits).select("root").distinct()
     names = {name: f"_kept_{name}" for name in KEY}
-    kept = kept.select(*(F.col(f"first.{name}").alias(to) for name, to in names.items()))
+    kept = kept.select(*(F.col(f"root.{name}").alias(to) for name, to in names.items()))
     rows = docs.withColumns({names[name]: c for name, c in _key().items()}).join(kept, list(names.values()))
     return rows.dropDuplicates(list(names.values())).select(*docs.columns)
