@@ -154,3 +154,22 @@ def test_one_block_of_items_is_held_at_a_time(spark):
     benchmark = spark.createDataFrame([(i, f"item {i} of many") for i in range(4)], "item_id long, text string")
     plan = decontam.hits(df, benchmark, block_bytes=60)._jdf.queryExecution().toString()
     assert plan.split("Physical Plan")[1].count("MapInArrow") == 1
+
+
+def test_tables_of_a_block_are_small_and_confirm_words(spark):
+    rnd = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(words, 400))) for i in range(400)] + [(1000, "one"), (1001, "one two"), (1002, "one")]
+    machines = decontam.searchers(items)
+    patterns = sum(len(m.items) for m in machines)
+    assert sum(m.nbytes() for m in machines) < 60 * patterns and patterns > 150_000
+    text = items[7][1].split()[100:112] + ["one", "two", "x"]
+    found = {(begin, machine.length): sorted(items[i][0] for i in of) for machine in machines for begin, of in machine.search([w.encode() for w in text])}
+    assert found == {(0, 10): [7], (1, 10): [7], (2, 10): [7], (12, 1): [1000, 1002], (12, 2): [1001]}
+
+
+def test_colliding_places_are_compared_with_the_text():
+    machine = decontam.searchers([(0, " ".join(f"a{i}" for i in range(30)))])[0]
+    other = [f"b{i}".encode() for i in range(2000)]
+    machine.shift = bytes(len(machine.shift))  # every place looks like a suffix
+    assert not list(machine.search(other)) and [b for b, _ in machine.search([f"a{i}".encode() for i in range(30)])] == list(range(21))
