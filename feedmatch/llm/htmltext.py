@@ -7,7 +7,10 @@ distribution is the sum of weights over windows of ``WINDOW`` lines: text
 begins where it surges to the threshold (at the first line with weight of that
 window, in an article at the article's begin) and ends where it dives to zero.
 The threshold is ``SURGE`` characters, or half the page's highest window if
-that is less. All text between surges and dives is kept, lines in page order.
+that is less. All text between surges and dives is kept, lines in page order;
+so are the heading above a surge and what stands between them, lines without
+weight (lists of links) between two kept parts that nothing else parts, and a
+short article with a sentence that follows a kept one directly.
 
 Tags act beside the distribution in two ways. Lines inside <article> or <main>
 weigh ``BONUS`` times, links and headings included, and blank lines stand where
@@ -52,8 +55,8 @@ _CHROME = frozenset("nav footer aside form menu dialog button fieldset".split())
 _NAMED = frozenset("""ad ads advert adverts advertisement advertising adsbygoogle ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper sponsor sponsored promo
     banner nav navbar navigation menu main-menu main-nav main-navigation site-nav site-navigation nav-menu top-nav breadcrumb breadcrumbs
     header masthead topbar top-bar site-header page-header footer site-footer page-footer sidebar side-bar left-sidebar right-sidebar sidebar-left
-    sidebar-right side aside widget widgets widget-area related recommended related-posts related-articles related-links share sharing social
-    share-buttons social-share social-links social-icons cookie cookies consent cookie-banner cookie-bar cookie-consent cookie-notice notice notices
+    sidebar-right col-sidebar side aside widget widgets widget-area related recommended related-posts related-articles related-links share sharing social
+    share-buttons social-share social-links social-icons cookie cookies consent cookie-banner cookie-bar cookie-consent cookie-notice gdpr gdpr-banner gdpr-notice privacy-notice consent-banner notice notices
     alert popup modal overlay newsletter newsletter-signup subscribe subscription signup login login-form search search-form searchform
     comment comments comment-list commentlist comments-area comment-body comment-form comments-section comment-section disqus disqus_thread
     respond replies pagination pager toolbar legal copyright""".split())
@@ -106,13 +109,14 @@ class Line:
     article: bool = False
     regions: tuple[Region, ...] = ()
     bounds: bool = False
+    heading: bool = False
 
 
 def lines_of(page: str) -> tuple[list[Line], int]:
     """Lines, blank ones around articles and page-level <nav> and <header>; the number of articles outside regions."""
     lines: list[Line] = []
     words: list[str] = []
-    weight, link, heading, article, free = 0, 0, 0, 0, 0
+    weight, link, heading, article, free, headed = 0, 0, 0, 0, 0, False
     regions: tuple[Region, ...] = ()
     ends: dict[str, int] = {}
     at, n, low = 0, len(page), page.lower()
@@ -120,19 +124,20 @@ def lines_of(page: str) -> tuple[list[Line], int]:
         low = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
 
     def end_line() -> None:
-        nonlocal weight
+        nonlocal weight, headed
         text = " ".join("".join(words).split())
         if text:
-            lines.append(Line(text, weight * (BONUS if article else 1), article > 0, regions))
+            lines.append(Line(text, weight * (BONUS if article else 1), article > 0, regions, False, headed))
         words.clear()
-        weight = 0
+        weight, headed = 0, False
 
     def gap(bounds: bool = False) -> None:
         lines.extend([Line("", 0, False, regions, bounds)] * WINDOW)
 
     def text_to(end: int) -> None:
-        nonlocal weight
+        nonlocal weight, headed
         if end > at:
+            headed = headed or heading > 0
             text = html.unescape(page[at:end])
             words.append(text)
             if not link or article or heading:
@@ -241,7 +246,7 @@ def main_text(page: str | None) -> str:
     lines = [line for i, line in enumerate(lines) if i <= first or not line.bounds]
     weights = [line.weight for line in lines]
     blocks = _windows(weights)
-    kept: list[str] = []
+    spans: list[tuple[int, int]] = []
     i = 0
     while i < len(lines):
         if blocks[i] < threshold:
@@ -249,12 +254,45 @@ def main_text(page: str | None) -> str:
             continue
         while not weights[i]:  # surge: the first line with text of the window
             i += 1
-        while i and lines[i].article and lines[i - 1].article and lines[i - 1].text:  # an article is kept from its begin
-            i -= 1
+        begin = i = _begin(lines, i)
         while i < len(lines) and blocks[i]:  # dive: a window without text
-            kept.append(lines[i].text)
             i += 1
-    return "\n".join(filter(None, kept))
+        spans.append((begin, i))
+    return "\n".join(line.text for a, b in _joined(lines, spans) for line in lines[a:b] if line.text)
+
+
+def _begin(lines: list[Line], at: int) -> int:
+    """Where the text that surges at a line begins: with its article, or with the heading above it, if only text stands between."""
+    above = at
+    while above and lines[above - 1].text and lines[above - 1].weight and lines[above - 1].article == lines[at].article:
+        above -= 1
+    if lines[at].article:
+        while above and lines[above - 1].article and lines[above - 1].text:
+            above -= 1
+        return above
+    return next((k for k in range(above, at) if lines[k].heading), at)
+
+
+def _joined(lines: list[Line], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Kept spans, with the lines without weight (lists of links) that stand between two of them, and with a short article that
+    follows a kept one directly and holds a sentence."""
+    out: list[tuple[int, int]] = []
+    for begin, end in spans:
+        if out and all(line.text for line in lines[out[-1][1]:begin]):
+            begin = min(begin, out[-1][1])
+        out.append((begin, end))
+    found: list[tuple[int, int]] = []
+    for k, (begin, end) in enumerate(out):
+        found.append((begin, end))
+        limit = out[k + 1][0] if k + 1 < len(out) else len(lines)
+        while lines[end - 1].article:
+            low = next((j for j in range(end, limit) if lines[j].text), limit)
+            high = next((j for j in range(low, limit) if not lines[j].text or not lines[j].article), limit)
+            if low >= high or not any(line.weight and re.search(r"[.!?…]\W*$", line.text) for line in lines[low:high]):
+                break
+            found.append((low, high))
+            end = high
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:

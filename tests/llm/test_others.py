@@ -123,3 +123,34 @@ def test_nearest_widens_buckets_that_hold_too_few(spark):
         warnings.simplefilter("error", RuntimeWarning)
         got = ann.nearest(df, F.col("vec_id") == 0, 20).collect()
     assert len(got) == 20 and len({r["vec_id"] for r in got}) == 20
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<h1>T</h1><p>by A</p><p>3 May</p><p>Intro.</p><p>{LONG}</p>", f"T\nby A\n3 May\nIntro.\n{LONG}"),
+    (f"<p>Logo</p><nav>x</nav><h1>T</h1><p>by A</p><p>3 May</p><p>Intro.</p><p>{LONG}</p>", f"T\nby A\n3 May\nIntro.\n{LONG}"),
+    (f"<p>{LONG}</p><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(5)) + f"</ul><p>{LONG}</p>",
+     "\n".join([LONG, *(f"Link {i}" for i in range(5)), LONG])),
+    (f"<article><p>{LONG}</p></article><article><p>Short one.</p></article><div class='col-sidebar'><p>{LONG}</p></div>", f"{LONG}\nShort one."),
+    (f"<article><p>{LONG}</p></article><div class='gdpr-notice'><p>We use cookies.</p></div>", LONG),
+    ("<p>" + "word " * 200_000 + "</p><nav>unclosed", ("word " * 200_000).strip())])
+def test_text_beside_the_surge_is_kept(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_extraction_query_equals_the_pages_articles(spark):
+    """The pages of the small table hold their text in one <article>: strip its markup plainly and compare."""
+    import html
+    import re
+
+    from conftest import SF_SMALL
+    from feedmatch.llm.queries import op9_line_blocks
+
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op9_line_blocks(spark, SF_SMALL).collect()}
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "html").collect()
+    exact = 0
+    for page_id, source in pages:
+        body = re.search(r"<article[^>]*>(.*)</article>", source, re.S)[1]
+        body = re.sub(r"<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", body, flags=re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|div|h\d|li|ul|ol|tr|td|th|table|blockquote|pre|section|figure|figcaption)\b[^>]*>", body)]
+        exact += got[page_id] == ((text := "\n".join(filter(None, blocks))), len(text))
+    assert len(got) == len(pages) and exact >= 0.9 * len(pages)
