@@ -11,9 +11,9 @@ Texts meet in radix tries. Each map task inserts its texts into a compressed
 trie whose terminals hold the smallest doc_id and its rows, and hands on one
 row per distinct text, so a text that a third of all documents share leaves a
 task once. These are range-partitioned by adaptive prefixes: prefixes that hold
-over ``1 / (4 * parts)`` of a sample of distinct texts are lengthened fourfold,
-level by level, until none does, so documents that begin alike part further
-in. The sample (texts of lowest hash, ``SAMPLE_TEXTS`` about) steers balance
+over ``HEAVY_SHARE`` of a sample of distinct texts (or a quarter of a part's
+share) are lengthened fourfold, level by level, until none does, so documents
+that begin alike part further in. The sample (texts of lowest hash, ``SAMPLE_TEXTS`` about) steers balance
 only. Each part is inserted into a trie again; walking its terminals gives the
 rows that no smaller doc_id equals. All others fail E, which is counted by
 subtraction over narrow rows.
@@ -47,6 +47,8 @@ TRIE_BYTES = 48 << 20
 PART_BYTES = 32 << 20
 SAMPLE_TEXTS = 20_000
 FIRST_PREFIX = 8
+#: A prefix that holds this share of the sample, or a quarter of a part's, is lengthened.
+HEAVY_SHARE = 1 / 256
 
 
 class RadixTrie:
@@ -134,7 +136,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, every: int, parts: int) -> list[str]:
-    """Prefixes too heavy for one part among one in ``every`` distinct text, level by level (at most 4 * parts a level)."""
+    """Prefixes too heavy for one part among one in ``every`` distinct text, level by level (at most 256, or 4 * parts, a level)."""
     texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = stored(texts.select("text", F.octet_length("text").alias("size")), "prefix-sample")
     total = texts.agg(F.sum("size")).first()[0] or 0
@@ -145,7 +147,7 @@ def _prefixes(docs: DataFrame, every: int, parts: int) -> list[str]:
         if last is not None:
             longer = longer.where(F.substring("text", 1, length // 4).isin(last))
         own = longer.groupBy(F.substring("text", 1, length).alias("p")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        last = [r["p"] for r in own.where((F.col("size") * 4 * parts > total) & (F.col("n") > 1)).collect()]
+        last = [r["p"] for r in own.where((F.col("size") > total * min(HEAVY_SHARE, 1 / (4 * parts))) & (F.col("n") > 1)).collect()]
         if not last:
             break
         heavy += last
