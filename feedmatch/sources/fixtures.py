@@ -13,26 +13,25 @@ from feedmatch.functions.regex import DUCKDB, SPARK, sql_literal
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# --- fixed values: fixture vocabularies (FIXTURES.md B1) ---------------------
+# --- fixture vocabularies: our own wording; each entry reaches another branch of the rules -----
 PREFIX = ("Senior ", "Staff ", "Principal ", "Junior ", "", "Head of ", "Lead ", "Medior ",
           "Working Student ", "International ", "Graduate ", "Sr. ", "")
 ROLE = ("Python Engineer", "Backend Developer", "Data Engineer II", "Product Manager",
         "Software Architect", "Engineer I", "Consultant")
 LEGAL = ("", " B.V.", " GmbH", " N.V.", " Holding Group")
-LOCATION = ("Amsterdam, Netherlands", "Berlin, DE", "Rio de Janeiro, Brazil", "Worldwide", "Remote",
-            "Remote - Brazil", "", "USA only", "UK only", "München, Deutschland", "Hybrid - Amsterdam",
-            "Amsterdam (Remote)", "Europe", "Austin, Texas", "Rotterdam", "Malmö, SE", "India", "APAC",
-            "Remote - Netherlands", "Toronto, Canada", "Luxembourg", "Anywhere in Europe",
-            "Dublin / London")
-EVIDENCE = ("We offer visa sponsorship and relocation support.", "We do not offer visa sponsorship.",
-            "Visa sponsorship is not available here.",
-            "You must already have the right to work in the Netherlands.", "EU citizens only.",
-            "Relocation package included.", "There is no relocation package.",
-            "Fluent German is required.", "German is a plus.", "Security clearance required.",
-            "Local candidates only.", "You must be based in Amsterdam; we support relocation.",
-            "You must be based in the United Kingdom.", "You must be located in a timezone near CET.",
-            "Hybrid role, three days on site.", "Fully remote, work from home.", "EU Blue Card eligible.",
-            "We cannot support visas.", "")
+LOCATION = ("Utrecht, Netherlands", "Hamburg, DE", "Lima, Peru", "Worldwide", "Remote", "Remote - Peru", "",
+            "USA only", "UK only", "Köln, Deutschland", "Hybrid - Berlin", "Berlin (Remote)", "Europe",
+            "Denver, Colorado", "Eindhoven", "Lund, SE", "India", "APAC", "Remote - Germany",
+            "Montreal, Canada", "Malta", "Anywhere in Europe", "Cork / Leeds")
+EVIDENCE = ("We offer visa sponsorship, and a relocation budget too.", "We do not sponsor work visas.",
+            "Visa sponsorship is not available for this position.",
+            "Applicants must already hold the right to work in Germany.", "Open to EU citizens only.",
+            "A relocation package is part of the offer.", "Sadly there is no relocation package.",
+            "Fluent Dutch is required.", "Some Dutch is a plus.", "A security clearance is required.",
+            "Local applicants only.", "You must be based in Berlin; we support relocation.",
+            "You must be based in Ireland.", "You must be located in a timezone close to UTC.",
+            "This is a hybrid role with two office days.", "A fully remote role: work from home.",
+            "The EU Blue Card is possible.", "We cannot arrange visas.", "")
 TAGS = ("python", "retail", "data")
 R_AND_D = "Python backend R&amp;D. "
 FX_NOW = "2000-01-01 00:00:00"
