@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from feedmatch.llm.scratch import stored
 
+#: Hubs at most, and the links that a hub has at least.
+HUBS, LEAST_HUB = 4096, 64
+
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every linked node; root is the smallest node reachable.
@@ -14,7 +17,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Each round hooks a node's larger neighbours, then its smaller ones, to the
     smallest neighbour (minima are pre-aggregated map-side); the rounds needed
     grow with the logarithm of the longest path. Every round is a written
-    table. Null ends and self links are ignored.
+    table. Null ends and self links are ignored. The smallest neighbour of a
+    hub (a node with over ``2 / HUBS`` of the links, so ``HUBS`` at most) is
+    broadcast to its links, those of other nodes are joined.
     """
     def fingerprint(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
@@ -23,9 +28,12 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     seen = fingerprint(state)
     while seen[0]:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (both.join(least, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hub = F.col("n") > max(LEAST_HUB, 4 * seen[0] // HUBS)
+        marked = both.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("of_hub"))), "u", "left")
+        others = marked.where("of_hub IS NULL").join(least.where(~hub).select("u", "m"), "u").select("u", "v", "m")
+        met = marked.where("of_hub IS NOT NULL").select("u", "v", F.col("of_hub").alias("m")).union(others)
+        large = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
