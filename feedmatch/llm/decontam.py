@@ -51,8 +51,8 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Patterns of one length ``length`` over items (a number for each, and its words).
 
-    Arrays hold some thirty bytes a pattern: the items' text once, a table of
-    shifts by hashed block (blocks that share a place share the smaller shift),
+    Arrays hold some thirty bytes a pattern and up to 64 places a word: the
+    items' text once, a table of shifts by hashed block (blocks that share a place share the smaller shift),
     and the patterns sorted by the place of their last block (the suffix
     bucket) and a hash of all their words. What these select is compared with
     the text word for word.
@@ -70,7 +70,7 @@ class WuManber:
         del words
         ends = np.cumsum(sizes)
         starts = np.concatenate([np.arange(e - n, e - m + 1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
-        self.mask = (1 << max(12, min(26, int(8 * len(hashed)).bit_length()))) - 1
+        self.mask = (1 << max(12, min(26, int(64 * len(hashed)).bit_length()))) - 1  # few places are shared
         place = ((hashed[:-1] * _PRIME ^ hashed[1:] if b == 2 else hashed) & np.uint64(self.mask)).astype(np.uint32)
         shift = np.full(self.mask + 1, self.skip, np.uint8)
         for end in range(b, m + 1):  # ever smaller shifts
