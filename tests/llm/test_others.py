@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 from feedmatch.llm import ann, chat, htmltext, toxicity, urls, warc
@@ -58,6 +59,26 @@ def test_url_rules_edge_cases(spark):
     assert {r["verdict"] for r in urls.judge(df, [], "block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 5000])  # one cascade each, and shards
+def test_many_url_rules_are_exact(spark, max_bits):
+    import random
+    rnd = random.Random(6)
+    hosts, paths = [f"h{i}.example.{t}" for i in range(800) for t in ("com", "net")], ["/", "/a", "/a/b/", "/long/path/of/a/rule", ""]
+    rules = {(rnd.choice(["", "www.", "x.y."]) + h, p): rnd.choice(["block", "allow"]) for h in rnd.sample(hosts, 900) for p in rnd.sample(paths, 2)}
+    pages = [(i, "http://" + rnd.choice(["", "www.", "x.y.", "z."]) + rnd.choice(hosts) + rnd.choice([*paths, "/a/bc", "/zzz", "?q"])) for i in range(3000)]
+    pages += [(5000, "http:///a/b/"), (5001, None), (5002, "http://h1.example.com:80/a")]
+
+    def verdict(url):
+        host, path = ("", "") if url is None or "://" not in url else re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+        labels = host.split(".")
+        fits = [(len(h + p), h + p, v) for n in range(len(labels)) for p in paths for h in [".".join(labels[n:])] if path.startswith(p) and (v := rules.get((h, p)))]
+        return max(fits)[1:] if fits else (None, "allow")
+
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, [(*k, v) for k, v in rules.items()], max_bits=max_bits).collect()}
+    assert got == {i: verdict(u) for i, u in pages}
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("<nav>m</nav><article><h1>T&eacute;</h1><p>a<br>b</article><footer>f", "Té\na b"), ("<script>x</script><p>only", "only"),
     ("<article>a<div class='comments'>c</div><p>b</article>", "a\nb")])
