@@ -28,14 +28,18 @@ def records(payloads: DataFrame, body: str, keys, keep=()) -> DataFrame:
 
 
 def source_records(payloads: DataFrame, keep=("page",), outer: bool = False) -> DataFrame:
-    """One row per record of ``payloads`` (source, board, body), found by its source's own envelope: source, board, ``keep``, pos and
-    record.  ``outer`` keeps a row without record for a response that has none (empty, failed or not JSON)."""
+    """One row per record of ``payloads`` (source, board, body), found by its source's own envelope: source, board, ``keep``, pos
+    (in the payload's list) and record.  ``outer`` keeps a row without record for a response that has none (empty, failed or
+    not JSON), and gives no pos."""
     from feedmatch.sources.mapping import SPECS
     from feedmatch.sources.spec import envelope
 
-    objects = f"filter({envelope(SPECS, 'body')}, x -> schema_of_variant(x) LIKE 'OBJECT%')"
-    explode = F.posexplode_outer if outer else F.posexplode
-    return payloads.select("source", "board", *keep, explode(F.expr(objects)).alias("pos", "record"))
+    listed = envelope(SPECS, "body")
+    if outer:
+        objects = f"filter({listed}, x -> schema_of_variant(x) LIKE 'OBJECT%')"
+        return payloads.select("source", "board", *keep, F.explode_outer(F.expr(objects)).alias("record"))
+    rows = payloads.select("source", "board", *keep, F.posexplode(F.expr(listed)).alias("pos", "record"))
+    return rows.filter(F.schema_of_variant(F.col("record")).startswith("OBJECT"))
 
 
 def responses(payloads: DataFrame) -> DataFrame:
