@@ -2,7 +2,7 @@
 
 import html
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,16 +141,17 @@ def test_register_reader(spark, tmp_path):
 def test_windowed_health_of_a_stream_equals_the_batch_form(spark, tmp_path):
     from feedmatch.streaming.ingest import land_windowed_health, windowed_health
     rnd, landing, out = random.Random(9), str(tmp_path / "landing"), str(tmp_path / "out")
-    rows, mark, counted = [], None, []
-    for day in range(0, 12, 3):
-        batch = [(datetime(2024, 1, 1 + min(day + rnd.randint(-4, 2), 20) if day else 1 + rnd.randint(0, 2), rnd.randint(0, 23)), rnd.choice("ab"),
-                  rnd.choice([200, 200, 500]), 3, rnd.randint(1, 3)) for _ in range(60)]
+    rows, mark, counted, day = [], None, [], timedelta(days=1)
+    closes = lambda r: r[0].replace(hour=0) + day
+    for first in (1, 4, 7, 10):
+        batch = [(datetime(2024, 1, max(1, first + rnd.randint(-4, 2)), rnd.randint(0, 23)), rnd.choice("ab"), rnd.choice([200, 200, 500]), 3,
+                  rnd.randint(1, 3)) for _ in range(60)]
         df = spark.createDataFrame(batch, "ts timestamp_ntz, source string, status int, n_records int, n_mapped int")
         df.coalesce(1).write.mode("append").parquet(landing)
         windows = land_windowed_health(spark, landing, df.schema, "ts", out)
-        counted += [r for r in batch if mark is None or datetime(r[0].year, r[0].month, r[0].day).timestamp() + 86400 > mark]
+        counted += [r for r in batch if mark is None or closes(r) > mark]
         rows += batch
-        mark = max(r[0].timestamp() for r in rows) - 2 * 86400
-    closed = [r for r in counted if datetime(r[0].year, r[0].month, r[0].day).timestamp() + 86400 <= mark]
+        mark = max(r[0] for r in rows) - 2 * day
+    closed = [r for r in counted if closes(r) <= mark]
     want = windowed_health(spark.createDataFrame(closed, df.schema), "ts")
     assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, want.collect())) and len(counted) < len(rows) and len(closed) < len(counted)
