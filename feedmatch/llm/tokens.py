@@ -25,9 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in one generation of a worker's memo.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 #: Bytes of text cut into pieces at a time (one longer text is cut alone).
-CUT_BYTES = 16 << 20
+CUT_BYTES = 8 << 20
 #: Pieces whose ids are laid out at a time (those of one longer text at once).
 SPREAD_PIECES = 200_000
 
