@@ -81,3 +81,18 @@ def test_move_offer_negation(spark):
              "relocation package included.": True, "there is no relocation package.": False,
              "no visa help here. later: we offer visa sponsorship.": True, "nothing here": False}
     assert _eval(spark, list(cases), M.offers_move) == list(cases.values())
+
+
+def _times(spark, fn, part):
+    """How often ``part`` stands in the optimised plan of a function of one text."""
+    df = spark.createDataFrame([("x",)], "x string").select(fn(F.col("x")).alias("y"))
+    return df._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_keyword_index_cuts_a_text_into_words_once(spark):
+    from feedmatch.functions.text import keyword_index
+    words = ("in the", "the", "of the mill", "c++")
+    assert _times(spark, lambda c: keyword_index(c, words), "regexp_extract_all(") == 1
+    text = "in the the of the mill, in  the c++ " * 2000
+    assert _eval(spark, [text, "", None], lambda c: F.array_join(keyword_index(F.coalesce(c, F.lit("")), words), "|")) == \
+        ["in the|the|of the mill|c++", "", ""]
