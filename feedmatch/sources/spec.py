@@ -71,7 +71,7 @@ def _kind(path: str) -> str:
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, {lit(f'^{P.WS}+|{P.WS}+$')}, '')"
+    return f"regexp_replace({text}, {lit(P.WS_ENDS)}, '')"
 
 
 def _text(p: str) -> str:

@@ -96,3 +96,27 @@ def test_keyword_index_cuts_a_text_into_words_once(spark):
     text = "in the the of the mill, in  the c++ " * 2000
     assert _eval(spark, [text, "", None], lambda c: F.array_join(keyword_index(F.coalesce(c, F.lit("")), words), "|")) == \
         ["in the|the|of the mill|c++", "", ""]
+
+
+def test_html_is_unescaped_from_one_text(spark):
+    assert _times(spark, strip_html, "<[^>]+>") == 1
+    assert _times(spark, M.offers_move, "regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize("text", ["&&amp;&amp &ampx; &notit; &#x41 &#65;&# &", "&lt;b&gt;&nbsp;x &eacute;&Eacute;&euro;", "a&b=1&copy=2"])
+def test_pieces_behind_ampersands(spark, text):
+    import html
+    assert _eval(spark, [text], unescape_html) == [html.unescape(text)]
+
+
+def test_white_space_is_joined_and_stripped_as_before(spark):
+    import re
+    from feedmatch.functions import patterns as P
+    from feedmatch.functions.text import strip_ws
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = ["", " ", "  ", "a b", " a ", "a  b", "\xe9 \xe9", " \u0435 \u4e2d ", "a \n", "\u200ba\u200b ", *(f"{w}a{w}b {w}c{w} \xe9{w}" for w in spaces)]
+    run = lambda c: F.regexp_replace(c, P.WS_TO_JOIN, " ")
+    assert _eval(spark, texts, run) == [re.sub(f"[{spaces}]+", " ", t) for t in texts]
+    assert _eval(spark, texts, strip_ws) == [t.strip(spaces) for t in texts]
+    # the class of first characters only passes over what begins no word of a pattern
+    assert all(" " not in first and first == first.lower() for first in P.FIRST.values())
