@@ -135,7 +135,7 @@ def read_fields(records: DataFrame) -> DataFrame:
     one of the required fields, that its source doesn't want, or whose source is unknown; the others are "mapped".
     """
     # A generator evaluates the record's fields once; struct columns would be inlined into every rule.
-    read = records.select("*", F.expr(f"inline(array({K.readers(SPECS)}))"))
+    read = records.select("*", F.expr(f"inline({K.readers(SPECS)})"))
     return read.withColumn("offending", F.expr(K.offending(SPECS))).withColumn("fate", F.expr(_FATE))
 
 

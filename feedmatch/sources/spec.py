@@ -66,31 +66,38 @@ def _read(path: str, kind: str) -> str:
     return f"try_variant_get(record, {path}, '{kind}')"
 
 
-def _kind(path: str) -> str:
-    return f"schema_of_variant({_read(path, 'variant')})"
+def _value(path: str, body: str) -> str:
+    """``body`` over ``v``, what stands at a path: the path is parsed and followed once, however often the body reads ``v``."""
+    return f"get(transform(array({_read(path, 'variant')}), v -> {body}), 0)"
+
+
+def _as(kind: str) -> str:
+    return f"try_variant_get(v, '$', '{kind}')"
+
+
+_KIND = "schema_of_variant(v)"
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, {lit(P.WS_ENDS)}, '')"
+    return f"btrim({text}, {lit(P.WS_CHARS)})"
 
 
 def _text(p: str) -> str:
     """A field as trimmed text, numbers rendered; '' when absent or a list or an object."""
-    return strip(f"coalesce(CASE WHEN {_kind(p)} NOT LIKE 'ARRAY%' AND {_kind(p)} NOT LIKE 'OBJECT%' THEN {_read(p, 'string')} END, '')")
+    return _value(p, strip(f"coalesce(CASE WHEN {_KIND} NOT RLIKE '^(?:ARRAY|OBJECT)' THEN {_as('string')} END, '')"))
 
 
 def _number(p: str) -> str:
     """A number; booleans and strings are none."""
-    kinds = "'BIGINT', 'DOUBLE', 'INT', 'SMALLINT', 'TINYINT', 'FLOAT'"
-    return f"CASE WHEN {_kind(p)} IN ({kinds}) OR {_kind(p)} LIKE 'DECIMAL%' THEN {_read(p, 'double')} END"
+    return _value(p, f"CASE WHEN {_KIND} RLIKE '^(?:BIGINT$|DOUBLE$|INT$|SMALLINT$|TINYINT$|FLOAT$|DECIMAL)' THEN {_as('double')} END")
 
 
 def _flag(p: str) -> str:
     """FN-12: null and '' are unknown; a boolean as it is; true, 1, yes and remote; else whether it is not zero."""
-    text = f"lower({strip(f'coalesce({_read(p, "string")}, {chr(39) * 2})')})"
-    return (f"CASE WHEN {_read(p, 'variant')} IS NULL OR {_kind(p)} = 'VOID' THEN NULL WHEN {_kind(p)} = 'BOOLEAN' THEN {_read(p, 'boolean')} "
-            f"WHEN {_kind(p)} = 'STRING' THEN CASE WHEN {text} = '' THEN NULL ELSE {text} IN ('true', '1', 'yes', 'remote') END "
-            f"ELSE coalesce({_read(p, 'double')} <> 0, true) END")
+    text = f"lower({strip(f'coalesce({_as("string")}, {chr(39) * 2})')})"
+    return _value(p, f"CASE WHEN v IS NULL OR {_KIND} = 'VOID' THEN NULL WHEN {_KIND} = 'BOOLEAN' THEN {_as('boolean')} "
+                     f"WHEN {_KIND} = 'STRING' THEN CASE WHEN {text} = '' THEN NULL ELSE {text} IN ('true', '1', 'yes', 'remote') END "
+                     f"ELSE coalesce({_as('double')} <> 0, true) END")
 
 
 def _names(p: str) -> str:
@@ -104,7 +111,8 @@ def _first(paths: str, each: str) -> str:
 
 
 def readers(specs: Iterable[SourceSpec]) -> str:
-    """SQL of a struct with every field of ``FIELDS`` (instants as text and number), read from ``record`` by ``source``."""
+    """SQL of an array of one struct with every field of ``FIELDS`` (instants as text and number), read from ``record`` by
+    ``source``.  The record is bound, since a column of a row is copied whole wherever it is read."""
     specs = list(specs)
     out = []
     for name in FIELDS:
@@ -125,7 +133,7 @@ def readers(specs: Iterable[SourceSpec]) -> str:
             out.append((name, _first(paths, _flag("p"))))
         else:
             out += [(f"{name}_text", _first(paths, _read("p", "string"))), (f"{name}_number", _first(paths, _number("p")))]
-    return "named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in out) + ")"
+    return "transform(array(record), record -> named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in out) + "))"
 
 
 def offending(specs: Iterable[SourceSpec]) -> str:
@@ -133,9 +141,10 @@ def offending(specs: Iterable[SourceSpec]) -> str:
     is neither that nor null); NULL when none did."""
     specs = list(specs)
     texts, objects = _by_source({s.name: s.texts for s in specs}), _by_source({s.name: s.objects for s in specs})
-    kind = f"coalesce({_kind('p')}, 'VOID')"
-    return (f"substr(coalesce(get(filter({texts}, p -> {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%'), 0), "
-            f"get(filter({objects}, p -> {kind} NOT LIKE 'OBJECT%' AND {kind} <> 'VOID'), 0)), 3)")
+    kind = f"coalesce(schema_of_variant({_read('p', 'variant')}), 'VOID')"
+    found = (f"substr(coalesce(get(filter({texts}, p -> {kind} RLIKE '^(?:ARRAY|OBJECT)'), 0), "
+             f"get(filter({objects}, p -> {kind} NOT RLIKE '^(?:OBJECT|VOID$)'), 0)), 3)")
+    return f"get(transform(array(record), record -> {found}), 0)"
 
 
 def envelope(specs: Iterable[SourceSpec], body: str) -> str:
